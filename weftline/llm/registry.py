@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op4_suffix, op6_substring
+from weftline.llm import op4_suffix, op6_substring, op7_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_suffix_dedup": op4_suffix.query,
         "op6_substring_dedup": op6_substring.query,
+        "op7_simhash_near_dedup": op7_simhash.query,
     }
 
 
