@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op4_suffix, op6_substring, op7_simhash
+from weftline.llm import op3_bpe, op4_suffix, op5_quality, op6_substring, op7_simhash, op8_decontam, op9_langid, op10_html
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_bpe_encode_decode": op3_bpe.query,
         "op4_suffix_dedup": op4_suffix.query,
+        "op5_quality_resampling": op5_quality.query,
         "op6_substring_dedup": op6_substring.query,
         "op7_simhash_near_dedup": op7_simhash.query,
+        "op8_decontamination": op8_decontam.query,
+        "op9_language_id": op9_langid.query,
+        "op10_html_extraction": op10_html.query,
     }
 
 
