@@ -159,7 +159,7 @@ def group_links(fp: np.ndarray, key: np.ndarray, distance: int, large: int | Non
 
 def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
     """Links (a, b) among distinct fingerprints (fp long) that have the same components as all links."""
-    n = buckets(spark) * 4
+    n = buckets(spark)
     masks = blocks(distance + 2, np.arange(64))
     keys = [x | y for x, y in combinations(masks, 2)]
 
@@ -203,7 +203,7 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, la
                 yield pa.record_batch([pa.array(np.minimum(e["a"], e["b"])), pa.array(np.maximum(e["a"], e["b"]))], ["a", "b"])
 
     def exchange(df: DataFrame) -> DataFrame:
-        return df.repartition(max(1, n // 4), "b").sortWithinPartitions("b", "kind")
+        return df.repartition(n, "b").sortWithinPartitions("b", "kind")
 
     first = exchange(distinct.select("fp").mapInArrow(send, SCHEMA)).mapInArrow(meet(large), SCHEMA)
     return exchange(first).mapInArrow(meet(None), SCHEMA).mapInArrow(out, "a long, b long")

@@ -26,6 +26,7 @@ text and rows that merely share an id as several; a null id sorts first.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import cache
 from typing import Any
 
 import numpy as np
@@ -149,8 +150,31 @@ def place(value: np.ndarray) -> np.ndarray:
     return units.mix(value) >> U64(24)
 
 
+@cache
+def names(n: int) -> np.ndarray:
+    """An integer for each of n partitions that Spark's hash partitioning puts there, so that buckets are dealt out evenly."""
+
+    def turn(x: np.ndarray, r: int) -> np.ndarray:
+        return x << np.uint32(r) | x >> np.uint32(32 - r)
+
+    out, found, lo = np.full(n, -1, np.int64), 0, 0
+    while found < n:
+        x = np.arange(lo, lo + 64 * n, dtype=np.uint32)
+        k = turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)  # Murmur3 of an int, seed 42
+        h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ h >> np.uint32(shift)) * np.uint32(odd)
+        part = h.view(np.int32).astype(np.int64) % n
+        free = out[part] < 0
+        out[part[free][::-1]] = x[free][::-1]
+        found, lo = int((out >= 0).sum()), lo + 64 * n
+    return out
+
+
 def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
-    return ((key * U64(n)) >> U64(40)).astype(np.int64)
+    """The name of the bucket of a 40-bit key."""
+    return names(n)[((key * U64(n)) >> U64(40)).astype(np.int64)]
 
 
 def home(doc: np.ndarray, n: int) -> np.ndarray:
@@ -313,7 +337,7 @@ def sift(source: DataFrame, rule: Rule, heavy: np.ndarray, n: int) -> DataFrame:
             yield from by_bucket(home(doc, n), KNOWN, doc=doc, tag=x["tag"][ask], start=x["start"][ask])
 
     sent = source.mapInArrow(send, SCHEMA)
-    return sent.repartition(max(1, n // 4), "b").sortWithinPartitions("b", "kind").mapInArrow(meet, SCHEMA)
+    return sent.repartition(n, "b").sortWithinPartitions("b", "kind").mapInArrow(meet, SCHEMA)
 
 
 def texts_home(source: DataFrame, n: int) -> DataFrame:
@@ -360,7 +384,7 @@ def at_home(texts: DataFrame, answers: DataFrame, n: int, work: Callable, schema
 
             yield from work(blobs, stream())
 
-    return texts.unionAll(answers).repartition(max(1, n // 4), "b").sortWithinPartitions("b", "kind").mapInArrow(meet, schema)
+    return texts.unionAll(answers).repartition(n, "b").sortWithinPartitions("b", "kind").mapInArrow(meet, schema)
 
 
 RUN = {"value": np.uint64, "doc": np.int64, "tag": np.uint32, "start": np.int32, "n": np.int32, "twin": bool, "size": np.int32}
@@ -466,7 +490,7 @@ def travel(texts: DataFrame, suspects: DataFrame, rule: Rule, heavy: np.ndarray,
                     yield from by_bucket(home(doc, n), KNOWN, doc=doc, tag=own["tag"][s], start=(own["start"][s] + at).astype(np.int32), n=m.astype(np.int32))
 
     sent = at_home(texts, suspects, n, send, SCHEMA)
-    return sent.repartition(max(1, n // 4), "b").sortWithinPartitions("b", "kind").mapInArrow(decide, SCHEMA)
+    return sent.repartition(n, "b").sortWithinPartitions("b", "kind").mapInArrow(decide, SCHEMA)
 
 
 def parts(value: np.ndarray, size: np.ndarray, twin: np.ndarray, limit: int = 1 << 19) -> Iterator[np.ndarray]:
@@ -490,7 +514,7 @@ def parts(value: np.ndarray, size: np.ndarray, twin: np.ndarray, limit: int = 1
 
 def find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, rule: Rule, judge: Callable, finish: Callable, schema: str) -> DataFrame:
     """The whole job; ``finish(ids, texts, nulls, spans)`` yields the result, spans being {(doc, tag): (starts, windows)}."""
-    n = buckets(spark) * 4
+    n = buckets(spark)
     source = _source(docs, id_col, text_col)
     heavy = heavy_grams(source, rule)
     texts = texts_home(source, n)
