@@ -5,7 +5,7 @@ class or id of its element goes first. Then words score positive and tags
 negative, and one linear scan finds the contiguous region of the greatest sum.
 A tag's weight is learned from labelled pages, those that mark their content
 themselves (one <article> or <main>): the log-odds of standing outside of the
-marked content rather than inside. At most ``LABELLED`` pages teach, those those of at most
+marked content rather than inside. At most ``LABELLED`` pages teach, those of at most
 ``LONGEST`` characters with the least hash of their markup.
 
 Defined results: null and empty pages, and pages without words, give an empty
