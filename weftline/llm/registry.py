@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op3_bpe, op4_suffix, op5_quality, op6_substring, op7_simhash, op8_decontam, op9_langid, op10_html
+from weftline.llm import op1_warc, op2_permutation, op3_bpe, op4_suffix, op5_quality, op6_substring, op7_simhash, op8_decontam, op9_langid, op10_html
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc_chunks": op1_warc.query,
+        "op2_permutation_index": op2_permutation.query,
         "op3_bpe_encode_decode": op3_bpe.query,
         "op4_suffix_dedup": op4_suffix.query,
         "op5_quality_resampling": op5_quality.query,
