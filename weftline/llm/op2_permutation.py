@@ -37,25 +37,28 @@ from weftline.llm import units
 from weftline.llm.repeats import groups, names, rows
 from weftline.session import buckets, checkpointed, table
 
-K, EVERY, PREFIX, POSTS, PROBES, RERANK, MOST, FILE = 5, 50, 16, 4, 24, 512, 4096, 16384
+K, EVERY, PREFIX, POSTS, PROBES, RERANK, MOST, FILE = 5, 50, 32, 8, 32, 1024, 4096, 16384
 POST, ASK = 0, 1
 SCHEMA = "b int, kind tinyint, doc long, data binary"
 
 
 def usable(emb: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, v) of the vectors that take part."""
+    kind = "array<float>" if dict(emb.dtypes)[vec_col] == "array<float>" else "array<double>"
     ok = f"{vec_col} is not null and forall({vec_col}, x -> x is not null and not isnan(x) and abs(x) < double('inf')) and exists({vec_col}, x -> x <> 0)"
-    good = emb.filter(F.expr(ok)).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
+    good = emb.filter(F.expr(ok)).filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast(kind).alias("v"))
     size = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
     return good.filter(F.size("v") == (size[0].d if size else 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Rows in the precision they are stored in."""
     flat = column.flatten().to_numpy()
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(np.float64)
     v = v / np.abs(v).max(axis=1, keepdims=True)
     return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
@@ -79,6 +82,7 @@ def footrule(query: np.ndarray, posted: np.ndarray, n_pivots: int) -> np.ndarray
 
 def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Cosine in double precision, row by row, so that equal vectors get equal scores."""
+    v, q = v.astype(np.float64), q.astype(np.float64)
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * math.sqrt((q * q).sum()))
 
 
@@ -132,7 +136,7 @@ def search(spark: SparkSession, emb: DataFrame, id_col: str = "vec_id", vec_col:
                                 files.setdefault(f, []).append(i)
                 for lo in range(0, len(files), 256):
                     some = list(files.items())[lo : lo + 256]
-                    data = [np.array([len(i), order.shape[1], v.shape[1]], np.int64).tobytes() + ids[i].tobytes() + order[i].astype(np.int32).tobytes() + v[i].tobytes() for _, i in some]
+                    data = [np.array([len(i), order.shape[1], v.shape[1], v.itemsize], np.int64).tobytes() + ids[i].tobytes() + order[i].astype(np.int16).tobytes() + v[i].tobytes() for _, i in some]
                     out = rows([int(name[f % parts]) for f, _ in some], kind, [f for f, _ in some], data)
                     yield out
 
@@ -141,10 +145,10 @@ def search(spark: SparkSession, emb: DataFrame, id_col: str = "vec_id", vec_col:
     def load(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, order, v = [], [], []
         for x in blobs:
-            n, m, d = np.frombuffer(x, np.int64, 3).tolist()
-            ids.append(np.frombuffer(x, np.int64, n, 24))
-            order.append(np.frombuffer(x, np.int32, n * m, 24 + 8 * n).reshape(n, m))
-            v.append(np.frombuffer(x, np.float64, n * d, 24 + 8 * n + 4 * n * m).reshape(n, d))
+            n, m, d, width = np.frombuffer(x, np.int64, 4).tolist()
+            ids.append(np.frombuffer(x, np.int64, n, 32))
+            order.append(np.frombuffer(x, np.int16, n * m, 32 + 8 * n).reshape(n, m))
+            v.append(np.frombuffer(x, f"f{width}", n * d, 32 + 8 * n + 2 * n * m).reshape(n, d))
         return np.concatenate(ids), np.concatenate(order), np.concatenate(v)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

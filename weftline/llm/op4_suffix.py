@@ -40,8 +40,8 @@ from weftline.llm.repeats import Rule
 from weftline.session import table
 
 LENGTH, GRAM, SHARDS = 100, 20, 4
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<int>, stops array<int>, kept binary"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("kept", pa.binary())])
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, starts array<int>, stops array<int>, kept binary, extra string"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("starts", pa.list_(pa.int32())), ("stops", pa.list_(pa.int32())), ("kept", pa.binary()), ("extra", pa.string())])
 
 
 def step_of(length: int) -> int:
@@ -146,9 +146,9 @@ def judge(length: int, n_shards: int = SHARDS):
 
 
 def finish(length: int):
-    def run(ids: list[int], texts: list[bytes], nulls: list[bool], spans: dict) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], [], [], [], []]
-        for i, t, null in zip(ids, texts, nulls):
+    def run(ids: list[int], texts: list[bytes], nulls: list[bool], extras: list[bytes], spans: dict) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in ARROW]
+        for i, t, null, extra in zip(ids, texts, nulls, extras):
             x = spans.get((i, units.subtag(t)))
             starts, stops, kept = [], [], t
             if x is not None:
@@ -157,16 +157,16 @@ def finish(length: int):
                 turn = np.diff(gone)
                 starts, stops = np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist()
                 kept = b"".join(t[a:b] for a, b in zip([0, *stops], [*starts, len(t)]))
-            for k, v in enumerate((None if null else i, len(t), len(t) - len(kept), len(starts), starts, stops, kept)):
+            for k, v in enumerate((None if null else i, len(t), len(t) - len(kept), len(starts), starts, stops, kept, extra.decode())):
                 out[k].append(v)
         yield pa.record_batch([pa.array(v, f.type) for v, f in zip(out, ARROW)], schema=ARROW)
 
     return run
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per text: its bytes, how many were removed in how many spans, the spans, and the bytes kept."""
-    return repeats.find(spark, docs, id_col, text_col, Rule(False, length, min(gram, length)), judge(length), finish(length), SCHEMA)
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per text: its bytes, how many were removed in how many spans, the spans, and the bytes kept; ``extra``: the columns to carry, as JSON."""
+    return repeats.find(spark, docs, id_col, text_col, Rule(False, length, min(gram, length)), judge(length), finish(length), SCHEMA, carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

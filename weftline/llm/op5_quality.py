@@ -28,9 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import units
+from weftline.llm.repeats import text_slices
 from weftline.session import buckets, checkpointed, table
 
-SLOTS, SLICE, SMOOTH, SHARE, SHARPNESS, SEED, BATCH = 1 << 16, 1 << 12, 1.0, 0.5, 8.0, 42, 1 << 19
+SLOTS, SLICE, SMOOTH, SHARE, SHARPNESS, SEED = 1 << 16, 1 << 12, 1.0, 0.5, 8.0, 42
 U64 = np.uint64
 
 
@@ -45,23 +46,12 @@ def slots_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return ((h >> U64(20)) & U64(SLOTS - 1)).astype(np.int64), np.concatenate([owner, owner[1:][ok]])
 
 
-def _batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    for x in batches:
-        lo, size, held = 0, 0, []
-        for hi, t in enumerate(x.column(column), 1):
-            held.append(t.as_py() or b"")
-            size += len(held[-1])
-            if size >= BATCH or hi == x.num_rows:
-                yield x.slice(lo, hi - lo), held
-                lo, size, held = hi, 0, []
-
-
 def fit(spark: SparkSession, docs: DataFrame) -> np.ndarray:
     """Log-ratios of target and raw for each slot, from (text binary, target boolean)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, SLOTS), np.int64)
-        for x, texts in _batches(batches, 0):
+        for x, texts in text_slices(batches, 0):
             slot, owner = slots_of(texts)
             good = np.array(x.column(1).to_pylist(), bool)[owner]
             n[0] += np.bincount(slot, minlength=SLOTS)
@@ -92,7 +82,7 @@ def score(spark: SparkSession, docs: DataFrame, ratios: np.ndarray, seed: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = shared.value
-        for x, texts in _batches(batches, 1):
+        for x, texts in text_slices(batches, 1):
             slot, owner = slots_of(texts)
             n = np.bincount(owner, minlength=len(texts))
             w = np.bincount(owner, r[slot], minlength=len(texts))

@@ -27,8 +27,8 @@ from weftline.llm.repeats import Rule, words_of
 from weftline.session import table
 
 LENGTH, GRAM = 20, 4
-SCHEMA = "doc_id long, n_words long, n_removed long, kept binary"
-ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
+SCHEMA = "doc_id long, n_words long, n_removed long, kept binary, extra string"
+ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("extra", pa.string())])
 
 
 def judge(length: int):
@@ -46,24 +46,24 @@ def judge(length: int):
 
 
 def finish(length: int):
-    def run(ids: list[int], texts: list[bytes], nulls: list[bool], spans: dict) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], []]
-        for i, t, null in zip(ids, texts, nulls):
+    def run(ids: list[int], texts: list[bytes], nulls: list[bool], extras: list[bytes], spans: dict) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in ARROW]
+        for i, t, null, extra in zip(ids, texts, nulls, extras):
             words = words_of(t)
             x, kept = spans.get((i, units.subtag(t))), words
             if x is not None:
                 gone = repeats.covered(len(words), length, *x).tolist()
                 kept = [w for w, g in zip(words, gone) if not g]
-            for k, v in enumerate((None if null else i, len(words), len(words) - len(kept), b" ".join(kept))):
+            for k, v in enumerate((None if null else i, len(words), len(words) - len(kept), b" ".join(kept), extra.decode())):
                 out[k].append(v)
         yield pa.record_batch([pa.array(v, f.type) for v, f in zip(out, ARROW)], schema=ARROW)
 
     return run
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Per text: its words, how many were removed, and the words kept, joined by one blank."""
-    return repeats.find(spark, docs, id_col, text_col, Rule(True, length, min(gram, length)), judge(length), finish(length), SCHEMA)
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per text: its words, how many were removed, and the words kept, joined by one blank; ``extra``: the columns to carry, as JSON."""
+    return repeats.find(spark, docs, id_col, text_col, Rule(True, length, min(gram, length)), judge(length), finish(length), SCHEMA, carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

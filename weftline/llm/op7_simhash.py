@@ -78,17 +78,19 @@ def fold(hashes: list[list[int]]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fp): one row per row."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp) and the columns to carry: one row per row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for lo in range(0, x.num_rows, 256):
                 part = x.slice(lo, 256)
                 fp = fold([shingle_hashes(t.as_py() or b"", k, seed) for t in part.column(1)])
-                yield pa.record_batch([part.column(0), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.record_batch([part.column(0), pa.array(fp.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *carry])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *carry)
+    schema = rows.select("doc_id", F.col("doc_id").alias("fp"), *carry).schema
+    return rows.mapInArrow(run, schema)
 
 
 def blocks(n: int, bits: np.ndarray) -> list[int]:
@@ -233,16 +235,16 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE) -> DataFrame:
-    """Per row: doc_id, fingerprint (hex) and component_id."""
-    prints = checkpointed(spark, fingerprints(docs, id_col, text_col, k, seed))
+def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row: doc_id, fingerprint (hex), component_id, and the columns to carry."""
+    prints = checkpointed(spark, fingerprints(docs, id_col, text_col, k, seed, carry))
     distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(spark, links(spark, distinct, distance))
     linked = nodes.join(distinct.withColumnRenamed("fp", "node"), "node").select("root", "least").union(nodes.select(F.col("root").alias("fp")).distinct().join(distinct, "fp"))
     label = linked.groupBy("root").agg(F.min("least").alias("label"))
     of = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root").join(label, "root").select("fp", "label")
     named = distinct.join(of, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,9 +26,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weftline.llm import units
-from weftline.llm.repeats import is_in, text_batches
+from weftline.llm.repeats import is_in, text_slices
 from weftline.session import table
 
 LENGTH, GRAM, BLOCK = 10, 5, 8 << 20
@@ -145,34 +146,36 @@ def item_blocks(bench: DataFrame, id_col: str, text_col: str, block: int) -> Ite
         yield held
 
 
-def find(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """Per row of docs: doc_id, n_words, hit spans of words (starts, stops) and the items found."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+def find(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per row of docs: doc_id, n_words, hit spans of words (starts, stops), the items found, and the columns to carry."""
+    own = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *own)
+    kept = [F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)]
+    names = [f"carry_{k}" for k in range(len(carry))]
+    schema = StructType([*StructType.fromDDL(SCHEMA).fields, *(f for f in source.schema.fields if f.name in names)])
 
     def passing(items: list[tuple[str, bytes]]) -> DataFrame:
         index = spark.sparkContext.broadcast(Index(items, length, gram))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from weftline.llm.repeats import NULL_ID
-
-            for ids, texts in text_batches(batches):
+            for part, texts in text_slices(batches, 1):
                 out: list[list] = [[] for _ in ARROW]
-                for i, t, (n, hit, items) in zip(ids, texts, index.value.scan(texts)):
+                for i, t, (n, hit, items) in zip(part.column(0).to_pylist(), texts, index.value.scan(texts)):
                     turn = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])) if items else np.zeros(0)
-                    row = (None if i == NULL_ID else i, units.subtag(t), n, np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), items)
+                    row = (i, units.subtag(t), n, np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist(), items)
                     for k, v in enumerate(row):
                         out[k].append(v)
-                yield pa.record_batch([pa.array(v, f.type) for v, f in zip(out, ARROW)], schema=ARROW)
+                yield pa.record_batch([*(pa.array(v, f.type) for v, f in zip(out, ARROW)), *part.columns[2:]], [*ARROW.names, *names])
 
-        return source.mapInArrow(run, SCHEMA)
+        return source.mapInArrow(run, schema)
 
     parts = [passing(x) for x in item_blocks(bench, item_col, item_text, block)] or [passing([])]
     if len(parts) == 1:
-        return parts[0].drop("tag")
+        return parts[0].select(*(c for c in ARROW.names if c != "tag"), *kept)
     rest = parts[0].withColumn("copies", F.lit(1))
     for p in parts[1:]:
         rest = rest.unionAll(p.filter(F.size("items") > 0).withColumn("copies", F.lit(0)))
-    merged = rest.groupBy("doc_id", "tag", "n_words").agg(
+    merged = rest.groupBy("doc_id", "tag", "n_words", *names).agg(
         F.sum("copies").alias("copies"),
         F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "stops")))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"),
@@ -186,7 +189,7 @@ def find(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "
     return (
         merged.withColumn("spans", union)
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-        .select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.stops").alias("stops"), F.array_sort("items").alias("items"))
+        .select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.stops").alias("stops"), F.array_sort("items").alias("items"), *kept)
     )
 
 

@@ -230,6 +230,18 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int],
         yield ids, texts
 
 
+def text_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of the batches of about BATCH bytes of text, with their texts (null: empty)."""
+    for x in batches:
+        lo, size, held = 0, 0, []
+        for hi, t in enumerate(x.column(column), 1):
+            held.append(t.as_py() or b"")
+            size += len(held[-1])
+            if size >= BATCH or hi == x.num_rows:
+                yield x.slice(lo, hi - lo), held
+                lo, size, held = hi, 0, []
+
+
 def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, int, bytes]]]]:
     """From rows sorted by (b, kind): each b with its rows (kind, doc, data), streamed."""
 
@@ -255,8 +267,9 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tu
             pass
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("data"))
+def _source(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    extra = F.to_json(F.struct(*carry)).cast("binary") if carry else F.lit(b"")
+    return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("data"), extra.alias("extra"))
 
 
 def heavy_grams(docs: DataFrame, rule: Rule) -> np.ndarray:
@@ -351,7 +364,8 @@ def texts_home(source: DataFrame, n: int) -> DataFrame:
                 ids = part.column(0).to_pylist()
                 kinds = [TEXT + (i is None) for i in ids]
                 ids = [NULL_ID if i is None else i for i in ids]
-                data = [squeeze.compress(t.as_py() or b"") for t in part.column(1)]
+                extra = (e.as_py() for e in part.column(2))
+                data = [squeeze.compress(len(e).to_bytes(4, "little") + e + (t.as_py() or b"")) for t, e in zip(part.column(1), extra)]
                 b = home(np.array(ids, np.int64), n)
                 yield pa.record_batch([pa.array(b, pa.int32()), pa.array(kinds, pa.int8()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], schema=ARROW)
 
@@ -359,28 +373,31 @@ def texts_home(source: DataFrame, n: int) -> DataFrame:
 
 
 def at_home(texts: DataFrame, answers: DataFrame, n: int, work: Callable, schema: str) -> DataFrame:
-    """Runs ``work(answers, texts)`` for each home bucket: the answers' packed rows and a stream of (ids, texts, nulls)."""
+    """Runs ``work(answers, texts)`` for each home bucket: the answers' packed rows and a stream of (ids, texts, nulls, extras)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in groups(batches):
             blobs: list[bytes] = []
 
-            def stream(own=own, blobs=blobs) -> Iterator[tuple[list[int], list[bytes], list[bool]]]:
+            def stream(own=own, blobs=blobs) -> Iterator[tuple[list[int], list[bytes], list[bool], list[bytes]]]:
                 unzip = zstandard.ZstdDecompressor()
-                ids, texts, nulls, size = [], [], [], 0
+                ids, texts, nulls, extras, size = [], [], [], [], 0
                 for kind, doc, data in own:
                     if kind < TEXT:
                         blobs.append(data)
                         continue
                     ids.append(doc)
-                    texts.append(unzip.decompress(data))
+                    data = unzip.decompress(data)
+                    at = 4 + int.from_bytes(data[:4], "little")
+                    extras.append(data[4:at])
+                    texts.append(data[at:])
                     nulls.append(kind > TEXT)
-                    size += len(texts[-1])
+                    size += len(data)
                     if size >= BATCH:
-                        yield ids, texts, nulls
-                        ids, texts, nulls, size = [], [], [], 0
+                        yield ids, texts, nulls, extras
+                        ids, texts, nulls, extras, size = [], [], [], [], 0
                 if ids:
-                    yield ids, texts, nulls
+                    yield ids, texts, nulls, extras
 
             yield from work(blobs, stream())
 
@@ -431,7 +448,7 @@ def travel(texts: DataFrame, suspects: DataFrame, rule: Rule, heavy: np.ndarray,
 
     def send(blobs: list[bytes], stream: Iterator) -> Iterator[pa.RecordBatch]:
         wanted = None
-        for ids, raw, _ in stream:
+        for ids, raw, *_ in stream:
             if wanted is None:
                 w = unpack(blobs, doc=np.int64, tag=np.uint32, start=np.int32)
                 at = np.lexsort((w["start"], w["tag"], w["doc"]))
@@ -512,17 +529,18 @@ def parts(value: np.ndarray, size: np.ndarray, twin: np.ndarray, limit: int = 1
         yield np.concatenate(held)
 
 
-def find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, rule: Rule, judge: Callable, finish: Callable, schema: str) -> DataFrame:
-    """The whole job; ``finish(ids, texts, nulls, spans)`` yields the result, spans being {(doc, tag): (starts, windows)}."""
+def find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, rule: Rule, judge: Callable, finish: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The whole job; ``finish(ids, texts, nulls, extras, spans)`` yields the result, spans being {(doc, tag): (starts, windows)}
+    and extras the columns to carry as JSON."""
     n = buckets(spark)
     source = _source(docs, id_col, text_col)
+    full = _source(docs, id_col, text_col, carry)
     heavy = heavy_grams(source, rule)
-    texts = texts_home(source, n)
-    answers = travel(texts, sift(source, rule, heavy, n), rule, heavy, n, judge)
+    answers = travel(texts_home(source, n), sift(source, rule, heavy, n), rule, heavy, n, judge)
 
     def end(blobs: list[bytes], stream: Iterator) -> Iterator[pa.RecordBatch]:
         spans = None
-        for ids, raw, nulls in stream:
+        for ids, raw, nulls, extras in stream:
             if spans is None:
                 x = unpack(blobs, **ANSWER)
                 at = np.lexsort((x["tag"], x["doc"]))
@@ -530,9 +548,9 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, rule:
                 edges = np.flatnonzero(np.append(True, (x["doc"][1:] != x["doc"][:-1]) | (x["tag"][1:] != x["tag"][:-1]))) if len(at) else np.zeros(0, np.int64)
                 stops = np.append(edges[1:], len(at)) if len(at) else edges
                 spans = {(int(x["doc"][i]), int(x["tag"][i])): (x["start"][i:j], x["n"][i:j]) for i, j in zip(edges, stops)}
-            yield from finish(ids, raw, nulls, spans)
+            yield from finish(ids, raw, nulls, extras, spans)
 
-    return at_home(texts, answers, n, end, schema)
+    return at_home(texts_home(full, n), answers, n, end, schema)
 
 
 def covered(length: int, window: int, start: np.ndarray, n: np.ndarray) -> np.ndarray:
