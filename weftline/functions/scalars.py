@@ -12,7 +12,7 @@ def query_tokens(q: Column) -> Column:
 
 
 def comma_list(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(s, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def truncate(s: Column, n: int) -> Column:

@@ -67,3 +67,10 @@ def checkpointed(spark: SparkSession, df: DataFrame) -> DataFrame:
 def buckets(spark: SparkSession, each: int = 1) -> int:
     """Shuffle parts follow the session's setting, hence the cluster and the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * each
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Fewer rows in an Arrow batch than Spark's 10000, for tables whose rows are whole texts; a setting already lower stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
