@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import table
+from weftline.session import bounded_batches, table
 
 #: How many labelled pages the tag weights are fitted on, at most.
 LABELLED, LONGEST = 500, 1 << 15
@@ -152,6 +152,7 @@ def fit(pages: DataFrame, html_col: str = "html", bound: int = LABELLED) -> dict
 
 def extract_all(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bound: int = LABELLED) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
+    bounded_batches(spark)
     weights = fit(pages, html_col, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import checkpointed, scratch, table
+from weftline.session import bounded_batches, checkpointed, scratch, table
 
 CHUNK, ROLL, LEVEL = 1 << 20, 256 << 20, 1
 EPOCH = "1970-01-01T00:00:00Z"
@@ -77,6 +77,7 @@ def write_record(out: BinaryIO, warc: bytes, http: bytes, payload: memoryview, l
 
 def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, date: str = EPOCH) -> DataFrame:
     """Writes the archives; their manifest: path, records, n_bytes."""
+    bounded_batches(spark)
     folder = folder or scratch(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
     firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("sha", "of")

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import scratch, table
+from weftline.session import bounded_batches, scratch, table
 
 LEXICON, OFTEN, STRETCH, CACHE, LONG = 1 << 17, 8, 400_000, 300_000, 48
 #: The published pre-token pattern of byte-level BPE (a fixed value).
@@ -285,6 +285,7 @@ def build_lexicon(spark: SparkSession, docs: DataFrame, text_col: str, vocabular
 
 def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
     """Per row: doc_id, n_tokens, digests of ids and of the decoded text; ids and decoded text where with_ids."""
+    bounded_batches(spark)
     vocabulary = vocabulary or default_vocabulary()
     lexicon = build_lexicon(spark, docs, text_col, vocabulary)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import units
 from weftline.llm.repeats import text_slices
-from weftline.session import buckets, checkpointed, table
+from weftline.session import bounded_batches, buckets, checkpointed, table
 
 SLOTS, SLICE, SMOOTH, SHARE, SHARPNESS, SEED = 1 << 16, 1 << 12, 1.0, 0.5, 8.0, 42
 U64 = np.uint64
@@ -128,6 +128,7 @@ def top(scored: DataFrame, k: int, bins: int = 2048) -> DataFrame:
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, quality: int = 1) -> DataFrame:
     """Per row: doc_id, n_grams, log_weight, gumbel_key, selected."""
+    bounded_batches(spark)
     good = labels.filter(F.col("quality") == quality).select(F.col("doc_id").alias("good_id")).filter("good_id is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     marked = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm import units
 from weftline.llm.repeats import ARROW, CHECK, KNOWN, SCHEMA, bucket_of, by_bucket, groups, pack, rows, unpack, words_of
-from weftline.session import buckets, checkpointed, table
+from weftline.session import bounded_batches, buckets, checkpointed, table
 
 U64 = np.uint64
 SHINGLE, SEED, DISTANCE, PIVOTS = 3, 42, 3, 16
@@ -237,6 +237,7 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, fingerprint (hex), component_id, and the columns to carry."""
+    bounded_batches(spark)
     prints = checkpointed(spark, fingerprints(docs, id_col, text_col, k, seed, carry))
     distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     nodes = components(spark, links(spark, distinct, distance))

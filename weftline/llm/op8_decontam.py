@@ -30,7 +30,7 @@ from pyspark.sql.types import StructType
 
 from weftline.llm import units
 from weftline.llm.repeats import is_in, text_slices
-from weftline.session import table
+from weftline.session import bounded_batches, table
 
 LENGTH, GRAM, BLOCK = 10, 5, 8 << 20
 SCHEMA = "doc_id long, tag long, n_words long, starts array<int>, stops array<int>, items array<string>"
@@ -148,6 +148,7 @@ def item_blocks(bench: DataFrame, id_col: str, text_col: str, block: int) -> Ite
 
 def find(spark: SparkSession, docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row of docs: doc_id, n_words, hit spans of words (starts, stops), the items found, and the columns to carry."""
+    bounded_batches(spark)
     own = [F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry)]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *own)
     kept = [F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry)]

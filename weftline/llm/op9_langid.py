@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import buckets, table
+from weftline.session import bounded_batches, buckets, table
 
 SLOTS, SLICE, ORDERS, SMOOTH, BATCH = 1 << 16, 1 << 12, (1, 2, 3), 0.5, 1 << 18
 UND = "und"
@@ -80,6 +80,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tup
 def fit(spark: SparkSession, labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages (sorted), log-priors, and log-probabilities (slots by languages)."""
 
+    bounded_batches(spark)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}

@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import units
-from weftline.session import buckets
+from weftline.session import bounded_batches, buckets
 
 SCHEMA = "b int, kind tinyint, doc long, data binary"
 ARROW = pa.schema([("b", pa.int32()), ("kind", pa.int8()), ("doc", pa.int64()), ("data", pa.binary())])
 HEAVY = 65536
 NULL_ID = -(1 << 63)
 #: Bytes of text that are worked on at once, and runs that a map task holds before it sends them.
-BATCH, HOLD = 1 << 19, 1 << 21
+BATCH, HOLD = 1 << 19, 1 << 20
 LONGEST_RUN = 4096
 CHECK, KNOWN, TEXT = 0, 1, 2
 U64 = np.uint64
@@ -532,6 +532,7 @@ def parts(value: np.ndarray, size: np.ndarray, twin: np.ndarray, limit: int = 1
 def find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, rule: Rule, judge: Callable, finish: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """The whole job; ``finish(ids, texts, nulls, extras, spans)`` yields the result, spans being {(doc, tag): (starts, windows)}
     and extras the columns to carry as JSON."""
+    bounded_batches(spark)
     n = buckets(spark)
     source = _source(docs, id_col, text_col)
     full = _source(docs, id_col, text_col, carry)
