@@ -57,7 +57,7 @@ def boiler(name: str, attributes: str, inside: int) -> bool:
 
 
 def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """('text', raw) and ('open' or 'close', tag), boilerplate elements left out."""
+    """('text', raw) and ('open' or 'close', tag); a boilerplate element is but a gap between blocks, ('gap', '')."""
     at, skip, depth, inside = 0, "", 0, 0
     for m in TOKEN.finditer(page):
         if m.start() > at and not skip:
@@ -80,7 +80,7 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
         elif boiler(name, m[4], inside):
             if name not in VOID and not m[4].endswith("/"):
                 skip, depth = name, 1
-            yield "open", "hr"  # a gap between blocks
+            yield "gap", ""
         else:
             inside += name in CONTENT
             yield "open", name
@@ -90,12 +90,11 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
 
 def learn(pages: list[str]) -> dict[str, float]:
     """Weights (at most 0) of tags, '/x' being the end of x, from pages with one content element."""
-    within, outside, words = Counter(), Counter(), Counter()
+    within, outside = Counter(), Counter()
     for p in pages:
         depth = 0
         for kind, x in tokens(p):
-            if kind == "text":
-                words[depth > 0] += len(x.split())
+            if kind in ("text", "gap"):
                 continue
             if kind == "close" and x in CONTENT:
                 depth = max(0, depth - 1)
@@ -120,9 +119,15 @@ def best(scores: list[float]) -> tuple[int, int]:
 UNSEEN = -0.5
 
 
+def score(kind: str, x: str, weights: dict[str, float]) -> float:
+    if kind == "text":
+        return WORD * len(x.split())
+    return 0.0 if kind == "gap" else weights.get("/" * (kind == "close") + x, UNSEEN)
+
+
 def extract(page: str, weights: dict[str, float]) -> str:
     seq = list(tokens(page))
-    a, b = best([WORD * len(x.split()) if kind == "text" else weights.get("/" * (kind == "close") + x, UNSEEN) for kind, x in seq])
+    a, b = best([score(kind, x, weights) for kind, x in seq])
     blocks, held = [], []
 
     def end() -> None:
@@ -134,9 +139,9 @@ def extract(page: str, weights: dict[str, float]) -> str:
     for kind, x in seq[a:b]:
         if kind == "text":
             held.append(x)
-        elif x in BLOCKS:
+        elif kind == "gap" or x in BLOCKS:
             end()
-        elif x in ("br", "td", "th", "img", "wbr") and x != "wbr":
+        elif x in ("br", "td", "th", "img"):
             held.append(" ")
     end()
     return "\n".join(blocks)

@@ -96,34 +96,34 @@ def score(spark: SparkSession, docs: DataFrame, ratios: np.ndarray, seed: int =
 
 
 def top(scored: DataFrame, k: int, bins: int = 2048) -> DataFrame:
-    """Marks the k rows with the largest keys (ties: smaller doc_id; all of the last tie's equal rows)."""
-    lo, hi = scored.agg(F.min("gumbel_key"), F.max("gumbel_key")).first()
+    """Marks the k rows with the largest keys (ties: smaller doc_id; all of the last tie's equal rows).
+
+    Keys are narrowed as whole numbers (of 2**-32), a histogram at a time, until
+    the bin that holds the k-th largest is small; only that bin is ranked.
+    """
+    whole = F.floor(F.col("gumbel_key") * F.lit(float(1 << 32))).cast("long")
+    rows = scored.withColumn("_whole", whole)
+    lo, hi = rows.agg(F.min("_whole"), F.max("_whole")).first()
     if lo is None or k <= 0:
         return scored.withColumn("selected", F.lit(False))
-    above, found = 0, None
-    for _ in range(8):
-        width = (hi - lo) / bins
-        if width <= 0 or lo + width <= lo:
-            break
-        part = scored.filter((F.col("gumbel_key") >= lo) & (F.col("gumbel_key") <= hi))
-        n = dict(part.groupBy(F.least(F.floor((F.col("gumbel_key") - lo) / width), F.lit(bins - 1)).cast("int").alias("b")).count().collect())
+    above = 0
+    while True:
+        width = -(-(hi - lo + 1) // bins)
+        part = rows.filter(F.col("_whole").between(lo, hi))
+        n = {r.b: r["count"] for r in part.groupBy(F.expr(f"(_whole - {lo}L) div {width}L").alias("b")).count().collect()}
         for b in sorted(n, reverse=True):
             if above + n[b] >= k:
                 break
             above += n[b]
         else:
             return scored.withColumn("selected", F.lit(True))
-        small = n[b] <= bins
-        lo, hi = lo + b * width, lo + (b + 1) * width if b < bins - 1 else hi
-        if small:
-            edge = scored.filter((F.col("gumbel_key") >= lo - width * 1e-6) & (F.col("gumbel_key") <= hi + width * 1e-6))
-            rank = scored.filter(F.col("gumbel_key") > hi + width * 1e-6).count()
-            last = edge.orderBy(F.desc("gumbel_key"), F.asc_nulls_last("doc_id")).select("gumbel_key", "doc_id").limit(max(0, k - rank)).collect()
-            found = last[-1] if last else None
+        lo, hi = lo + b * width, min(hi, lo + (b + 1) * width - 1)
+        if width == 1 or n[b] <= bins:
             break
-    if found is None:
-        return scored.withColumn("selected", F.col("gumbel_key") > hi)
-    return scored.withColumn("selected", (F.col("gumbel_key") > found.gumbel_key) | (F.col("gumbel_key") == found.gumbel_key) & (F.lit(True) if found.doc_id is None else F.coalesce(F.col("doc_id") <= found.doc_id, F.lit(False))))
+    edge = rows.filter(F.col("_whole").between(lo, hi)).select("gumbel_key", "doc_id").orderBy(F.desc("gumbel_key"), F.asc_nulls_last("doc_id"))
+    last = edge.offset(k - above - 1).limit(1).first()
+    same = F.lit(True) if last.doc_id is None else F.coalesce(F.col("doc_id") <= last.doc_id, F.lit(False))
+    return scored.withColumn("selected", (F.col("gumbel_key") > last.gumbel_key) | (F.col("gumbel_key") == last.gumbel_key) & same)
 
 
 def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, quality: int = 1) -> DataFrame:
