@@ -131,7 +131,8 @@ def resample(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: st
     bounded_batches(spark)
     good = labels.filter(F.col("quality") == quality).select(F.col("doc_id").alias("good_id")).filter("good_id is not null").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    marked = rows.join(good, F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
+    # always the same way, whatever the labels' size: a broadcast would have to be bounded
+    marked = rows.join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left").select("text", F.col("good_id").isNotNull().alias("target"))
     scored = checkpointed(spark, score(spark, rows, fit(spark, marked)))
     return top(scored, round(share * scored.count()))
 
