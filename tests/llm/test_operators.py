@@ -178,10 +178,18 @@ def test_lexicon_is_minimal_and_numbers_its_words(tmp_path):
     uri = op3_bpe.write_lexicon(op3_bpe.compile_lexicon(words), f"file://{tmp_path}")
     a = op3_bpe.map_lexicon(uri)
     e = op3_bpe.Encoder.__new__(op3_bpe.Encoder)
-    e.first, e.label, e.target, e.plus, e.at = (memoryview(np.ascontiguousarray(a[k])) for k in ("first", "label", "target", "add", "at"))
-    e.final, e.root = memoryview(a["final"]), int(a["root"][0])
-    assert [e.find(w) for w in sorted(words)] == list(range(len(words)))
-    assert {e.find(w) for w in (b"", b"sto", b"stopp", b"b", b"topss")} == {-1}
+    first = a["first"].astype(np.int64)
+    e.arc = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | a["label"]
+    e.target, e.plus, e.final, e.root = a["target"].astype(np.int64), a["add"].astype(np.int64), a["final"] > 0, int(a["root"][0])
+
+    def find(asked):
+        letters, size = np.zeros((len(asked), 12), np.uint8), np.array([len(w) for w in asked])
+        for k, w in enumerate(asked):
+            letters[k, : len(w)] = list(w)
+        return e.find(letters, size).tolist()
+
+    assert find(sorted(words)) == list(range(len(words)))
+    assert set(find([b"", b"sto", b"stopp", b"b", b"topss"])) == {-1}
     right = set()  # distinct residual languages are the states of the minimal automaton
     for w in words:
         for k in range(len(w) + 1):
@@ -189,6 +197,17 @@ def test_lexicon_is_minimal_and_numbers_its_words(tmp_path):
     assert len(a["final"]) == len(right)
 
 
+def test_merging_together_equals_merging_alone():
+    public = pytest.importorskip("public_tokenizers")
+    v = op3_bpe.Vocabulary(public.path("byte_bpe_50k.json"))
+    e = op3_bpe.Encoder(v, op3_bpe.compile_lexicon({b" the": v.merge(b" the")}))
+    r = random.Random(9)
+    words = {"".join(r.choice("aeiou th ng é st zzz ".split(" ")) + r.choice("aab ") for _ in range(r.randint(1, 25))) for _ in range(3000)} | {"a", " the", "é" * 30}
+    e.learn(sorted(words - {""}))
+    for w in words - {""}:
+        assert np.frombuffer(e[w], "<u4").tolist() == v.merge(w.encode()), w
+
+
 def test_language_held_out_accuracy_and_edges(spark):
     r = random.Random(5)
     parts = {"xx": ["bla", "ko", "mi"], "yy": ["tur", "eng", "osh"], "zz": ["fie", "quo", "ñandú"]}

@@ -194,50 +194,142 @@ def map_lexicon(uri: str) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(buf, kind, size, 8 + n + at) for k, (at, size, kind) in head.items()}
 
 
+class Pairs:
+    """Pair of ids -> (rank, merged id) for arrays of pairs: an open-addressed table."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]], bits: int = 19):
+        while len(ranks) * 4 > 1 << bits:
+            bits += 1
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.key, self.rank, self.new = np.full(1 << bits, -1, np.int64), np.full(1 << bits, NEVER, np.int32), np.zeros(1 << bits, np.int32)
+        keys = np.array([a << 32 | b for a, b in ranks], np.int64)
+        for k, h, (rank, new) in zip(keys.tolist(), self._slot(keys).tolist(), ranks.values()):
+            while self.key[h] >= 0:
+                h = (h + 1) & self.mask
+            self.key[h], self.rank[h], self.new[h] = k, rank, new
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks (NEVER where a pair doesn't merge) and merged ids."""
+        key = a.astype(np.int64) << 32 | b
+        at = self._slot(key)
+        open_ = np.flatnonzero((self.key[at] != key) & (self.key[at] >= 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.mask
+            found = self.key[at[open_]]
+            open_ = open_[(found != key[open_]) & (found >= 0)]
+        hit = self.key[at] == key
+        return np.where(hit, self.rank[at], NEVER), self.new[at]
+
+
+NEVER = 1 << 30
+
+
 class Encoder(dict):
-    """Pre-token -> its ids as little-endian 32-bit integers; remembers a bounded number."""
+    """Pre-token -> its ids as little-endian 32-bit integers; remembers a bounded number.
+
+    New words of a batch are looked up and merged together, array by array.
+    """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: dict[str, np.ndarray]):
         self.v, self.ids = vocabulary, lexicon["ids"]
-        names = ("first", "label", "target", "add", "at")
-        self.first, self.label, self.target, self.plus, self.at = (memoryview(np.ascontiguousarray(lexicon[k])) for k in names)
-        self.final, self.root = memoryview(lexicon["final"]), int(lexicon["root"][0])
-
-    def find(self, word: bytes) -> int:
-        """The word's place in the lexicon, or -1."""
-        s, place, first, label = self.root, 0, self.first, self.label
-        for c in word:
-            lo, hi = first[s], first[s + 1]
-            end = hi
-            while lo < hi:
-                mid = (lo + hi) >> 1
-                if label[mid] < c:
-                    lo = mid + 1
-                else:
-                    hi = mid
-            if lo == end or label[lo] != c:
-                return -1
-            place += self.plus[lo]
-            s = self.target[lo]
-        return place if self.final[s] else -1
-
-    def __missing__(self, word: str) -> bytes:
-        raw = word.encode("utf-8", "replace")
-        k = self.find(raw)
-        out = self.ids[self.at[k] : self.at[k + 1]].tobytes() if k >= 0 else np.array(self.v.merge(raw), "<u4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = out
+        self.pairs, self.bytes_ids = Pairs(vocabulary.ranks), np.array(vocabulary.first, np.int32)
+        first = lexicon["first"].astype(np.int64)
+        self.arc = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | lexicon["label"]
+        self.target, self.plus, self.at = (lexicon[k].astype(np.int64) for k in ("target", "add", "at"))
+        self.final, self.root = lexicon["final"] > 0, int(lexicon["root"][0])
+
+    def find(self, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The places of words (rows of bytes) in the lexicon, or -1: all walk the automaton together."""
+        state, place = np.full(len(size), self.root, np.int64), np.zeros(len(size), np.int64)
+        for k in range(int(size.max(initial=0))):
+            on = np.flatnonzero((size > k) & (state >= 0))
+            key = state[on] << 8 | letters[on, k]
+            arc = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
+            ok = self.arc[arc] == key if len(self.arc) else np.zeros(len(on), bool)
+            place[on[ok]] += self.plus[arc[ok]]
+            state[on[ok]] = self.target[arc[ok]]
+            state[on[~ok]] = -1
+        done = np.flatnonzero(state >= 0)
+        done = done[self.final[state[done]]]
+        out = np.full(len(size), -1, np.int64)
+        out[done] = place[done]
+        return out
+
+    def merge(self, letters: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of ids and their lengths: in each row the leftmost pair of least rank merges until none does."""
+        n, width = letters.shape
+        out, out_size = np.zeros((n, width), np.uint32), size.copy()
+        row, ids, size = np.arange(n), self.bytes_ids[letters], size.copy()
+        column = np.arange(width)
+        rank, new = (x.reshape(n, width - 1) for x in self.pairs.find(ids[:, :-1].ravel(), ids[:, 1:].ravel())) if width > 1 else (np.full((n, 1), NEVER), np.zeros((n, 1)))
+        rank = np.where(column[1:] < size[:, None], rank, NEVER) if width > 1 else rank
+        while True:
+            k = rank.argmin(axis=1)
+            live = rank[np.arange(len(row)), k] < NEVER
+            done = ~live
+            out[row[done]], out_size[row[done]] = ids[done], size[done]
+            if not live.any():
+                return out, out_size
+            row, ids, size, rank, new, k = row[live], ids[live], size[live] - 1, rank[live], new[live], k[live]
+            r = np.arange(len(row))
+            ids[r, k] = new[r, k]
+            later = np.minimum(column + (column > k[:, None]), width - 1)
+            ids = np.take_along_axis(ids, later, 1)
+            pair = later[:, : width - 1].clip(max=width - 2)
+            rank, new = np.take_along_axis(rank, pair, 1), np.take_along_axis(new, pair, 1)
+            rank[:, -1] = NEVER  # no row is full any more
+            for at in (k - 1, k):
+                some = np.flatnonzero((at >= 0) & (at + 1 < size))
+                rank[some, at[some]], new[some, at[some]] = self.pairs.find(ids[some, at[some]], ids[some, at[some] + 1])
+            gone = np.flatnonzero((k + 1 >= size) & (k < width - 1))
+            rank[gone, k[gone]] = NEVER
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes words that aren't remembered yet."""
+        raw = [w.encode("utf-8", "replace") for w in words]
+        size = np.array([len(x) for x in raw], np.int64)
+        for lo, hi in ((0, 12), (12, LONG)):
+            own = np.flatnonzero((size > lo) & (size <= hi))
+            for part in (own[i : i + 16384] for i in range(0, len(own), 16384)):
+                m, width = size[part], int(size[part].max())
+                letters = np.zeros((len(part), width), np.uint8)
+                letters[np.arange(width) < m[:, None]] = np.frombuffer(b"".join([raw[k] for k in part.tolist()]), np.uint8)
+                place = self.find(letters, m)
+                for k, p in zip(part[place >= 0].tolist(), place[place >= 0].tolist()):
+                    self[words[k]] = self.ids[self.at[p] : self.at[p + 1]].tobytes()
+                rest = place < 0
+                if rest.any():
+                    ids, n = self.merge(letters[rest], m[rest])
+                    flat, step = ids.astype("<u4").tobytes(), 4 * width
+                    for i, (k, c) in enumerate(zip(part[rest].tolist(), n.tolist())):
+                        self[words[k]] = flat[i * step : i * step + 4 * c]
+        for k in np.flatnonzero(size > LONG).tolist():
+            self[words[k]] = np.array(self.v.merge(raw[k]), "<u4").tobytes()
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        parts = [self.v.split.split(t) if self.v.split is not None and self.v.split.search(t) else (t,) for t in texts]
+        words = [[w for p in own for w in ((p,) if p in self.v.special else pretokens(p))] for own in parts]
+        new = set().union(*words).difference(self)
+        for t in new & self.v.special.keys():
+            self[t] = np.array([self.v.special[t]], "<u4").tobytes()
+        new -= self.v.special.keys()
+        if len(self) + len(new) > CACHE:
+            self.clear()
+            new = set().union(*words)
+            for t in new & self.v.special.keys():
+                self[t] = np.array([self.v.special[t]], "<u4").tobytes()
+            new -= self.v.special.keys()
+        self.learn(list(new))
+        out = [b"".join(map(self.__getitem__, own)) for own in words]
+        if len(self) > CACHE:
+            self.clear()
         return out
 
     def encode(self, text: str) -> bytes:
-        if self.v.split is None or not self.v.split.search(text):
-            return b"".join(map(self.__getitem__, pretokens(text)))
-        out = []
-        for part in self.v.split.split(text):
-            out.append(np.array([self.v.special[part]], "<u4").tobytes() if part in self.v.special else b"".join(map(self.__getitem__, pretokens(part))))
-        return b"".join(out)
+        return self.encode_batch([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.v.bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
@@ -255,6 +347,17 @@ def encoder(vocabulary: str, lexicon: str) -> Encoder:
     return _ENCODERS[key]
 
 
+def text_batches(x: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of about ``size`` characters with their texts (null: empty)."""
+    lo, n, held = 0, 0, []
+    for hi, t in enumerate(x.column(1), 1):
+        held.append(t.as_py() or "")
+        n += len(held[-1])
+        if n >= size or hi == x.num_rows:
+            yield x.slice(lo, hi - lo), held
+            lo, n, held = hi, 0, []
+
+
 def frequent_words(texts: DataFrame, most: int = LEXICON) -> list[str]:
     """The most frequent pre-tokens over all texts; those rare in a whole stretch of text aren't counted there."""
 
@@ -293,11 +396,9 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(vocabulary, lexicon)
         for x in batches:
-            for lo in range(0, x.num_rows, 256):
-                part = x.slice(lo, 256)
+            for part, texts in text_batches(x):
                 out: list[list] = [[] for _ in names[1:]]
-                for t in part.column(1):
-                    ids = e.encode(t.as_py() or "")
+                for ids in e.encode_batch(texts):
                     text = e.decode(ids)
                     row = (len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), np.frombuffer(ids, "<u4").astype(np.int32), text)
                     for k, v in zip(out, row):
