@@ -129,7 +129,7 @@ def stream_rates(spark, sf):
 
 def stream_limited(spark, sf):
     x = _stream(spark, sf).select(F.col("user_id").cast("string").alias("client"), "ts", "event_id")
-    return _drain(spark, m.rate_limited(x, 20), "limited", "append")
+    return _drain(spark, m.rate_limited(x, 20, None), "limited", "append")
 
 
 W = "strftime({}, '%Y-%m-%d %H:%M:%S')"

@@ -164,7 +164,7 @@ def brace_items(code: str, lang: Language) -> Iterator[dict]:
         at = clean.find("{", m.end() - 1)
         body = clean[at:end]
         seen, docs = remarks.get(name, (0, 0))
-        yield {"name": name, "item_type": "function", "line": clean.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1, "ast_hash": digest(body), "comment_count": seen, "doc_comment_count": docs, **measure(body, clean[m.start() : at], lang)}
+        yield {"name": name, "item_type": "function", "line": clean.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1, "ast_hash": digest(body), "comment_count": seen, "doc_comment_count": docs, **measure(body, clean[m.end() - 1 if m[0][-1] in "(<" else m.start() : at], lang)}
     for m in re.finditer(lang.klass, clean) if lang.klass else ():
         end = block(clean, m.start())
         if end < 0:

@@ -63,7 +63,7 @@ def sessions(events: DataFrame, gap: str, key: str, late: str | None = None) ->
 LIMITED = "client string, event_id long, allowed boolean"
 
 
-def limit_rows(capacity: int):
+def limit_rows(capacity: int, idle_ms: int | None):
     """The token bucket of one client as a fold over its requests in event time: refill capacity / 60 a second, a request needs one token."""
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -78,10 +78,11 @@ def limit_rows(capacity: int):
                 out.append((key[0], event, ok))
             yield pd.DataFrame(out, columns=["client", "event_id", "allowed"])
         state.update((tokens, last))
-        state.setTimeoutDuration(3_600_000)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
 
     def handle(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:  # idle for an hour
+        if state.hasTimedOut:
             state.remove()
             return
         yield from run(key, pdfs, state)
@@ -89,6 +90,6 @@ def limit_rows(capacity: int):
     return handle
 
 
-def rate_limited(stream: DataFrame, capacity: int = TIERS["default"]) -> DataFrame:
-    """A stream of (client, ts, event_id) with the verdict of each client's bucket; buckets idle for an hour are dropped."""
-    return stream.groupBy("client").applyInPandasWithState(limit_rows(capacity), LIMITED, "tokens double, last double", "append", "ProcessingTimeTimeout")
+def rate_limited(stream: DataFrame, capacity: int = TIERS["default"], idle_ms: int | None = 3_600_000) -> DataFrame:
+    """A stream of (client, ts, event_id) with the verdict of each client's bucket; buckets idle for ``idle_ms`` are dropped (None: kept, for streams that end)."""
+    return stream.groupBy("client").applyInPandasWithState(limit_rows(capacity, idle_ms), LIMITED, "tokens double, last double", "append", "ProcessingTimeTimeout" if idle_ms else "NoTimeout")
