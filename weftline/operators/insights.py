@@ -23,11 +23,12 @@ def keywords(text: F.Column) -> F.Column:
 def detect_links(insights: DataFrame, entities: DataFrame, most: int = 5, sure: float = 0.5) -> DataFrame:
     """(insight_id, entity_id, score, link_type): entities whose title or category holds a keyword; the score is the share of all the insight's terms found; the best ``most`` by terms found.
 
-    Keywords meet entity words through an index of three-character grams, then
+    Keywords meet entity words through an index of their characters' grams, then
     the substring test decides, so insights and entities aren't crossed.
     """
     field = F.lower(F.concat_ws(" ", "title", "category"))
-    grams = lambda c: F.expr(f"array_distinct(transform(sequence(1, greatest(1, char_length({c}) - 2)), i -> substring({c}, i, 3)))")
+    # words of three bytes may have fewer characters, so grams of one and two are indexed too
+    grams = lambda c: F.expr(f"array_distinct(flatten(transform(array(1, 2, 3), n -> transform(sequence(1, greatest(1, char_length({c}) - n + 1)), i -> substring({c}, i, n)))))")
     ins = insights.select(F.col("id").alias("insight_id"), keywords(F.concat_ws(" ", "title", "content")).alias("words"), s.query_tokens(F.concat_ws(" ", "title", "content")).alias("terms"))
     first = ins.select("insight_id", F.explode("words").alias("word")).withColumn("gram", F.substring("word", 1, 3))
     ent = entities.select(F.col("id").alias("entity_id"), field.alias("field")).withColumn("gram", F.explode(grams("field")))
