@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.llm.repeats import most_frequent
 from weftline.session import bounded_batches, scratch, table
 
 LEXICON, OFTEN, STRETCH, CACHE, LONG = 1 << 17, 8, 400_000, 300_000, 48
@@ -376,8 +377,8 @@ def frequent_words(texts: DataFrame, most: int = LEXICON) -> list[str]:
                     seen.clear()
         yield out()
 
-    top = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return [r.word for r in top.select("word").collect()]
+    counted = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return [r.word for r in most_frequent(counted, most).select("word").collect()]
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, text_col: str, vocabulary: str) -> str:

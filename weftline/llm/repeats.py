@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import units
-from weftline.session import bounded_batches, buckets
+from weftline.session import bounded_batches, buckets, checkpointed
 
 SCHEMA = "b int, kind tinyint, doc long, data binary"
 ARROW = pa.schema([("b", pa.int32()), ("kind", pa.int8()), ("doc", pa.int64()), ("data", pa.binary())])
@@ -296,10 +296,26 @@ def heavy_grams(docs: DataFrame, rule: Rule) -> np.ndarray:
                 held, size = [], 0
         yield from out()
 
-    found = docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 64").orderBy(F.desc("n"), "h").limit(HEAVY)
+    found = most_frequent(docs.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n >= 64"), HEAVY)
     return np.sort(np.array([r.h for r in found.select("h").collect()], np.int64)).astype(U64)
 
 
+def most_frequent(counted: DataFrame, most: int) -> DataFrame:
+    """The rows with the largest n: as many whole classes of counts (eighths of powers of two) as hold at most ``most`` rows.
+
+    Only the classes' sizes and then the chosen rows reach the driver; a
+    sorted limit would send it ``most`` rows from every task.
+    """
+    held = checkpointed(counted.sparkSession, counted.withColumn("_class", F.floor(F.log2("n") * 8).cast("int")))
+    total, low = 0, None
+    for c, k in sorted(((r["_class"], r["count"]) for r in held.groupBy("_class").count().collect()), reverse=True):
+        total += k
+        if total > most:
+            break
+        low = c
+    return (held.filter(F.col("_class") >= low) if low is not None else held.filter(F.lit(False))).drop("_class")
+
+
 def sift(source: DataFrame, rule: Rule, heavy: np.ndarray, n: int) -> DataFrame:
     """Of each text, the starts of runs whose minimiser occurs more than once; packed rows by home bucket."""
 
