@@ -300,6 +300,17 @@ def test_nearest_neighbours(spark):
     assert op2_permutation.search(spark, few.limit(0)).count() == 0
 
 
+def test_reach_does_not_shrink_with_pivots():
+    """Pairs as far apart as nearest neighbours among 3 million isotropic vectors (2048 pivots): the query's files hold the neighbour."""
+    r = np.random.default_rng(1)
+    q, other, pivots = (op2_permutation.unit(r.standard_normal((n, 64))) for n in (300, 300, 2048))
+    near = op2_permutation.unit(0.6 * q + 0.8 * op2_permutation.unit(other - (other * q).sum(axis=1, keepdims=True) * q))
+    asked = op2_permutation.permutations(q, pivots.astype(np.float32), op2_permutation.width(2048))
+    posted = op2_permutation.permutations(near, pivots.astype(np.float32), op2_permutation.POSTS)
+    assert np.mean([bool(set(a) & set(b)) for a, b in zip(asked.tolist(), posted.tolist())]) >= 0.99
+    assert [op2_permutation.width(n) for n in (1, 32, 128, 1024, 4096)] == [1, 32, 64, 128, 512]
+
+
 def test_footrule():
     a = np.array([3, 1, 2])
     assert op2_permutation.footrule(a, np.array([[3, 1, 2], [1, 3, 2], [4, 5, 0]]), 6).tolist() == [0, 2, 12]

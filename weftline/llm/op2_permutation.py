@@ -3,10 +3,12 @@
 ``pivots`` vectors stand for the space: a vector is its ``prefix`` nearest
 pivots in order. It is posted in the inverted files of its first ``posts``
 pivots, together with that order and itself. A query looks into the files of
-its first ``probes`` pivots; a file ranks its postings by footrule distance
-(how far each pivot's place differs, a missing one counting as just beyond the
-prefix), and the best ``rerank`` of each file are ranked again by exact cosine
-in double precision on the original vectors.
+its first ``probes`` pivots, an ``nth`` of all pivots where that is more, so
+that its reach doesn't shrink as pivots grow; a file ranks its postings by
+footrule distance (how far each pivot's place differs, a missing one counting
+as just beyond the prefix), and the best ``rerank`` of each file, or half of it
+where that is more, are ranked again by exact cosine in double precision on the
+original vectors.
 
 The number of pivots grows with the square root of the rows, up to ``MOST``
 (their size bounds what is broadcast and the sample that is collected), so
@@ -37,7 +39,7 @@ from weftline.llm import units
 from weftline.llm.repeats import groups, names, rows
 from weftline.session import buckets, checkpointed, table
 
-K, EVERY, PREFIX, POSTS, PROBES, RERANK, MOST, FILE = 5, 50, 32, 8, 32, 1024, 4096, 16384
+K, EVERY, PREFIX, POSTS, PROBES, NTH, RERANK, MOST, FILE = 5, 50, 32, 8, 64, 8, 1024, 4096, 16384
 POST, ASK = 0, 1
 SCHEMA = "b int, kind tinyint, doc long, data binary"
 
@@ -71,13 +73,18 @@ def permutations(v: np.ndarray, pivots: np.ndarray, prefix: int) -> np.ndarray:
     return np.take_along_axis(some, np.argsort(-np.take_along_axis(near, some, 1), axis=1, kind="stable"), 1)
 
 
+def width(n_pivots: int, probes: int = PROBES, nth: int = NTH) -> int:
+    """How many pivots' files a query looks into."""
+    return min(n_pivots, max(probes, -(-n_pivots // nth)))
+
+
 def footrule(query: np.ndarray, posted: np.ndarray, n_pivots: int) -> np.ndarray:
     """Distances of one query's order to many posted orders."""
     m = len(query)
     place = np.full(n_pivots, m, np.int32)
     place[query] = np.arange(m)
     at = place[posted]
-    return np.abs(at - np.arange(posted.shape[1])).sum(axis=1) + m * (m + 1) // 2 - np.where(at < m, m - at, 0).sum(axis=1)
+    return np.abs(at - np.arange(posted.shape[1], dtype=np.int32)).sum(axis=1) + m * (m + 1) // 2 - np.where(at < m, m - at, 0).sum(axis=1)
 
 
 def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -86,7 +93,16 @@ def cosines(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (v * q).sum(axis=1) / (np.sqrt((v * v).sum(axis=1)) * math.sqrt((q * q).sum()))
 
 
-def search(spark: SparkSession, emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY, prefix: int = PREFIX, posts: int = POSTS, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def shortlist(u: np.ndarray, near: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """Of the rows ``near`` of unit vectors, those that may be among the k of greatest cosine: single precision, with room for its rounding."""
+    if len(near) <= k:
+        return near
+    score = (u if len(near) == len(u) else u[near]) @ unit(q[None])[0].astype(np.float32)
+    room = 4 * (u.shape[1] + 4) * 2.0**-24
+    return near[score >= np.partition(score, -k)[-k] - np.float32(room)]
+
+
+def search(spark: SparkSession, emb: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", k: int = K, every: int = EVERY, prefix: int = PREFIX, posts: int = POSTS, probes: int = PROBES, rerank: int = RERANK, nth: int = NTH) -> DataFrame:
     """Per query (ids divisible by ``every``) its k nearest found: query_id, rank, vec_id, score."""
     good = checkpointed(spark, usable(emb, id_col, vec_col).dropDuplicates(["vec_id"]))
     n = good.count()
@@ -115,18 +131,19 @@ def search(spark: SparkSession, emb: DataFrame, id_col: str = "vec_id", vec_col:
     shares = np.maximum(1, -(-size // FILE))
     base = np.append(0, np.cumsum(shares))  # files are numbered pivot by pivot
 
-    def send(kind: int, width: int):
+    def send(kind: int, reach: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             name = names(parts)
             for x in batches:
                 if not x.num_rows:
                     continue
                 ids, v = x.column(0).to_numpy(), matrix(x.column(1))
-                order = permutations(v, pivots.value, prefix)
+                near = permutations(v, pivots.value, max(prefix, reach))
+                order = near[:, :prefix]
                 salt = (units.mix(ids.astype(np.uint64) * units._ODD) >> np.uint64(33)).astype(np.int64)
                 files: dict[int, list[int]] = {}
-                for j in range(min(width, order.shape[1])):
-                    p = order[:, j]
+                for j in range(min(reach, near.shape[1])):
+                    p = near[:, j]
                     if kind == POST:
                         for i, f in enumerate((base[p] + salt % shares[p]).tolist()):
                             files.setdefault(f, []).append(i)
@@ -169,12 +186,15 @@ def search(spark: SparkSession, emb: DataFrame, id_col: str = "vec_id", vec_col:
             if not blobs:
                 continue
             if held is None:
-                held = load(blobs)
-            ids, order, v = held
+                ids, order, v = load(blobs)
+                held = ids, order.astype(np.intp), v, unit(v).astype(np.float32)
+            ids, order, v, u = held
             for q, o, x in zip(*load([data])):
                 near = np.arange(len(ids))
-                if len(ids) > rerank:
-                    near = np.argpartition(footrule(o, order, n_pivots), rerank - 1)[:rerank]
+                most = max(rerank, len(ids) // 2)
+                if len(ids) > most:
+                    near = np.argpartition(footrule(o, order, n_pivots), most - 1)[:most]
+                near = shortlist(u, near, x, k + 1)
                 score = cosines(v[near], x)
                 best = np.lexsort((ids[near], -score))[: k + 1]
                 found += zip([q] * len(best), ids[near[best]].tolist(), score[best].tolist())
@@ -184,7 +204,7 @@ def search(spark: SparkSession, emb: DataFrame, id_col: str = "vec_id", vec_col:
         if found:
             yield pa.record_batch([pa.array([x[j] for x in found], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["asked", "vec_id", "score"])
 
-    sent = posted.mapInArrow(send(POST, posts), SCHEMA).unionAll(asked.mapInArrow(send(ASK, probes), SCHEMA))
+    sent = posted.mapInArrow(send(POST, posts), SCHEMA).unionAll(asked.mapInArrow(send(ASK, width(n_pivots, probes, nth)), SCHEMA))
     hits = sent.repartition(parts, "b").sortWithinPartitions("b", "doc", "kind").mapInArrow(meet, "asked long, vec_id long, score double").distinct()
     # copies of a vector that weren't posted can't be among the k nearest; k + 1 found leave k without the query itself
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
