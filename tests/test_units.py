@@ -209,3 +209,26 @@ def test_streams_equal_their_batches(spark):
     assert stream and all(batch[k] == n for k, n in stream.items())  # windows that the watermark closed
     limited = q.stream_limited(spark, SF)
     assert limited.count() == q.ev(spark, SF).count() and limited.filter("allowed").count() > 0
+
+
+def test_search_answers_all_of_many_queries(spark):
+    """More than a thousand queries, with and without a broadcast."""
+    from weftline.plans.engine import Engine
+
+    n = 1203
+    vecs = spark.createDataFrame([("a", "A", [1.0, 0.0]), ("b", "B", [0.0, 1.0])], "id string, entity_id string, vec array<double>")
+    q = spark.range(n).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, F.array(F.lit(2.0), F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.0))).alias("qvec"))
+    asked = spark.range(n).select(F.col("id").alias("query_id"), F.concat(F.lit("title "), F.col("id").cast("string")).alias("query"))
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (held, "-1"):
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = retrieval.semantic_search(vecs, q, 1).collect()
+            assert {(r.query_id, r.id) for r in got} == {(i, "ab"[i % 2]) for i in range(n)} and len(got) == n
+            got = retrieval.graph_fallback(ents(spark, "x", "y"), asked, 1).collect()
+            assert {(r.query_id, r.id) for r in got} == {(i, "x") for i in range(n)} and len(got) == n
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    chunks = spark.createDataFrame([("c", "text", "Z", "t", "t", "s")], "id string, text string, entity_id string, entity_type string, title string, section string")
+    e = Engine(spark, ents(spark, "A", "B"), edges(spark), chunks=chunks, vectors=vecs)
+    assert {r.query_id for r in e.search(asked, query_vectors=q).collect()} == set(range(n))

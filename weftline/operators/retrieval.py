@@ -89,13 +89,9 @@ def keyword_search(post: DataFrame, chunks: DataFrame, queries: DataFrame, limit
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
-    """(query_id, id, entity_id, similarity, rank): brute force for a handful of queries; for many use an index.
-
-    queries (query_id, qvec) are collected into the plan's broadcast side: the
-    caller states a bounded set.
-    """
+    """(query_id, id, entity_id, similarity, rank): brute force over all queries (query_id, qvec); few are broadcast, many meet the vectors partition by partition; for many use an index."""
     own = vectors if where is None else vectors.filter(where)
-    scored = own.join(F.broadcast(queries.limit(1000))).select("query_id", "id", "entity_id", s.cosine(F.col("vec"), F.col("qvec")).alias("similarity"))
+    scored = own.crossJoin(queries).select("query_id", "id", "entity_id", s.cosine(F.col("vec"), F.col("qvec")).alias("similarity"))
     return top(scored, limit, score="similarity")
 
 
@@ -180,7 +176,7 @@ def graph_fallback(entities: DataFrame, queries: DataFrame, limit: int) -> DataF
     """Keyword search over entity fields: rank by terms found anywhere, then in the title."""
     text = F.lower(F.concat_ws(" ", "title", "type", "category"))
     q = queries.select("query_id", s.query_tokens(F.col("query")).alias("terms"))
-    pairs = entities.select("id", F.lower("title").alias("t"), text.alias("all")).join(F.broadcast(q.limit(1000)))
+    pairs = entities.select("id", F.lower("title").alias("t"), text.alias("all")).crossJoin(q)
     count = lambda c: F.size(F.filter("terms", lambda x: F.contains(F.col(c), x)))
     hits = pairs.select("query_id", "id", count("all").alias("total"), count("t").alias("in_title")).filter("total > 0")
     own = Window.partitionBy("query_id").orderBy(F.desc("total"), F.desc("in_title"), "id")
