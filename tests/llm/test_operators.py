@@ -248,6 +248,18 @@ def test_extraction(spark):
     assert op10_html.extract_all(spark, df.limit(0)).count() == 0
 
 
+def test_boilerplate_ends_where_its_end_is_implied():
+    texts = lambda page: " ".join(x.strip() for kind, x in op10_html.tokens(page) if kind == "text" and x.strip())
+    assert texts('<ul><li class="share">x<li>one<li>two</ul><p>after') == "one two after"
+    assert texts('<ul><li class="share">x<ul><li>y<li>z</ul>w<li>one</ul>after') == "one after"
+    assert texts('<div><ul><li class="share">x</ul>after</div>') == "after"
+    assert texts('<ul><li class="share">x<br><b>y</b></li><li>one</li></ul>') == "one"
+    assert texts('<dl><dt class="menu">x<dd>one<dt>two</dl>after') == "one two after"
+    assert texts('<table><tr><td class="ad">x<td>one<tr class="ad"><td>y<td>z<tr><td>two</table>after') == "one two after"
+    assert texts('<table><tr><td class="ad">x<table><tr><td>y</table>z<td>one</table>after') == "one after"
+    assert texts('<ul><li class="share">x<li class="share">y<li>one</ul>') == "one"
+
+
 def test_best_region_is_the_maximum():
     r = random.Random(2)
     for _ in range(200):

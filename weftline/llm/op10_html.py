@@ -39,6 +39,9 @@ BOILER_NAMES = re.compile(
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "header", "body", "html", "center", "hgroup"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param", "p"}
 CONTENT = {"article", "main"}
+#: Elements whose end tag may be left out, with the tags whose start ends them.
+CELL_ENDS = {"td", "th", "tr", "tbody", "thead", "tfoot"}
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": CELL_ENDS, "th": CELL_ENDS, "tr": CELL_ENDS - {"td", "th"}}
 WORD = 1.0
 
 
@@ -56,9 +59,28 @@ def boiler(name: str, attributes: str, inside: int) -> bool:
     return False
 
 
+def begins(stack: list[str], name: str) -> None:
+    """Takes from the open elements those that the start of ``name`` ends: within its list, or within its table."""
+    for k in range(len(stack) - 1, -1, -1):
+        if name in ENDED_BY.get(stack[k], ()):
+            del stack[k:]
+        elif stack[k] == "table" or name not in CELL_ENDS and stack[k] in BLOCKS - {"p", "div", "address"}:
+            return
+
+
+def ends(stack: list[str], name: str, around: Counter) -> bool:
+    """Takes from the open elements those that the end of ``name`` ends; all, if it is the end of an element around them. True if it was one of them."""
+    if name in stack:
+        del stack[len(stack) - 1 - stack[::-1].index(name) :]
+        return True
+    if around[name] > 0 and (stack[0] not in CELL_ENDS or name in CELL_ENDS | {"table"}):
+        stack.clear()
+    return False
+
+
 def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """('text', raw) and ('open' or 'close', tag); a boilerplate element is but a gap between blocks, ('gap', '')."""
-    at, skip, depth, inside = 0, "", 0, 0
+    """('text', raw) and ('open' or 'close', tag); a boilerplate element is but a gap between blocks, ('gap', ''). It lasts to its end tag, or where HTML lets that be left out, to the tag that implies it."""
+    at, skip, depth, inside, stack, around = 0, "", 0, 0, [], Counter()
     for m in TOKEN.finditer(page):
         if m.start() > at and not skip:
             yield "text", page[at : m.start()]
@@ -68,7 +90,19 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
                 yield "text", html.escape(m[0][9:].removesuffix("]]>"))
             continue
         name = m[3].lower()
-        if skip:  # until the element that opened it closes; content elements and the page's end close what was left open
+        leaf = name in VOID or m[4].endswith("/")
+        if skip in ENDED_BY and not (m[2] and name in ("body", "html")):  # also until what implies its end
+            own = bool(m[2]) and ends(stack, name, around)
+            if not m[2]:
+                begins(stack, name)
+                if stack and not leaf:
+                    stack.append(name)
+            if stack:
+                continue
+            skip = ""
+            if own:
+                continue
+        elif skip:  # until the element that opened it closes; content elements and the page's end close what was left open
             if name == skip:
                 depth += -1 if m[2] else not m[4].endswith("/")
             if depth <= 0 or m[2] and name in ("body", "html") or skip not in ("div", "section", "article") and not m[2] and name in CONTENT and depth > 0 and skip == "head":
@@ -76,13 +110,15 @@ def tokens(page: str) -> Iterator[tuple[str, str]]:
             continue
         if m[2]:
             inside -= name in CONTENT and inside > 0
+            around[name] -= around[name] > 0
             yield "close", name
         elif boiler(name, m[4], inside):
-            if name not in VOID and not m[4].endswith("/"):
-                skip, depth = name, 1
+            if not leaf:
+                skip, depth, stack = name, 1, [name]
             yield "gap", ""
         else:
             inside += name in CONTENT
+            around[name] += not leaf
             yield "open", name
     if at < len(page) and not skip:
         yield "text", page[at:]
