@@ -232,3 +232,21 @@ def test_search_answers_all_of_many_queries(spark):
     chunks = spark.createDataFrame([("c", "text", "Z", "t", "t", "s")], "id string, text string, entity_id string, entity_type string, title string, section string")
     e = Engine(spark, ents(spark, "A", "B"), edges(spark), chunks=chunks, vectors=vecs)
     assert {r.query_id for r in e.search(asked, query_vectors=q).collect()} == set(range(n))
+
+
+def test_search_boosts_meanings_and_falls_back(spark):
+    from weftline.plans.engine import Engine
+
+    chunks = spark.createDataFrame([("a", "x", "A", "law", "other", "Notes"), ("b", "x", "B", "pattern", "other", "Overview"), ("c", "x", "C", "law", "state", "Notes")], "id string, text string, entity_id string, entity_type string, title string, section string")
+    vecs = spark.createDataFrame([(i, i.upper(), [1.0, 0.0]) for i in "abc"], "id string, entity_id string, vec array<double>")
+    asked = spark.createDataFrame([(1, "state rule"), (2, "nothing")], "query_id int, query string")
+    types = spark.createDataFrame([("law", "rule")], "key string, term string")
+    qv = asked.select("query_id", F.array(F.lit(1.0), F.lit(0.0)).alias("qvec"))
+    got = {(r.query_id, r.id): (round(r.score, 6), r["rank"], r.similarity) for r in retrieval.semantic_search(vecs, qv, 3, chunks=chunks, asked=asked, types=types).collect()}
+    assert got[1, "a"] == (1.05, 3, 1.0) and got[1, "b"] == (1.12, 2, 1.0) and got[1, "c"] == (round(1.05 * 1.1, 6), 1, 1.0)
+    assert [got[2, i][1] for i in "bac"] == [1, 2, 3]
+    e = Engine(spark, ents(spark, "E1", "E2"), edges(spark), chunks=chunks, types=types, vectors=vecs)
+    found = e.search(spark.createDataFrame([(7, "title e2"), (8, " "), (9, "zzz")], "query_id int, query string"), limit=1).collect()
+    assert [(r.query_id, r.entity_id, r.score, r["rank"]) for r in found] == [(7, "E2", 2.0, 1)]
+    best = e.search(asked.limit(1), limit=1, query_vectors=qv.limit(1)).collect()
+    assert [r.entity_id for r in best] == ["C"]

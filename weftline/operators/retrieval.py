@@ -16,6 +16,8 @@ from weftline.functions import scalars as s
 K1, B, RRF_K, W_KEYWORD, W_SEMANTIC = 1.2, 0.75, 20, 0.45, 0.55
 SPARSE = [(2, 1.3), (4, 1.15)]
 TITLE_ALL, TITLE_SOME, TYPE_BOOST, OVERFETCH, EXPAND = 1.35, 1.10, 1.05, 2, 0.95
+#: Sections and their boosts in semantic search.
+SECTIONS = {"intent": 1.15, "overview": 1.12, "when to use": 1.10, "motivation": 1.08, "definition": 1.08, "summary": 1.06, "description": 1.05, "applicability": 1.08, "essence": 1.08, "structure": 1.04, "statement": 1.10, "implications": 1.06, "origin": 1.03}
 STOP = ["the", "a", "an", "of", "in", "to"]
 
 
@@ -88,11 +90,24 @@ def keyword_search(post: DataFrame, chunks: DataFrame, queries: DataFrame, limit
     return top(out, limit).select("query_id", "id", "entity_id", "score", "rank")
 
 
-def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int, where: Column | None = None) -> DataFrame:
-    """(query_id, id, entity_id, similarity, rank): brute force over all queries (query_id, qvec); few are broadcast, many meet the vectors partition by partition; for many use an index."""
+def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int, where: Column | None = None, chunks: DataFrame | None = None, asked: DataFrame | None = None, types: DataFrame | None = None, sections: dict[str, float] = SECTIONS) -> DataFrame:
+    """(query_id, id, entity_id, similarity, score, rank): brute force over all queries (query_id, qvec); few are broadcast, many meet the vectors partition by partition; for many use an index.
+
+    Ranked by score, the cosine; with chunks and the queries' texts (asked), times
+    the boosts of section, title and type (types (key, term): a term of the chunk's
+    type is in the query). Vectors without a chunk have no boost.
+    """
     own = vectors if where is None else vectors.filter(where)
     scored = own.crossJoin(queries).select("query_id", "id", "entity_id", s.cosine(F.col("vec"), F.col("qvec")).alias("similarity"))
-    return top(scored, limit, score="similarity")
+    boost = F.lit(1.0)
+    if chunks is not None and asked is not None:
+        scored = scored.join(chunks.select("id", "entity_type", "title", "section"), "id", "left").join(asked.select("query_id", "query"), "query_id", "left")
+        boost = section_boost(F.trim("section"), sections) * title_boost(F.col("query"), F.col("title"))
+        if types is not None:
+            named = detect_types(asked, types).select("query_id", F.col("key").alias("entity_type"), F.lit(TYPE_BOOST).alias("of_type"))
+            scored = scored.join(named, ["query_id", "entity_type"], "left")
+            boost = boost * F.coalesce("of_type", F.lit(1.0))
+    return top(scored.withColumn("score", F.col("similarity") * boost), limit).select("query_id", "id", "entity_id", "similarity", "score", "rank")
 
 
 def rrf(keyword: DataFrame, semantic: DataFrame, limit: int, k: int = RRF_K, homonyms: DataFrame | None = None) -> DataFrame:

@@ -79,7 +79,7 @@ class Engine:
     # retrieval
 
     def search(self, queries: DataFrame, limit: int = 5, entity_type: str | None = None, query_vectors: DataFrame | None = None) -> DataFrame:
-        """(query_id, entity_id, score, rank, type, title) for queries (query_id, query); limit is clamped to 1..20; blank queries give nothing."""
+        """(query_id, entity_id, score, rank, type, title) for queries (query_id, query); limit is clamped to 1..20; blank queries give nothing. Queries without results are answered by words of the entities, their number being the score."""
         limit = min(20, max(1, limit))
         asked = queries.filter(F.trim("query") != "")
         own = self.chunks if entity_type is None else self.chunks.filter(F.col("entity_type") == entity_type)
@@ -91,12 +91,15 @@ class Engine:
             one = retrieval.one_sided(hits.select("query_id", "id", "entity_id", "score"), limit)
             found = one if demoted is None else one.join(demoted, ["query_id", "entity_id"], "left_anti")
         else:
-            meaning = retrieval.semantic_search(self.vectors, query_vectors, retrieval.OVERFETCH * limit)
+            meaning = retrieval.semantic_search(self.vectors, query_vectors, retrieval.OVERFETCH * limit, chunks=self.chunks, asked=asked, types=self.types)
             found = retrieval.rrf(keyword, meaning, limit, homonyms=demoted)
         found = found.select("query_id", "entity_id", "score").groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
         if self.synonyms is not None:
             found = retrieval.inject_synonyms(found, asked, self.synonyms)
-        ranked = retrieval.expand_remedies(found, self.edges, limit)
+        ranked = retrieval.expand_remedies(found, self.edges, limit).select("query_id", "entity_id", "score", "rank")
+        known = self.entities if entity_type is None else self.entities.filter(F.col("type") == entity_type)
+        left = retrieval.graph_fallback(known, asked.join(found, "query_id", "left_anti"), limit)
+        ranked = ranked.unionByName(left.select("query_id", F.col("id").alias("entity_id"), F.col("total").cast("double").alias("score"), "rank"))
         return ranked.join(self.entities.select(F.col("id").alias("entity_id"), "type", "title"), "entity_id", "left")
 
     # code
