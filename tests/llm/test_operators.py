@@ -296,7 +296,7 @@ def test_nearest_neighbours(spark):
     v = {i: rng.normal(size=16).round(4).tolist() for i in range(600)}
     for i in range(50, 90):
         v[i] = v[0]  # copies, also of a query
-    rows = [(i, x, 1) for i, x in v.items()] + [(700, None, 1), (750, [0.0] * 16, 1), (800, [float("nan")] + [1.0] * 15, 1), (850, [1.0] * 3, 1), (900, [None] + [1.0] * 15, 1), (0, v[0], 1)]
+    rows = [(i, x, 1) for i, x in v.items()] + [(700, None, 1), (750, [0.0] * 16, 1), (800, [float("nan")] + [1.0] * 15, 1), (850, [1.0] * 3, 1), (900, [None] + [1.0] * 15, 1), (0, v[0], 1), (0, [9.0] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int").repartition(4)
     got = {}
     for r in op2_permutation.search(spark, df).collect():
@@ -312,15 +312,30 @@ def test_nearest_neighbours(spark):
     assert op2_permutation.search(spark, few.limit(0)).count() == 0
 
 
-def test_reach_does_not_shrink_with_pivots():
-    """Pairs as far apart as nearest neighbours among 3 million isotropic vectors (2048 pivots): the query's files hold the neighbour."""
+def test_files_add_up_the_footrule_distance():
     r = np.random.default_rng(1)
-    q, other, pivots = (op2_permutation.unit(r.standard_normal((n, 64))) for n in (300, 300, 2048))
-    near = op2_permutation.unit(0.6 * q + 0.8 * op2_permutation.unit(other - (other * q).sum(axis=1, keepdims=True) * q))
-    asked = op2_permutation.permutations(q, pivots.astype(np.float32), op2_permutation.width(2048))
-    posted = op2_permutation.permutations(near, pivots.astype(np.float32), op2_permutation.POSTS)
-    assert np.mean([bool(set(a) & set(b)) for a, b in zip(asked.tolist(), posted.tolist())]) >= 0.99
-    assert [op2_permutation.width(n) for n in (1, 32, 128, 1024, 4096)] == [1, 32, 64, 128, 512]
+    v, pivots = r.standard_normal((400, 16)), op2_permutation.unit(r.standard_normal((64, 16))).astype(np.float32)
+    order = op2_permutation.permutations(v, pivots, 12)
+    files = op2_permutation.Files([op2_permutation.pack(np.arange(i, i + 200), order[i : i + 200], v[i : i + 200]) for i in (0, 200)], 64)
+    for q in range(20):
+        far = op2_permutation.footrule(order[q], order, 64)
+        assert (12 * 13 - 2 * files.shared(order[q])).tolist() == far.tolist()
+        ids, score, scored = files.nearest(order[q], v[q], 6, 40)
+        kept = np.flatnonzero(far <= np.sort(far)[39])
+        assert scored == len(kept) < 400
+        exact = op2_permutation.cosines(v[kept], v[q])
+        assert ids.tolist() == kept[np.lexsort((kept, -exact))][:6].tolist()
+
+
+def test_few_rows_are_scored_and_found_again(spark):
+    """At a size where footrule discards most vectors, recall stays above 0.9."""
+    rng = np.random.default_rng(8)
+    v = {i: x for i, x in enumerate(rng.normal(size=(9000, 32)).astype(np.float32).tolist())}
+    df = spark.createDataFrame(list(v.items()), "vec_id long, embedding array<float>")
+    exact = op2_permutation.brute(v)
+    got = op2_permutation.search(spark, df).groupBy("query_id").agg(F.collect_list("vec_id").alias("x")).collect()
+    assert sum(len({i for i, _ in exact[r.query_id]} & set(r.x)) for r in got) >= 0.9 * sum(map(len, exact.values()))
+    assert op2_permutation.work(spark, df) < 0.15
 
 
 def test_footrule():
