@@ -248,16 +248,82 @@ def test_extraction(spark):
     assert op10_html.extract_all(spark, df.limit(0)).count() == 0
 
 
-def test_boilerplate_ends_where_its_end_is_implied():
-    texts = lambda page: " ".join(x.strip() for kind, x in op10_html.tokens(page) if kind == "text" and x.strip())
-    assert texts('<ul><li class="share">x<li>one<li>two</ul><p>after') == "one two after"
-    assert texts('<ul><li class="share">x<ul><li>y<li>z</ul>w<li>one</ul>after') == "one after"
-    assert texts('<div><ul><li class="share">x</ul>after</div>') == "after"
-    assert texts('<ul><li class="share">x<br><b>y</b></li><li>one</li></ul>') == "one"
-    assert texts('<dl><dt class="menu">x<dd>one<dt>two</dl>after') == "one two after"
-    assert texts('<table><tr><td class="ad">x<td>one<tr class="ad"><td>y<td>z<tr><td>two</table>after') == "one two after"
-    assert texts('<table><tr><td class="ad">x<table><tr><td>y</table>z<td>one</table>after') == "one after"
-    assert texts('<ul><li class="share">x<li class="share">y<li>one</ul>') == "one"
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<ul><li class="share">x<li>one<li>two</ul><p>after', "one two after"),
+        ('<ul><li class="share">x<ul><li>y<li>z</ul>w<li>one</ul>after', "one after"),
+        ('<div><ul><li class="share">x</ul>after</div>', "after"),
+        ('<ul><li class="share">x<br><b>y</b></li><li>one</li></ul>', "one"),
+        ('<dl><dt class="menu">x<dd>one<dt>two</dl>after', "one two after"),
+        ('<table><tr><td class="ad">x<td>one<tr class="ad"><td>y<td>z<tr><td>two</table>after', "one two after"),
+        ('<table><tr><td class="ad">x<table><tr><td>y</table>z<td>one</table>after', "one after"),
+        ("<article><p>one two</p><p class='ad'>buy</p><p>three<p class=comment>no<p>four</article>", "one two three four"),
+        ("<nav><ul><li>Menu<article><p>one</article><footer>foot</footer>", "one"),
+        ("<body><div class='sidebar'><p>side<article><p>one</article></body>", "one"),
+        ("<div><div class='sidebar'><p>side<article><p>one</article></div>", "one"),
+        ("<article><p data-x=don't>one</p><p title='a>b'>two</p><p x=it's y=isn't>three</article>", "one two three"),
+        ("<article><p>a b</p><div class='related-work'>one</div><p class='share-price'>two</article>", "a b one two"),
+        ("<article><header><h1>Title</h1></header><p>one</article>", "Title one"),
+        ("<nav>menu</nav>", ""),
+        ("<nav>menu and <p>text", "menu and text"),
+        ("<title>no end <p>one", "no end one"),
+        ("<script>var a = '<p>'", ""),
+    ],
+)
+def test_boilerplate_by_name_and_implied_ends(page, text):
+    assert " ".join(op10_html.extract(page, op10_html.Model([])).split()) == text
+
+
+def test_extraction_of_generated_pages():
+    """Pages whose every part is known: names are learned from marked pages, and pages that mark nothing are extracted by them."""
+    r = random.Random(11)
+    words = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n))
+    junk = ["zorp", "quux-bar", "navi blim"]
+
+    def page(marked):
+        blocks = [words(r.randint(8, 60)) for _ in range(r.randint(2, 8))]
+        beside = lambda: f'<div class="{r.choice(junk)}"><ul>' + "".join(f"<li><a href=x>{words(2)}</a></li>" for _ in range(r.randint(1, 6))) + "</ul></div>"
+        inner = ""
+        for k, t in enumerate(blocks):
+            inner += r.choice(["<p>{}</p>", "<p>{}", "<h2>{}</h2>", "<ul><li>{}</ul>", "<div class=story>{}</div>", "<blockquote><b>{}</b></blockquote>"]).format(t)
+            if k + 1 < len(blocks) and r.random() < 0.3 and not marked:
+                inner += beside()
+        name = "article" if marked else "div"
+        return f"<html><body>{beside()}{beside()}<{name}>{inner}</{name}>{beside()}</body></html>", "\n".join(blocks)
+
+    model = op10_html.Model([page(True)[0] for _ in range(60)])
+    for marked in (True, False):
+        for _ in range(100):
+            p, text = page(marked)
+            assert op10_html.extract(p, model) == text
+
+
+def test_weights_equal_counts_by_another_parser():
+    """Tag weights against counts made with the standard library's parser."""
+    import math
+    from collections import Counter
+    from html.parser import HTMLParser
+
+    class Count(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.n = 0, [Counter(), Counter()]
+
+        def handle_starttag(self, tag, attrs):
+            self.n[self.depth > 0][tag] += 1
+            self.depth += tag == "article"
+
+        def handle_endtag(self, tag):
+            self.depth -= tag == "article"
+            self.n[self.depth > 0]["/" + tag] += 1
+
+    pages = [f"<html><body><div><i>{i}</i></div><article><p>x</p><i>y</i></article><section><p>z</p></section></body></html>" for i in range(5)]
+    c = Count()
+    for p in pages:
+        c.feed(p)
+    want = {k: -max(0.05, 6 * math.log((c.n[0][k] + 1) / (c.n[1][k] + 1))) for k in c.n[0] | c.n[1]}
+    assert op10_html.Model(pages).weights == want
 
 
 def test_best_region_is_the_maximum():

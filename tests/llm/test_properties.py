@@ -98,4 +98,6 @@ def test_footrule_is_the_sum_of_moves(a, b):
 def test_extraction_keeps_plain_paragraphs(parts):
     page = "<article>" + "".join(f"<p>{html.escape(x)}</p>" for x in parts) + "</article>"
     lines = [" ".join(html.unescape(html.escape(x)).split()) for x in parts]
-    assert op10_html.extract(page, {"article": -5.0, "/article": -5.0, "p": -0.05, "/p": -0.05}).split("\n") == ([x for x in lines if x] or [""])
+    model = op10_html.Model([])
+    model.weights = {"article": -5.0, "/article": -5.0, "p": -0.05, "/p": -0.05}
+    assert op10_html.extract(page, model).split("\n") == ([x for x in lines if x] or [""])

@@ -1,12 +1,24 @@
 """HTML extraction by maximum-scoring subsequence.
 
-A page is a sequence of words and tags. What is boilerplate by the name, role,
-class or id of its element goes first. Then words score positive and tags
-negative, and one linear scan finds the contiguous region of the greatest sum.
-A tag's weight is learned from labelled pages, those that mark their content
-themselves (one <article> or <main>): the log-odds of standing outside of the
-marked content rather than inside. At most ``LABELLED`` pages teach, those of at most
-``LONGEST`` characters with the least hash of their markup.
+A page is a sequence of words and tags. Words score positive and tags negative,
+and one linear scan finds the contiguous region of the greatest sum. A tag's
+weight is learned from labelled pages, those that mark their content themselves
+(one <article> or <main>): the log-odds of standing outside of the marked
+content rather than inside.
+
+What an author calls a part is learned from the same pages: an element that
+stands beside the marked content speaks against the words of its class and id,
+against its role, and against its tag if HTML gives that tag a meaning; elements
+inside speak for theirs. ``PRIOR`` is what is believed before a page was read,
+worth ``BELIEF`` sightings. An element whose name speaks clearly against it is a
+gap: it scores nothing and gives no text, wherever it stands. At most
+``LABELLED`` pages teach, those of at most ``LONGEST`` characters with the least
+hash of their markup.
+
+An element that is never closed ends at the latest where a content element
+begins inside it; <p>, <li> and their like end where HTML says so. Should all
+text lie in gaps, gaps around a content element end there too, and should that
+not help, nothing is a gap.
 
 Defined results: null and empty pages, and pages without words, give an empty
 text; repeated rows give one result each; other columns are ignored.
@@ -26,118 +38,182 @@ from pyspark.sql import functions as F
 
 from weftline.session import bounded_batches, table
 
-#: How many labelled pages the tag weights are fitted on, at most.
+#: How many labelled pages the weights are fitted on, at most, and their size.
 LABELLED, LONGEST = 500, 1 << 15
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(script|style|noscript|template|textarea|iframe|title|svg|math|select|object|noembed|noframes|canvas|audio|video)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|aria-hidden|hidden|style|aria-label)\b\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
-BOILER_TAGS = {"nav", "footer", "aside", "form", "button", "head", "menu", "dialog", "input", "label", "fieldset"}
-BOILER_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
-BOILER_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|adslot|sponsor\w*|promo\w*|banner|sidebar\w*|side-?bar|side|rail|widget\w*|menu\w*|nav\w*|navbar|breadcrumbs?|crumbs|footer\w*|foot|header|masthead|topbar|toolbar|comments?|commentlist|comment-\w+|replies|reply|disqus\w*|respond|discussion|cookies?|consent|gdpr|notices?|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|sign-up|login|share|sharing|social|related|recommended|recommendations|more-stories|pagination|pager|copyright|legal|disclaimer|skip-link|search\w*|tags|tagcloud|toc)(?=$|[\s_-])",
-    re.I,
+ATTRIBUTES = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
+TOKEN = re.compile(
+    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<raw>script|style)(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"""
+    rf"""|<(?P<dead>noscript|template|textarea|iframe|title|svg|math|select|object|noembed|noframes|canvas|audio|video)(?=[\s/>]){ATTRIBUTES}>.*?</(?P=dead)\s*>"""
+    rf"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{ATTRIBUTES})>""",
+    re.S | re.I,
 )
-BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "header", "body", "html", "center", "hgroup"}
-VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param", "p"}
+ATTRIBUTE = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "header", "footer", "nav", "aside", "form", "fieldset", "menu", "dialog", "body", "html", "center", "hgroup"}
+VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr", "param"}
 CONTENT = {"article", "main"}
-#: Elements whose end tag may be left out, with the tags whose start ends them.
-CELL_ENDS = {"td", "th", "tr", "tbody", "thead", "tfoot"}
-ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": CELL_ENDS, "th": CELL_ENDS, "tr": CELL_ENDS - {"td", "th"}}
-WORD = 1.0
+#: Tags to which HTML gives the meaning of a part of a page, and what an author may call one. Believed before any page is read.
+MEANING = {"nav", "footer", "aside", "form", "button", "header", "menu", "dialog", "label", "fieldset"}
+PRIOR = {
+    "ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "banner", "sidebar", "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "footer", "header", "masthead",
+    "comment", "comments", "replies", "cookie", "cookies", "consent", "notice", "popup", "newsletter", "subscribe", "signup", "login", "share", "social", "related", "recommended", "pagination", "copyright", "disclaimer",
+}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
+#: Words that say where or how big a part is, not what it is.
+LAYOUT = {"main", "site", "page", "top", "bottom", "left", "right", "bar", "box", "list", "item", "container", "wrapper", "wrap", "inner", "block", "section", "area", "slot", "widget", "links", "primary", "secondary", "body", "text", "content", "panel", "group", "row", "col", "column", "module", "holder", "outer", "thread"}
+BELIEF, CLEAR, UNSEEN, STEEP = 9, 1.5, -0.5, 6.0
+#: Elements whose end tag may be left out: the tags whose start ends them, and what their search stops at.
+CELLS = {"td", "th", "tr", "tbody", "thead", "tfoot"}
+ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": CELLS, "th": CELLS, "tr": CELLS - {"td", "th"}, "tbody": CELLS - {"td", "th", "tr"}, "thead": CELLS - {"td", "th", "tr"}, "tfoot": CELLS - {"td", "th", "tr"}, "p": BLOCKS}
+OPTIONAL = {*ENDED_BY, "html", "body", "head", "option", "colgroup", "caption"}
+STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "p": BLOCKS - {"p"}, **dict.fromkeys(CELLS, {"table"})}
+
+
+class Element:
+    __slots__ = ("name", "features", "up", "begin", "closed", "limit", "gap", "content")
+
+    def __init__(self, name: str, features: list[list[str]], up: Element | None, begin: int):
+        self.name, self.features, self.up, self.begin = name, features, up, begin
+        self.closed, self.limit, self.gap, self.content = name in OPTIONAL, None, False, -1
+
+
+def features(name: str, attributes: str, inside: bool) -> list[list[str]]:
+    """What the element is called, each name as its telling words."""
+    out = [[f"<{name}"]] if name in MEANING and not (inside and name == "header") else []
+    for key, value in ATTRIBUTE.findall(attributes) if attributes else ():
+        key, value = key.lower(), value.strip("\"'")
+        if key in ("class", "id"):
+            for one in value.split():
+                words = [w.lower() for w in WORDS.findall(one)]
+                if telling := [w for w in words if w not in LAYOUT]:
+                    out.append(telling)
+        elif key == "role":
+            out.append(["role=" + value.lower()])
+        elif key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none", value, re.I):
+            out.append(["hidden"])
+    return out
 
 
-def boiler(name: str, attributes: str, inside: int) -> bool:
-    if name in BOILER_TAGS or name == "header" and not inside:
-        return True
-    if not attributes or name in CONTENT | {"body", "html"} and "comment" not in attributes:
-        return False
-    for key, value in ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), value.strip("\"'")
-        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "role" and value.lower() in BOILER_ROLES:
-            return True
-        if key == "style" and re.search(r"display\s*:\s*none", value, re.I) or key in ("class", "id") and BOILER_NAMES.search(value):
-            return True
-    return False
-
-
-def begins(stack: list[str], name: str) -> None:
-    """Takes from the open elements those that the start of ``name`` ends: within its list, or within its table."""
-    for k in range(len(stack) - 1, -1, -1):
-        if name in ENDED_BY.get(stack[k], ()):
-            del stack[k:]
-        elif stack[k] == "table" or name not in CELL_ENDS and stack[k] in BLOCKS - {"p", "div", "address"}:
-            return
-
-
-def ends(stack: list[str], name: str, around: Counter) -> bool:
-    """Takes from the open elements those that the end of ``name`` ends; all, if it is the end of an element around them. True if it was one of them."""
-    if name in stack:
-        del stack[len(stack) - 1 - stack[::-1].index(name) :]
-        return True
-    if around[name] > 0 and (stack[0] not in CELL_ENDS or name in CELL_ENDS | {"table"}):
-        stack.clear()
-    return False
-
-
-def tokens(page: str) -> Iterator[tuple[str, str]]:
-    """('text', raw) and ('open' or 'close', tag); a boilerplate element is but a gap between blocks, ('gap', ''). It lasts to its end tag, or where HTML lets that be left out, to the tag that implies it."""
-    at, skip, depth, inside, stack, around = 0, "", 0, 0, [], Counter()
+def parse(page: str) -> tuple[list[tuple[str, str, Element | None]], list[Element]]:
+    """The sequence of ('text', raw), ('open' and 'close', tag) with the element each stands in (a tag: its own), and the elements in order."""
+    seq: list[tuple[str, str, Element | None]] = []
+    stack: list[Element] = []
+    elements: list[Element] = []
+    at = inside = 0
+
+    def cut(k: int) -> None:
+        nonlocal inside
+        inside -= sum(e.name in CONTENT for e in stack[k:])
+        del stack[k:]
+
     for m in TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            yield "text", page[at : m.start()]
+        if m.start() > at:
+            seq.append(("text", page[at : m.start()], stack[-1] if stack else None))
         at = m.end()
-        if not m[3]:
-            if m[0][:9].upper() == "<![CDATA[" and not skip:
-                yield "text", html.escape(m[0][9:].removesuffix("]]>"))
+        if m["data"]:
+            seq.append(("text", html.escape(m["data"]), stack[-1] if stack else None))
+        if not m["name"]:
             continue
-        name = m[3].lower()
-        leaf = name in VOID or m[4].endswith("/")
-        if skip in ENDED_BY and not (m[2] and name in ("body", "html")):  # also until what implies its end
-            own = bool(m[2]) and ends(stack, name, around)
-            if not m[2]:
-                begins(stack, name)
-                if stack and not leaf:
-                    stack.append(name)
-            if stack:
-                continue
-            skip = ""
-            if own:
-                continue
-        elif skip:  # until the element that opened it closes; content elements and the page's end close what was left open
-            if name == skip:
-                depth += -1 if m[2] else not m[4].endswith("/")
-            if depth <= 0 or m[2] and name in ("body", "html") or skip not in ("div", "section", "article") and not m[2] and name in CONTENT and depth > 0 and skip == "head":
-                skip = ""
+        name = m["name"].lower()
+        if m["end"]:
+            stops = STOPS.get(name, ())
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k].name == name:
+                    stack[k].closed = True
+                    seq.append(("close", name, stack[k]))
+                    cut(k)
+                    break
+                if stack[k].name in stops:
+                    break
+            else:
+                seq.append(("close", name, stack[-1] if stack else None))
             continue
-        if m[2]:
-            inside -= name in CONTENT and inside > 0
-            around[name] -= around[name] > 0
-            yield "close", name
-        elif boiler(name, m[4], inside):
-            if not leaf:
-                skip, depth, stack = name, 1, [name]
-            yield "gap", ""
-        else:
+        for k in range(len(stack) - 1, -1, -1):
+            own = stack[k].name
+            if name in ENDED_BY.get(own, ()):
+                cut(k)
+            elif own in STOPS.get(name, ()) and name != "p" or own in BLOCKS and own not in OPTIONAL:
+                break
+        e = Element(name, features(name, m["rest"], inside > 0), stack[-1] if stack else None, len(seq))
+        elements.append(e)
+        seq.append(("open", name, e))
+        if name in CONTENT:
+            for x in stack:
+                if x.limit is None:
+                    x.limit = len(seq) - 1
+        if name not in VOID and not m["rest"].endswith("/"):
+            stack.append(e)
             inside += name in CONTENT
-            around[name] += not leaf
-            yield "open", name
-    if at < len(page) and not skip:
-        yield "text", page[at:]
-
-
-def learn(pages: list[str]) -> dict[str, float]:
-    """Weights (at most 0) of tags, '/x' being the end of x, from pages with one content element."""
-    within, outside = Counter(), Counter()
-    for p in pages:
-        depth = 0
-        for kind, x in tokens(p):
-            if kind in ("text", "gap"):
+        else:
+            e.closed = True
+    if at < len(page):
+        seq.append(("text", page[at:], stack[-1] if stack else None))
+    return seq, elements
+
+
+def believed(word: str) -> bool:
+    return word in PRIOR or word[1:] in MEANING or word[5:] in ROLES or word == "hidden"
+
+
+class Model:
+    """Weights of tags, and for or against names."""
+
+    def __init__(self, pages: list[str]):
+        self.beside, self.within, self.weights = Counter(), Counter(), {}
+        parsed = [parse(p) for p in pages]
+        for seq, elements in parsed:
+            marked = [e for e in elements if e.name in CONTENT]
+            if len(marked) != 1:
                 continue
-            if kind == "close" and x in CONTENT:
-                depth = max(0, depth - 1)
-            (within if depth else outside)["/" * (kind == "close") + x] += 1
-            if kind == "open" and x in CONTENT:
-                depth += 1
-    return {k: -max(0.05, 6 * math.log((outside[k] + 1) / (within[k] + 1))) for k in within | outside}
+            around, e = set(), marked[0].up
+            while e is not None:
+                around.add(id(e))
+                e = e.up
+            inner, held = {id(marked[0])}, Counter()
+            for kind, x, e in seq:
+                while kind == "text" and e is not None:
+                    held[id(e)] += len(x.split())
+                    e = e.up
+            for e in elements:
+                if e is marked[0] or id(e) in around:
+                    continue
+                if e.up is not None and id(e.up) in inner:
+                    inner.add(id(e))
+                    most = 2 * held[id(e)] > held[id(marked[0])]  # marked content has adverts and comments in it: these names must hold it to be cleared
+                    self.within.update(w for x in e.features for w in x if most or not believed(w))
+                elif e.up is None or id(e.up) in around:  # beside the content; what stands in it is not to blame
+                    self.beside.update(w for x in e.features for w in x)
+        out, into = Counter(), Counter()
+        for seq, elements in parsed:
+            self.mark(elements)
+            depth = 0
+            for k, (kind, x, e) in enumerate(seq):
+                if kind == "text" or self.hidden(e, k):
+                    continue
+                if kind == "close" and x in CONTENT:
+                    depth = max(0, depth - 1)
+                (into if depth else out)["/" * (kind == "close") + x] += 1
+                if kind == "open" and x in CONTENT:
+                    depth += 1
+        self.weights = {k: -max(0.05, STEEP * math.log((out[k] + 1) / (into[k] + 1))) for k in out | into}
+
+    def against(self, word: str) -> float:
+        """Log-odds of standing beside the content; 0 for a word that nothing is known of."""
+        belief = BELIEF * believed(word)
+        return math.log((self.beside[word] + belief + 0.5) / (self.within[word] + 0.5)) if belief or self.beside[word] or self.within[word] else 0.0
+
+    def mark(self, elements: list[Element]) -> None:
+        for e in elements:
+            e.gap = any(sum(map(self.against, x)) > CLEAR * len(x) for x in e.features)
+
+    @staticmethod
+    def hidden(e: Element | None, k: int, all_end: bool = False) -> bool:
+        """Whether place k of the sequence, in element e, lies in a gap."""
+        while e is not None:
+            if e.gap and (e.limit is None or k < e.limit or e.closed and not all_end):
+                return True
+            e = e.up
+        return False
 
 
 def best(scores: list[float]) -> tuple[int, int]:
@@ -152,18 +228,22 @@ def best(scores: list[float]) -> tuple[int, int]:
     return out
 
 
-UNSEEN = -0.5
-
-
-def score(kind: str, x: str, weights: dict[str, float]) -> float:
-    if kind == "text":
-        return WORD * len(x.split())
-    return 0.0 if kind == "gap" else weights.get("/" * (kind == "close") + x, UNSEEN)
+def region(seq: list, hidden: list[bool], model: Model) -> tuple[int, int]:
+    w = model.weights
+    return best([0.0 if gap else float(len(x.split())) if kind == "text" else w.get("/" * (kind == "close") + x, UNSEEN) for (kind, x, _), gap in zip(seq, hidden)])
 
 
-def extract(page: str, weights: dict[str, float]) -> str:
-    seq = list(tokens(page))
-    a, b = best([score(kind, x, weights) for kind, x in seq])
+def extract(page: str, model: Model, gaps: bool = True) -> str:
+    seq, elements = parse(page)
+    model.mark(elements)
+    hidden = [gaps and model.hidden(e, k) for k, (_, _, e) in enumerate(seq)]
+    a, b = region(seq, hidden, model)
+    if b <= a and any(hidden):
+        hidden = [model.hidden(e, k, True) for k, (_, _, e) in enumerate(seq)]
+        a, b = region(seq, hidden, model)
+        if b <= a and not any(e.closed and e.gap for e in elements):
+            hidden = [False] * len(seq)
+            a, b = region(seq, hidden, model)
     blocks, held = [], []
 
     def end() -> None:
@@ -172,35 +252,36 @@ def extract(page: str, weights: dict[str, float]) -> str:
                 blocks.append(line)
             held.clear()
 
-    for kind, x in seq[a:b]:
-        if kind == "text":
+    for (kind, x, _), gap in zip(seq[a:b], hidden[a:b]):
+        if kind != "text":
+            if x in BLOCKS:
+                end()
+            elif x in ("br", "td", "th", "img"):
+                held.append(" ")
+        elif not gap:
             held.append(x)
-        elif kind == "gap" or x in BLOCKS:
-            end()
-        elif x in ("br", "td", "th", "img"):
-            held.append(" ")
     end()
     return "\n".join(blocks)
 
 
-def fit(pages: DataFrame, html_col: str = "html", bound: int = LABELLED) -> dict[str, float]:
+def fit(pages: DataFrame, html_col: str = "html", bound: int = LABELLED) -> Model:
     low = F.lower(F.col(html_col))
     marks = sum((F.size(F.split(low, f"<{t}[\\s>]")) - 1 for t in sorted(CONTENT)), F.lit(0))
     marked = pages.select(F.col(html_col).alias("page"), F.xxhash64(html_col).alias("h")).filter(marks == 1).filter(F.length("page") <= LONGEST)
     last = marked.select("h").orderBy("h").limit(bound).agg(F.max("h")).first()[0]
-    return learn([r.page for r in marked.filter(F.col("h") <= last).limit(bound).collect()]) if last is not None else {}
+    return Model([r.page for r in marked.filter(F.col("h") <= last).limit(bound).collect()] if last is not None else [])
 
 
 def extract_all(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", bound: int = LABELLED) -> DataFrame:
     """Per page: page_id, url, text, n_chars."""
     bounded_batches(spark)
-    weights = fit(pages, html_col, bound)
+    model = fit(pages, html_col, bound)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for lo in range(0, x.num_rows, 256):
                 part = x.slice(lo, 256)
-                texts = [extract(p.as_py() or "", weights) for p in part.column(2)]
+                texts = [extract(p.as_py() or "", model) for p in part.column(2)]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, "page_id long, url string, text string, n_chars long")
