@@ -264,7 +264,7 @@ def test_extraction(spark):
         ("<div><div class='sidebar'><p>side<article><p>one</article></div>", "one"),
         ("<article><p data-x=don't>one</p><p title='a>b'>two</p><p x=it's y=isn't>three</article>", "one two three"),
         ("<article><p>a b</p><div class='related-work'>one</div><p class='share-price'>two</article>", "a b one two"),
-        ("<article><header><h1>Title</h1></header><p>one</article>", "Title one"),
+        ("<article><header><h1>A title of words</h1></header><p>one two</article>", "A title of words one two"),
         ("<nav>menu</nav>", ""),
         ("<nav>menu and <p>text", "menu and text"),
         ("<title>no end <p>one", "no end one"),
