@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -422,6 +424,95 @@ def test_resampling(spark):
     assert op5_quality.resample(spark, docs(spark, []), labels).count() == 0
 
 
+def test_resampling_equals_brute_force(spark):
+    """Models, weights and keys by their definition, text by text."""
+    import math
+
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abcdé1", k=r.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(r.randint(0, 30))).title() for _ in range(50)] + [None, "", "b b b"]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x for x in op5_quality.resample(spark, docs(spark, texts), labels, share=0.3).collect()}
+
+    def slots(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        one = [int(units.word_units([x.encode()])[0][0]) for x in w]
+        two = [int(units.gram_hashes(np.array(p, np.uint64), 2)[0]) for p in zip(one, one[1:])]
+        return [(h >> 20) % op5_quality.FEWEST for h in one + two]
+
+    n = [slots(t) for t in texts]
+    raw, target = Counter(x for s in n for x in s), Counter(x for i, s in enumerate(n) if i < 40 and i % 3 == 0 for x in s)
+    log_p = lambda c, x, m: math.log((c[x] + m) / (c.total() + m * op5_quality.FEWEST))
+    m = op5_quality.SMOOTH
+    keys = {}
+    for i, s in enumerate(n):
+        weight = sum(log_p(target, x, m * target.total() / raw.total()) - log_p(raw, x, m) for x in s)
+        assert got[i].n_grams == len(s) and abs(got[i].log_weight - weight) < 1e-4
+        u = ((int(units.mix(np.array([(i * 0x9E3779B97F4A7C15 + units.subtag((texts[i] or "").encode()) + 42) % (1 << 64)], np.uint64))[0]) >> 11) + 0.5) / 2**53
+        keys[i] = got[i].log_weight - math.log(-math.log(u))
+        assert abs(keys[i] - got[i].gumbel_key) < 1e-9
+    assert {i for i in got if got[i].selected} == set(sorted(keys, key=lambda i: -keys[i])[: round(0.3 * len(texts))])
+
+
+def test_counts_are_summed_over_tasks(spark):
+    from weftline.llm import sums
+
+    def run(batches):
+        n = np.zeros(3 * sums.SLICE, np.int64)
+        for x in batches:
+            n += np.bincount(x.column(0).to_numpy(), minlength=len(n))
+        yield from sums.send({"a": n, "b": 2 * n})
+
+    values = [i * i % (2 * sums.SLICE) for i in range(5000)]
+    found = sums.collect(spark.createDataFrame([(x,) for x in values], "x long").repartition(7).mapInArrow(run, sums.SCHEMA))
+    want = np.bincount(values, minlength=2 * sums.SLICE)
+    assert found["a"].tolist() == want.tolist() and found["b"].tolist() == (2 * want).tolist()
+
+
+def test_languages_equal_brute_force(spark):
+    """Counts, log-probabilities and posteriors by their definition, gram by gram."""
+    import math
+
+    r = random.Random(3)
+    texts = ["".join(r.choices("abÇé ,1xñ", k=r.randint(1, 60))) for _ in range(80)]
+    langs = [r.choice(["u", "v", "w"]) for _ in texts]
+    langs, prior, matrix = op9_langid.fit(spark, docs(spark, texts, langs=(given := langs)))
+
+    def grams(t):
+        c = [ord(x) if x.isalpha() else 0 for x in "\n\n" + t.lower() + "\n"]
+        out = []
+        for n in (1, 2, 3):
+            for i in range(n - 1, len(c)):
+                if c[i] or n > 1 and c[i - 1]:
+                    out.append((n, tuple(c[i - n + 1 : i + 1])))
+        return out
+
+    def slot(n, g):
+        h = 0
+        for c in g:
+            h = (h * 0x01000193 + c + n) % (1 << 32)
+        h = h * 0x9E3779B1 % (1 << 32)
+        h = (h ^ h >> 15) * 0x85EBCA77 % (1 << 32)
+        return h >> 16
+
+    counts = {x: Counter() for x in langs}
+    for t, x in zip(texts, given):
+        counts[x].update(slot(*g) for g in grams(t))
+    for k, x in enumerate(langs):
+        assert abs(prior[k] - math.log(given.count(x) / len(given))) < 1e-12
+        for g in set(counts[x]) | {0, 77}:
+            assert abs(matrix[g, k] - math.log((counts[x][g] + 0.5) / (counts[x].total() + 0.5 * op9_langid.SLOTS))) < 1e-5
+    got = {x.doc_id: x for x in op9_langid.predict(spark, docs(spark, texts), (langs, prior, matrix)).collect()}
+    for i, t in enumerate(texts):
+        s = [prior[k] + sum(float(matrix[slot(*g), k]) for g in grams(t)) for k in range(3)]
+        if not any(x.isalpha() for x in t):
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        best = max(range(3), key=lambda k: s[k])
+        assert got[i].lang_pred == langs[best]
+        assert abs(got[i].score - 1 / sum(math.exp(x - s[best]) for x in s)) < 1e-6
+
+
 def test_top_k_is_exact_under_ties(spark):
     df = spark.createDataFrame([(i, float(i // 10)) for i in range(100)], "doc_id long, gumbel_key double")
     for k in (0, 1, 15, 50, 99, 100, 200):

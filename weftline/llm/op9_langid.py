@@ -2,8 +2,8 @@
 
 Training counts, over every labelled text, how often each hashed 1-, 2- and
 3-gram of lower-cased letters (anything else is a gap) occurs in each language.
-Counts leave a map task in slices of the hash table, so a slice of a language
-is summed by streaming and never collected. The matrix of log-probabilities,
+Counts leave a map task in slices of the hash table, which are summed in two
+levels by streaming. The matrix of log-probabilities,
 ``SLOTS`` times the number of languages and independent of the input's size, is
 broadcast; scoring gathers its rows for a batch of texts at once in numpy.
 
@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.session import bounded_batches, buckets, table
+from weftline.llm import sums
+from weftline.session import bounded_batches, table
 
-SLOTS, SLICE, ORDERS, SMOOTH, BATCH = 1 << 16, 1 << 12, (1, 2, 3), 0.5, 1 << 18
+SLOTS, ORDERS, SMOOTH, BATCH = 1 << 16, (1, 2, 3), 0.5, 1 << 18
 UND = "und"
 
 
@@ -36,8 +37,8 @@ def letters() -> np.ndarray:
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased letters of the texts end to end, 0 for all else; and each text's begin. A gap ends every text."""
-    low = [t.lower() + "\n" for t in texts]
+    """Lower-cased letters of the texts end to end, 0 for all else; and each text's begin. Two gaps begin every text and one ends it, so that no n-gram depends on the text before."""
+    low = ["\n\n" + t.lower() + "\n" for t in texts]
     ends = np.zeros(len(texts) + 1, np.int64)
     np.cumsum([len(t) for t in low], out=ends[1:])
     c = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -94,36 +95,13 @@ def fit(spark: SparkSession, labelled: DataFrame, text_col: str = "text", lang_c
                 for g in grams(c):
                     n = np.bincount(g + 1, minlength=SLOTS + 1)[1:]
                     held[lang] = held[lang] + n if lang in held else n
-        for lang, n in held.items():
-            k = range(SLOTS // SLICE)
-            yield pa.record_batch([pa.array([lang] * len(k)), pa.array(k, pa.int32()), pa.array([rows[lang] if i == 0 else 0 for i in k], pa.int64()), pa.array([n[i * SLICE : (i + 1) * SLICE].astype(np.int64).tobytes() for i in k])], ["lang", "slice", "n", "data"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, total, n = None, None, 0
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([key[0]]), pa.array([key[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()])], ["lang", "slice", "n", "data"])
-
-        for x in batches:
-            for lang, k, m, data in zip(*(x.column(j).to_pylist() for j in range(4))):
-                if (lang, k) != key:
-                    if key:
-                        yield out()
-                    key, total, n = (lang, k), np.zeros(SLICE, np.int64), 0
-                total = total + np.frombuffer(data, np.int64)
-                n += m
-        if key:
-            yield out()
-
-    schema = "lang string, slice int, n long, data binary"
-    counted = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null").mapInArrow(count, schema)
-    slices = counted.repartition(buckets(spark), "lang", "slice").sortWithinPartitions("lang", "slice").mapInArrow(add, schema).collect()
-    langs = sorted({r.lang for r in slices})
-    n, rows = np.zeros((SLOTS, len(langs))), np.zeros(len(langs))
-    for r in slices:
-        k = langs.index(r.lang)
-        n[r.slice * SLICE : (r.slice + 1) * SLICE, k] = np.frombuffer(r.data, np.int64)
-        rows[k] += r.n
+        yield from sums.send({lang: np.append(n, np.bincount([0], [rows[lang]], minlength=sums.SLICE)) for lang, n in held.items()})
+
+    counted = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("lang is not null and text is not null").mapInArrow(count, sums.SCHEMA)
+    found = sums.collect(counted)
+    langs = sorted(found)
+    n = np.array([found[x][:SLOTS] for x in langs], np.float64).reshape(len(langs), SLOTS).T
+    rows = np.array([found[x][SLOTS] for x in langs], np.float64)  # the rows' number stands behind the slots
     with np.errstate(divide="ignore"):
         return langs, np.log(rows / max(rows.sum(), 1)), np.log((n + SMOOTH) / (n.sum(axis=0) + SMOOTH * SLOTS)).astype(np.float32)
 
