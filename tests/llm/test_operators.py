@@ -70,6 +70,14 @@ def test_repeats_null_and_repeated_ids(spark, op):
     assert op.dedup(spark, docs(spark, [])).count() == 0
 
 
+def test_whole_characters_are_kept():
+    for t in ("aé漢😀b", "é", "", "😀"):
+        raw_ = t.encode()
+        for i in range(len(raw_) + 1):
+            for j in range(i, len(raw_) + 1):
+                assert op4_suffix.characters(raw_[i:j]) == raw_[i:j].decode("utf-8", "ignore").encode()
+
+
 def test_merge_orders_suffixes_and_common_prefixes():
     strings = [b"banana", b"ananas", b"bandana"]
     step, passes = 1, 4
@@ -137,6 +145,50 @@ def test_links_of_dense_groups(spark, large):
     assert {x: comp.get(x, x) for x in signed} == {x: top(x) for x in signed}
 
 
+def test_pivots_name_the_bits_of_their_blocks():
+    r = np.random.default_rng(5)
+    fp = np.unique(r.integers(0, 1 << 64, 3000, dtype=np.uint64) & np.uint64(0xF00F00F00F0000FF))
+    for pivots in (op7_simhash.whole(3), op7_simhash.Pivots(np.array([0, 1, 5, 6, 7, 44, 47, 60]), 3)):
+        names = pivots.names(pivots.table(fp))
+        for block, name in zip(pivots.blocks, names.T):
+            bits = fp & np.uint64(sum(1 << int(b) for b in block))
+            assert len(np.unique(bits)) == len(np.unique(name)) == len(np.unique(np.stack([bits, name]), axis=1).T)
+    assert len(op7_simhash.whole(3).references) == 65
+
+
+def test_near_copies_equal_brute_force(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefg", k=4))
+    base = [[word() for _ in range(r.randint(40, 200))] for _ in range(30)]
+    texts = []
+    for b in base:
+        for _ in range(r.randint(1, 5)):
+            w = list(b)
+            for _ in range(r.randint(0, len(w) // 25)):
+                w[r.randrange(len(w))] = word()
+            texts.append(" ".join(w).upper() if r.random() < 0.2 else " ".join(w))
+    texts += ["", None, "one two", "One  two", "one two three", base[0][0]]
+    got = {x.doc_id: x.component_id for x in op7_simhash.near_copies(spark, docs(spark, texts)).collect()}
+    want = op7_simhash.brute_copies(raw(texts))
+    assert all(want[i] == want[c] for i, c in got.items())  # no link below the similarity
+    assert sum(got[i] != c for i, c in want.items()) <= 0.03 * len(texts)
+    assert op7_simhash.near_copies(spark, docs(spark, [])).count() == 0
+
+
+def test_a_large_group_of_near_copies_and_a_hot_fingerprint(spark):
+    r = random.Random(13)
+    base = ["".join(r.choices("abcdefg", k=5)) for _ in range(150)]
+    texts = []
+    for _ in range(300):
+        w = list(base)
+        w[r.randrange(150)] = "other"
+        texts.append(" ".join(w))
+    rows = op7_simhash.near_copies(spark, docs(spark, texts + ["a b c d e f"] * 5000)).groupBy("component_id").count().collect()
+    assert sorted((x.component_id, x["count"]) for x in rows) == [(0, 300), (300, 5000)]
+    rows = op7_simhash.near_duplicates(spark, docs(spark, ["a b c d e f"] * 5000 + ["z"])).groupBy("component_id").count().collect()
+    assert sorted((x.component_id, x["count"]) for x in rows) == [(0, 5000), (5000, 1)]
+
+
 def test_fingerprint_of_nothing_and_null_ids(spark):
     rows = op7_simhash.near_duplicates(spark, docs(spark, [None, "", "  ", "z"], [4, 2, None, None])).collect()
     assert sorted((r.fingerprint, r.component_id or 0) for r in rows)[:3] == [("0" * 16, 2)] * 3

@@ -73,7 +73,7 @@ def test_pivots_never_discard_a_link(fps):
     fps += [x ^ 1 << (x % 64) for x in fps]
     fp = np.unique(np.array(fps, np.uint64))
     i, j = np.triu_indices(len(fp), 1)
-    kept = op7_simhash.survive(op7_simhash.pivot_table(fp), fp, i, j, 3)
+    kept = op7_simhash.survive(op7_simhash.whole(3).table(fp), fp, i, j, 3)
     assert set(kept.tolist()) == set(np.flatnonzero(np.bitwise_count(fp[i] ^ fp[j]) <= 3).tolist())
 
 

@@ -145,7 +145,20 @@ def judge(length: int, n_shards: int = SHARDS):
     return run
 
 
-def finish(length: int):
+def characters(piece: bytes) -> bytes:
+    """The piece of a UTF-8 text without the parts of characters at its ends."""
+    lo, hi = 0, len(piece)
+    while lo < hi and piece[lo] & 0xC0 == 0x80:
+        lo += 1
+    at = hi - 1
+    while at >= lo and piece[at] & 0xC0 == 0x80:
+        at -= 1
+    if at >= lo and piece[at] >= 0xC0 and hi - at < 2 + (piece[at] >= 0xE0) + (piece[at] >= 0xF0):
+        hi = at
+    return piece[lo:hi]
+
+
+def finish(length: int, whole: bool = False):
     def run(ids: list[int], texts: list[bytes], nulls: list[bool], extras: list[bytes], spans: dict) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in ARROW]
         for i, t, null, extra in zip(ids, texts, nulls, extras):
@@ -156,17 +169,21 @@ def finish(length: int):
                 gone[1:-1] = repeats.covered(len(t), length, *x)
                 turn = np.diff(gone)
                 starts, stops = np.flatnonzero(turn == 1).tolist(), np.flatnonzero(turn == -1).tolist()
-                kept = b"".join(t[a:b] for a, b in zip([0, *stops], [*starts, len(t)]))
-            for k, v in enumerate((None if null else i, len(t), len(t) - len(kept), len(starts), starts, stops, kept, extra.decode())):
+                pieces = [t[a:b] for a, b in zip([0, *stops], [*starts, len(t)])]
+                kept = b"".join(map(characters, pieces) if whole else pieces)
+            for k, v in enumerate((None if null else i, len(t), sum(stops) - sum(starts), len(starts), starts, stops, kept, extra.decode())):
                 out[k].append(v)
         yield pa.record_batch([pa.array(v, f.type) for v, f in zip(out, ARROW)], schema=ARROW)
 
     return run
 
 
-def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per text: its bytes, how many were removed in how many spans, the spans, and the bytes kept; ``extra``: the columns to carry, as JSON."""
-    return repeats.find(spark, docs, id_col, text_col, Rule(False, length, min(gram, length)), judge(length), finish(length), SCHEMA, carry)
+def dedup(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, carry: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Per text: its bytes, how many were removed in how many spans, the spans, and the bytes kept; ``extra``: the columns to carry, as JSON.
+
+    With ``whole`` the parts of characters that a cut leaves go from ``kept`` too.
+    """
+    return repeats.find(spark, docs, id_col, text_col, Rule(False, length, min(gram, length)), judge(length), finish(length, whole), SCHEMA, carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,20 +4,32 @@ A text's fingerprint has bit i set if over half of its shingles' hashes have.
 Fingerprints link at ``distance`` or fewer differing bits; a text's component
 is the smallest doc_id reachable over links.
 
-Only distinct fingerprints are compared. They meet by blocks of bits: the 64
-bits are cut into ``distance + 2`` blocks, and two that differ in at most
-``distance`` bits agree in two blocks at least, so each pair of blocks is a
-key. Inside a key's group every fingerprint has its row of the pivot table, the
-Hamming distances to ``PIVOTS`` reference fingerprints; a pair whose rows
-differ by more than ``distance`` anywhere can't link and is discarded, and the
-survivors are verified bit by bit. Small groups yield their links, large ones a
-spanning forest of them (linear in the group, found by search among what is
-not yet reached); groups beyond ``LARGE`` are dealt out once more by blocks of
-the bits on which their key says nothing. No pair is lost and none is capped.
+Only distinct fingerprints are compared, and all that is compared comes from
+their pivot table: the Hamming distances to reference fingerprints. The
+references are zero and, for each of ``distance + 2`` blocks of bits, as many
+others within the block as it has bits (65 in all). A distance less the
+distance to zero depends on one block alone, and the block's differences
+together name its bits. Two fingerprints that link agree in two blocks at
+least, hence in two blocks' coordinates: each pair of blocks' coordinates is a
+key under which they meet (bands of single coordinates would not do: a
+coordinate of random fingerprints differs by 3 or less in 46 of 100 pairs).
+Under a key, a pair whose rows of the table differ by more than ``distance``
+anywhere is discarded, and the survivors are verified bit by bit. Small groups
+yield their links, large ones a spanning forest of them (found by search among
+what is not yet reached). Groups beyond ``LARGE`` are dealt out again, by
+references within blocks of the bits in which they differ, until none is left.
+No pair is lost and none is capped.
 
 Components are found by alternating large-star and small-star steps over the
 link table, checkpointed in the shared folder.
 
+``near_copies`` is the same for texts that differ in more than a few bits: a
+link is a cosine of at least ``similarity`` between the sets of shingles. Its
+fingerprints have 256 bits, candidates agree in one of many samples of bits
+(enough that ``RECALL`` of the pairs just at the threshold meet), and each is
+verified on the sets. At so wide a radius pivots discard nothing, so there is
+no table; what is found below a recall of 1 is measured in the README.
+
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle; repeated rows are rows of
 one component; a null doc_id never names a component unless no other id is in
@@ -26,24 +38,29 @@ it; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import units
-from weftline.llm.repeats import ARROW, CHECK, KNOWN, SCHEMA, bucket_of, by_bucket, groups, pack, rows, unpack, words_of
+from weftline.llm.repeats import CHECK, KNOWN, SCHEMA, bucket_of, by_bucket, groups, pack, rows, text_slices, unpack, words_of
 from weftline.session import bounded_batches, buckets, checkpointed, table
 
 U64 = np.uint64
-SHINGLE, SEED, DISTANCE, PIVOTS = 3, 42, 3, 16
+SHINGLE, SEED, DISTANCE = 3, 42, 3
 SMALL, LARGE = 16, 8192
-REFERENCES = units.mix(np.arange(101, 101 + PIVOTS, dtype=U64) * units._ODD)
 CHUNK = 1 << 16
+#: Rows of one fingerprint beyond a share of 1 / HOT are dealt over SALTS tasks.
+HOT, SALTS = 256, 64
+#: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group, bits of the bitmap of texts in pairs.
+WIDE, RECALL, FAN, BITS = 4, 0.95, 64, 1 << 24
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -93,24 +110,46 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, schema)
 
 
-def blocks(n: int, bits: np.ndarray) -> list[int]:
-    """The given bit places cut into n blocks, as masks."""
-    return [sum(1 << int(b) for b in x) for x in np.array_split(bits, n)]
+class Pivots:
+    """Reference fingerprints within blocks of the given bit places, and what their distances tell."""
+
+    def __init__(self, places: np.ndarray, n_blocks: int):
+        self.blocks = [x for x in np.array_split(places, n_blocks) if len(x)]
+        own = []
+        for x in self.blocks:
+            for j in range(len(x)):  # the j-th has bit j and some before it, so the distances name the bits one after the other
+                some = int(units.mix(np.array([int(x[j]) * 64 + j + 1], U64))[0])
+                own.append(sum(1 << int(b) for i, b in enumerate(x[: j + 1]) if i == j or some >> i & 1))
+        self.references = np.array([0, *own], U64)
+        self.cuts = np.cumsum([1, *map(len, self.blocks)])
+
+    def table(self, fp: np.ndarray) -> np.ndarray:
+        """Each fingerprint's distances to the references."""
+        return np.bitwise_count(fp[:, None] ^ self.references[None, :]).astype(np.int8)
+
+    def names(self, table: np.ndarray) -> np.ndarray:
+        """For each block a hash of its coordinates less the distance to zero."""
+        rest = (table[:, 1:] - table[:, :1] + 64).astype(U64)
+        odd = np.multiply.accumulate(np.full(rest.shape[1], units._ODD))
+        return np.stack([units.mix((rest[:, i - 1 : j - 1] * odd[i - 1 : j - 1]).sum(axis=1) + U64(i)) for i, j in zip(self.cuts, self.cuts[1:])], axis=1)
 
 
-def pivot_table(fp: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(fp[:, None] ^ REFERENCES[None, :]).astype(np.int8)
+def whole(distance: int) -> Pivots:
+    return Pivots(np.arange(64), distance + 2)
 
 
 def survive(table: np.ndarray, fp: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
     """Of the pairs (i, j): discards by the greatest coordinate difference, then verifies."""
-    ok = np.flatnonzero(np.abs(table[i] - table[j]).max(axis=1) <= distance)
+    ok = np.arange(len(i))
+    for lo in range(0, table.shape[1], 13):  # some coordinates at a time: most pairs part early
+        part = table[:, lo : lo + 13]
+        ok = ok[np.abs(part[i[ok]] - part[j[ok]]).max(axis=1, initial=0) <= distance]
     return ok[np.bitwise_count(fp[i[ok]] ^ fp[j[ok]]) <= distance]
 
 
 def forest(fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links among distinct fingerprints."""
-    coords = pivot_table(fp)
+    coords = whole(distance).table(fp)
     at = np.argsort(coords[:, 0], kind="stable")
     fp, coords = fp[at], coords[at]
     rest, a, b = np.arange(len(fp)), [], []
@@ -139,7 +178,7 @@ def group_links(fp: np.ndarray, key: np.ndarray, distance: int, large: int | Non
     mine = np.repeat(size <= SMALL, size) & np.repeat(size > 1, size)
     a, b, later = [], [], []
     small, k = fp[mine], key[mine]
-    coords = pivot_table(small)
+    coords = whole(distance).table(small)
     for lag in range(1, SMALL):
         i = np.flatnonzero(k[lag:] == k[:-lag]) if lag < len(k) else np.zeros(0, np.int64)
         if not len(i):
@@ -162,41 +201,30 @@ def group_links(fp: np.ndarray, key: np.ndarray, distance: int, large: int | Non
 def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, large: int = LARGE) -> DataFrame:
     """Links (a, b) among distinct fingerprints (fp long) that have the same components as all links."""
     n = buckets(spark)
-    masks = blocks(distance + 2, np.arange(64))
-    keys = [x | y for x, y in combinations(masks, 2)]
 
-    def deal(fp: np.ndarray, masks: list[int], salt: np.ndarray | int) -> Iterator[pa.RecordBatch]:
-        for m in masks:
-            b = bucket_of(units.mix((fp & U64(m)) ^ U64(m * 0x9E3779B97F4A7C15 % (1 << 64)) ^ salt) >> U64(24), n)
-            yield from by_bucket(b, CHECK, fp=fp, mask=np.full(len(fp), m, U64), salt=np.broadcast_to(np.asarray(salt, U64), fp.shape))
+    def deal(fp: np.ndarray, key: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield from by_bucket(bucket_of(key >> U64(24), n), CHECK, fp=fp, key=key)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = whole(distance)
         for x in batches:
-            yield from deal(x.column(0).to_numpy().view(U64), keys, U64(0))
-
-    def meet(limit: int | None):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for bucket, own in groups(batches):
-                blobs = []
-                for kind, _, data in own:
-                    if kind == KNOWN:
-                        yield rows([bucket], KNOWN, [0], [data])
-                    else:
-                        blobs.append(data)
-                if not blobs:
-                    continue
-                x = unpack(blobs, fp=U64, mask=U64, salt=U64)
-                for salt in np.unique(x["salt"]).tolist():
-                    for mask in np.unique(x["mask"][x["salt"] == U64(salt)]).tolist():
-                        fp = np.unique(x["fp"][(x["mask"] == U64(mask)) & (x["salt"] == U64(salt))])
-                        a, b, later = group_links(fp, fp & U64(mask), distance, limit)
-                        if len(a):
-                            yield rows([bucket], KNOWN, [0], [pack(a=a, b=b)])
-                        for g in later:
-                            free = np.array([i for i in range(64) if not mask >> i & 1])
-                            yield from deal(g, blocks(min(distance + 1, len(free)), free), units.mix(np.array([mask], U64) ^ (g[:1] & U64(mask)))[0] | U64(1))
-
-        return run
+            fp = x.column(0).to_numpy().view(U64)
+            name = pivots.names(pivots.table(fp))
+            for i, j in combinations(range(name.shape[1]), 2):
+                yield from deal(fp, units.mix(name[:, i] * units._ODD + name[:, j]))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, own in groups(batches):
+            x = unpack([data for _, _, data in own], fp=U64, key=U64)
+            both = np.unique(np.stack([x["key"], x["fp"]], axis=1), axis=0)
+            a, b, later = group_links(both[:, 1], both[:, 0], distance, large)
+            if len(a):
+                yield rows([bucket], KNOWN, [0], [pack(a=a, b=b)])
+            for g in later:
+                free = np.array([i for i in range(64) if int(np.bitwise_or.reduce(g ^ g[0])) >> i & 1])
+                pivots = Pivots(free, min(distance + 1, len(free)))
+                for name in pivots.names(pivots.table(g)).T:
+                    yield from deal(g, units.mix(name * units._ODD + g[0]))
 
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -204,11 +232,13 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, la
             if len(e["a"]):
                 yield pa.record_batch([pa.array(np.minimum(e["a"], e["b"])), pa.array(np.maximum(e["a"], e["b"]))], ["a", "b"])
 
-    def exchange(df: DataFrame) -> DataFrame:
-        return df.repartition(n, "b").sortWithinPartitions("b", "kind")
-
-    first = exchange(distinct.select("fp").mapInArrow(send, SCHEMA)).mapInArrow(meet(large), SCHEMA)
-    return exchange(first).mapInArrow(meet(None), SCHEMA).mapInArrow(out, "a long, b long")
+    found, sent = [], distinct.select("fp").mapInArrow(send, SCHEMA)
+    while True:
+        met = checkpointed(spark, sent.repartition(n, "b").sortWithinPartitions("b", "kind").mapInArrow(meet, SCHEMA))
+        found.append(met.filter(F.col("kind") == KNOWN).mapInArrow(out, "a long, b long"))
+        sent = met.filter(F.col("kind") == CHECK)
+        if sent.isEmpty():
+            return reduce(DataFrame.unionAll, found)
 
 
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -235,17 +265,201 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def labelled(spark: SparkSession, prints: DataFrame, edges: DataFrame, distinct: DataFrame) -> DataFrame:
+    """The prints with component_id, the smallest doc_id (least) among the fingerprints that their edges reach, and cluster, one of those fingerprints."""
+    nodes = components(spark, edges)
+    linked = nodes.join(distinct.select(F.col("fp").alias("node"), "least"), "node").select("root", "least").union(nodes.select(F.col("root").alias("fp")).distinct().join(distinct.select("fp", "least"), "fp"))
+    label = linked.groupBy("root").agg(F.min("least").alias("label"))
+    of = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root").join(label, "root")
+    named = distinct.join(of, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"), F.coalesce("root", "fp").alias("cluster"))
+    # a fingerprint that many rows have is dealt over SALTS tasks; there are at most HOT such
+    limit = max(4096, (distinct.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.col("fp").isin([r.fp for r in distinct.filter(F.col("n") > limit).select("fp").collect()])
+    named = named.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    return prints.withColumn("_salt", salt).join(named, ["fp", "_salt"]).drop("_salt")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, seed: int = SEED, distance: int = DISTANCE, carry: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, fingerprint (hex), component_id, and the columns to carry."""
     bounded_batches(spark)
     prints = checkpointed(spark, fingerprints(docs, id_col, text_col, k, seed, carry))
-    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    nodes = components(spark, links(spark, distinct, distance))
-    linked = nodes.join(distinct.withColumnRenamed("fp", "node"), "node").select("root", "least").union(nodes.select(F.col("root").alias("fp")).distinct().join(distinct, "fp"))
-    label = linked.groupBy("root").agg(F.min("least").alias("label"))
-    of = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root").join(label, "root").select("fp", "label")
-    named = distinct.join(of, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
+    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    named = labelled(spark, prints, links(spark, distinct, distance), distinct)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
+
+
+def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles' hashes of the texts, sorted text by text, and where each text's begin."""
+    u, first = units.word_units([t.translate(units.LOWER) for t in texts])
+    size = np.diff(first)
+    n = np.maximum(size - k + 1, 0)
+    owner, h = [np.repeat(np.arange(len(texts)), n)], [units.gram_hashes(u, k)[np.repeat(first[:-1], n) + units.ramp(n)] if n.any() else np.zeros(0, U64)]
+    for m in range(1, k):
+        short = np.flatnonzero(size == m)
+        if len(short):
+            owner.append(short)
+            h.append(units.gram_hashes(u, m)[first[short]])
+    owner, h = np.concatenate(owner), np.concatenate(h)
+    at = np.lexsort((h, owner))
+    owner, h = owner[at], h[at]
+    new = np.ones(len(h), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
+    return h[new], np.searchsorted(owner[new], np.arange(len(texts) + 1))
+
+
+def wide_prints(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprints of WIDE words each from sets of hashes."""
+    out = np.zeros((len(ends) - 1, WIDE), U64)
+    size = np.diff(ends)
+    at = np.flatnonzero(size)
+    ones = np.zeros((len(at), 64 * WIDE), np.int64)
+    owner = np.repeat(np.arange(len(at)), size[at])
+    for lo in range(0, len(h), CHUNK // WIDE):
+        part, own = h[lo : lo + CHUNK // WIDE], owner[lo : lo + CHUNK // WIDE]
+        many = np.stack([units.mix(part * U64(2 * w + 3) + U64(w)) for w in range(WIDE)], axis=1)
+        bits = np.unpackbits(many.view(np.uint8), axis=1, bitorder="little")
+        begin = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        ones[own[begin]] += np.add.reduceat(bits, begin, axis=0, dtype=np.int32)
+    out[at] = np.packbits((2 * ones > size[at][:, None]).astype(np.uint8), axis=1, bitorder="little").view(U64)
+    return out
+
+
+def samples(n: int, similarity: float) -> np.ndarray:
+    """Which bits each table of candidates looks at, for n fingerprints: about 64 share a key, RECALL of the pairs at the similarity meet."""
+    agree = 1 - math.acos(similarity) / math.pi
+    r = min(24, max(10, round(math.log2(max(1, n) / 64))))
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**r))
+    order = np.random.default_rng(SEED)
+    return np.array([order.choice(64 * WIDE, r, replace=False) for _ in range(tables)])
+
+
+def tree(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
+    """Links (indices) that reach all that is reachable within the radius; of many near one, some are linked to others near it instead."""
+    rest, a, b = np.arange(len(fp)), [], []
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            q = queue.pop()
+            near = rest[np.bitwise_count(fp[rest] ^ fp[q]).sum(axis=1, dtype=np.int64) <= radius]
+            hub = np.full(len(near), q)
+            for lo in range(FAN, len(near), FAN):
+                part, other = near[lo : lo + FAN], near[lo // FAN - 1]
+                ok = np.bitwise_count(fp[part] ^ fp[other]).sum(axis=1, dtype=np.int64) <= radius
+                hub[lo : lo + FAN][ok] = other
+            a += hub.tolist()
+            b += near.tolist()
+            queue += near.tolist()
+            rest = np.setdiff1d(rest, near, assume_unique=True)
+    return a, b
+
+
+def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of wide fingerprints (fp binary) that may be that similar."""
+    n, parts = distinct.count(), buckets(spark)
+    chosen = samples(n, similarity)
+    weight = (1 << np.arange(chosen.shape[1])).astype(np.int64)
+    agree = math.acos(similarity) / math.pi
+    radius = math.floor(64 * WIDE * agree + 3 * math.sqrt(64 * WIDE * agree * (1 - agree)))
+    words = [f"f{w}" for w in range(WIDE)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_ in batches:
+            for lo in range(0, whole_.num_rows, 4096):
+                x = whole_.slice(lo, 4096)
+                raw = np.frombuffer(b"".join(x.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
+                bits, fp = np.unpackbits(raw, axis=1, bitorder="little"), raw.view(U64)
+                key = np.concatenate([units.mix((bits[:, c] @ weight).astype(U64) * U64(4096) + U64(t + 1)) for t, c in enumerate(chosen)])
+                every = np.tile(fp, (len(chosen), 1))
+                yield from by_bucket(bucket_of(key >> U64(24), parts), CHECK, key=key, **{w: every[:, k] for k, w in enumerate(words)})
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groups(batches):
+            x = unpack([data for _, _, data in own], key=U64, **dict.fromkeys(words, U64))
+            at = np.lexsort((x["f0"], x["key"]))
+            key, fp = x["key"][at], np.stack([x[w][at] for w in words], axis=1)
+            del x
+            begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.append(begin, len(key)))
+            a, b = [], []
+            few = np.repeat(size <= 4 * SMALL, size)
+            for lag in range(1, 4 * SMALL):
+                i = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:]) if lag < len(key) else np.zeros(0, np.int64)
+                if not len(i):
+                    break
+                i = i[np.bitwise_count(fp[i] ^ fp[i + lag]).sum(axis=1, dtype=np.int64) <= radius]
+                a.append(fp[i])
+                b.append(fp[i + lag])
+            for g in np.flatnonzero(size > 4 * SMALL):
+                group = fp[begin[g] : begin[g] + size[g]]
+                i, j = tree(group, radius)
+                a.append(group[i])
+                b.append(group[j])
+            if sum(map(len, a)):
+                both = np.unique(np.concatenate([np.concatenate(a).view(np.uint8), np.concatenate(b).view(np.uint8)], axis=1), axis=0)
+                out = [[r.tobytes() for r in np.ascontiguousarray(both[:, k * 8 * WIDE : (k + 1) * 8 * WIDE])] for k in range(2)]
+                yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
+
+    sent = distinct.select("fp").mapInArrow(send, SCHEMA)
+    met = sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a binary, b binary")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows apart by their id and, within one, by their text."""
+    text = F.col(text_col).cast("binary")
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(text)), F.octet_length(text).cast("string"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Per row: doc_id, row_key, component_id, cluster. Equal rows have one row_key, made of id and text; a cluster names its component even if no id does."""
+    bounded_batches(spark)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
+
+    def sets(keep: np.ndarray | None):
+        """Fingerprints of all rows, or the sets of those whose key's bit is kept."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                if keep is not None:
+                    bit = x.column(3).to_numpy()
+                    x = x.take(pa.array(np.flatnonzero(keep[bit >> 3] >> (bit & 7) & 1)))
+                for part, texts in text_slices(iter([x]), 2):
+                    h, ends = shingle_sets(texts, k)
+                    if keep is None:
+                        fp = [r.tobytes() for r in wide_prints(h, ends)]
+                        yield pa.record_batch([part.column(0), part.column(1), pa.array(fp, pa.binary())], ["doc_id", "row_key", "fp"])
+                    else:
+                        small = (h >> U64(31)).astype(np.uint32)
+                        own = [np.unique(small[i:j]).tobytes() for i, j in zip(ends, ends[1:])]
+                        yield pa.record_batch([part.column(1), pa.array(own, pa.binary())], ["row_key", "own"])
+
+        return run
+
+    prints = checkpointed(spark, source.mapInArrow(sets(None), "doc_id long, row_key string, fp binary"))
+    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.count("*").alias("n")))
+    pairs = candidates(spark, distinct, similarity)
+    of = distinct.select("fp", "row_key")
+    pairs = checkpointed(spark, pairs.join(of.toDF("a", "a_key"), "a").join(of.toDF("b", "b_key"), "b"))
+    bit = F.pmod(F.xxhash64("row_key"), F.lit(BITS))
+    ends = pairs.select(F.col("a_key").alias("row_key")).union(pairs.select("b_key"))
+    keep = np.zeros(BITS // 8, np.uint8)  # a bitmap of a fixed size, so that only texts in pairs are taken apart again
+    for r in ends.select(bit.alias("bit")).groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS int)))").alias("on")).toLocalIterator():
+        keep[r.byte] = r.on
+    own = source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            ok = []
+            for i, (p, q) in enumerate(zip(x.column(2), x.column(3))):
+                p, q = np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)
+                same = len(np.intersect1d(p, q, assume_unique=True))
+                if 0 < same >= similarity * math.sqrt(len(p) * len(q)):
+                    ok.append(i)
+            yield x.select(["a", "b"]).take(pa.array(ok, pa.int64()))
+
+    sized = pairs.join(own.toDF("a_key", "p"), "a_key").join(own.toDF("b_key", "q"), "b_key").select("a", "b", "p", "q")
+    return labelled(spark, prints, sized.mapInArrow(verify, "a binary, b binary"), distinct).select("doc_id", "row_key", "component_id", "cluster")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -273,3 +487,23 @@ def brute(texts: list[tuple[int, bytes]], distance: int = DISTANCE) -> list[tupl
     for i, (d, _) in enumerate(texts):
         least[top(i)] = min(d, least.get(top(i), d))
     return [(d, f"{fp[i]:016x}", least[top(i)]) for i, (d, _) in enumerate(texts)]
+
+
+def brute_copies(texts: list[tuple[int, bytes]], k: int = 5, similarity: float = 0.8) -> dict[int, int]:
+    """Component of every text by the exact cosine of shingle sets, all pairs; for tests and recall."""
+    own = []
+    for _, t in texts:
+        w = words_of(t.translate(units.LOWER))
+        own.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    root = list(range(len(texts)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if own[i] == own[j] or 0 < len(own[i] & own[j]) >= similarity * math.sqrt(len(own[i]) * len(own[j])):
+            a, b = sorted((top(i), top(j)), key=lambda x: texts[x][0])
+            root[b] = a
+    return {d: texts[top(i)][0] for i, (d, _) in enumerate(texts)}
