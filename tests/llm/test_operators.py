@@ -232,9 +232,8 @@ def test_lexicon_is_minimal_and_numbers_its_words(tmp_path):
     uri = op3_bpe.write_lexicon(op3_bpe.compile_lexicon(words), f"file://{tmp_path}")
     a = op3_bpe.map_lexicon(uri)
     e = op3_bpe.Encoder.__new__(op3_bpe.Encoder)
-    first = a["first"].astype(np.int64)
-    e.arc = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | a["label"]
-    e.target, e.plus, e.final, e.root = a["target"].astype(np.int64), a["add"].astype(np.int64), a["final"] > 0, int(a["root"][0])
+    e.arc, e.target, e.plus, e.final, e.root = a["arc"], a["target"], a["add"], a["final"], int(a["root"][0])
+    assert not e.arc.flags.owndata and not e.arc.flags.writeable  # a view of the mapped file
 
     def find(asked):
         letters, size = np.zeros((len(asked), 12), np.uint8), np.array([len(w) for w in asked])
@@ -251,9 +250,23 @@ def test_lexicon_is_minimal_and_numbers_its_words(tmp_path):
     assert len(a["final"]) == len(right)
 
 
+def test_added_tokens_and_what_stands_beside_them():
+    public = pytest.importorskip("public_tokenizers")
+    import json
+
+    from tokenizers import AddedToken, Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    t.add_tokens([AddedToken("<l>", lstrip=True, normalized=False), AddedToken("<r>", rstrip=True, normalized=False), AddedToken("solo", single_word=True, normalized=False)])
+    v = op3_bpe.Vocabulary(t.to_str())
+    e = op3_bpe.Encoder(v, op3_bpe.compile_lexicon({b" the": v.merge(b" the")}))
+    for x in ["a  <l> b", "a <r>  b", "solo solos a solo, xsolo", "<l><r> <l>solo", "<|endoftext|> solo", "plain", " \n<l>", json.dumps("é<r>\t\n z")]:
+        assert np.frombuffer(e.encode(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, x
+
+
 def test_merging_together_equals_merging_alone():
     public = pytest.importorskip("public_tokenizers")
-    v = op3_bpe.Vocabulary(public.path("byte_bpe_50k.json"))
+    v = op3_bpe.read_vocabulary(public.path("byte_bpe_50k.json"))
     e = op3_bpe.Encoder(v, op3_bpe.compile_lexicon({b" the": v.merge(b" the")}))
     r = random.Random(9)
     words = {"".join(r.choice("aeiou th ng é st zzz ".split(" ")) + r.choice("aab ") for _ in range(r.randint(1, 25))) for _ in range(3000)} | {"a", " the", "é" * 30}

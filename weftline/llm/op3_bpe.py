@@ -50,6 +50,11 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def read_vocabulary(path: str) -> Vocabulary:
+    with open(path, encoding="utf-8") as f:
+        return Vocabulary(f.read())
+
+
 def pretokens(text: str) -> list[str]:
     return PATTERN.findall(text) if SLOW.search(text) else FAST.findall(text)
 
@@ -64,8 +69,8 @@ def byte_letters() -> list[str]:
 class Vocabulary:
     """Ids, ranks of merges, and tokens' bytes of a tokenizers file."""
 
-    def __init__(self, path: str):
-        spec = json.load(open(path, encoding="utf-8"))
+    def __init__(self, text: str | bytes):
+        spec = json.loads(text)
         vocab, self.special = spec["model"]["vocab"], {x["content"]: x["id"] for x in spec["added_tokens"]}
         letters = byte_letters()
         back = {c: b for b, c in enumerate(letters)}
@@ -79,7 +84,25 @@ class Vocabulary:
         for rank, x in enumerate(spec["model"]["merges"]):
             a, b = x.split(" ") if isinstance(x, str) else x
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.split = re.compile("|".join(self._added(x) for x in sorted(spec["added_tokens"], key=lambda x: -len(x["content"])))) if self.special else None
+
+    @staticmethod
+    def _added(x: dict) -> str:
+        """Where an added token stands: lstrip and rstrip take the white space beside it along, single_word wants no letters beside it."""
+        own = "(?P<t%d>%s)" % (x["id"], re.escape(x["content"]))
+        if x.get("single_word"):
+            own = rf"(?<!\w){own}(?!\w)"
+        return (r"\s*" if x.get("lstrip") else "") + own + (r"\s*" if x.get("rstrip") else "")
+
+    def parts(self, text: str) -> list[str | int]:
+        """Stretches of plain text and ids of added tokens."""
+        if self.split is None or not (found := list(self.split.finditer(text))):
+            return [text]
+        out, at = [], 0
+        for m in found:
+            out += [text[at : m.start()], int(m.lastgroup[1:])]
+            at = m.end()
+        return [*out, text[at:]]
 
     def merge(self, word: bytes) -> list[int]:
         """Applies the merges of least rank, leftmost first, until none is left."""
@@ -117,8 +140,8 @@ class Vocabulary:
 def compile_lexicon(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     """The minimal acyclic transducer of the words.
 
-    State s has the arcs first[s]..first[s+1], sorted by label; ``add`` is the
-    number of words that precede those behind the arc. Word k of the sorted
+    ``arc`` holds, sorted, source state and label of every arc in one number;
+    ``add`` is the number of words that precede those behind the arc. Word k of the sorted
     lexicon has ids[at[k]:at[k+1]].
     """
     register: dict[tuple, int] = {}
@@ -165,8 +188,8 @@ def compile_lexicon(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     at = np.zeros(len(order) + 1, np.int64)
     np.cumsum([len(words[w]) for w in order], out=at[1:])
     return {
-        "root": np.array([root], np.int32), "first": np.array(first, np.int32), "label": np.array(label, np.uint8), "target": np.array(target, np.int32), "add": np.array(add, np.int32),
-        "final": np.array([x[0] for x in states], np.uint8), "at": at.astype(np.int32), "ids": np.array([i for w in order for i in words[w]], "<u4"),
+        "root": np.array([root], np.int32), "arc": np.repeat(np.arange(len(states), dtype=np.int64), np.diff(first)) << 8 | np.array(label, np.int64), "target": np.array(target, np.int32), "add": np.array(add, np.int32),
+        "final": np.array([x[0] for x in states], bool), "at": at.astype(np.int32), "ids": np.array([i for w in order for i in words[w]], "<u4"),
     }
 
 
@@ -235,12 +258,10 @@ class Encoder(dict):
     """
 
     def __init__(self, vocabulary: Vocabulary, lexicon: dict[str, np.ndarray]):
-        self.v, self.ids = vocabulary, lexicon["ids"]
-        self.pairs, self.bytes_ids = Pairs(vocabulary.ranks), np.array(vocabulary.first, np.int32)
-        first = lexicon["first"].astype(np.int64)
-        self.arc = np.repeat(np.arange(len(first) - 1), np.diff(first)) << 8 | lexicon["label"]
-        self.target, self.plus, self.at = (lexicon[k].astype(np.int64) for k in ("target", "add", "at"))
-        self.final, self.root = lexicon["final"] > 0, int(lexicon["root"][0])
+        self.v, self.pairs, self.bytes_ids = vocabulary, Pairs(vocabulary.ranks), np.array(vocabulary.first, np.int32)
+        # the arrays as they are mapped; nothing of the lexicon is copied
+        self.ids, self.arc, self.target, self.plus, self.at, self.final = (lexicon[k] for k in ("ids", "arc", "target", "add", "at", "final"))
+        self.root = int(lexicon["root"][0])
 
     def find(self, letters: np.ndarray, size: np.ndarray) -> np.ndarray:
         """The places of words (rows of bytes) in the lexicon, or -1: all walk the automaton together."""
@@ -311,19 +332,15 @@ class Encoder(dict):
             self[words[k]] = np.array(self.v.merge(raw[k]), "<u4").tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        parts = [self.v.split.split(t) if self.v.split is not None and self.v.split.search(t) else (t,) for t in texts]
-        words = [[w for p in own for w in ((p,) if p in self.v.special else pretokens(p))] for own in parts]
+        words = [[w for p in self.v.parts(t) for w in ((p,) if isinstance(p, int) else pretokens(p))] for t in texts]
         new = set().union(*words).difference(self)
-        for t in new & self.v.special.keys():
-            self[t] = np.array([self.v.special[t]], "<u4").tobytes()
-        new -= self.v.special.keys()
         if len(self) + len(new) > CACHE:
             self.clear()
             new = set().union(*words)
-            for t in new & self.v.special.keys():
-                self[t] = np.array([self.v.special[t]], "<u4").tobytes()
-            new -= self.v.special.keys()
-        self.learn(list(new))
+        added = {w for w in new if isinstance(w, int)}
+        for w in added:
+            self[w] = np.array([w], "<u4").tobytes()
+        self.learn(list(new - added))
         out = [b"".join(map(self.__getitem__, own)) for own in words]
         if len(self) > CACHE:
             self.clear()
@@ -336,16 +353,16 @@ class Encoder(dict):
         return b"".join(map(self.v.bytes.__getitem__, memoryview(ids).cast("I"))).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+_ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(vocabulary: str, lexicon: str) -> Encoder:
-    """One for each worker process, kept over tasks."""
-    key = (vocabulary, lexicon)
-    if key not in _ENCODERS:
+def encoder(lexicon: str) -> Encoder:
+    """One for each worker process, kept over tasks. The vocabulary stands in the same file, so workers need no path but the shared folder's."""
+    if lexicon not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(Vocabulary(vocabulary), map_lexicon(lexicon))
-    return _ENCODERS[key]
+        arrays = map_lexicon(lexicon)
+        _ENCODERS[lexicon] = Encoder(Vocabulary(arrays["vocabulary"].tobytes()), arrays)
+    return _ENCODERS[lexicon]
 
 
 def text_batches(x: pa.RecordBatch, size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -382,9 +399,11 @@ def frequent_words(texts: DataFrame, most: int = LEXICON) -> list[str]:
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, text_col: str, vocabulary: str) -> str:
-    v = Vocabulary(vocabulary)
+    with open(vocabulary, "rb") as f:
+        raw = f.read()
+    v = Vocabulary(raw)
     words = {w.encode(): v.merge(w.encode()) for w in frequent_words(docs.select(F.col(text_col).cast("string").alias("text")))}
-    return write_lexicon(compile_lexicon(words), scratch(spark, "lexicon"))
+    return write_lexicon(compile_lexicon(words) | {"vocabulary": np.frombuffer(raw, np.uint8)}, scratch(spark, "lexicon"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -395,7 +414,7 @@ def encode(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(vocabulary, lexicon)
+        e = encoder(lexicon)
         for x in batches:
             for part, texts in text_batches(x):
                 out: list[list] = [[] for _ in names[1:]]
