@@ -106,6 +106,50 @@ def test_packed_buckets_fall_into_their_partitions(spark):
     for n in (1, 7, 64):
         d = spark.createDataFrame([(int(x),) for x in repeats.names(n)], "b int").select(F.expr(f"pmod(hash(b), {n})").alias("p"))
         assert [r.p for r in d.collect()] == list(range(n))
+        d = spark.createDataFrame([(int(x),) for x in repeats.names(n, 5)], "b int").select(F.expr(f"pmod(hash(b), {n})").alias("p"))
+        assert [r.p for r in d.collect()] == [i for i in range(n) for _ in range(5)] and len(set(repeats.names(n, 5).tolist())) == 5 * n
+
+
+def _runs_of_all(rule, texts, one):
+    """Every text as runs of its own, all under one minimiser if ``one``."""
+    r = rule.runs(texts, np.zeros(0, np.uint64))
+    strings = rule.cut(texts, r["ends"], r["text"], r["start"], r["n"])
+    n = len(strings)
+    x = {"value": np.zeros(n, np.uint64) if one else r["value"], "doc": r["text"].astype(np.int64), "tag": np.zeros(n, np.uint64), "start": r["start"].astype(np.int32), "n": r["n"].astype(np.int32), "twin": np.ones(n, bool) if one else r["twin"], "size": np.array([len(s) for s in strings], np.int32)}
+    return x, strings
+
+
+@pytest.mark.parametrize(("op", "length", "gram", "one", "limit"), [(op4_suffix, 100, 20, False, 1 << 19), (op4_suffix, 30, 8, True, 200), (op6_substring, 20, 4, True, 100), (op6_substring, 5, 2, False, 1 << 19)])
+def test_hot_minimisers_are_cut_anew(op, length, gram, one, limit):
+    """Judged in small parts, one minimiser holding everything: the same windows are found."""
+    rule = repeats.Rule(op is op6_substring, length, gram)
+    texts = [(t or "").encode() for t in TEXTS]
+    sizes = [len(repeats.words_of(t)) if rule.words else len(t) for t in texts]
+    gone = [np.zeros(n, bool) for n in sizes]
+    for a in repeats.settle(*_runs_of_all(rule, texts, one), rule, op.judge(length), limit):
+        for d, s, n in zip(a["doc"].tolist(), a["start"].tolist(), a["n"].tolist()):
+            gone[d][s : s + n + length - 1] = True
+    assert [int(g.sum()) for g in gone] == [r[2] for r in op.brute(raw(TEXTS), length)]
+
+
+@pytest.mark.parametrize("shards", [1, 2, 7])
+def test_transforms_alone_find_all_repeats(shards):
+    """Neither the sift by minimisers nor the dictionary of equal strings: whole texts go into the shards."""
+    texts = [t for _, t in raw(TEXTS)]
+    n = len(texts)
+    own = {"doc": np.arange(n), "tag": np.zeros(n, np.uint64), "start": np.zeros(n, np.int32)}
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for d, s, m in zip(*(x.tolist() for x in op4_suffix.judge(100, shards)(own, texts))):
+        gone[d][s : s + m + 99] = True
+    assert [int(g.sum()) for g in gone] == [r[2] for r in op4_suffix.brute(raw(TEXTS), 100)]
+
+
+def test_null_ids_are_dealt_by_their_texts(spark):
+    deal = repeats.Deal(16, 2)
+    tags = np.arange(1000, dtype=np.uint64)
+    assert len(set(deal.home(np.full(1000, repeats.NULL_ID), tags).tolist())) == 32
+    assert len(set(deal.home(np.full(1000, 7), tags).tolist())) == 1
+    assert repeats.Deal.of(spark, 40 << 30).each > repeats.Deal.of(spark, 1).each == 1
 
 
 def test_simhash_equals_brute_force(spark):

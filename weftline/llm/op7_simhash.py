@@ -46,11 +46,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import units
-from weftline.llm.repeats import CHECK, KNOWN, SCHEMA, bucket_of, by_bucket, groups, pack, rows, text_slices, unpack, words_of
+from weftline.llm import bitmap, units
+from weftline.llm.repeats import CHECK, KNOWN, SCHEMA, bucket_of, by_bucket, groups, pack, row_key, rows, text_slices, unpack, words_of
 from weftline.session import bounded_batches, buckets, checkpointed, table
 
 U64 = np.uint64
@@ -59,8 +59,8 @@ SMALL, LARGE = 16, 8192
 CHUNK = 1 << 16
 #: Rows of one fingerprint beyond a share of 1 / HOT are dealt over SALTS tasks.
 HOT, SALTS = 256, 64
-#: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group, bits of the bitmap of texts in pairs.
-WIDE, RECALL, FAN, BITS = 4, 0.95, 64, 1 << 24
+#: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group.
+WIDE, RECALL, FAN = 4, 0.95, 64
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -405,12 +405,6 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Tells rows apart by their id and, within one, by their text."""
-    text = F.col(text_col).cast("binary")
-    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(text)), F.octet_length(text).cast("string"))
-
-
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, row_key, component_id, cluster. Equal rows have one row_key, made of id and text; a cluster names its component even if no id does."""
     bounded_batches(spark)
@@ -422,8 +416,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 if keep is not None:
-                    bit = x.column(3).to_numpy()
-                    x = x.take(pa.array(np.flatnonzero(keep[bit >> 3] >> (bit & 7) & 1)))
+                    x = x.take(pa.array(np.flatnonzero(bitmap.has(keep, x.column(3).to_numpy()))))
                 for part, texts in text_slices(iter([x]), 2):
                     h, ends = shingle_sets(texts, k)
                     if keep is None:
@@ -441,11 +434,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     pairs = candidates(spark, distinct, similarity)
     of = distinct.select("fp", "row_key")
     pairs = checkpointed(spark, pairs.join(of.toDF("a", "a_key"), "a").join(of.toDF("b", "b_key"), "b"))
-    bit = F.pmod(F.xxhash64("row_key"), F.lit(BITS))
     ends = pairs.select(F.col("a_key").alias("row_key")).union(pairs.select("b_key"))
-    keep = np.zeros(BITS // 8, np.uint8)  # a bitmap of a fixed size, so that only texts in pairs are taken apart again
-    for r in ends.select(bit.alias("bit")).groupBy((F.col("bit") / 8).cast("long").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 AS int)))").alias("on")).toLocalIterator():
-        keep[r.byte] = r.on
+    bit = bitmap.bit(F.xxhash64("row_key"))
+    keep = bitmap.collect(ends.select(bit.alias("bit")))  # only texts in pairs are taken apart again
     own = source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,8 +19,11 @@ minimiser form a run (a super-k-mer). Equal windows have equal minimisers, so
    earlier; the answers go back to their texts.
 
 Packed rows are (b int, kind tinyint, doc long, data binary): b is the bucket.
-Identity of a text is (doc_id, subtag), so rows that repeat whole count as one
-text and rows that merely share an id as several; a null id sorts first.
+Identity of a text is (doc_id, subtag of 64 bits), so rows that repeat whole
+count as one text and rows that merely share an id as several; a null id sorts
+first. Memory does not grow with the input: a bucket answers for about BUCKET
+bytes of text whatever the number of partitions (several take turns in one),
+and what one minimiser gathers beyond that is cut anew and judged in parts.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import units
@@ -44,6 +47,8 @@ HEAVY = 65536
 NULL_ID = -(1 << 63)
 #: Bytes of text that are worked on at once, and runs that a map task holds before it sends them.
 BATCH, HOLD = 1 << 19, 1 << 20
+#: Bytes of text behind a bucket, and of strings that are judged at once (one minimiser's: eight times that before they are cut anew, DEEPEST times at most).
+BUCKET, PART, DEEPEST = 64 << 20, 1 << 19, 4
 LONGEST_RUN = 4096
 CHECK, KNOWN, TEXT = 0, 1, 2
 U64 = np.uint64
@@ -57,10 +62,12 @@ class Rule:
             raise ValueError("gram must be between 1 and length")
         self.words, self.length, self.gram = words, length, gram
 
-    def runs(self, texts: list[bytes], heavy: np.ndarray) -> dict[str, np.ndarray]:
-        """Runs of windows with one minimiser: text (index), start (first window, in units), n (windows), value."""
+    def runs(self, texts: list[bytes], heavy: np.ndarray, seed: int = 0) -> dict[str, np.ndarray]:
+        """Runs of windows with one minimiser: text (index), start (first window, in units), n (windows), value; by another order of grams for another seed."""
         u, ends = (units.word_units if self.words else units.byte_units)(texts)
         grams = units.gram_hashes(u, self.gram)
+        if seed:
+            grams = units.mix(grams ^ U64(seed * int(units._ODD) % (1 << 64))) >> U64(1)
         if len(heavy) and len(grams):
             grams = grams | (is_in(grams, heavy).astype(U64) << U64(63))
         least = units.window_min(grams, self.length - self.gram + 1)
@@ -151,35 +158,52 @@ def place(value: np.ndarray) -> np.ndarray:
 
 
 @cache
-def names(n: int) -> np.ndarray:
-    """An integer for each of n partitions that Spark's hash partitioning puts there, so that buckets are dealt out evenly."""
+def names(n: int, each: int = 1) -> np.ndarray:
+    """For each of n partitions ``each`` integers that Spark's hash partitioning puts there, so that buckets are dealt out evenly."""
 
     def turn(x: np.ndarray, r: int) -> np.ndarray:
         return x << np.uint32(r) | x >> np.uint32(32 - r)
 
-    out, found, lo = np.full(n, -1, np.int64), 0, 0
-    while found < n:
+    own: list[list[int]] = [[] for _ in range(n)]
+    lo, found = 0, 0
+    while found < n * each:
         x = np.arange(lo, lo + 64 * n, dtype=np.uint32)
         k = turn(x * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)  # Murmur3 of an int, seed 42
         h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
         h ^= np.uint32(4)
         for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
             h = (h ^ h >> np.uint32(shift)) * np.uint32(odd)
-        part = h.view(np.int32).astype(np.int64) % n
-        free = out[part] < 0
-        out[part[free][::-1]] = x[free][::-1]
-        found, lo = int((out >= 0).sum()), lo + 64 * n
-    return out
+        for p, y in zip((h.view(np.int32).astype(np.int64) % n).tolist(), x.tolist()):
+            if len(own[p]) < each:
+                own[p].append(y)
+                found += 1
+        lo += 64 * n
+    return np.array(own, np.int64).ravel()
 
 
-def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
-    """The name of the bucket of a 40-bit key."""
-    return names(n)[((key * U64(n)) >> U64(40)).astype(np.int64)]
+class Deal:
+    """How buckets are dealt: ``parts`` partitions of ``each`` buckets, one of which is in memory at a time."""
+
+    def __init__(self, parts: int, each: int = 1):
+        self.parts, self.each = parts, each
+
+    @staticmethod
+    def of(spark: SparkSession, size: int) -> Deal:
+        """For so many bytes of text: a bucket answers for about BUCKET of them, however few partitions there are."""
+        n = buckets(spark)
+        return Deal(n, max(1, -(-size // (n * BUCKET))))
 
+    def bucket(self, key: np.ndarray) -> np.ndarray:
+        """The name of the bucket of a 40-bit key."""
+        return names(self.parts, self.each)[((key * U64(self.parts * self.each)) >> U64(40)).astype(np.int64)]
 
-def home(doc: np.ndarray, n: int) -> np.ndarray:
-    """The bucket to which a text and all answers about it go."""
-    return bucket_of(units.mix(doc.astype(U64) * units._ODD) >> U64(24), n)
+    def home(self, doc: np.ndarray, tag: np.ndarray) -> np.ndarray:
+        """The bucket to which a text and all answers about it go; texts without an id are dealt by their tags."""
+        return self.bucket(units.mix(doc.astype(U64) * units._ODD ^ np.where(doc == NULL_ID, tag, U64(0))) >> U64(24))
+
+
+def bucket_of(key: np.ndarray, n: int) -> np.ndarray:
+    return Deal(n).bucket(key)
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -267,6 +291,12 @@ def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tu
             pass
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Tells rows apart by their id and, within one, by their text."""
+    text = F.col(text_col).cast("binary")
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.hex(F.xxhash64(text)), F.octet_length(text).cast("string"))
+
+
 def _source(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     extra = F.to_json(F.struct(*carry)).cast("binary") if carry else F.lit(b"")
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("binary").alias("data"), extra.alias("extra"))
@@ -316,7 +346,7 @@ def most_frequent(counted: DataFrame, most: int) -> DataFrame:
     return (held.filter(F.col("_class") >= low) if low is not None else held.filter(F.lit(False))).drop("_class")
 
 
-def sift(source: DataFrame, rule: Rule, heavy: np.ndarray, n: int) -> DataFrame:
+def sift(source: DataFrame, rule: Rule, heavy: np.ndarray, deal: Deal) -> DataFrame:
     """Of each text, the starts of runs whose minimiser occurs more than once; packed rows by home bucket."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,14 +361,14 @@ def sift(source: DataFrame, rule: Rule, heavy: np.ndarray, n: int) -> DataFrame:
             first = np.append(True, key[1:] != key[:-1])
             begin = np.flatnonzero(first)
             many = np.diff(np.append(begin, len(key))) > 1
-            yield from by_bucket(bucket_of(key[begin], n), CHECK, key=(key[begin] & U64(0xFFFFFFFF)).astype(np.uint32), doc=doc[begin], tag=tag[begin], start=start[begin], many=many)
+            yield from by_bucket(deal.bucket(key[begin]), CHECK, key=(key[begin] & U64(0xFFFFFFFF)).astype(np.uint32), doc=doc[begin], tag=tag[begin], start=start[begin], many=many)
             known = np.repeat(many, np.diff(np.append(begin, len(key)))) | twin
-            yield from by_bucket(home(doc[known], n), KNOWN, doc=doc[known], tag=tag[known], start=start[known])
+            yield from by_bucket(deal.home(doc[known], tag[known]), KNOWN, doc=doc[known], tag=tag[known], start=start[known])
 
         for ids, texts in text_batches(batches):
             r = rule.runs(texts, heavy)
             if len(r["text"]):
-                tags = np.array([units.subtag(t) for t in texts], np.uint32)
+                tags = np.array([units.subtag(t) for t in texts], U64)
                 held.append((r["value"], np.array(ids, np.int64)[r["text"]], tags[r["text"]], r["start"].astype(np.int32), r["twin"]))
                 size += len(r["text"])
             if size >= HOLD:
@@ -356,20 +386,20 @@ def sift(source: DataFrame, rule: Rule, heavy: np.ndarray, n: int) -> DataFrame:
                     blobs.append(data)
             if not blobs:
                 continue
-            x = unpack(blobs, key=np.uint32, doc=np.int64, tag=np.uint32, start=np.int32, many=bool)
+            x = unpack(blobs, key=np.uint32, doc=np.int64, tag=U64, start=np.int32, many=bool)
             key, at = order(x["key"].astype(U64), 32)
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(begin, len(key)))
             ask = at[np.repeat(size > 1, size)]
             ask = ask[~x["many"][ask]]
             doc = x["doc"][ask]
-            yield from by_bucket(home(doc, n), KNOWN, doc=doc, tag=x["tag"][ask], start=x["start"][ask])
+            yield from by_bucket(deal.home(doc, x["tag"][ask]), KNOWN, doc=doc, tag=x["tag"][ask], start=x["start"][ask])
 
     sent = source.mapInArrow(send, SCHEMA)
-    return sent.repartition(n, "b").sortWithinPartitions("b", "kind").mapInArrow(meet, SCHEMA)
+    return sent.repartition(deal.parts, "b").sortWithinPartitions("b", "kind").mapInArrow(meet, SCHEMA)
 
 
-def texts_home(source: DataFrame, n: int) -> DataFrame:
+def texts_home(source: DataFrame, deal: Deal) -> DataFrame:
     """Every text, compressed, at its home bucket; a null id is kept as kind TEXT + 1."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,13 +412,14 @@ def texts_home(source: DataFrame, n: int) -> DataFrame:
                 ids = [NULL_ID if i is None else i for i in ids]
                 extra = (e.as_py() for e in part.column(2))
                 data = [squeeze.compress(len(e).to_bytes(4, "little") + e + (t.as_py() or b"")) for t, e in zip(part.column(1), extra)]
-                b = home(np.array(ids, np.int64), n)
+                tags = np.array([units.subtag(t.as_py() or b"") if i == NULL_ID else 0 for i, t in zip(ids, part.column(1))], U64)
+                b = deal.home(np.array(ids, np.int64), tags)
                 yield pa.record_batch([pa.array(b, pa.int32()), pa.array(kinds, pa.int8()), pa.array(ids, pa.int64()), pa.array(data, pa.binary())], schema=ARROW)
 
     return source.mapInArrow(send, SCHEMA)
 
 
-def at_home(texts: DataFrame, answers: DataFrame, n: int, work: Callable, schema: str) -> DataFrame:
+def at_home(texts: DataFrame, answers: DataFrame, deal: Deal, work: Callable, schema: str) -> DataFrame:
     """Runs ``work(answers, texts)`` for each home bucket: the answers' packed rows and a stream of (ids, texts, nulls, extras)."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,10 +448,10 @@ def at_home(texts: DataFrame, answers: DataFrame, n: int, work: Callable, schema
 
             yield from work(blobs, stream())
 
-    return texts.unionAll(answers).repartition(n, "b").sortWithinPartitions("b", "kind").mapInArrow(meet, schema)
+    return texts.unionAll(answers).repartition(deal.parts, "b").sortWithinPartitions("b", "kind").mapInArrow(meet, schema)
 
 
-RUN = {"value": np.uint64, "doc": np.int64, "tag": np.uint32, "start": np.int32, "n": np.int32, "twin": bool, "size": np.int32}
+RUN = {"value": np.uint64, "doc": np.int64, "tag": np.uint64, "start": np.int32, "n": np.int32, "twin": bool, "size": np.int32}
 
 
 def pack_runs(value: Any, doc: Any, tag: Any, start: Any, n: Any, twin: Any, strings: list[bytes]) -> bytes:
@@ -451,10 +482,10 @@ def collapse(x: dict[str, np.ndarray], strings: list[bytes]) -> tuple[np.ndarray
     return first, cls, np.flatnonzero(~same)
 
 
-ANSWER = {"doc": np.int64, "tag": np.uint32, "start": np.int32, "n": np.int32}
+ANSWER = {"doc": np.int64, "tag": np.uint64, "start": np.int32, "n": np.int32}
 
 
-def travel(texts: DataFrame, suspects: DataFrame, rule: Rule, heavy: np.ndarray, n: int, judge: Callable) -> DataFrame:
+def travel(texts: DataFrame, suspects: DataFrame, rule: Rule, heavy: np.ndarray, deal: Deal, judge: Callable) -> DataFrame:
     """Sends the suspect runs to their buckets, lets ``judge`` find the repeats, and sends answers home.
 
     ``judge(own, strings)`` gets distinct strings with the columns RUN of their
@@ -466,7 +497,7 @@ def travel(texts: DataFrame, suspects: DataFrame, rule: Rule, heavy: np.ndarray,
         wanted = None
         for ids, raw, *_ in stream:
             if wanted is None:
-                w = unpack(blobs, doc=np.int64, tag=np.uint32, start=np.int32)
+                w = unpack(blobs, doc=np.int64, tag=U64, start=np.int32)
                 at = np.lexsort((w["start"], w["tag"], w["doc"]))
                 wanted = {k: v[at] for k, v in w.items()}
                 edges = np.flatnonzero(np.append(True, (wanted["doc"][1:] != wanted["doc"][:-1]) | (wanted["tag"][1:] != wanted["tag"][:-1]))) if len(at) else np.zeros(0, np.int64)
@@ -486,11 +517,11 @@ def travel(texts: DataFrame, suspects: DataFrame, rule: Rule, heavy: np.ndarray,
             if not len(text):
                 continue
             strings = rule.cut(raw, r["ends"], text, start, m)
-            x = {"value": value, "doc": np.array(ids, np.int64)[text], "tag": np.array(tags, np.uint32)[text], "start": start.astype(np.int32), "n": m.astype(np.int32), "twin": twin}
+            x = {"value": value, "doc": np.array(ids, np.int64)[text], "tag": np.array(tags, U64)[text], "start": start.astype(np.int32), "n": m.astype(np.int32), "twin": twin}
             first, _, again = collapse(x, strings)
             known = {k: x[k][again] for k in ANSWER}
-            yield from by_bucket(home(known["doc"], n), KNOWN, **known)
-            b = bucket_of(place(x["value"][first]), n)
+            yield from by_bucket(deal.home(known["doc"], known["tag"]), KNOWN, **known)
+            b = deal.bucket(place(x["value"][first]))
             at = np.argsort(b, kind="stable")
             cuts = np.flatnonzero(np.append(True, b[at][1:] != b[at][:-1]))
             out = []
@@ -509,24 +540,38 @@ def travel(texts: DataFrame, suspects: DataFrame, rule: Rule, heavy: np.ndarray,
                     blobs.append(data)
             if not blobs:
                 continue
-            x, strings = unpack_runs(blobs)
-            first, _, again = collapse(x, strings)
-            known = {k: x[k][again] for k in ANSWER}
-            yield from by_bucket(home(known["doc"], n), KNOWN, **known)
-            sub = {k: v[first] for k, v in x.items()}
-            strings = [strings[k] for k in first]
-            for part in parts(sub["value"], sub["size"], sub["twin"]):
-                own = {k: v[part] for k, v in sub.items()}
-                s, at, m = judge(own, [strings[k] for k in part])
-                if len(s):
-                    doc = own["doc"][s]
-                    yield from by_bucket(home(doc, n), KNOWN, doc=doc, tag=own["tag"][s], start=(own["start"][s] + at).astype(np.int32), n=m.astype(np.int32))
+            for known in settle(*unpack_runs(blobs), rule, judge):
+                yield from by_bucket(deal.home(known["doc"], known["tag"]), KNOWN, **known)
+
+    sent = at_home(texts, suspects, deal, send, SCHEMA)
+    return sent.repartition(deal.parts, "b").sortWithinPartitions("b", "kind").mapInArrow(decide, SCHEMA)
 
-    sent = at_home(texts, suspects, n, send, SCHEMA)
-    return sent.repartition(n, "b").sortWithinPartitions("b", "kind").mapInArrow(decide, SCHEMA)
+
+def settle(x: dict[str, np.ndarray], strings: list[bytes], rule: Rule, judge: Callable, limit: int = PART, level: int = 0) -> Iterator[dict[str, np.ndarray]]:
+    """Columns ANSWER of the windows of these runs that also start earlier.
+
+    Runs of one minimiser that are too many to be judged at once are cut anew by
+    another order of grams: equal windows have equal minimisers in any order.
+    """
+    first, _, again = collapse(x, strings)
+    yield {k: x[k][again] for k in ANSWER}
+    sub = {k: v[first] for k, v in x.items()}
+    strings = [strings[k] for k in first]
+    for part in parts(sub["value"], sub["size"], sub["twin"], limit):
+        own, texts = {k: v[part] for k, v in sub.items()}, [strings[k] for k in part]
+        if own["size"].sum() > 8 * limit and level < DEEPEST:
+            r = rule.runs(texts, np.zeros(0, U64), level + 1)
+            new = rule.cut(texts, r["ends"], r["text"], r["start"], r["n"])
+            at = r["text"]
+            y = {"value": r["value"], "doc": own["doc"][at], "tag": own["tag"][at], "start": (own["start"][at] + r["start"]).astype(np.int32), "n": r["n"].astype(np.int32), "twin": r["twin"], "size": np.array([len(t) for t in new], np.int32)}
+            yield from settle(y, new, rule, judge, limit, level + 1)
+            continue
+        s, at, m = judge(own, texts)
+        if len(s):
+            yield {"doc": own["doc"][s], "tag": own["tag"][s], "start": (own["start"][s] + at).astype(np.int32), "n": m.astype(np.int32)}
 
 
-def parts(value: np.ndarray, size: np.ndarray, twin: np.ndarray, limit: int = 1 << 19) -> Iterator[np.ndarray]:
+def parts(value: np.ndarray, size: np.ndarray, twin: np.ndarray, limit: int = PART) -> Iterator[np.ndarray]:
     """Strings whose minimiser others share or that hold it twice, in parts of about ``limit`` bytes that split no minimiser."""
     at = np.argsort(value, kind="stable")
     v = value[at]
@@ -549,11 +594,11 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, rule:
     """The whole job; ``finish(ids, texts, nulls, extras, spans)`` yields the result, spans being {(doc, tag): (starts, windows)}
     and extras the columns to carry as JSON."""
     bounded_batches(spark)
-    n = buckets(spark)
     source = _source(docs, id_col, text_col)
+    deal = Deal.of(spark, source.agg(F.sum(F.octet_length("data"))).first()[0] or 0)
     full = _source(docs, id_col, text_col, carry)
     heavy = heavy_grams(source, rule)
-    answers = travel(texts_home(source, n), sift(source, rule, heavy, n), rule, heavy, n, judge)
+    answers = travel(texts_home(source, deal), sift(source, rule, heavy, deal), rule, heavy, deal, judge)
 
     def end(blobs: list[bytes], stream: Iterator) -> Iterator[pa.RecordBatch]:
         spans = None
@@ -567,7 +612,7 @@ def find(spark: SparkSession, docs: DataFrame, id_col: str, text_col: str, rule:
                 spans = {(int(x["doc"][i]), int(x["tag"][i])): (x["start"][i:j], x["n"][i:j]) for i, j in zip(edges, stops)}
             yield from finish(ids, raw, nulls, extras, spans)
 
-    return at_home(texts_home(full, n), answers, n, end, schema)
+    return at_home(texts_home(full, deal), answers, deal, end, schema)
 
 
 def covered(length: int, window: int, start: np.ndarray, n: np.ndarray) -> np.ndarray:
