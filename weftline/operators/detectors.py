@@ -177,3 +177,18 @@ def rank_remedies(findings: DataFrame, edges: DataFrame, remedies: DataFrame, to
     scored = findings.join(pairs.select("smell_id", "remedy", base.alias("base")), "smell_id").withColumn("priority", F.round(0.4 * F.col("confidence") + F.col("base"), 6))
     own = Window.partitionBy("location", "name", "smell_id").orderBy(F.desc("priority"), "remedy")
     return scored.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= top_k).select("location", "name", "smell_id", "remedy", "priority", "rank")
+
+
+def describe(ranked: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Ranked remedies (remedy, smell_name) with a sentence: the remedy's title, its first benefit, the smell, and up to three laws it enforces by id.
+
+    entities (id, title, context) name remedies and laws.
+    """
+    title = F.coalesce(F.nullif("title", F.lit("")), F.lit("Unknown"))
+    laws = edges.filter("rel = 'enforces'").select(F.col("src").alias("remedy"), F.col("dst").alias("law")).distinct()
+    own = Window.partitionBy("remedy").orderBy("law")
+    named = laws.withColumn("r", F.row_number().over(own)).filter("r <= 3").join(entities.select(F.col("id").alias("law"), F.coalesce(F.nullif("title", F.lit("")), F.col("id")).alias("name")), "law")
+    three = named.groupBy("remedy").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias("laws"))
+    of = entities.select(F.col("id").alias("remedy"), title.alias("title"), F.coalesce(F.try_element_at(F.try_element_at("context", F.lit("benefits")), F.lit(1)), F.lit("improve code structure")).alias("benefit"))
+    x = ranked.join(of, "remedy").join(three, "remedy", "left")
+    return x.withColumn("description", F.format_string("Apply %s to %s. This addresses %s and improves %s.", "title", "benefit", "smell_name", F.coalesce("laws", F.lit("code quality")))).drop("title", "benefit", "laws")

@@ -53,11 +53,15 @@ def gate(changes: DataFrame, metrics: list[str], composite_drop: float = 0.02, d
 
 def latency(df: DataFrame, group: str, value: str) -> DataFrame:
     """mean, p50 (true median), p95 and p99 (element int(n p / 100), no interpolation), min, max."""
+    # equal values are counted before a group is ordered, so a group costs its distinct values
     own = Window.partitionBy(group).orderBy("v")
-    n = Window.partitionBy(group)
-    x = df.select(group, F.col(value).alias("v")).withColumn("i", F.row_number().over(own) - 1).withColumn("n", F.count("*").over(n))
-    at = lambda p: F.max(F.when(F.col("i") == F.least((F.col("n") * p / 100).cast("int"), F.col("n") - 1), F.col("v")))
-    return x.groupBy(group).agg(F.avg("v").alias("mean"), F.median("v").alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.min("v").alias("min"), F.max("v").alias("max"))
+    x = df.select(group, F.col(value).alias("v")).groupBy(group, "v").agg(F.count("*").alias("k"))
+    x = x.withColumn("below", F.sum("k").over(own) - F.col("k")).withColumn("n", F.sum("k").over(Window.partitionBy(group)))
+    holds = lambda i: (F.col("below") <= i) & (i < F.col("below") + F.col("k"))
+    at = lambda p: F.max(F.when(holds(F.least((F.col("n") * p / 100).cast("long"), F.col("n") - 1)), F.col("v")))
+    middle = [F.max(F.when(holds(F.floor((F.col("n") - 1 + j) / 2)), F.col("v"))) for j in range(2)]
+    mean = F.sum(F.col("v") * F.col("k")) / F.sum("k")
+    return x.groupBy(group).agg(mean.alias("mean"), ((middle[0] + middle[1]) / 2).alias("p50"), at(95).alias("p95"), at(99).alias("p99"), F.min("v").alias("min"), F.max("v").alias("max"))
 
 
 def votes(results: DataFrame, limit: int) -> DataFrame:
@@ -75,3 +79,42 @@ def concept_coverage(answers: DataFrame, concepts: dict[str, list[str]]) -> Data
     hit = [F.greatest(*[F.contains(text, F.lit(a)).cast("int") for a in aliases], F.lit(0)) for aliases in concepts.values()]
     total = sum(hit[1:], hit[0])
     return answers.select("id", total.alias("covered"), (total / len(concepts)).alias("share"))
+
+
+def rollup(each: DataFrame, by: list[str]) -> DataFrame:
+    """(dimension, value, queries, hit_at_k, mrr): each column of ``by`` on its own, in one pass."""
+    dims = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).cast("string").alias("value")) for c in by]))
+    return each.select(dims.alias("d"), "hit", "rr").groupBy("d.dimension", "d.value").agg(F.count("*").alias("queries"), F.avg("hit").alias("hit_at_k"), F.avg("rr").alias("mrr"))
+
+
+def first_occurrence(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The first row of each group, as a pre-aggregated minimum and not by sorting groups."""
+    rest = [c for c in rows.columns if c not in by and c not in order]
+    return rows.groupBy(*by).agg(F.min(F.struct(*order, *rest)).alias("f")).select(*by, "f.*")
+
+
+def clean_rates(files: DataFrame, findings: DataFrame) -> DataFrame:
+    """(language, total, flagged, fp_rate, specificity) over files (location, language) that are known to be clean."""
+    bad = findings.select("location").distinct().withColumn("bad", F.lit(1))
+    x = files.join(bad, "location", "left").groupBy("language").agg(F.count("*").alias("total"), F.count("bad").alias("flagged"))
+    rate = F.round(F.col("flagged") / F.col("total"), 6)
+    return x.withColumn("fp_rate", rate).withColumn("specificity", F.round(1 - F.col("fp_rate"), 6))
+
+
+def neighbor_cases(cases: DataFrame, edges: DataFrame) -> DataFrame:
+    """(case_id, coverage, hit) for cases (case_id, entity_id, expected array, min_count): half of the expected neighbours found, and as many as asked for."""
+    found = cases.select("case_id", "entity_id").join(edges.select(F.col("src").alias("entity_id"), "dst").distinct(), "entity_id")
+    want = cases.select("case_id", F.explode("expected").alias("dst")).distinct()
+    got = found.groupBy("case_id").agg(F.count("*").alias("n"))
+    both = want.join(found.select("case_id", "dst"), ["case_id", "dst"], "left_semi").groupBy("case_id").agg(F.count("*").alias("both"))
+    x = cases.join(got, "case_id", "left").join(both, "case_id", "left")
+    wanted = F.size(F.array_distinct("expected"))
+    coverage = F.when(wanted > 0, F.coalesce("both", F.lit(0)) / wanted).otherwise(0.0)
+    return x.select("case_id", F.round(coverage, 6).alias("coverage"), ((coverage >= 0.5) & (F.coalesce("n", F.lit(0)) >= F.coalesce("min_count", F.lit(0)))).alias("hit"))
+
+
+def path_cases(cases: DataFrame, found: DataFrame) -> DataFrame:
+    """(case_id, hit) for cases (case_id, should_find, expected_length) and paths found (case_id, nodes): found, at most one node longer than expected; or not found where none should be."""
+    x = cases.join(found.select("case_id", "nodes"), "case_id", "left")
+    short = F.col("expected_length").isNull() | (F.col("nodes") <= F.col("expected_length") + 1)
+    return x.select("case_id", F.when(F.col("should_find"), F.col("nodes").isNotNull() & short).otherwise(F.col("nodes").isNull()).alias("hit"))

@@ -14,7 +14,8 @@ from weftline.session import checkpointed
 
 #: Relations with an inverse (fixed values).
 INVERSE = {"solves": "solved_by", "enforces": "enforced_by", "violates": "violated_by"}
-BROADCAST_ROWS = 1_000_000
+#: Rows of an id and a path of at most a few ids: tens of megabytes.
+BROADCAST_ROWS = 200_000
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -79,16 +80,24 @@ def chain(edges: DataFrame, start: str, rels: list[str], spark: SparkSession) ->
     return paths.select("path")
 
 
-def hops(spark: SparkSession, edges: DataFrame, start: str, depth: int) -> DataFrame:
-    """(id, depth, path): every node within ``depth`` hops, once, with the least path of its least depth."""
-    seen = spark.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
-    frontier = seen
+def hops(spark: SparkSession, edges: DataFrame, start: str, depth: int, target: str | None = None) -> DataFrame:
+    """(id, depth, path): every node within ``depth`` hops, once, with the least path of its least depth; with a target no further than where it is found.
+
+    The edges are written once for all hops, unless they come checkpointed.
+    """
+    seen = frontier = spark.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
+    size = 1
+    pairs = edges.select("src", "dst")
+    if depth > 1 and "Scan ExistingRDD" not in pairs._jdf.queryExecution().sparkPlan().toString():
+        pairs = checkpointed(spark, pairs)
     for d in range(1, depth + 1):
-        step = edges.select("src", "dst").join(small(frontier), F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
+        step = pairs.join(near, F.col("src") == F.col("id")).select(F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         found = step.groupBy("id").agg(F.min("path").alias("path")).join(seen.select("id"), "id", "left_anti")
         frontier = checkpointed(spark, found.select("id", F.lit(d).alias("depth"), "path"))
         seen = seen.unionByName(frontier)
-        if frontier.isEmpty():
+        size, met = frontier.agg(F.count("*"), F.coalesce(F.max(F.col("id") == F.lit(target)), F.lit(False))).first()
+        if not size or met:
             break
     return seen
 
@@ -98,7 +107,7 @@ def shortest_path(spark: SparkSession, edges: DataFrame, entities: DataFrame, so
     ends = {r.id for r in entities.filter(F.col("id").isin(source, target)).select("id").collect()}
     if ends != {source, target}:
         return spark.createDataFrame([], "path array<string>, length int")
-    return hops(spark, edges, source, max_depth).filter(F.col("id") == target).select("path", F.col("depth").alias("length"))
+    return hops(spark, edges, source, max_depth, target).filter(F.col("id") == target).select("path", F.col("depth").alias("length"))
 
 
 def path_edges(paths: DataFrame) -> DataFrame:
@@ -214,3 +223,41 @@ def upsert_edges(stored: DataFrame, given: DataFrame, owners: DataFrame) -> Data
 def remove_entity(entities: DataFrame, edges: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
     """Without the entity and its edges in both directions."""
     return entities.filter(F.col("id") != node), edges.filter((F.col("src") != node) & (F.col("dst") != node))
+
+
+def title_lookup(entities: DataFrame, text: str, limit: int = 20) -> DataFrame:
+    """Entities whose title (or name) holds the text in any case; the first ``limit`` by id."""
+    own = F.lower("title").contains(text.lower())
+    own = own | F.lower("name").contains(text.lower()) if "name" in entities.columns else own
+    return entities.filter(own).orderBy("id").limit(limit)
+
+
+def entity_export(spark: SparkSession, edges: DataFrame, entities: DataFrame, user_edges: DataFrame, node: str, radius: int = 1) -> DataFrame:
+    """Edges around a node for display (edge_id, src, rel, dst): its subgraph, or if it isn't in the canonical graph its user edges."""
+    known = not entities.filter(F.col("id") == node).isEmpty()
+    own = subgraph(spark, edges, entities, node, radius) if known else all_edges(edges.limit(0), node, user_edges)
+    return own.select(F.concat_ws("-", "src", "rel", "dst").alias("edge_id"), "src", "rel", "dst")
+
+
+def add_relations(edges: DataFrame, given: DataFrame) -> DataFrame:
+    """Inserts edges; those that are there already stay as they are."""
+    return edges.unionByName(given.select(edges.columns)).distinct()
+
+
+def remove_relations(edges: DataFrame, given: DataFrame) -> DataFrame:
+    return edges.join(given.select("src", "rel", "dst").distinct(), ["src", "rel", "dst"], "left_anti").select(edges.columns)
+
+
+def merged_stats(canonical: DataFrame, user_entities: DataFrame, user_edges: DataFrame) -> DataFrame:
+    """Stats (key, value) of the canonical graph with the user layer's counts added; averages and linked nodes stay the canonical ones."""
+    more = user_entities.agg(F.count("*").cast("double").alias("n")).select(F.lit("entities").alias("key"), "n").unionAll(user_edges.agg(F.count("*").cast("double").alias("n")).select(F.lit("edges").alias("key"), "n")).unionAll(user_entities.agg(F.count("*").cast("double").alias("n")).select(F.lit("type:insight").alias("key"), "n"))
+    return canonical.withColumnRenamed("value", "n").unionByName(more).groupBy("key").agg(F.sum("n").alias("value"))
+
+
+def chunk_metadata(chunks: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
+    """Chunks with metadata: their entity's type, category and, by relation, the sorted targets."""
+    rels = ["solves", "solved_by", "enforces", "violates", "related_to"]
+    lists = edges.filter(F.col("rel").isin(*rels)).groupBy("src").agg(*[F.array_sort(F.collect_set(F.when(F.col("rel") == r, F.col("dst")))).alias(r) for r in rels])
+    own = entities.select(F.col("id").alias("entity_id"), F.col("type"), "category").join(lists.withColumnRenamed("src", "entity_id"), "entity_id", "left")
+    empty = [F.coalesce(r, F.array().cast("array<string>")).alias(r) for r in rels]
+    return chunks.join(own, "entity_id", "left").select(*chunks.columns, F.struct("entity_id", "type", "category", *empty).alias("metadata"))

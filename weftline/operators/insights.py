@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as s
+from weftline.operators import retrieval
 from weftline.operators.graph import small
 
 #: Words that say nothing about a topic (our own short list).
@@ -80,3 +81,32 @@ def by_source(insights: DataFrame, source: str = "all", limit: int = 20) -> Data
     """Notes of users, of analyses or of all, newest first by id; at most 200."""
     own = insights if source == "all" else insights.filter((F.col("author") == "analysis") == (source == "analysis"))
     return own.orderBy(F.desc("id")).limit(min(200, max(1, limit)))
+
+
+def _as_chunks(insights: DataFrame) -> DataFrame:
+    return insights.select("id", F.col("content").alias("text"), "title", F.array_join("tags", " ").alias("section"))
+
+
+def search(insights: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """(query_id, id, score, rank): notes that hold all of a query's words in title, content or tags, by BM25."""
+    return retrieval.top(retrieval.bm25(retrieval.postings(_as_chunks(insights)), queries), limit)
+
+
+def duplicates(insights: DataFrame, new: DataFrame, limit: int = 5) -> DataFrame:
+    """(query_id, id, score, rank, match) for new notes (query_id, title, content): kept notes with all their words; a match is always called partial."""
+    return search(insights, new.select("query_id", F.concat_ws(" ", "title", "content").alias("query")), limit).withColumn("match", F.lit("partial"))
+
+
+def facets(insights: DataFrame) -> DataFrame:
+    """(project, n): the projects among the notes' tags, sorted."""
+    tag = insights.select(F.explode("tags").alias("tag")).filter(F.startswith("tag", F.lit("project:")))
+    return tag.groupBy(F.expr("substring(tag, 9)").alias("project")).agg(F.count("*").alias("n")).orderBy("project")
+
+
+def supersede(edges: DataFrame, given: DataFrame, provenance: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Accepts links (insight_id, entity_id, score, source) and notes replaced (insight_id, entity_id with source 'supersedes'): the edges, and of each link's provenance (insight_id, entity_id, source, score) the higher score."""
+    rel = F.when(F.col("source") == "supersedes", "supersedes").otherwise("derives_from")
+    more = given.select(F.col("insight_id").alias("src"), rel.alias("rel"), F.col("entity_id").alias("dst"))
+    both = provenance.unionByName(given.select(provenance.columns))
+    best = both.groupBy("insight_id", "entity_id").agg(F.max(F.struct("score", "source")).alias("b")).select("insight_id", "entity_id", "b.source", "b.score")
+    return edges.unionByName(more), best.select(provenance.columns)

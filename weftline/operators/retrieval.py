@@ -81,13 +81,17 @@ def section_boost(section: Column, table: dict[str, float]) -> Column:
     return c
 
 
-def keyword_search(post: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int, sections: dict[str, float] | None = None) -> DataFrame:
-    """(query_id, id, entity_id, score, rank): the limit is taken by plain BM25, then boosts apply and re-sort."""
-    hits = top(bm25(post, queries), limit).drop("rank").join(chunks.select("id", "entity_id", "title", "section"), "id").join(queries, "query_id")
+def keyword_search(post: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int, sections: dict[str, float] | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, entity_id, score, boost, rank): the limit is taken by plain BM25, then title and sparse boosts apply and re-sort; ``boost``, with the section's, is what fusion weighs the rank by. ``within`` (query_id, entity_type) restricts a query to types."""
+    found = bm25(post, queries)
+    if within is not None:
+        found = found.join(chunks.select("id", "entity_type"), "id").join(within, ["query_id", "entity_type"], "left_semi").drop("entity_type")
+    hits = top(found, limit).drop("rank").join(chunks.select("id", "entity_id", "title", "section"), "id").join(queries, "query_id")
     per = chunks.groupBy("entity_id").agg(F.count("*").alias("n_chunks"))
-    score = F.col("score") * title_boost(F.col("query"), F.col("title")) * sparse_boost(F.col("n_chunks"))
-    out = hits.join(per, "entity_id").withColumn("score", score)
-    return top(out, limit).select("query_id", "id", "entity_id", "score", "rank")
+    title, sparse = title_boost(F.col("query"), F.col("title")), sparse_boost(F.col("n_chunks"))
+    out = hits.join(per, "entity_id").withColumn("score", F.col("score") * title * sparse)
+    boost = title * sparse * section_boost(F.trim("section"), SECTIONS if sections is None else sections)
+    return top(out.withColumn("boost", boost), limit).select("query_id", "id", "entity_id", "score", "boost", "rank")
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int, where: Column | None = None, chunks: DataFrame | None = None, asked: DataFrame | None = None, types: DataFrame | None = None, sections: dict[str, float] = SECTIONS) -> DataFrame:
@@ -172,7 +176,9 @@ def expand_remedies(results: DataFrame, edges: DataFrame, limit: int, most: int
     ranked = results.select("query_id", "entity_id", "score").withColumn("rank", F.row_number().over(own))
     smells = ranked.filter((F.col("rank") <= 3) & F.startswith(F.col("entity_id"), F.lit("SMELL-")))
     low = smells.groupBy("query_id").agg((F.min("score") * factor).alias("floor"))
-    links = smells.join(edges.filter("rel = 'solved_by'").select(F.col("src").alias("entity_id"), "dst"), "entity_id")
+    solved = edges.filter("rel = 'solved_by'").select(F.col("src").alias("entity_id"), "dst").distinct()
+    other = edges.filter(F.startswith(F.col("dst"), F.lit("RF-"))).select(F.col("src").alias("entity_id"), "dst").distinct().join(solved.select("entity_id").distinct(), "entity_id", "left_anti")
+    links = smells.join(solved.unionByName(other), "entity_id")  # a smell that nothing solves brings its remedies by any relation
     first = links.groupBy("query_id", F.col("dst").alias("entity_id")).agg(F.min("rank").alias("smell_rank"))
     new = first.join(ranked.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
     quota = Window.partitionBy("query_id").orderBy("smell_rank", "entity_id")
@@ -187,15 +193,37 @@ def homonym_hits(queries: DataFrame, signals: DataFrame) -> DataFrame:
     return queries.join(F.broadcast(signals), F.contains(F.lower(F.col("query")), F.col("term"))).select("query_id", "entity_id").distinct()
 
 
-def graph_fallback(entities: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
-    """Keyword search over entity fields: rank by terms found anywhere, then in the title."""
-    text = F.lower(F.concat_ws(" ", "title", "type", "category"))
+def fields(entities: DataFrame, names: tuple[str, ...]) -> Column:
+    """The given fields, as far as entities have them, as one lower-case text; of a context its keys and values."""
+    have = dict(entities.dtypes)
+    as_text = lambda n: F.array_join(n, " ") if have[n].startswith("array") else F.array_join(F.flatten(F.transform(F.map_entries(n), lambda e: F.concat(F.array(e["key"]), e["value"]))), " ") if have[n].startswith("map") else F.col(n)
+    return F.lower(F.concat_ws(" ", *[as_text(n) for n in names if n in have]))
+
+
+def ground(entities: DataFrame, prompts: DataFrame, limit: int = 3) -> DataFrame:
+    """(query_id, id, matches, rank): entities by how many of a prompt's words (as often as they occur) stand in title, name, category or tags."""
+    words = F.filter(F.split(F.lower("query"), "\\s+"), lambda w: w != "")
+    text = entities.select("id", fields(entities, ("title", "name", "category", "tags")).alias("text"))
+    pairs = text.crossJoin(prompts.select("query_id", words.alias("words")))  # a stated set of prompts against all rows
+    hits = pairs.select("query_id", "id", F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))).alias("matches")).filter("matches > 0")
+    return top(hits, limit, score="matches")
+
+
+def merge_types(found: DataFrame, limit: int) -> DataFrame:
+    """(query_id, entity_id, score, rank): the searches of a query's types merged by score, each entity once with its best."""
+    return top(found.groupBy("query_id", "entity_id").agg(F.max("score").alias("score")), limit, key="entity_id")
+
+
+def graph_fallback(entities: DataFrame, queries: DataFrame, limit: int, homonyms: DataFrame | None = None) -> DataFrame:
+    """Keyword search over entity fields: rank by terms found anywhere, then in title or name. Homonyms (query_id, entity_id) go after the cut, so fewer than limit may be left."""
+    text = fields(entities, ("title", "name", "type", "category", "tags", "context"))
     q = queries.select("query_id", s.query_tokens(F.col("query")).alias("terms"))
-    pairs = entities.select("id", F.lower("title").alias("t"), text.alias("all")).crossJoin(q)
+    pairs = entities.select("id", fields(entities, ("title", "name")).alias("t"), text.alias("all")).crossJoin(q)
     count = lambda c: F.size(F.filter("terms", lambda x: F.contains(F.col(c), x)))
     hits = pairs.select("query_id", "id", count("all").alias("total"), count("t").alias("in_title")).filter("total > 0")
     own = Window.partitionBy("query_id").orderBy(F.desc("total"), F.desc("in_title"), "id")
-    return hits.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= limit)
+    kept = hits.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= limit)
+    return kept if homonyms is None else kept.join(homonyms.select("query_id", F.col("entity_id").alias("id")).distinct(), ["query_id", "id"], "left_anti")
 
 
 def detail(entities: DataFrame, level: str) -> DataFrame:
@@ -207,16 +235,40 @@ def detail(entities: DataFrame, level: str) -> DataFrame:
         return entities.select(*base)
     if level == "summary":
         head = lambda k: F.element_at(F.try_element_at("context", F.lit(k)), 1)
-        return entities.select(*base, F.concat_ws("; ", *[F.try_element_at(F.try_element_at("context", F.lit(k)), F.lit(1)) for k in ("benefits", "when_to_use", "drawbacks")]).alias("summary"))
+        return entities.select(*base, F.concat_ws("; ", *[F.concat(F.lit(k + ": "), F.try_element_at(F.try_element_at("context", F.lit(k)), F.lit(1))) for k in ("benefits", "when_to_use", "drawbacks")]).alias("summary"))
     return entities.select(*base, F.transform_values("context", lambda k, v: F.slice(v, 1, 2)).alias("context"))
 
 
-def budget(entities: DataFrame, total: int, by: str = "query_id", order: str = "rank", text: str = "text") -> DataFrame:
-    """Greedy detail levels under a token budget per group: the level depends on what is left, so it is a fold over each group's ordered, bounded result list."""
-    cost = s.estimate_tokens(F.col(text))
-    rows = entities.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("id").alias("id"), cost.alias("c")))).alias("rows"))
+LEVELS = ["full", "detailed", "summary", "minimal"]
+
+
+def costs(entities: DataFrame, level: str) -> Column:
+    """Tokens of an entity's projection as JSON, and 20 for each entity."""
+    names = {"minimal": ["id", "title", "type", "category"], "summary": ["id", "title", "type", "category", "summary"], "detailed": ["id", "title", "type", "category", "summary", "context"]}
+    return s.estimate_tokens(F.to_json(F.struct(*names.get(level, [c for c in entities.columns if c not in ("query_id", "rank")])))) + 20
+
+
+def costed(entities: DataFrame) -> DataFrame:
+    """(query_id, rank, id, full, detailed, summary, minimal): what each level of a result costs."""
+    head = [F.try_element_at(F.try_element_at("context", F.lit(k)), F.lit(1)) for k in ("benefits", "when_to_use", "drawbacks")]
+    short = F.concat_ws("; ", *[F.concat(F.lit(k + ": "), h) for k, h in zip(("benefits", "when_to_use", "drawbacks"), head)])
+    cut = entities.withColumn("summary", short).withColumn("context", F.transform_values("context", lambda k, v: F.slice(v, 1, 2)))
+    full = entities.select("query_id", "rank", "id", costs(entities, "full").alias("full"))
+    return full.join(cut.select("query_id", "id", *[costs(cut, x).alias(x) for x in LEVELS[1:]]), ["query_id", "id"])
+
+
+def budget(costs_: DataFrame, total: int) -> DataFrame:
+    """(query_id, place, id, level): greedy detail levels of ranked results (query_id, rank, id and a cost for each level) under a token budget.
+
+    The level depends on what is left, so it is a fold over a query's results in
+    order. At 20 tokens or more each, at most total / 20 of them can be served,
+    so no more are gathered.
+    """
+    own = Window.partitionBy("query_id").orderBy("rank", "id")
+    near = costs_.withColumn("_place", F.row_number().over(own)).filter(F.col("_place") <= max(1, total // 20))
+    rows = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct(F.col("_place"), F.col("id").cast("string").alias("id"), *LEVELS))).alias("rows"))
+    level = "CASE WHEN a.left >= 300 THEN 'full' WHEN a.left >= 200 THEN 'detailed' WHEN a.left >= 100 THEN 'summary' ELSE 'minimal' END"
+    cost = "CASE WHEN a.left >= 300 THEN x.full WHEN a.left >= 200 THEN x.detailed WHEN a.left >= 100 THEN x.summary ELSE x.minimal END"
     fold = F.expr(f"""aggregate(rows, named_struct('left', cast({total} AS bigint), 'out', cast(array() AS array<struct<id:string,level:string>>)),
-      (a, x) -> CASE WHEN a.left < 50 THEN a ELSE named_struct(
-        'left', a.left - (CASE WHEN a.left >= 300 THEN x.c WHEN a.left >= 200 THEN least(x.c, 100) WHEN a.left >= 100 THEN least(x.c, 50) ELSE 10 END) - 20,
-        'out', concat(a.out, array(named_struct('id', cast(x.id AS string), 'level', CASE WHEN a.left >= 300 THEN 'full' WHEN a.left >= 200 THEN 'detailed' WHEN a.left >= 100 THEN 'summary' ELSE 'minimal' END)))) END).out""")
-    return rows.select(by, F.posexplode(fold).alias("pos", "x")).select(by, F.col("pos").alias("place"), "x.id", "x.level")
+      (a, x) -> CASE WHEN a.left < 50 THEN a ELSE named_struct('left', a.left - ({cost}), 'out', concat(a.out, array(named_struct('id', x.id, 'level', {level})))) END).out""")
+    return rows.select("query_id", F.posexplode(fold).alias("place", "x")).select("query_id", "place", "x.id", "x.level")

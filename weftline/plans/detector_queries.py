@@ -10,8 +10,8 @@ from weftline.session import table
 
 #: Metric -> modulus of the expression over (doc_id, n_chars); spreads every rule's branches over the rows.
 PARTS = {
-    "loc": "n_chars % 631", "cyclomatic_complexity": "n_chars % 59", "nesting_depth": "n_chars % 7", "parameter_count": "n_chars % 11", "local_variables": "n_chars % 13",
-    "return_statements": "n_chars % 8", "method_count": "n_chars % 37", "field_count": "n_chars % 23", "external_calls": "n_chars % 17", "primitive_params": "n_chars % 9",
+    "loc": "CASE WHEN doc_id % 9 = 1 THEN n_chars % 10 ELSE n_chars % 631 END", "cyclomatic_complexity": "n_chars % 59", "nesting_depth": "n_chars % 7", "parameter_count": "n_chars % 11", "local_variables": "n_chars % 13",
+    "return_statements": "n_chars % 8", "method_count": "CASE WHEN doc_id % 9 = 1 THEN n_chars % 2 ELSE n_chars % 37 END", "field_count": "CASE WHEN doc_id % 9 = 1 THEN 0 ELSE n_chars % 23 END", "external_calls": "n_chars % 17", "primitive_params": "n_chars % 9",
     "branch_count": "n_chars % 14", "method_call_chains": "n_chars % 6", "delegation_methods": "n_chars % 19", "comment_count": "n_chars % 97", "doc_comment_count": "n_chars % 12", "override_count": "n_chars % 5",
 }
 COLUMNS = ", ".join(f"CAST({v} AS INT) AS {k}" for k, v in PARTS.items())
@@ -33,9 +33,9 @@ def graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     parts = table(spark, sf, "part")
     smell = lambda c: F.format_string("SMELL-%02d", (c % 23 + 1).cast("int"))
     rf, law = F.format_string("RF-%03d", (F.col("p_partkey") % 40).cast("int")), F.format_string("LAW-%03d", (F.col("p_partkey") % 17).cast("int"))
-    edge = lambda s, r, t, c: parts.filter(c).select(s.alias("src"), F.lit(r).alias("rel"), t.alias("dst")).distinct()
-    e = edge(rf, "solves", smell(F.col("p_size")), "p_partkey <= 120").unionAll(edge(smell(F.col("p_partkey")), "violates", law, "p_partkey <= 60")).unionAll(edge(rf, "enforces", law, "p_partkey <= 150"))
-    return e, parts.filter("p_partkey < 40").select(F.format_string("RF-%03d", F.col("p_partkey").cast("int")).alias("id"), F.expr("CASE p_partkey % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END").alias("effort"))
+    edge = lambda s, r, t: parts.select(s.alias("src"), F.lit(r).alias("rel"), t.alias("dst")).distinct()
+    e = edge(rf, "solves", smell(F.col("p_size"))).unionAll(edge(smell(F.col("p_partkey")), "violates", law)).unionAll(edge(rf, "enforces", law))
+    return e, parts.select(F.format_string("RF-%03d", (F.col("p_partkey") % 40).cast("int")).alias("id"), F.expr("CASE p_partkey % 40 % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'medium' ELSE 'large' END").alias("effort")).distinct()
 
 
 def one(smell: str):
@@ -44,7 +44,7 @@ def one(smell: str):
 
 def ranked(spark, sf):
     e, r = graph(spark, sf)
-    return d.rank_remedies(findings(spark, sf).filter("cast(name AS INT) % 10 = 0"), e, r, 3)
+    return d.rank_remedies(findings(spark, sf), e, r, 3)
 
 
 def duplicates(spark, sf):
@@ -95,10 +95,10 @@ def _sql(smell: str) -> str:
 
 
 FOUND = f"WITH items AS ({ITEMS}), found AS (" + " UNION ALL ".join(map(_sql, RULES)) + ")"
-_GRAPH = """, e AS (SELECT DISTINCT printf('RF-%03d', p_partkey % 40) AS src, 'solves' AS rel, printf('SMELL-%02d', p_size % 23 + 1) AS dst FROM part WHERE p_partkey <= 120
- UNION ALL SELECT DISTINCT printf('SMELL-%02d', p_partkey % 23 + 1), 'violates', printf('LAW-%03d', p_partkey % 17) FROM part WHERE p_partkey <= 60
- UNION ALL SELECT DISTINCT printf('RF-%03d', p_partkey % 40), 'enforces', printf('LAW-%03d', p_partkey % 17) FROM part WHERE p_partkey <= 150),
- r AS (SELECT printf('RF-%03d', p_partkey) AS remedy, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.3 END AS w FROM part WHERE p_partkey < 40),
+_GRAPH = """, e AS (SELECT DISTINCT printf('RF-%03d', p_partkey % 40) AS src, 'solves' AS rel, printf('SMELL-%02d', p_size % 23 + 1) AS dst FROM part
+ UNION ALL SELECT DISTINCT printf('SMELL-%02d', p_partkey % 23 + 1), 'violates', printf('LAW-%03d', p_partkey % 17) FROM part
+ UNION ALL SELECT DISTINCT printf('RF-%03d', p_partkey % 40), 'enforces', printf('LAW-%03d', p_partkey % 17) FROM part),
+ r AS (SELECT DISTINCT printf('RF-%03d', p_partkey % 40) AS remedy, CASE p_partkey % 40 % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.3 END AS w FROM part),
  pairs AS (SELECT s.dst AS smell_id, remedy, 0.3 * w + 0.2 * CASE WHEN b > 0 THEN coalesce(k, 0) / b::DOUBLE ELSE 0.5 END + 0.1 * least(1.0, coalesce(u, 0) / 20.0::DOUBLE) AS base
   FROM e s JOIN r ON remedy = s.src LEFT JOIN (SELECT src, count(*) AS b FROM e WHERE rel = 'violates' GROUP BY src) v ON v.src = s.dst
   LEFT JOIN (SELECT src, count(*) AS u FROM e GROUP BY src) n ON n.src = remedy
@@ -123,7 +123,7 @@ SQL = {f"detect_{k[-2:]}": FOUND + f" SELECT location, name, confidence FROM fou
      heads AS (SELECT h, list(location ORDER BY location) AS heads FROM r WHERE r <= 4 GROUP BY h)
      SELECT location, name, copies, round(least(0.95, 0.7 + 0.1 * (copies - 1)), 6)::DOUBLE AS confidence, array_to_string(list_filter(heads, lambda v: v <> location)[1:3], ',') AS others FROM r JOIN heads USING (h) WHERE copies > 1""",
     "rank_remedies": FOUND + _GRAPH + """ SELECT location, name, smell_id, remedy, round(0.4 * confidence + base, 6) AS priority, row_number() OVER (PARTITION BY location, name, smell_id ORDER BY round(0.4 * confidence + base, 6) DESC, remedy)::INT AS rank
-     FROM found JOIN pairs USING (smell_id) WHERE name::INT % 10 = 0 QUALIFY rank <= 3""",
+     FROM found JOIN pairs USING (smell_id) QUALIFY rank <= 3""",
 }
 NAMES = {"SMELL-01": "Long Method", "SMELL-02": "Long Parameter List", "SMELL-03": "Primitive Obsession", "SMELL-04": "Large Class", "SMELL-05": "Data Clumps", "SMELL-06": "Switch Statements", "SMELL-07": "Data Class", "SMELL-10": "Divergent Change", "SMELL-11": "Lazy Class", "SMELL-14": "Middle Man", "SMELL-16": "Comments", "SMELL-18": "Feature Envy", "SMELL-20": "Message Chains", "SMELL-21": "God Object", "SMELL-22": "Refused Bequest"}
 SQL["detect_all"] = FOUND + " SELECT smell_id, CASE smell_id " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in NAMES.items()) + " END AS smell_name, count(*) AS n, round(sum(confidence), 4) AS total FROM found GROUP BY ALL"

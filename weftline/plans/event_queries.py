@@ -35,7 +35,7 @@ def session_query(spark, sf):
 
 def notes(spark, sf):
     c = table(spark, sf, "conversations")
-    return c.filter("turn = 0").select(F.format_string("TK-%03d", F.col("conv_id").cast("int")).alias("id"), F.element_at(F.split("text", " "), 1).alias("title"), F.element_at(F.split("text", " "), 2).alias("content"))
+    return c.select(F.format_string("TK-%03d", (F.col("conv_id") * 100 + F.col("turn")).cast("int")).alias("id"), F.col("role").alias("title"), F.col("text").alias("content"))
 
 
 def pages_as_entities(spark, sf):
@@ -47,7 +47,7 @@ def link_query(spark, sf):
 
 
 TOKENS = "list_distinct(list_filter(string_split_regex(regexp_replace(lower(concat_ws(' ', title, content)), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+'), lambda t: t <> ''))"
-LINKS = f"""WITH i AS (SELECT 'TK-' || lpad(conv_id::VARCHAR, greatest(3, length(conv_id::VARCHAR))::INT, '0') AS insight_id, string_split(text, ' ')[1] AS title, string_split(text, ' ')[2] AS content FROM conversations WHERE turn = 0),
+LINKS = f"""WITH i AS (SELECT 'TK-' || lpad((conv_id * 100 + turn)::VARCHAR, greatest(3, length((conv_id * 100 + turn)::VARCHAR))::INT, '0') AS insight_id, role AS title, text AS content FROM conversations),
  t AS (SELECT insight_id, {TOKENS} AS terms FROM i), k AS (SELECT *, list_filter(terms, lambda x: strlen(x) >= 3 AND x NOT IN ({", ".join(repr(w) for w in ins.STOP)})) AS words FROM t),
  p AS (SELECT insight_id, item_id::VARCHAR AS entity_id, len(list_filter(terms, lambda x: contains(lower(text || ' item'), x))) AS total, len(terms) AS n FROM k, benchmark WHERE len(list_filter(words, lambda x: contains(lower(text || ' item'), x))) > 0)
  SELECT insight_id, entity_id, round(least(1.0, total / n::DOUBLE), 6)::DOUBLE AS score, CASE WHEN total / n::DOUBLE >= 0.5 THEN 'auto' ELSE 'suggested' END AS link_type FROM p QUALIFY row_number() OVER (PARTITION BY insight_id ORDER BY total DESC, entity_id) <= 5"""
@@ -55,7 +55,7 @@ LINKS = f"""WITH i AS (SELECT 'TK-' || lpad(conv_id::VARCHAR, greatest(3, length
 
 def user_links(spark, sf):
     """Users note the event types and round values they saw."""
-    e = ev(spark, sf).filter("user_id < 40")
+    e = ev(spark, sf)
     return e.select(F.col("user_id").alias("src"), F.lit("derives_from").alias("rel"), F.concat("event_type", F.lit(":"), F.floor(F.col("value")).cast("string")).alias("dst"))
 
 
@@ -64,7 +64,7 @@ def correlation_query(spark, sf):
 
 
 def confirm_query(spark, sf):
-    base = table(spark, sf, "customer").filter("c_custkey <= 50").select(F.col("c_custkey").cast("string").alias("id"), F.lit(0.5).alias("confidence"))
+    base = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit(0.5).alias("confidence"))
     accepted = table(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("insight_id"), F.col("o_orderkey").cast("string").alias("entity_id"))
     return ins.confirm(spark.createDataFrame([], "src string, rel string, dst string"), base, accepted)[1].select("id", F.round("confidence", 6).alias("confidence"))
 
@@ -105,7 +105,7 @@ def latency_query(spark, sf):
 
 
 def votes_query(spark, sf):
-    e = table(spark, sf, "lineitem").filter("l_orderkey < 400").select((F.col("l_orderkey") % 10).alias("query_id"), F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("rank"))
+    e = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 10).alias("query_id"), F.col("l_suppkey").alias("id"), F.col("l_linenumber").alias("rank"))
     return v.votes(e, 5)
 
 
@@ -167,13 +167,13 @@ SQL = {
      SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS start, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""",
     "counters": "SELECT event_type, user_id, count(*) AS total FROM events GROUP BY ALL",
     "insight_links": LINKS,
-    "insight_correlation": """WITH o AS (SELECT DISTINCT user_id AS src, event_type || ':' || floor(value)::BIGINT AS dst FROM events WHERE user_id < 40), n AS (SELECT src, count(*) AS n FROM o GROUP BY 1)
+    "insight_correlation": """WITH o AS (SELECT DISTINCT user_id AS src, event_type || ':' || floor(value)::BIGINT AS dst FROM events), n AS (SELECT src, count(*) AS n FROM o GROUP BY 1)
      SELECT a, b, round(k / (x.n + y.n - k)::DOUBLE, 6) AS shared, round(0.4 * k / (x.n + y.n - k)::DOUBLE + 0.1, 6) AS combined FROM (SELECT p.src AS a, q.src AS b, count(*) AS k FROM o p JOIN o q USING (dst) WHERE p.src < q.src GROUP BY ALL) JOIN n x ON x.src = a JOIN n y ON y.src = b""",
-    "insight_confirm": "SELECT c_custkey::VARCHAR AS id, round(least(1.0, 0.5 + 0.05 * count(o_orderkey)), 6)::DOUBLE AS confidence FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_custkey <= 50 GROUP BY c_custkey",
+    "insight_confirm": "SELECT c_custkey::VARCHAR AS id, round(least(1.0, 0.5 + 0.05 * count(o_orderkey)), 6)::DOUBLE AS confidence FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "insight_add": "WITH x AS (SELECT max(s_suppkey) AS m FROM supplier) SELECT 'TK-' || lpad(s_suppkey::VARCHAR, greatest(3, length(s_suppkey::VARCHAR))::INT, '0') AS id, s_name AS title, '' AS tags FROM supplier UNION ALL SELECT 'TK-' || lpad((m + row_number() OVER (ORDER BY n_name))::VARCHAR, greatest(3, length((m + 25)::VARCHAR))::INT, '0'), n_name, 't,project:w' FROM nation, x",
     "eval_hit_mrr_ndcg": f"WITH {RES}, w AS (SELECT DISTINCT query_id, id FROM r WHERE label = 3), n AS (SELECT query_id, least(count(*), 5) AS n FROM w GROUP BY 1), f AS (SELECT query_id, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM r JOIN w USING (query_id, id) WHERE rank <= 5 GROUP BY 1) SELECT count(*) AS queries, round(avg((first IS NOT NULL)::INT), 6) AS hit_at_k, round(avg(coalesce(1 / first::DOUBLE, 0)), 6) AS mrr, round(avg(coalesce(dcg / list_sum([1 / log2(i + 1) FOR i IN range(1, n + 1)]), 0)), 6) AS ndcg_at_k FROM n LEFT JOIN f USING (query_id)",
     "eval_fp": f"WITH {RES}, w AS (SELECT query_id, id FROM r WHERE label = 7), q AS (SELECT DISTINCT query_id FROM w), b AS (SELECT DISTINCT query_id FROM r SEMI JOIN w USING (query_id, id) WHERE rank <= 5) SELECT count(*) AS queries, round(avg((b.query_id IS NOT NULL)::INT), 6) AS fp_rate, round(1 - avg((b.query_id IS NOT NULL)::INT), 6) AS specificity FROM q LEFT JOIN b USING (query_id)",
     "eval_delta": "WITH r AS (SELECT strftime(ts, '%Y-%m-%d') AS ts, round(avg(value) / 100, 9) AS composite, round(avg(user_id / 100::DOUBLE), 9) AS recall FROM events GROUP BY 1), d AS (SELECT ts, composite - lag(composite) OVER (ORDER BY ts) AS dc, recall - lag(recall) OVER (ORDER BY ts) AS dr FROM r) SELECT ts, round(dc, 6) AS d_composite, round(dr, 6) AS d_recall, coalesce(dc < -0.02, false) OR coalesce(dr < -0.05, false) AS failed FROM d",
     "eval_latency": "WITH x AS (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, round(avg(v), 6) AS mean, round(median(v), 6) AS p50, round(max(v) FILTER (i = least(n * 95 // 100, n - 1)), 6) AS p95, round(max(v) FILTER (i = least(n * 99 // 100, n - 1)), 6) AS p99, round(min(v), 6) AS min, round(max(v), 6) AS max FROM x GROUP BY 1",
-    "eval_votes": "WITH v AS (SELECT l_orderkey % 10 AS query_id, l_suppkey AS id, count(*) AS votes, min(l_linenumber) AS best FROM lineitem WHERE l_orderkey < 400 GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, best, id)::INT AS rank FROM v QUALIFY rank <= 5",
+    "eval_votes": "WITH v AS (SELECT l_orderkey % 10 AS query_id, l_suppkey AS id, count(*) AS votes, min(l_linenumber) AS best FROM lineitem GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, best, id)::INT AS rank FROM v QUALIFY rank <= 5",
 }

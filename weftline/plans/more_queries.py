@@ -26,14 +26,14 @@ def detailed_query(spark, sf):
 
 
 def expand_query(spark, sf):
-    o = table(spark, sf, "orders").filter("o_custkey <= 60")
+    o = table(spark, sf, "orders")
     res = o.select(F.col("o_custkey").alias("query_id"), F.format_string("SMELL-%02d", (F.col("o_orderkey") % 23 + 1).cast("int")).alias("entity_id"), F.round(F.col("o_totalprice") / 1000, 3).alias("score")).groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
-    e = table(spark, sf, "part").filter("p_partkey <= 120").select(F.format_string("SMELL-%02d", (F.col("p_size") % 23 + 1).cast("int")).alias("src"), F.lit("solved_by").alias("rel"), F.format_string("RF-%03d", (F.col("p_partkey") % 40).cast("int")).alias("dst")).distinct()
+    e = table(spark, sf, "part").select(F.format_string("SMELL-%02d", (F.col("p_size") % 23 + 1).cast("int")).alias("src"), F.when(F.col("p_size") % 23 < 15, "solved_by").otherwise("related_to").alias("rel"), F.format_string("RF-%03d", (F.col("p_partkey") % 40).cast("int")).alias("dst")).distinct()
     return r.expand_remedies(res, e, 8).select("query_id", "entity_id", F.round("score", 6).alias("score"), "rank")
 
 
-EXPAND = """WITH res AS (SELECT o_custkey AS query_id, printf('SMELL-%02d', o_orderkey % 23 + 1) AS entity_id, max(round(o_totalprice / 1000, 3)) AS score FROM orders WHERE o_custkey <= 60 GROUP BY ALL),
- e AS (SELECT DISTINCT printf('SMELL-%02d', p_size % 23 + 1) AS src, printf('RF-%03d', p_partkey % 40) AS dst FROM part WHERE p_partkey <= 120),
+EXPAND = """WITH res AS (SELECT o_custkey AS query_id, printf('SMELL-%02d', o_orderkey % 23 + 1) AS entity_id, max(round(o_totalprice / 1000, 3)) AS score FROM orders GROUP BY ALL),
+ e AS (SELECT DISTINCT printf('SMELL-%02d', p_size % 23 + 1) AS src, printf('RF-%03d', p_partkey % 40) AS dst FROM part),
  rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entity_id) AS rank FROM res), sm AS (SELECT * FROM rk WHERE rank <= 3),
  low AS (SELECT query_id, min(score) * 0.95::DOUBLE AS floor FROM sm GROUP BY 1), f AS (SELECT query_id, dst AS entity_id, min(rank) AS sr FROM sm JOIN e ON src = entity_id GROUP BY ALL),
  a AS (SELECT query_id, entity_id, floor AS score FROM f JOIN low USING (query_id) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sr, entity_id) <= 2), u AS (SELECT query_id, entity_id, score FROM rk UNION ALL SELECT * FROM a)
@@ -58,8 +58,8 @@ def edge_upsert_query(spark, sf):
 
 
 def budget_query(spark, sf):
-    d = table(spark, sf, "conversations").filter("text is not null").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.concat_ws("-", "conv_id", "turn").alias("id"), "text")
-    return r.budget(d, 600)
+    own = context(spark, sf).withColumn("query_id", F.col("id").cast("int") % 50).withColumn("rank", F.col("id").cast("int"))
+    return r.budget(r.costed(own), 600)
 
 
 SNIPPET = "def f{k}(a, b, c, d, e, f, g):\n    for x in a:\n        if x:\n            while b:\n                c.d().e().g()\n    return {k}\n\nclass K{k}(B):\n    x = 1\n    def run(self):\n        return self.y.run()\n"
@@ -81,7 +81,7 @@ def code_smells(spark, sf):
 
 QUERIES = {"p_summary": summary_query, "p_detailed": detailed_query, "p_budget": budget_query, "expand_related": expand_query, "embed_missing": missing_query, "hybrid_one_sided": one_sided_query, "edge_upsert": edge_upsert_query, "code_items_python": code_query, "code_smells_python": code_smells}
 SQL = {
-    "p_summary": "SELECT p_partkey::VARCHAR AS id, p_name AS title, 'part' AS type, p_brand AS category, p_brand || '; size ' || p_size AS summary FROM part",
+    "p_summary": "SELECT p_partkey::VARCHAR AS id, p_name AS title, 'part' AS type, p_brand AS category, 'benefits: ' || p_brand || '; drawbacks: size ' || p_size AS summary FROM part",
     "p_detailed": "SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand || '|' || p_type AS benefits, 'size ' || p_size AS drawbacks FROM part",
     "expand_related": EXPAND,
     "embed_missing": "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0)",

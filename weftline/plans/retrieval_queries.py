@@ -19,13 +19,13 @@ CHUNKS = """chunks AS (SELECT doc_id::VARCHAR AS entity_id, i - 1 AS pos, unnest
 
 def chunks(spark, sf):
     """Lines of documents as chunks; the entity is the document."""
-    d = table(spark, sf, "documents").filter("doc_id < 120")
+    d = table(spark, sf, "documents")
     return d.select(F.col("doc_id").cast("string").alias("entity_id"), "lang", F.posexplode(F.split("text", "\n")).alias("pos", "text")).select(
         F.concat_ws("-", "entity_id", F.col("pos").cast("string")).alias("id"), "entity_id", F.col("lang").alias("entity_type"), F.left("text", F.lit(20)).alias("title"), F.lit("Overview").alias("section"), "text"
     )
 
 
-CH = "ch AS (SELECT entity_id || '-' || pos AS id, entity_id, left(text, 20) AS title, 'Overview' AS section, text FROM (SELECT doc_id::VARCHAR AS entity_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE doc_id < 120))"
+CH = "ch AS (SELECT entity_id || '-' || pos AS id, entity_id, left(text, 20) AS title, 'Overview' AS section, text FROM (SELECT doc_id::VARCHAR AS entity_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents))"
 
 
 def queries(spark, sf):
@@ -39,7 +39,7 @@ BM = POST + ", " + Q + """, t AS (SELECT query_id, len(l) AS n_terms, unnest(l)
  bm AS (SELECT query_id, id, sum(greatest(ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)), 1e-6) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avg_len))) AS score FROM post JOIN t USING (term) JOIN df USING (term) CROSS JOIN n GROUP BY query_id, id, n_terms HAVING count(*) = n_terms)"""
 KW = BM + """, cut AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r0 FROM bm QUALIFY r0 <= 20),
  kw AS (SELECT query_id, id, entity_id, score * CASE WHEN len(tok) > 0 AND hit = len(tok) THEN 1.35::DOUBLE WHEN hit > 0 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN nc <= 2 THEN 1.3::DOUBLE WHEN nc <= 4 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS score,
-   CASE WHEN nc <= 2 THEN 1.3::DOUBLE WHEN nc <= 4 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END AS boost FROM (
+   CASE WHEN nc <= 2 THEN 1.3::DOUBLE WHEN nc <= 4 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END * 1.12::DOUBLE * CASE WHEN len(tok) > 0 AND hit = len(tok) THEN 1.35::DOUBLE WHEN hit > 0 THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END AS boost FROM (
    SELECT c.*, ch.entity_id, nc, tok, len(list_filter(tok, lambda x: contains(lower(title), x))) AS hit FROM cut c JOIN ch USING (id) JOIN (SELECT entity_id, count(*) AS nc FROM ch GROUP BY 1) USING (entity_id)
    JOIN (SELECT query_id, list_filter(list_distinct(string_split(query, ' ')), lambda x: x NOT IN ('the', 'a', 'an', 'of', 'in', 'to')) AS tok FROM q) USING (query_id)))"""
 
@@ -62,7 +62,8 @@ def _keyword(c, q):
     hits = r.top(r.bm25(r.postings(c), q).withColumn("s9", F.round("score", 9)), 20, score="s9").drop("rank", "s9").join(c.select("id", "entity_id", "title", "section"), "id").join(q, "query_id")
     per = c.groupBy("entity_id").agg(F.count("*").alias("n"))
     x = hits.join(per, "entity_id")
-    return x.withColumn("boost", r.sparse_boost(F.col("n"))).withColumn("score", F.col("score") * r.title_boost(F.col("query"), F.col("title")) * F.col("boost"))
+    title, sparse = r.title_boost(F.col("query"), F.col("title")), r.sparse_boost(F.col("n"))
+    return x.withColumn("boost", sparse * r.section_boost(F.col("section"), r.SECTIONS) * title).withColumn("score", F.col("score") * title * sparse)
 
 
 def vectors(spark, sf):
@@ -70,17 +71,16 @@ def vectors(spark, sf):
 
 
 def qvecs(spark, sf):
-    return table(spark, sf, "embeddings").filter("vec_id < 4").select((F.col("vec_id") + 1).cast("int").alias("query_id"), F.col("embedding").alias("qvec"))
+    return table(spark, sf, "embeddings").filter("vec_id % 50 = 0").select((F.col("vec_id") / 50 + 1).cast("int").alias("query_id"), F.col("embedding").alias("qvec"))
 
 
-VEC = "sem AS (SELECT query_id, id, entity_id, round(list_cosine_similarity(vec, qvec)::DOUBLE, 5) AS similarity FROM (SELECT vec_id::VARCHAR AS id, label::VARCHAR AS entity_id, embedding::DOUBLE[] AS vec FROM embeddings), (SELECT (vec_id + 1)::INT AS query_id, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id < 4))"
+VEC = "sem AS (SELECT query_id, id, entity_id, round(list_cosine_similarity(vec, qvec)::DOUBLE, 5) AS similarity FROM (SELECT vec_id::VARCHAR AS id, label::VARCHAR AS entity_id, embedding::DOUBLE[] AS vec FROM embeddings), (SELECT (vec_id // 50 + 1)::INT AS query_id, embedding::DOUBLE[] AS qvec FROM embeddings WHERE vec_id % 50 = 0))"
 
 
 def cosine_query(spark, sf, where=None):
     v = vectors(spark, sf)
-    v = v if where is None else v.filter(where)
-    x = v.join(F.broadcast(qvecs(spark, sf))).select("query_id", "id", "entity_id", F.round(s.cosine(F.col("vec"), F.col("qvec")), 5).alias("similarity"))
-    return r.top(x, 10, score="similarity")
+    x = r.semantic_search(v, qvecs(spark, sf), 20, where).select("query_id", "id", "entity_id", F.round("similarity", 5).alias("similarity"))
+    return r.top(x, 10, score="similarity")  # ranked by rounded scores, so that engines agree on ties
 
 
 def rrf_query(spark, sf):

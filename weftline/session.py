@@ -39,15 +39,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a temporary folder is made and set as checkpoint folder.
+    It is ``spark.checkpoint.dir``; only where that is unset and the master is
+    local (tests) a temporary folder is made and set as checkpoint folder.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if at:
+        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+            spark.sparkContext.setCheckpointDir(at)
         return at
     now = spark.sparkContext._jsc.sc().getCheckpointDir()
     if now.isDefined():
         return now.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     at = tempfile.mkdtemp(prefix="weftline-")
     spark.sparkContext.setCheckpointDir(at)
     return at

@@ -287,10 +287,13 @@ def python_items(code: str) -> Iterator[dict]:
 
 
 def extract(code: str | None, language: str | None) -> Iterator[dict]:
-    """Items of one file; nothing for unknown languages and for more than MOST_BYTES bytes."""
+    """Items of one file; nothing for unknown languages; of more than MOST_BYTES bytes one item of type 'rejected'."""
     name = (language or "python").lower()
     name = ALIASES.get(name, name)
-    if not code or len(code.encode("utf-8", "replace")) > MOST_BYTES:
+    if not code:
+        return
+    if len(code.encode("utf-8", "replace")) > MOST_BYTES:
+        yield {"line": 1, "name": f"more than {MOST_BYTES} bytes", "item_type": "rejected"}
         return
     if name == "python":
         yield from python_items(code)

@@ -68,9 +68,11 @@ def limit_rows(capacity: int, idle_ms: int | None):
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         tokens, last = state.get if state.exists else (float(capacity), None)
-        for pdf in pdfs:
+        # a client's rows of one trigger may come in several chunks: only their times are held, to draw tokens in event order
+        held = sorted((ts, event) for pdf in pdfs for ts, event in zip(pdf["ts"].astype("datetime64[us]").astype("int64") / 1e6, pdf["event_id"]))
+        for lo in range(0, len(held), 10000):
             out = []
-            for ts, event in sorted(zip(pdf["ts"].astype("int64") / 1e9, pdf["event_id"])):
+            for ts, event in held[lo : lo + 10000]:
                 tokens = min(capacity, tokens + (0 if last is None else max(0.0, ts - last)) * capacity / 60)
                 last = ts if last is None else max(last, ts)
                 ok = tokens >= 1
