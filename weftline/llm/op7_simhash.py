@@ -58,7 +58,7 @@ SHINGLE, SEED, DISTANCE = 3, 42, 3
 SMALL, LARGE = 16, 8192
 CHUNK = 1 << 16
 #: Rows of one fingerprint beyond a share of 1 / HOT are dealt over SALTS tasks.
-HOT, SALTS = 256, 64
+HOT, SALTS = 512, 64
 #: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group.
 WIDE, RECALL, FAN = 4, 0.95, 64
 
@@ -273,7 +273,7 @@ def labelled(spark: SparkSession, prints: DataFrame, edges: DataFrame, distinct:
     of = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root").join(label, "root")
     named = distinct.join(of, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"), F.coalesce("root", "fp").alias("cluster"))
     # a fingerprint that many rows have is dealt over SALTS tasks; there are at most HOT such
-    limit = max(4096, (distinct.agg(F.sum("n")).first()[0] or 0) // HOT)
+    limit = max(64, (distinct.agg(F.sum("n")).first()[0] or 0) // HOT)
     hot = F.col("fp").isin([r.fp for r in distinct.filter(F.col("n") > limit).select("fp").collect()])
     named = named.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
     salt = F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
