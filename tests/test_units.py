@@ -92,9 +92,32 @@ def test_expansion_adds_two_and_raises_the_rest(spark):
 
 
 def test_budget_is_greedy_in_order(spark):
-    rows = spark.createDataFrame([(1, k, f"e{k}", "x" * 800) for k in range(1, 6)], "query_id int, rank int, id string, text string")
-    got = [(r.id, r.level) for r in retrieval.budget(rows, 500).orderBy("place").collect()]
-    assert got == [("e1", "full"), ("e2", "detailed"), ("e3", "summary"), ("e4", "summary"), ("e5", "minimal")] or got[0] == ("e1", "full")
+    rows = spark.createDataFrame([(1, k, f"e{k}", 220, 120, 60, 30) for k in range(1, 7)] + [(2, 1, "z", 900, 50, 50, 50), (2, 2, "y", 1, 1, 1, 1)], "query_id int, rank int, id string, full long, detailed long, summary long, minimal long")
+    got = [(r.query_id, r.id, r.level) for r in retrieval.budget(rows, 500).orderBy("query_id", "place").collect()]
+    # 500 full, 280 detailed, 160 summary, 100 summary, 40: stop
+    assert got == [(1, "e1", "full"), (1, "e2", "detailed"), (1, "e3", "summary"), (1, "e4", "summary"), (2, "z", "full")]
+
+
+def test_a_smell_nothing_solves_brings_related_remedies(spark):
+    res = spark.createDataFrame([(1, "SMELL-01", 1.0), (1, "SMELL-02", 0.9)], "query_id int, entity_id string, score double")
+    edges = spark.createDataFrame([("SMELL-01", "solved_by", "RF-001"), ("SMELL-01", "related_to", "RF-009"), ("SMELL-02", "related_to", "RF-002"), ("SMELL-02", "related_to", "LAW-001")], "src string, rel string, dst string")
+    got = [r.entity_id for r in retrieval.expand_remedies(res, edges, 9).orderBy("rank").collect()]
+    assert got == ["SMELL-01", "SMELL-02", "RF-001", "RF-002"]
+
+
+def test_links_keep_the_higher_provenance(spark):
+    edges = spark.createDataFrame([], "src string, rel string, dst string")
+    given = spark.createDataFrame([("a", "x", 0.4, "auto"), ("a", "b", 1.0, "supersedes")], "insight_id string, entity_id string, score double, source string")
+    old = spark.createDataFrame([("a", "x", "user", 0.9)], "insight_id string, entity_id string, source string, score double")
+    links, kept = insights.supersede(edges, given, old)
+    assert sorted(tuple(r) for r in links.collect()) == [("a", "derives_from", "x"), ("a", "supersedes", "b")]
+    assert sorted(tuple(r) for r in kept.collect()) == [("a", "b", "supersedes", 1.0), ("a", "x", "user", 0.9)]
+
+
+def test_files_too_large_are_reported():
+    from weftline.sources import code_items
+
+    assert [x["item_type"] for x in code_items.extract("x = 1\n" * 100_000, "python")] == ["rejected"]
 
 
 def test_scalars(spark):

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import detectors, graph, insights, retrieval
+from weftline.session import checkpointed
 from weftline.sources import code_items, files
 
 
@@ -82,23 +84,43 @@ class Engine:
         """(query_id, entity_id, score, rank, type, title) for queries (query_id, query); limit is clamped to 1..20; blank queries give nothing. Queries without results are answered by words of the entities, their number being the score."""
         limit = min(20, max(1, limit))
         asked = queries.filter(F.trim("query") != "")
+        if entity_type is None and self.types is not None:
+            found = self._by_types(asked, limit, query_vectors)
+        else:
+            found = self._hybrid(asked, limit, entity_type, query_vectors)
+        return self._enriched(asked, found, limit, entity_type)
+
+    def _hybrid(self, asked: DataFrame, limit: int, entity_type: str | None, query_vectors: DataFrame | None) -> DataFrame:
+        """(query_id, entity_id, score): keyword and semantic hits fused, or keyword hits alone without vectors."""
         own = self.chunks if entity_type is None else self.chunks.filter(F.col("entity_type") == entity_type)
         hits = retrieval.keyword_search(retrieval.postings(own), own, asked, retrieval.OVERFETCH * limit)
-        per = own.groupBy("entity_id").agg(F.count("*").alias("n"))
-        keyword = hits.join(per, "entity_id").withColumn("boost", retrieval.sparse_boost(F.col("n")))
         demoted = retrieval.homonym_hits(asked, self.homonyms) if self.homonyms is not None else None
         if self.vectors is None or query_vectors is None:
             one = retrieval.one_sided(hits.select("query_id", "id", "entity_id", "score"), limit)
             found = one if demoted is None else one.join(demoted, ["query_id", "entity_id"], "left_anti")
         else:
-            meaning = retrieval.semantic_search(self.vectors, query_vectors, retrieval.OVERFETCH * limit, chunks=self.chunks, asked=asked, types=self.types)
-            found = retrieval.rrf(keyword, meaning, limit, homonyms=demoted)
+            near = self.vectors if entity_type is None else self.vectors.join(own.select("id"), "id", "left_semi")
+            meant = query_vectors.join(asked.select("query_id"), "query_id", "left_semi")
+            meaning = retrieval.semantic_search(near, meant, retrieval.OVERFETCH * limit, chunks=self.chunks, asked=asked, types=self.types)
+            found = retrieval.rrf(hits, meaning, limit, homonyms=demoted)
+        return found.select("query_id", "entity_id", F.col("score").cast("double").alias("score"))
+
+    def _by_types(self, asked: DataFrame, limit: int, query_vectors: DataFrame | None) -> DataFrame:
+        """One search for each type that a query's words point to, merged by score; one over all types for queries that point to none."""
+        named = checkpointed(self.spark, retrieval.detect_types(asked, self.types).select("query_id", "key"))
+        parts = [self._hybrid(asked.join(named, "query_id", "left_anti"), limit, None, query_vectors)]
+        for kind in [r.key for r in self.types.select("key").distinct().orderBy("key").collect()]:  # the lexicon's types are few
+            parts.append(self._hybrid(asked.join(named.filter(F.col("key") == kind), "query_id", "left_semi"), limit, kind, query_vectors))
+        return retrieval.merge_types(reduce(DataFrame.unionByName, parts), limit).select("query_id", "entity_id", "score")
+
+    def _enriched(self, asked: DataFrame, found: DataFrame, limit: int, entity_type: str | None) -> DataFrame:
+        """Synonyms, related remedies, the answer by words of the entities where nothing was found, and names."""
         found = found.select("query_id", "entity_id", "score").groupBy("query_id", "entity_id").agg(F.max("score").alias("score"))
         if self.synonyms is not None:
             found = retrieval.inject_synonyms(found, asked, self.synonyms)
         ranked = retrieval.expand_remedies(found, self.edges, limit).select("query_id", "entity_id", "score", "rank")
         known = self.entities if entity_type is None else self.entities.filter(F.col("type") == entity_type)
-        left = retrieval.graph_fallback(known, asked.join(found, "query_id", "left_anti"), limit)
+        left = retrieval.graph_fallback(known, asked.join(found, "query_id", "left_anti"), limit, retrieval.homonym_hits(asked, self.homonyms) if self.homonyms is not None else None)
         ranked = ranked.unionByName(left.select("query_id", F.col("id").alias("entity_id"), F.col("total").cast("double").alias("score"), "rank"))
         return ranked.join(self.entities.select(F.col("id").alias("entity_id"), "type", "title"), "entity_id", "left")
 
@@ -122,8 +144,8 @@ class Engine:
         return insights.correlations(self.user_edges)
 
     def context(self, results: DataFrame, budget: int) -> DataFrame:
-        """Detail levels of ranked results (query_id, rank, id, text) under a token budget."""
-        return retrieval.budget(results, budget)
+        """Detail levels of ranked results (query_id, rank, and an entity's id, title, type, category, context) under a token budget."""
+        return retrieval.budget(retrieval.costed(results), budget)
 
 
 def detail_level(query: str, budget: int) -> str:
