@@ -468,6 +468,17 @@ def test_warc_round_trip(spark):
     assert plain.count() == 0
 
 
+def test_warc_of_one_payload_in_most_records(spark):
+    """More equal payloads than one task may get are dealt over many; each still refers to the smallest id."""
+    html = ["<p>hot</p>"] * 900 + [f"<p>{i}</p>" for i in range(100)] + ["", None] * 60
+    df = spark.createDataFrame([(i * 3 % 1120, "http://h/", h) for i, h in enumerate(html)], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in op1_warc.records(op1_warc.read(spark, op1_warc.write(spark, df), payload=False)).collect()}
+    first = {}
+    for i, h in sorted((i * 3 % 1120, h or "") for i, h in enumerate(html)):
+        first.setdefault(h, i)
+    assert got == {i * 3 % 1120: ("response", None) if first[h or ""] == i * 3 % 1120 else ("revisit", first[h or ""]) for i, h in enumerate(html)}
+
+
 def test_nearest_neighbours(spark):
     rng = np.random.default_rng(4)
     v = {i: rng.normal(size=16).round(4).tolist() for i in range(600)}

@@ -40,6 +40,8 @@ from pyspark.sql import functions as F
 from weftline.session import bounded_batches, checkpointed, scratch, table
 
 CHUNK, ROLL, LEVEL = 1 << 20, 256 << 20, 1
+#: Payloads of more than a share of 1 / HOT of the repeated rows are dealt over SALTS tasks.
+HOT, SALTS = 512, 64
 EPOCH = "1970-01-01T00:00:00Z"
 CHUNKS = "record_id string, chunk_no int, n_bytes long, total_bytes long, digest string, last boolean, record_type string, refers_to string, url string, declared_bytes long, declared_digest string"
 _KINDS = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
@@ -80,8 +82,13 @@ def write(spark: SparkSession, pages: DataFrame, folder: str | None = None, id_c
     bounded_batches(spark)
     folder = folder or scratch(spark, "warc")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload")).withColumn("sha", F.unhex(F.sha1("payload")))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").withColumnRenamed("sha", "of")
-    told = rows.join(firsts, rows["sha"] == firsts["of"], "left").select("page_id", "url", "payload", "sha", "first")
+    firsts = checkpointed(spark, rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    # a payload that many pages have is dealt over SALTS tasks; there are at most HOT such
+    limit = max(64, (firsts.agg(F.sum("n")).first()[0] or 0) // HOT)
+    hot = F.col("sha").isin([bytes(r.sha) for r in firsts.filter(F.col("n") > limit).select("sha").collect()])
+    firsts = firsts.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    salt = F.when(hot, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).otherwise(0).cast("int")
+    told = rows.withColumn("salt", salt).join(firsts, ["sha", "salt"], "left").select("page_id", "url", "payload", "sha", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = pyarrow.fs.FileSystem.from_uri(folder)
