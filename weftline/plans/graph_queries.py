@@ -18,10 +18,10 @@ def _kg(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _user_edges(spark: SparkSession, sf: str) -> DataFrame:
     """A user layer: customers note the nations of the suppliers they solve for, as derives_from."""
-    return table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("S:"), "s_suppkey").alias("src"), F.lit("derives_from").alias("rel"), F.concat(F.lit("N:"), (F.col("s_suppkey") % 25).cast("string")).alias("dst"))
+    return table(spark, sf, "supplier").select(F.concat(F.lit("S:"), "s_suppkey").alias("src"), F.lit("derives_from").alias("rel"), F.concat(F.lit("N:"), (F.col("s_suppkey") % 25).cast("string")).alias("dst"))
 
 
-USER = ", user_edges AS (SELECT 'S:' || s_suppkey AS src, 'derives_from' AS rel, 'N:' || (s_suppkey % 25) AS dst FROM supplier WHERE s_suppkey % 3 = 0)"
+USER = ", user_edges AS (SELECT 'S:' || s_suppkey AS src, 'derives_from' AS rel, 'N:' || (s_suppkey % 25) AS dst FROM supplier)"
 
 
 def inverse(spark, sf):

@@ -42,7 +42,7 @@ EXPAND = """WITH res AS (SELECT o_custkey AS query_id, printf('SMELL-%02d', o_or
 
 def missing_query(spark, sf):
     d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "lang")
-    return files.missing_embeddings(d, table(spark, sf, "embeddings").filter("vec_id % 3 = 0").select(F.col("vec_id").alias("id")))
+    return files.missing_embeddings(d, table(spark, sf, "embeddings").select(F.col("vec_id").alias("id")))
 
 
 def one_sided_query(spark, sf):
@@ -53,8 +53,8 @@ def one_sided_query(spark, sf):
 def edge_upsert_query(spark, sf):
     n, c = table(spark, sf, "nation"), table(spark, sf, "customer")
     old = c.select(F.col("c_nationkey").cast("string").alias("src"), F.lit("has").alias("rel"), F.col("c_custkey").cast("string").alias("dst"))
-    new = n.filter("n_nationkey < 5").select(F.col("n_nationkey").cast("string").alias("src"), F.lit("IN").alias("rel"), F.col("n_regionkey").cast("string").alias("dst"))
-    return graph.upsert_edges(old, new.unionAll(new), n.filter("n_nationkey < 7").select(F.col("n_nationkey").cast("string").alias("id")))
+    new = n.select(F.col("n_nationkey").cast("string").alias("src"), F.lit("IN").alias("rel"), F.col("n_regionkey").cast("string").alias("dst"))
+    return graph.upsert_edges(old, new.unionAll(new), n.filter("n_regionkey <= 1").select(F.col("n_nationkey").cast("string").alias("id")))
 
 
 def budget_query(spark, sf):
@@ -84,8 +84,8 @@ SQL = {
     "p_summary": "SELECT p_partkey::VARCHAR AS id, p_name AS title, 'part' AS type, p_brand AS category, 'benefits: ' || p_brand || '; drawbacks: size ' || p_size AS summary FROM part",
     "p_detailed": "SELECT p_partkey::VARCHAR AS id, p_name AS title, p_brand || '|' || p_type AS benefits, 'size ' || p_size AS drawbacks FROM part",
     "expand_related": EXPAND,
-    "embed_missing": "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 0)",
+    "embed_missing": "SELECT doc_id AS id, lang FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)",
     "hybrid_one_sided": "SELECT user_id % 10 AS query_id, event_id AS id, round(abs(value - 20), 6) AS score, row_number() OVER (PARTITION BY user_id % 10 ORDER BY abs(value - 20) DESC, event_id)::INT AS rank FROM events WHERE abs(value - 20) > 0 QUALIFY rank <= 5",
-    "edge_upsert": "SELECT DISTINCT c_nationkey::VARCHAR AS src, 'has' AS rel, c_custkey::VARCHAR AS dst FROM customer WHERE c_nationkey >= 7 UNION ALL SELECT DISTINCT n_nationkey::VARCHAR, 'in', n_regionkey::VARCHAR FROM nation WHERE n_nationkey < 5",
+    "edge_upsert": "SELECT DISTINCT c_nationkey::VARCHAR AS src, 'has' AS rel, c_custkey::VARCHAR AS dst FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 1) UNION ALL SELECT DISTINCT n_nationkey::VARCHAR, 'in', n_regionkey::VARCHAR FROM nation",
     "code_items_python": "SELECT 's' || s_suppkey || '.py:' || line AS location, name || s_suppkey AS name, item_type, loc::INT AS loc, cc::INT AS cyclomatic_complexity, nest::INT AS nesting_depth, par::INT AS parameter_count, chain::INT AS method_call_chains FROM supplier, (VALUES (1, 'f', 'function', 6, 4, 3, 7, 0), (8, 'K', 'class', 4, 1, 0, 0, 0)) t(line, name, item_type, loc, cc, nest, par, chain) UNION ALL SELECT 's' || s_suppkey || '.py:10', 'run', 'function', 2, 1, 0, 1, 0 FROM supplier",
 }

@@ -13,7 +13,7 @@ from weftline.sources import code_items, kg
 
 
 def user_notes(spark, sf):
-    return table(spark, sf, "supplier").filter("s_suppkey % 3 = 0").select(F.concat(F.lit("U:"), "s_suppkey").alias("src"), F.lit("derives_from").alias("rel"), F.concat(F.lit("N:"), (F.col("s_suppkey") % 25).cast("string")).alias("dst"))
+    return table(spark, sf, "supplier").select(F.concat(F.lit("U:"), "s_suppkey").alias("src"), F.lit("derives_from").alias("rel"), F.concat(F.lit("N:"), (F.col("s_suppkey") % 25).cast("string")).alias("dst"))
 
 
 def export_query(spark, sf):
@@ -82,10 +82,10 @@ def describe_query(spark, sf):
     e, remedies = dq.graph(spark, sf)
     smells = dq.findings(spark, sf).select("smell_id", "smell_name").distinct()
     ranked = e.filter("rel = 'solves'").select(F.col("src").alias("remedy"), F.col("dst").alias("smell_id")).distinct().join(smells, "smell_id")
-    parts = table(spark, sf, "part").filter("p_partkey between 1 and 39")
+    parts = table(spark, sf, "part")
     context = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("benefits"), F.array("p_brand"))).otherwise(F.create_map(F.lit("drawbacks"), F.array("p_brand")))
     entities = parts.select(F.format_string("RF-%03d", F.col("p_partkey").cast("int")).alias("id"), F.col("p_name").alias("title"), context.alias("context")).unionAll(
-        parts.filter("p_partkey < 17").select(F.format_string("LAW-%03d", F.col("p_partkey").cast("int")), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).otherwise(""), context))
+        parts.select(F.format_string("LAW-%03d", F.col("p_partkey").cast("int")), F.when(F.col("p_partkey") % 3 > 0, F.col("p_type")).otherwise(""), context))
     return detectors.describe(ranked, entities, e).select("remedy", "smell_id", "description")
 
 
@@ -134,7 +134,7 @@ def fallback_query(spark, sf):
     p = table(spark, sf, "part")
     e = p.select(F.col("p_partkey").cast("string").alias("id"), F.lit("").alias("title"), F.col("p_name").alias("name"), F.lit("part").alias("type"), F.array("p_brand").alias("tags"), F.create_map(F.lit("benefits"), F.array("p_type", F.concat(F.lit("size "), F.col("p_size").cast("string")))).alias("context"))
     q = spark.createDataFrame([(1, "brand 11"), (2, "part 1 steel size"), (3, "small benefits")], "query_id int, query string")
-    no = p.filter("p_partkey % 7 = 0").select(F.lit(2).alias("query_id"), F.col("p_partkey").cast("string").alias("entity_id"))
+    no = p.filter("p_size <= 7").select(F.lit(2).alias("query_id"), F.col("p_partkey").cast("string").alias("entity_id"))
     return r.graph_fallback(e, q, 15, no).select("query_id", "id", "total", "in_title", "rank")
 
 
@@ -246,13 +246,13 @@ QUERIES = {
 _LOC = "(VALUES ('rust', 1, 3), ('go', 1, 3), ('java', 2, 3), ('typescript', 1, 3), ('python', 1, 4)) t(language, line, more)"
 SQL = {
     "p_title_lookup": "SELECT p_partkey::VARCHAR AS id, p_name AS title FROM part WHERE contains(lower(p_name), 'giz') ORDER BY id LIMIT 20",
-    "graph_entity_export": kg.CTE + """, u AS (SELECT 'U:' || s_suppkey AS src, 'derives_from' AS rel, 'N:' || (s_suppkey % 25) AS dst FROM supplier WHERE s_suppkey % 3 = 0),
+    "graph_entity_export": kg.CTE + """, u AS (SELECT 'U:' || s_suppkey AS src, 'derives_from' AS rel, 'N:' || (s_suppkey % 25) AS dst FROM supplier),
       near AS (SELECT 'S:1' AS id UNION SELECT dst FROM kg_edges WHERE src = 'S:1' AND dst IN (SELECT id FROM kg_entities))
       SELECT DISTINCT src || '-' || rel || '-' || dst AS edge_id, src, rel, dst, 'S:1' AS node FROM kg_edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM kg_entities)
       UNION ALL SELECT src || '-' || rel || '-' || dst, src, rel, dst, 'U:3' FROM u WHERE src = 'U:3' OR dst = 'U:3'""",
     "relation_add": "SELECT c_custkey::VARCHAR AS src, 'in' AS rel, c_nationkey::VARCHAR AS dst FROM customer UNION SELECT s_suppkey::VARCHAR, 'in', s_nationkey::VARCHAR FROM supplier",
     "relation_remove": "SELECT c_custkey::VARCHAR AS src, 'in' AS rel, c_nationkey::VARCHAR AS dst FROM customer WHERE (c_custkey, c_nationkey) NOT IN (SELECT (s_suppkey, s_nationkey) FROM supplier)",
-    "graph_merged_stats": gq.SQL["graph_stats"].replace(kg.CTE, kg.CTE + ", base AS (") + """), u AS (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 = 0), more AS (SELECT 'entities' AS key, count(*)::DOUBLE AS value FROM u UNION ALL SELECT 'edges', count(*)::DOUBLE FROM u UNION ALL SELECT 'type:insight', count(*)::DOUBLE FROM u)
+    "graph_merged_stats": gq.SQL["graph_stats"].replace(kg.CTE, kg.CTE + ", base AS (") + """), u AS (SELECT s_suppkey FROM supplier), more AS (SELECT 'entities' AS key, count(*)::DOUBLE AS value FROM u UNION ALL SELECT 'edges', count(*)::DOUBLE FROM u UNION ALL SELECT 'type:insight', count(*)::DOUBLE FROM u)
       SELECT key, round(sum(value), 6) AS value FROM (SELECT * FROM base UNION ALL SELECT * FROM more) GROUP BY key""",
     "eval_rollup": f"WITH {eq.RES}, w AS (SELECT DISTINCT query_id, id FROM r WHERE label = 3), q AS (SELECT DISTINCT query_id FROM w), f AS (SELECT query_id, min(rank) AS first FROM r JOIN w USING (query_id, id) WHERE rank <= 5 GROUP BY 1), e AS (SELECT query_id, first FROM q LEFT JOIN f USING (query_id)), x AS (SELECT 'tier' AS dimension, (query_id % 3)::VARCHAR AS value, first FROM e UNION ALL SELECT 'category', (query_id % 4)::VARCHAR, first FROM e) SELECT dimension, value, count(*) AS queries, round(avg((first IS NOT NULL)::INT), 6) AS hit_at_k, round(avg(coalesce(1 / first::DOUBLE, 0)), 6) AS mrr FROM x GROUP BY ALL",
     "result_size_buckets": "WITH x AS (SELECT event_type, floor(abs(value)) AS n FROM events) SELECT event_type, count(*) FILTER (n = 0) AS none, count(*) FILTER (n > 0 AND n < 5) AS few, count(*) FILTER (n >= 5 AND n < 20) AS some, count(*) FILTER (n >= 20) AS many, count(*) AS n, round((count(*) - count(*) FILTER (n = 0)) / count(*)::DOUBLE * 10000) / 100 AS hit_rate FROM x GROUP BY 1",
@@ -261,9 +261,9 @@ SQL = {
     "insight_duplicates": "WITH " + _bm("(1, 'user the'), (2, 'in and t1'), (3, 'assistant les')") + " SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id)::INT AS rank, 'partial' AS match FROM bm QUALIFY rank <= 5",
     "insight_facets": "SELECT role AS project, count(*) AS n FROM conversations GROUP BY 1",
     "remedy_description": dq.FOUND + """, rf AS (SELECT DISTINCT printf('RF-%03d', p_partkey % 40) AS remedy, printf('SMELL-%02d', p_size % 23 + 1) AS smell_id FROM part), en AS (SELECT DISTINCT printf('RF-%03d', p_partkey % 40) AS remedy, printf('LAW-%03d', p_partkey % 17) AS law FROM part),
-      nm AS (SELECT printf('LAW-%03d', p_partkey) AS law, CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE printf('LAW-%03d', p_partkey) END AS name FROM part WHERE p_partkey BETWEEN 1 AND 16),
+      nm AS (SELECT printf('LAW-%03d', p_partkey) AS law, CASE WHEN p_partkey % 3 > 0 THEN p_type ELSE printf('LAW-%03d', p_partkey) END AS name FROM part),
       th AS (SELECT remedy, string_agg(name, ', ' ORDER BY law) AS laws FROM (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY remedy ORDER BY law) <= 3) JOIN nm USING (law) GROUP BY remedy),
-      en2 AS (SELECT printf('RF-%03d', p_partkey) AS remedy, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'improve code structure' END AS benefit FROM part WHERE p_partkey BETWEEN 1 AND 39),
+      en2 AS (SELECT printf('RF-%03d', p_partkey) AS remedy, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'improve code structure' END AS benefit FROM part),
       sm AS (SELECT DISTINCT smell_id, CASE smell_id """ + " ".join(f"WHEN '{k}' THEN '{n}'" for k, n in dq.NAMES.items()) + """ END AS smell_name FROM found)
       SELECT remedy, smell_id, 'Apply ' || title || ' to ' || benefit || '. This addresses ' || smell_name || ' and improves ' || coalesce(laws, 'code quality') || '.' AS description FROM rf JOIN sm USING (smell_id) JOIN en2 USING (remedy) LEFT JOIN th USING (remedy)""",
     "eval_clean_rates": dq.FOUND + ", b AS (SELECT DISTINCT name FROM found WHERE confidence >= 0.7) SELECT lang AS language, count(*) AS total, count(name) AS flagged, round(count(name) / count(*)::DOUBLE, 6) AS fp_rate, round(1 - round(count(name) / count(*)::DOUBLE, 6), 6) AS specificity FROM documents LEFT JOIN b ON name = doc_id::VARCHAR GROUP BY lang",
@@ -281,8 +281,8 @@ SQL = {
       e AS (SELECT query_id, entity_id, round(score, 9) AS s FROM bm JOIN ch USING (id) JOIN documents d ON d.doc_id::VARCHAR = entity_id JOIN ty USING (query_id, lang) QUALIFY row_number() OVER (PARTITION BY query_id, lang ORDER BY round(score, 9) DESC, id) <= 10),
       b AS (SELECT query_id, entity_id, max(s) AS s FROM e GROUP BY ALL) SELECT query_id, entity_id, round(s, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, entity_id)::INT AS rank FROM b QUALIFY rank <= 15""",
     "graph_fallback_fields": """WITH q AS (SELECT query_id, string_split(query, ' ') AS terms FROM (VALUES (1, 'brand 11'), (2, 'part 1 steel size'), (3, 'small benefits')) t(query_id, query)),
-      h AS (SELECT query_id, p_partkey AS k, p_partkey::VARCHAR AS id, len(list_filter(terms, lambda x: contains(lower(concat_ws(' ', p_name, 'part', p_brand, 'benefits', p_type, 'size ' || p_size)), x)))::INT AS total, len(list_filter(terms, lambda x: contains(lower(p_name), x)))::INT AS in_title FROM part, q),
-      c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, in_title DESC, id)::INT AS rank FROM h WHERE total > 0 QUALIFY rank <= 15) SELECT query_id, id, total, in_title, rank FROM c WHERE NOT (query_id = 2 AND k % 7 = 0)""",
+      h AS (SELECT query_id, p_size AS k, p_partkey::VARCHAR AS id, len(list_filter(terms, lambda x: contains(lower(concat_ws(' ', p_name, 'part', p_brand, 'benefits', p_type, 'size ' || p_size)), x)))::INT AS total, len(list_filter(terms, lambda x: contains(lower(p_name), x)))::INT AS in_title FROM part, q),
+      c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, in_title DESC, id)::INT AS rank FROM h WHERE total > 0 QUALIFY rank <= 15) SELECT query_id, id, total, in_title, rank FROM c WHERE NOT (query_id = 2 AND k <= 7)""",
     "chunk_metadata": kg.CTE + f", f AS (SELECT * FROM kg_edges UNION ALL {gq._INV}), m AS (SELECT src, rel, string_agg(DISTINCT dst, ',' ORDER BY dst) AS d FROM f GROUP BY ALL) SELECT 'S:' || s_suppkey || '-C000' AS id, 'supplier' AS type, " + ", ".join(f"coalesce((SELECT d FROM m WHERE src = 'S:' || s_suppkey AND rel = '{k}'), '') AS {k}" for k in ("solves", "solved_by", "enforces", "violates")) + " FROM supplier",
     "build_pipeline": f"""WITH p AS (SELECT doc_id, unnest(string_split(replace(text, chr(10), chr(10) || '## '), chr(10) || '## ')) AS part, generate_subscripts(string_split(replace(text, chr(10), chr(10) || '## '), chr(10) || '## '), 1) AS pos FROM documents),
       t AS (SELECT doc_id, {rq.TRIM.format("CASE WHEN pos = 1 THEN part ELSE '## ' || part END")} AS text FROM p), k AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id) - 1 AS i FROM t WHERE strlen(text) > 50)
