@@ -38,3 +38,32 @@ words AS (SELECT doc_id, count(DISTINCT i) AS n_hit FROM (SELECT doc_id, unnest(
 items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, coalesce(item_id::VARCHAR, '') AS id FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+
+def _codes(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
+    """Integer parts, unrolled rounds of assigning and averaging, and a last assignment."""
+    own = "list_filter(list_transform(coalesce(embedding, []), lambda v: CASE WHEN isfinite(v) THEN floor(1024 * v::DOUBLE)::BIGINT END), lambda v: v IS NOT NULL)"
+    steps = [
+        f"good AS (SELECT row_number() OVER () AS r, vec_id, label, {own} AS x FROM embeddings WHERE embedding IS NOT NULL AND len({own}) = len(embedding) AND len(embedding) > 0 AND len(embedding) % {parts} = 0)",
+        "long AS (SELECT len(x) AS n FROM good GROUP BY n ORDER BY count(*) DESC, n LIMIT 1)",
+        "v AS MATERIALIZED (SELECT r, vec_id, label, x FROM good, long WHERE len(x) = n)",
+        f"p AS MATERIALIZED (SELECT r, k, x[k * (len(x) // {parts}) + 1:(k + 1) * (len(x) // {parts})] AS x FROM v, (SELECT unnest(range(0, {parts}))::INT AS k))",
+        f"first AS (SELECT r, row_number() OVER (ORDER BY vec_id NULLS LAST, x) - 1 AS e FROM v ORDER BY e LIMIT {entries})",
+        "b0 AS MATERIALIZED (SELECT k, e, x AS c FROM p JOIN first USING (r))",
+    ]
+    near = "a{0} AS MATERIALIZED (SELECT r, k, min(struct_pack(d := d, e := e)) AS m FROM (SELECT r, p.k, e, list_sum(list_transform(list_zip(x, c), lambda t: (t[1] - t[2]) * (t[1] - t[2])))::BIGINT AS d FROM p JOIN b{0} USING (k)) GROUP BY r, k)"
+    for j in range(rounds):
+        steps += [
+            near.format(j),
+            f"u{j} AS (SELECT k, e, list(s ORDER BY i) AS c FROM (SELECT k, m.e AS e, i, (sum(y) // count(*) - (sum(y) % count(*) < 0)::INT)::BIGINT AS s FROM (SELECT k, m, unnest(x) AS y, unnest(range(1, len(x) + 1)) AS i FROM a{j} JOIN p USING (r, k)) GROUP BY k, m.e, i) GROUP BY k, e)",
+            f"b{j + 1} AS MATERIALIZED (SELECT b{j}.k, b{j}.e, coalesce(u{j}.c, b{j}.c) AS c FROM b{j} LEFT JOIN u{j} USING (k, e))",
+        ]
+    steps += [
+        near.format(rounds),
+        f"coded AS (SELECT r, string_agg(lpad(lower(to_hex(m.e)), 2, '0'), '' ORDER BY k) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY r)",
+        f"book AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) AS h FROM b{rounds})",
+    ]
+    return f"WITH {', '.join(steps)} SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded JOIN v USING (r), book"
+
+
+CODES = _codes()

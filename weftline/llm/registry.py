@@ -1,4 +1,4 @@
-"""The ten operators' queries."""
+"""The operators' queries."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op1_warc, op2_permutation, op3_bpe, op4_suffix, op5_quality, op6_substring, op7_simhash, op8_decontam, op9_langid, op10_html, oracles
+from weftline.llm import op1_warc, op2_permutation, op3_bpe, op4_suffix, op5_quality, op6_substring, op7_simhash, op8_decontam, op9_langid, op10_html, op11_codes, oracles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontamination": op8_decontam.query,
         "op9_language_id": op9_langid.query,
         "op10_html_extraction": op10_html.query,
+        "op11_vector_codes": op11_codes.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_warc_chunks": oracles.WARC,
         "op6_substring_dedup": oracles.SUBSTRING,
         "op8_decontamination": oracles.DECONTAMINATION,
+        "op11_vector_codes": oracles.CODES,
     }
