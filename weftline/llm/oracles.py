@@ -67,3 +67,48 @@ def _codes(rounds: int = 4, entries: int = 256, parts: int = 4) -> str:
 
 
 CODES = _codes()
+
+#: The driver's DuckDB may lack a CRC-32: the table by its rule, then one step for each (ASCII) character.
+_CRC = (
+    "(SELECT list(list_reduce(range(0, 8), lambda c, j: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, b) ORDER BY b) AS t FROM (SELECT unnest(range(0, 256)) AS b))"
+)
+
+
+def _repair() -> str:
+    """A forward DP over states (nothing, s, u, a), each the least (cost, audit) with the repaired lines."""
+    roles = {1: "s", 2: "u", 3: "a"}
+    gap = {(0, 1): 0, (0, 2): 0, (0, 3): 1, (1, 2): 0, (1, 3): 1, (2, 2): 1, (2, 3): 0, (3, 2): 0, (3, 3): 1}
+    into = []
+    for to in range(4):
+        ways = [f"struct_pack(c := d[{to + 1}].c + 2, a := d[{to + 1}].a || 'D', t := d[{to + 1}].t)"]
+        for (state, role), g in gap.items():
+            if role != to:
+                continue
+            other = "assistant" if role == 2 else "user"
+            lines = f"list_concat(d[{state + 1}].t, {f'[{other + chr(58)!r}]' if g else '[]::VARCHAR[]'})"
+            own, name = f"x.i = '{roles[role]}'", {2: "user", 3: "assistant"}.get(role, "")
+            change = "NULL" if role == 1 else f"struct_pack(c := d[{state + 1}].c + {5 * g + 1} + x.more, a := d[{state + 1}].a || '{'I' * g}R', t := list_append({lines}, '{name}:' || x.text))"
+            ways.append(f"CASE WHEN x.must THEN NULL WHEN {own} THEN struct_pack(c := d[{state + 1}].c + {5 * g} + x.more, a := d[{state + 1}].a || '{'I' * g}K', t := list_append({lines}, x.role || ':' || x.text)) ELSE {change} END")
+        into.append(f"list_min([{', '.join(ways)}])")
+    first = "[struct_pack(c := 0::BIGINT, a := '', t := []::VARCHAR[])" + ", struct_pack(c := 1000000000::BIGINT, a := '', t := []::VARCHAR[])" * 3 + "]"
+    ends = ["d[1]", "struct_pack(c := d[2].c + 10, a := d[2].a || 'II', t := list_concat(d[2].t, ['user:', 'assistant:']))", "struct_pack(c := d[3].c + 5, a := d[3].a || 'I', t := list_append(d[3].t, 'assistant:'))", "d[4]"]
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    return f"""
+WITH crc AS {_CRC},
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_reduce(list_transform(string_split({key}, ''), lambda c: ascii(c)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295) AS crc FROM conversations, crc),
+dam AS (SELECT conv_id, turn, xor(crc, 4294967295) % 20 AS kind, role, text FROM k),
+rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM dam, range(0, 2) AS r(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM rows),
+f AS (SELECT conv_id, turn, role, text, n, left(role, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
+  count(*) FILTER (n > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
+  list(struct_pack(i := i, must := blank OR again, more := CASE WHEN cut THEN 5 ELSE 0 END, role := role, text := text) ORDER BY n) AS x FROM f GROUP BY conv_id),
+s AS (SELECT * EXCLUDE (x), list_reduce(list_concat([struct_pack(d := {first}, x := NULL::STRUCT(i VARCHAR, must BOOLEAN, more INTEGER, role VARCHAR, text VARCHAR))], list_transform(x, lambda y: struct_pack(d := {first}, x := y))),
+  lambda p, q: struct_pack(d := (list_transform([struct_pack(d := p.d, x := q.x)], lambda z: [{', '.join(w.replace('d[', 'z.d[').replace('x.', 'z.x.') for w in into)}]))[1], x := q.x)).d AS d FROM g),
+e AS (SELECT * EXCLUDE (d), list_min([{', '.join(ends)}]) AS m FROM s)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(m.c, 0)::BIGINT AS cost, coalesce(m.a, '') AS audit, sha256(coalesce(array_to_string(m.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN e ON c.conv_id IS NOT DISTINCT FROM e.conv_id"""
+
+
+REPAIR = _repair()
