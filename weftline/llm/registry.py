@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import op1_warc, op2_permutation, op3_bpe, op4_suffix, op5_quality, op6_substring, op7_simhash, op8_decontam, op9_langid, op10_html, op11_codes, op12_repair, oracles
+from weftline.llm import op1_warc, op2_permutation, op3_bpe, op4_suffix, op5_quality, op6_substring, op7_simhash, op8_decontam, op9_langid, op10_html, op11_codes, op12_repair, op13_chat, oracles
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_extraction": op10_html.query,
         "op11_vector_codes": op11_codes.query,
         "op12_conversation_repair": op12_repair.query,
+        "op13_chat_formatting": op13_chat.query,
     }
 
 
@@ -33,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_decontamination": oracles.DECONTAMINATION,
         "op11_vector_codes": oracles.CODES,
         "op12_conversation_repair": oracles.REPAIR,
+        "op13_chat_formatting": oracles.CHAT,
     }
