@@ -99,7 +99,7 @@ k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS
 dam AS (SELECT conv_id, turn, xor(crc, 4294967295) % 20 AS kind, role, text FROM k),
 rows AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM dam, range(0, 2) AS r(c) WHERE kind <> 0 AND (c = 0 OR kind = 3)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS n FROM rows),
-f AS (SELECT conv_id, turn, role, text, n, left(role, 1) AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
+f AS (SELECT conv_id, turn, role, text, n, left(role, 1) AS i, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') AS cut, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM o),
 g AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate, count(*) FILTER (cut AND NOT blank AND NOT again) AS truncated,
   count(*) FILTER (n > 1 AND before || i NOT IN ('su', 'ua', 'au')) AS illegal,
   list(struct_pack(i := i, must := blank OR again, more := CASE WHEN cut THEN 5 ELSE 0 END, role := role, text := text) ORDER BY n) AS x FROM f GROUP BY conv_id),
