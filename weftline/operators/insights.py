@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as s
-from weftline.operators import retrieval
+from weftline.operators import matching, retrieval
 from weftline.operators.graph import small
 
 #: Words that say nothing about a topic (our own short list).
@@ -24,17 +24,14 @@ def keywords(text: F.Column) -> F.Column:
 def detect_links(insights: DataFrame, entities: DataFrame, most: int = 5, sure: float = 0.5) -> DataFrame:
     """(insight_id, entity_id, score, link_type): entities whose title or category holds a keyword; the score is the share of all the insight's terms found; the best ``most`` by terms found.
 
-    Keywords meet entity words through an index of their characters' grams, then
-    the substring test decides, so insights and entities aren't crossed.
+    All keywords are looked for in one pass over each entity's text; only pairs
+    that share one are joined with their fields.
     """
-    field = F.lower(F.concat_ws(" ", "title", "category"))
-    # words of three bytes may have fewer characters, so grams of one and two are indexed too
-    grams = lambda c: F.expr(f"array_distinct(flatten(transform(array(1, 2, 3), n -> transform(sequence(1, greatest(1, char_length({c}) - n + 1)), i -> substring({c}, i, n)))))")
     ins = insights.select(F.col("id").alias("insight_id"), keywords(F.concat_ws(" ", "title", "content")).alias("words"), s.query_tokens(F.concat_ws(" ", "title", "content")).alias("terms"))
-    first = ins.select("insight_id", F.explode("words").alias("word")).withColumn("gram", F.substring("word", 1, 3))
-    ent = entities.select(F.col("id").alias("entity_id"), field.alias("field")).withColumn("gram", F.explode(grams("field")))
-    met = first.select("word", "gram").distinct().join(ent, "gram").filter(F.contains("field", F.col("word"))).select("word", "entity_id", "field").distinct()
-    pairs = first.select("insight_id", "word").join(met, "word").select("insight_id", "entity_id", "field").distinct().join(ins.select("insight_id", "terms"), "insight_id")
+    ent = entities.select(F.col("id").alias("entity_id"), F.lower(F.concat_ws(" ", "title", "category")).alias("field"))
+    words = ins.select("insight_id", F.explode("words").alias("term"))
+    met = matching.contained(ent, words.select("term"), "field")
+    pairs = words.join(met, "term").select("insight_id", "entity_id").distinct().join(ent, "entity_id").join(ins.select("insight_id", "terms"), "insight_id")
     total = F.size(F.filter("terms", lambda t: F.contains(F.col("field"), t)))
     scored = pairs.select("insight_id", "entity_id", total.alias("total"), F.least(F.lit(1.0), total / F.size("terms")).alias("score"))
     own = Window.partitionBy("insight_id").orderBy(F.desc("total"), "entity_id")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as s
+from weftline.operators import matching, nearest
 
 #: BM25 parameters, fusion constant and weights, sparse and title boosts, over-fetch, expansion factor.
 K1, B, RRF_K, W_KEYWORD, W_SEMANTIC = 1.2, 0.75, 20, 0.45, 0.55
@@ -52,7 +53,7 @@ def bm25(post: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, floo
     return scored.join(terms, "term").groupBy("query_id", "id", "n_terms").agg(F.sum("w").alias("score"), F.count("*").alias("k")).filter("k = n_terms").select("query_id", "id", "score")
 
 
-def top(scored: DataFrame, k: int, by: str = "query_id", score: str = "score", key: str = "id", rank: str = "rank") -> DataFrame:
+def top(scored: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", key: str = "id", rank: str = "rank") -> DataFrame:
     own = Window.partitionBy(by).orderBy(F.desc(score), key)
     return scored.withColumn(rank, F.row_number().over(own)).filter(F.col(rank) <= k)
 
@@ -95,23 +96,28 @@ def keyword_search(post: DataFrame, chunks: DataFrame, queries: DataFrame, limit
 
 
 def semantic_search(vectors: DataFrame, queries: DataFrame, limit: int, where: Column | None = None, chunks: DataFrame | None = None, asked: DataFrame | None = None, types: DataFrame | None = None, sections: dict[str, float] = SECTIONS) -> DataFrame:
-    """(query_id, id, entity_id, similarity, score, rank): brute force over all queries (query_id, qvec); few are broadcast, many meet the vectors partition by partition; for many use an index.
+    """(query_id, id, entity_id, similarity, score, rank): exact, over all queries (query_id, qvec); null vectors and those of another length take no part.
 
     Ranked by score, the cosine; with chunks and the queries' texts (asked), times
     the boosts of section, title and type (types (key, term): a term of the chunk's
-    type is in the query). Vectors without a chunk have no boost.
+    type is in the query). Vectors without a chunk have no boost. The section's
+    boost goes with the vector into the tiles; the others are at most ``TITLE_ALL``
+    and ``TYPE_BOOST``, so what could win with them is kept and boosted afterwards.
     """
-    own = vectors if where is None else vectors.filter(where)
-    scored = own.crossJoin(queries).select("query_id", "id", "entity_id", s.cosine(F.col("vec"), F.col("qvec")).alias("similarity"))
-    boost = F.lit(1.0)
-    if chunks is not None and asked is not None:
-        scored = scored.join(chunks.select("id", "entity_type", "title", "section"), "id", "left").join(asked.select("query_id", "query"), "query_id", "left")
-        boost = section_boost(F.trim("section"), sections) * title_boost(F.col("query"), F.col("title"))
-        if types is not None:
-            named = detect_types(asked, types).select("query_id", F.col("key").alias("entity_type"), F.lit(TYPE_BOOST).alias("of_type"))
-            scored = scored.join(named, ["query_id", "entity_type"], "left")
-            boost = boost * F.coalesce("of_type", F.lit(1.0))
-    return top(scored.withColumn("score", F.col("similarity") * boost), limit).select("query_id", "id", "entity_id", "similarity", "score", "rank")
+    own = (vectors if where is None else vectors.filter(where)).select("id", "entity_id", "vec")
+    if chunks is None or asked is None:
+        found = nearest.top_pairs(own, queries, limit).withColumn("score", F.col("similarity"))
+        return nearest.merged(found, limit).select("query_id", "id", "entity_id", "similarity", "score", "rank")
+    known = chunks.select("id", "entity_type", "title", F.trim("section").alias("section"))
+    weighed = own.join(known, "id", "left").withColumn("_section", section_boost(F.coalesce("section", F.lit("")), sections))
+    found = nearest.top_pairs(weighed.drop("section"), queries, limit, "_section", TITLE_ALL * TYPE_BOOST)
+    found = found.join(known.select("id", "section"), "id", "left").join(asked.select("query_id", "query"), "query_id", "left")
+    boost = section_boost(F.coalesce("section", F.lit("")), sections) * F.coalesce(title_boost(F.col("query"), F.col("title")), F.lit(1.0))
+    if types is not None:
+        named = detect_types(asked, types).select("query_id", F.col("key").alias("entity_type"), F.lit(TYPE_BOOST).alias("of_type"))
+        found = found.join(named, ["query_id", "entity_type"], "left")
+        boost = boost * F.coalesce("of_type", F.lit(1.0))
+    return nearest.merged(found.withColumn("score", F.col("similarity") * boost), limit).select("query_id", "id", "entity_id", "similarity", "score", "rank")
 
 
 def rrf(keyword: DataFrame, semantic: DataFrame, limit: int, k: int = RRF_K, homonyms: DataFrame | None = None) -> DataFrame:
@@ -138,14 +144,12 @@ def one_sided(hits: DataFrame, limit: int) -> DataFrame:
 
 
 def detect_types(queries: DataFrame, lexicon: DataFrame, least: int = 5) -> DataFrame:
-    """(query_id, key, score): share of a key's terms that the query contains, of at least ``least`` terms, at most 1.
-
-    lexicon (key, term) is small by nature and inlined as arrays.
-    """
-    keys = lexicon.groupBy("key").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    pairs = queries.join(F.broadcast(keys))  # a few keys
-    hits = F.size(F.filter("terms", lambda t: F.contains(F.lower(F.col("query")), t)))
-    return pairs.select("query_id", "key", F.least(F.lit(1.0), hits / F.greatest(F.size("terms"), F.lit(least))).alias("score")).filter("score > 0")
+    """(query_id, key, score): share of a key's terms (key, term) that the query contains, of at least ``least`` terms, at most 1."""
+    own = lexicon.select("key", "term").distinct()
+    sizes = own.groupBy("key").agg(F.count("*").alias("n_terms"))
+    found = matching.contained(queries.select("query_id", F.lower("query").alias("text")), own.select("term"))
+    hits = found.distinct().join(own, "term").groupBy("query_id", "key").agg(F.count("*").alias("hits")).join(sizes, "key")
+    return hits.select("query_id", "key", F.least(F.lit(1.0), F.col("hits") / F.greatest("n_terms", F.lit(least))).alias("score"))
 
 
 def strategy(scores: DataFrame, queries: DataFrame) -> DataFrame:
@@ -160,9 +164,10 @@ def strategy(scores: DataFrame, queries: DataFrame) -> DataFrame:
 
 def inject_synonyms(results: DataFrame, queries: DataFrame, lexicon: DataFrame, most: int = 2, factor: float = EXPAND) -> DataFrame:
     """Adds up to ``most`` absent entities per query that the lexicon (term, entity_id) names: phrases by substring, single words as whole tokens, at a factor of the top score."""
-    low = F.lower(F.col("query"))
-    token = F.array_contains(s.query_tokens(F.col("query")), F.col("term"))
-    named = queries.join(F.broadcast(lexicon), F.when(F.contains(F.col("term"), F.lit(" ")), F.contains(low, F.col("term"))).otherwise(token)).select("query_id", "entity_id").distinct()
+    own, phrase = lexicon.select("term", "entity_id").distinct(), F.contains(F.col("term"), F.lit(" "))
+    tokens = queries.select("query_id", F.explode(s.query_tokens(F.col("query"))).alias("term"))
+    phrases = matching.contained(queries.select("query_id", F.lower("query").alias("text")), own.filter(phrase).select("term"))
+    named = tokens.join(own.filter(~phrase), "term").select("term", "query_id", "entity_id").union(phrases.join(own.filter(phrase), "term").select("term", "query_id", "entity_id")).select("query_id", "entity_id").distinct()
     absent = named.join(results.select("query_id", "entity_id"), ["query_id", "entity_id"], "left_anti")
     best = results.groupBy("query_id").agg(F.max("score").alias("best"))
     own = Window.partitionBy("query_id").orderBy("entity_id")
@@ -190,7 +195,8 @@ def expand_remedies(results: DataFrame, edges: DataFrame, limit: int, most: int
 
 def homonym_hits(queries: DataFrame, signals: DataFrame) -> DataFrame:
     """(query_id, entity_id): entities one of whose signals (entity_id, term) is a substring of the query."""
-    return queries.join(F.broadcast(signals), F.contains(F.lower(F.col("query")), F.col("term"))).select("query_id", "entity_id").distinct()
+    found = matching.contained(queries.select("query_id", F.lower("query").alias("text")), signals.select("term"))
+    return found.join(signals.select("entity_id", "term"), "term").select("query_id", "entity_id").distinct()
 
 
 def fields(entities: DataFrame, names: tuple[str, ...]) -> Column:
@@ -204,8 +210,9 @@ def ground(entities: DataFrame, prompts: DataFrame, limit: int = 3) -> DataFrame
     """(query_id, id, matches, rank): entities by how many of a prompt's words (as often as they occur) stand in title, name, category or tags."""
     words = F.filter(F.split(F.lower("query"), "\\s+"), lambda w: w != "")
     text = entities.select("id", fields(entities, ("title", "name", "category", "tags")).alias("text"))
-    pairs = text.crossJoin(prompts.select("query_id", words.alias("words")))  # a stated set of prompts against all rows
-    hits = pairs.select("query_id", "id", F.size(F.filter("words", lambda w: F.contains(F.col("text"), w))).alias("matches")).filter("matches > 0")
+    asked = prompts.select("query_id", F.explode(words).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("often"))
+    found = matching.contained(text, asked.select("term"))
+    hits = found.join(asked, "term").groupBy("query_id", "id").agg(F.sum("often").cast("int").alias("matches"))
     return top(hits, limit, score="matches")
 
 
@@ -217,10 +224,10 @@ def merge_types(found: DataFrame, limit: int) -> DataFrame:
 def graph_fallback(entities: DataFrame, queries: DataFrame, limit: int, homonyms: DataFrame | None = None) -> DataFrame:
     """Keyword search over entity fields: rank by terms found anywhere, then in title or name. Homonyms (query_id, entity_id) go after the cut, so fewer than limit may be left."""
     text = fields(entities, ("title", "name", "type", "category", "tags", "context"))
-    q = queries.select("query_id", s.query_tokens(F.col("query")).alias("terms"))
-    pairs = entities.select("id", fields(entities, ("title", "name")).alias("t"), text.alias("all")).crossJoin(q)
-    count = lambda c: F.size(F.filter("terms", lambda x: F.contains(F.col(c), x)))
-    hits = pairs.select("query_id", "id", count("all").alias("total"), count("t").alias("in_title")).filter("total > 0")
+    asked = queries.select("query_id", F.explode(s.query_tokens(F.col("query"))).alias("term"))
+    named = entities.select("id", fields(entities, ("title", "name")).alias("_title"), text.alias("text"))
+    found = matching.contained(named, asked.select("term")).select("id", "term", F.contains("_title", F.col("term")).alias("titled"))
+    hits = found.join(asked, "term").groupBy("query_id", "id").agg(F.count("*").cast("int").alias("total"), F.count_if("titled").cast("int").alias("in_title"))
     own = Window.partitionBy("query_id").orderBy(F.desc("total"), F.desc("in_title"), "id")
     kept = hits.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= limit)
     return kept if homonyms is None else kept.join(homonyms.select("query_id", F.col("entity_id").alias("id")).distinct(), ["query_id", "id"], "left_anti")
