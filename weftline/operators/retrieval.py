@@ -53,6 +53,29 @@ def bm25(post: DataFrame, queries: DataFrame, k1: float = K1, b: float = B, floo
     return scored.join(terms, "term").groupBy("query_id", "id", "n_terms").agg(F.sum("w").alias("score"), F.count("*").alias("k")).filter("k = n_terms").select("query_id", "id", "score")
 
 
+def bm25_scan(chunks: DataFrame, queries: DataFrame, columns: tuple[str, ...] = ("text", "title", "section"), k1: float = K1, b: float = B, floor: float = 1e-6, most: int = 2000) -> DataFrame:
+    """The same as ``bm25`` straight from chunks: a chunk's words are counted within its row, so nothing but the hits of the queries' own terms is shuffled, each already summed by its chunk.
+
+    Up to ``most`` distinct terms go into the plan; more take the postings.
+    """
+    terms = queries.select("query_id", s.query_tokens(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+    own = sorted(r.term for r in terms.select("term").distinct().limit(most + 1).collect())
+    if len(own) > most:
+        return bm25(postings(chunks, columns=columns), queries, k1, b, floor)
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.concat_ws(" ", *columns)), "[^\\p{L}\\p{N}\\s]", " "), "\\s+"), lambda t: t != "")
+    w = chunks.select("id", words.alias("w")).filter(F.size("w") > 0)
+    asked = F.array_intersect("w", F.array(*map(F.lit, own)).cast("array<string>"))
+    hits = w.select("id", "w", F.explode(asked).alias("term")).select("id", "term", F.size("w").alias("len"), F.size(F.filter("w", lambda x: x == F.col("term"))).alias("tf"))
+    docs = w.agg(F.count("*").alias("n_docs"), F.avg(F.size("w")).alias("avg_len"))
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(floor))
+    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+    per = terms.join(F.broadcast(df), "term").join(F.broadcast(docs))  # at most ``most`` terms, and one row
+    few = queries.limit(most + 1).count() <= most
+    found = hits.join(F.broadcast(per) if few else per, "term")
+    return found.groupBy("query_id", "id", "n_terms").agg(F.sum(weight).alias("score"), F.count("*").alias("k")).filter("k = n_terms").select("query_id", "id", "score")
+
+
 def top(scored: DataFrame, k: int, by: str | list[str] = "query_id", score: str = "score", key: str = "id", rank: str = "rank") -> DataFrame:
     own = Window.partitionBy(by).orderBy(F.desc(score), key)
     return scored.withColumn(rank, F.row_number().over(own)).filter(F.col(rank) <= k)
@@ -82,15 +105,21 @@ def section_boost(section: Column, table: dict[str, float]) -> Column:
     return c
 
 
-def keyword_search(post: DataFrame, chunks: DataFrame, queries: DataFrame, limit: int, sections: dict[str, float] | None = None, within: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, entity_id, score, boost, rank): the limit is taken by plain BM25, then title and sparse boosts apply and re-sort; ``boost``, with the section's, is what fusion weighs the rank by. ``within`` (query_id, entity_type) restricts a query to types."""
-    found = bm25(post, queries)
+def keyword_search(post: DataFrame | None, chunks: DataFrame, queries: DataFrame, limit: int, sections: dict[str, float] | None = None, within: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, entity_id, score, boost, rank): the limit is taken by plain BM25, then title and sparse boosts apply and re-sort; ``boost``, with the section's, is what fusion weighs the rank by.
+
+    Scores are rounded to nine digits, so that ties are ties wherever they are
+    computed, and go by id. ``within`` (query_id, entity_type) restricts a query
+    to types. Without postings the chunks are scanned.
+    """
+    found = bm25_scan(chunks, queries) if post is None else bm25(post, queries)
     if within is not None:
         found = found.join(chunks.select("id", "entity_type"), "id").join(within, ["query_id", "entity_type"], "left_semi").drop("entity_type")
-    hits = top(found, limit).drop("rank").join(chunks.select("id", "entity_id", "title", "section"), "id").join(queries, "query_id")
+    cut = top(found.withColumn("score", F.round("score", 9)), limit).drop("rank")
+    hits = cut.join(chunks.select("id", "entity_id", "title", "section"), "id").join(queries, "query_id")
     per = chunks.groupBy("entity_id").agg(F.count("*").alias("n_chunks"))
     title, sparse = title_boost(F.col("query"), F.col("title")), sparse_boost(F.col("n_chunks"))
-    out = hits.join(per, "entity_id").withColumn("score", F.col("score") * title * sparse)
+    out = hits.join(per, "entity_id").withColumn("score", F.round(F.col("score") * title * sparse, 9))
     boost = title * sparse * section_boost(F.trim("section"), SECTIONS if sections is None else sections)
     return top(out.withColumn("boost", boost), limit).select("query_id", "id", "entity_id", "score", "boost", "rank")
 
@@ -138,6 +167,24 @@ def rrf(keyword: DataFrame, semantic: DataFrame, limit: int, k: int = RRF_K, hom
     return top(one, limit)
 
 
+def fuse(keyword: DataFrame, semantic: DataFrame, limit: int, homonyms: DataFrame | None = None) -> DataFrame:
+    """(query_id, entity_id, id, score, rank) for each query by what it has: fusion where both sides have hits, else the one side in its own order.
+
+    Keyword hits alone score the size of their score, semantic hits alone their
+    similarity; several chunks of an entity may stay. Homonyms are demoted to
+    nothing everywhere.
+    """
+    a, b = keyword.select("query_id").distinct(), semantic.select("query_id").distinct()
+    fused = rrf(keyword.join(b, "query_id", "left_semi"), semantic.join(a, "query_id", "left_semi"), limit, homonyms=homonyms)
+    alone = keyword.join(b, "query_id", "left_anti").select("query_id", "entity_id", "id", F.abs("score").alias("score"), "rank")
+    alone = alone.unionByName(semantic.join(a, "query_id", "left_anti").select("query_id", "entity_id", "id", F.col("similarity").alias("score"), "rank")).filter("score > 0")
+    if homonyms is not None:
+        alone = alone.join(homonyms.select("query_id", "entity_id").distinct(), ["query_id", "entity_id"], "left_anti")
+    own = Window.partitionBy("query_id").orderBy("rank", "id")
+    kept = alone.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= limit)
+    return fused.select("query_id", "entity_id", "id", "score", "rank").unionByName(kept.select("query_id", "entity_id", "id", "score", "rank"))
+
+
 def one_sided(hits: DataFrame, limit: int) -> DataFrame:
     """The fallback where the other half failed: scores as they are, no fusion and no entity dedup."""
     return top(hits.withColumn("score", F.abs("score")).filter("score > 0"), limit)

@@ -93,7 +93,7 @@ class Engine:
     def _hybrid(self, asked: DataFrame, limit: int, entity_type: str | None, query_vectors: DataFrame | None) -> DataFrame:
         """(query_id, entity_id, score): keyword and semantic hits fused, or keyword hits alone without vectors."""
         own = self.chunks if entity_type is None else self.chunks.filter(F.col("entity_type") == entity_type)
-        hits = retrieval.keyword_search(retrieval.postings(own), own, asked, retrieval.OVERFETCH * limit)
+        hits = retrieval.keyword_search(None, own, asked, retrieval.OVERFETCH * limit)
         demoted = retrieval.homonym_hits(asked, self.homonyms) if self.homonyms is not None else None
         if self.vectors is None or query_vectors is None:
             one = retrieval.one_sided(hits.select("query_id", "id", "entity_id", "score"), limit)
@@ -102,7 +102,7 @@ class Engine:
             near = self.vectors if entity_type is None else self.vectors.join(own.select("id"), "id", "left_semi")
             meant = query_vectors.join(asked.select("query_id"), "query_id", "left_semi")
             meaning = retrieval.semantic_search(near, meant, retrieval.OVERFETCH * limit, chunks=self.chunks, asked=asked, types=self.types)
-            found = retrieval.rrf(hits, meaning, limit, homonyms=demoted)
+            found = retrieval.fuse(hits, meaning, limit, homonyms=demoted)
         return found.select("query_id", "entity_id", F.col("score").cast("double").alias("score"))
 
     def _by_types(self, asked: DataFrame, limit: int, query_vectors: DataFrame | None) -> DataFrame:
