@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import scalars as s
 from weftline.operators import detectors, evaluation, graph, insights, retrieval
-from weftline.sources import code_items, files
+from weftline.sources import code_items, files, versions
 from weftline.streaming import metrics
 
 SF = "/root/testdata/sf0.001"
@@ -201,7 +201,7 @@ def test_chunk_table_upserts(spark, tmp_path):
     at = str(tmp_path / "chunks")
     files.write_chunks(c(("a", "1", "x"), ("b", "2", "y")), at)
     files.write_chunks(c(("b", "3", "y"), ("c", "4", "x")), at)
-    assert bag(spark.read.parquet(at).select("id", "text", "entity_type")) == [("a", "1", "x"), ("b", "3", "y"), ("c", "4", "x")]
+    assert bag(versions.read(spark, at).select("id", "text", "entity_type")) == [("a", "1", "x"), ("b", "3", "y"), ("c", "4", "x")]
     v = files.embed(spark.createDataFrame([("a b a",), ("",)], "text string"), dim=8).collect()
     assert abs(sum(x * x for x in v[0].embedding) - 1) < 1e-6 and set(v[1].embedding) == {0.0}
 

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import graph
-from weftline.session import scratch
+from weftline.sources import versions
 
 #: Prefixes of ids that load, and the relations that a stored entity may carry.
 PREFIXES = ["DP-", "RF-", "LAW-", "SMELL-"]
@@ -55,19 +62,39 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
     return d.select(F.input_file_name().alias("path"), F.col("value").alias("text")).filter(~F.contains("path", F.lit("README")) & ~F.contains("path", F.lit("/ko/")))
 
 
-def write_chunks(chunks: DataFrame, path: str, replace: str = "id") -> None:
-    """Insert or replace by id. The new state is written aside first, so that a failed job leaves the old one whole."""
-    spark = chunks.sparkSession
-    from pyspark.errors import AnalysisException
+def write_chunks(chunks: DataFrame, path: str, replace: str = "id", writer: tuple[str, int] | None = None) -> int:
+    """Insert or replace by id in a table kept by version; chunks without the table's columns are an error and change nothing."""
+    return versions.upsert(chunks, path, replace, writer)
 
-    try:
-        old = spark.read.parquet(path)
-        state = graph.upsert(old, chunks.select(old.columns), replace)
-    except AnalysisException:
-        state = chunks
-    aside = scratch(spark, "chunks")
-    state.write.partitionBy("entity_type").parquet(aside)
-    spark.read.parquet(aside).write.mode("overwrite").partitionBy("entity_type").parquet(path)
+
+def write_graph(entities: DataFrame, edges: DataFrame, path: str, writer: tuple[str, int] | None = None) -> None:
+    """Entities by id and edges by their three columns, in two tables kept by version under a path."""
+    versions.upsert(entities, f"{path}/entities", "id", writer)
+    versions.upsert(edges.select("src", F.lower("rel").alias("rel"), "dst"), f"{path}/edges", ["src", "rel", "dst"], writer)
+
+
+def embed_missing(chunks: DataFrame, path: str, dim: int = 384, writer: tuple[str, int] | None = None) -> int:
+    """Embeds the chunks (id, text) that the table of vectors at a path does not have yet."""
+    have = versions.read(chunks.sparkSession, path, "id string, embedding array<float>")
+    new = embed(missing_embeddings(chunks.select("id", "text"), have), dim=dim)
+    return versions.append(new.select("id", "embedding"), path, "id", writer)
+
+
+def build(spark: SparkSession, files_: DataFrame, entities: DataFrame, edges: DataFrame, path: str, run: int, dim: int = 384) -> DataFrame:
+    """The build pipeline: markdown (entity_id, entity_type, title, text) to chunks, the graph, vectors of chunks that have none, and what was built as metadata (key, value). A repeated run of the same number changes nothing that stands."""
+    from weftline.operators import retrieval
+
+    names = files_.select("entity_id", "entity_type", "title")
+    write_chunks(retrieval.chunk_markdown(files_.select("entity_id", "text")).join(names, "entity_id"), f"{path}/chunks", writer=("build", run))
+    write_graph(entities, edges, path, ("build", run))
+    chunks = versions.read(spark, f"{path}/chunks")
+    embed_missing(chunks, f"{path}/vectors", dim, ("build", run))
+    counts = {"chunks": "chunks", "entities": "entities", "edges": "edges", "embedded": "vectors"}
+    totals = [versions.read(spark, f"{path}/{t}").agg(F.lit(k).alias("key"), F.count("*").cast("string").alias("value")) for k, t in counts.items()]
+    totals.append(chunks.agg(F.lit("files").alias("key"), F.countDistinct("entity_id").cast("string").alias("value")))
+    totals.append(spark.createDataFrame([("dimension", str(dim))], "key string, value string"))
+    versions.upsert(reduce(DataFrame.unionByName, totals), f"{path}/metadata", "key", ("build", run), 1)
+    return versions.read(spark, f"{path}/metadata")
 
 
 def missing_embeddings(chunks: DataFrame, embedded: DataFrame, id_col: str = "id") -> DataFrame:
@@ -75,14 +102,45 @@ def missing_embeddings(chunks: DataFrame, embedded: DataFrame, id_col: str = "id
     return chunks.join(embedded.select(id_col), id_col, "left_anti")
 
 
-def embed(texts: DataFrame, text_col: str = "text", dim: int = 384) -> DataFrame:
-    """The offline default of the embedding provider: a hashed bag of tokens with unit length, all in the JVM. Pass your own iterator pandas UDF for a model."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(text_col), "[^\\p{L}\\p{N}\\s]", " "), "\\s+"), lambda t: t != "")
-    slots = F.transform(words, lambda t: F.pmod(F.xxhash64(t), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(slots, lambda x: x == i)).cast("double"))
-    x = texts.withColumn("_c", counts)
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, v: s + v * v))
-    return x.withColumn("embedding", F.transform("_c", lambda v: F.when(norm > 0, v / norm).otherwise(0.0).cast("float"))).drop("_c")
+def hashed(texts: pd.Series, dim: int) -> list[np.ndarray]:
+    """The offline default of an embedding model: hashed bags of tokens, of unit length; a text without tokens is a zero vector."""
+    out = []
+    for text in texts:
+        tokens = re.sub(r"[^\w\s]|_", " ", (text or "").lower()).split()
+        slots = np.fromiter((xxhash.xxh64_intdigest(t) % dim for t in tokens), np.int64, len(tokens))
+        counts = np.bincount(slots, minlength=dim).astype(np.float64)
+        norm = np.sqrt((counts * counts).sum())
+        out.append((counts / norm if norm else counts).astype(np.float32))
+    return out
+
+
+def embed(texts: DataFrame, text_col: str = "text", dim: int = 384, load=None) -> DataFrame:
+    """The rows with an ``embedding`` of a text column.
+
+    ``load()`` is called once a worker's task and returns a model: a function of
+    a list of texts that gives as many vectors. Texts for which the model raises
+    or gives another length get a zero vector. Without it, tokens are counted
+    into hashed slots, at a cost that does not depend on the dimension.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load() if load else lambda x: hashed(x, dim)
+        for part in parts:
+            try:
+                found = list(model(part.tolist()))
+            except Exception:  # one bad text must not cost the others their vectors
+                found = [_one(model, t) for t in part.tolist()]
+            yield pd.Series([v if v is not None and len(v) == dim else np.zeros(dim, np.float32) for v in found])
+
+    return texts.withColumn("embedding", run(F.col(text_col)))
+
+
+def _one(model, text):
+    try:
+        return model([text])[0]
+    except Exception:
+        return None
 
 
 def set_metadata(meta: DataFrame, key: str, value: str) -> DataFrame:
