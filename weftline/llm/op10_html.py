@@ -4,7 +4,10 @@ A page is a sequence of words and tags. Words score positive and tags negative,
 and one linear scan finds the contiguous region of the greatest sum. A tag's
 weight is learned from labelled pages, those that mark their content themselves
 (one <article> or <main>): the log-odds of standing outside of the marked
-content rather than inside.
+content rather than inside. A tag that no labelled page has costs what all block
+tags, or all others, cost together, nothing if those speak for the content; and
+inside of what a page itself marks as content no tag costs anything, so tables,
+lists, code and the like stay, wherever they stand in the article.
 
 What an author calls a part is learned from the same pages: an element that
 stands beside the marked content speaks against the words of its class and id,
@@ -41,12 +44,14 @@ from weftline.session import bounded_batches, table
 #: How many labelled pages the weights are fitted on, at most, and their size.
 LABELLED, LONGEST = 500, 1 << 15
 ATTRIBUTES = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
-TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<data>.*?)(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<raw>script|style)(?=[\s/>]){ATTRIBUTES}>.*?(?:</(?P=raw)\s*>|\Z)"""
-    rf"""|<(?P<dead>noscript|template|textarea|iframe|title|svg|math|select|object|noembed|noframes|canvas|audio|video)(?=[\s/>]){ATTRIBUTES}>.*?</(?P=dead)\s*>"""
-    rf"""|<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{ATTRIBUTES})>""",
-    re.S | re.I,
-)
+MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-z])", re.I)
+TAG = re.compile(rf"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{ATTRIBUTES})>", re.I)
+UNQUOTED = re.compile(r"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>[^>]*)>", re.I)
+#: Elements whose content is no text of the page, to the page's end if not closed; likewise, if they are closed; and whose content is text as it stands.
+RAW = {"script", "style"}
+DEAD = {"noscript", "template", "iframe", "title", "select", "object", "noembed", "noframes", "canvas", "audio", "video"}
+PLAIN = {"textarea"}
+CLOSERS = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW | DEAD | PLAIN}
 ATTRIBUTE = re.compile(r"""(?:^|(?<=[\s"'/]))(class|id|role|aria-hidden|hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/]|$))""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BLOCKS = {"p", "div", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "dl", "dt", "dd", "table", "thead", "tbody", "tfoot", "tr", "caption", "section", "article", "main", "blockquote", "pre", "figure", "figcaption", "hr", "address", "details", "summary", "header", "footer", "nav", "aside", "form", "fieldset", "menu", "dialog", "body", "html", "center", "hgroup"}
@@ -61,7 +66,9 @@ PRIOR = {
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert", "alertdialog", "toolbar"}
 #: Words that say where or how big a part is, not what it is.
 LAYOUT = {"main", "site", "page", "top", "bottom", "left", "right", "bar", "box", "list", "item", "container", "wrapper", "wrap", "inner", "block", "section", "area", "slot", "widget", "links", "primary", "secondary", "body", "text", "content", "panel", "group", "row", "col", "column", "module", "holder", "outer", "thread"}
-BELIEF, CLEAR, UNSEEN, STEEP = 9, 1.5, -0.5, 6.0
+BELIEF, CLEAR, STEEP = 9, 1.5, 6.0
+#: Tags of the document itself say nothing about others.
+FRAME = {"html", "head", "body", "meta", "link", "base", "article", "main"}
 #: Elements whose end tag may be left out: the tags whose start ends them, and what their search stops at.
 CELLS = {"td", "th", "tr", "tbody", "thead", "tfoot"}
 ENDED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": CELLS, "th": CELLS, "tr": CELLS - {"td", "th"}, "tbody": CELLS - {"td", "th", "tr"}, "thead": CELLS - {"td", "th", "tr"}, "tfoot": CELLS - {"td", "th", "tr"}, "p": BLOCKS}
@@ -70,11 +77,11 @@ STOPS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "p": BLOCKS - {
 
 
 class Element:
-    __slots__ = ("name", "features", "up", "begin", "closed", "limit", "gap", "content")
+    __slots__ = ("name", "features", "up", "begin", "marked", "closed", "limit", "gap", "ends")
 
-    def __init__(self, name: str, features: list[list[str]], up: Element | None, begin: int):
-        self.name, self.features, self.up, self.begin = name, features, up, begin
-        self.closed, self.limit, self.gap, self.content = name in OPTIONAL, None, False, -1
+    def __init__(self, name: str, features: list[list[str]], up: Element | None, begin: int, marked: bool = False):
+        self.name, self.features, self.up, self.begin, self.marked = name, features, up, begin, marked  # marked: within a content element
+        self.closed, self.limit, self.gap, self.ends = name in OPTIONAL, None, False, (0.0, 0.0)
 
 
 def features(name: str, attributes: str, inside: bool) -> list[list[str]]:
@@ -94,60 +101,107 @@ def features(name: str, attributes: str, inside: bool) -> list[list[str]]:
     return out
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """('text', raw, ''), ('data', plain, ''), ('open' or 'close', name, attributes) in order. Every step moves on, and a search that has failed is not repeated, so a page takes linear time however it is broken."""
+    at, place, size, tag, missing = 0, 0, len(page), TAG, set()
+    while (m := MARKUP.search(page, place)) is not None:
+        begin, kind, data = m.start(), m[0], ""
+        if kind[1] in "!?":
+            stop = {"<!--": "-->", "<![CDATA[": "]]>"}.get(kind.upper() if len(kind) > 4 else kind, ">")
+            end = page.find(stop, m.end())
+            if end < 0 and stop == ">":
+                break
+            data = page[m.end() : end if end >= 0 else size] if stop == "]]>" else ""
+            place = end + len(stop) if end >= 0 else size
+            tokens_ = [("data", data, "")] if data else []
+        else:
+            t = tag.match(page, begin)
+            if t is None:  # a quote that is never closed: from here on quotes mean nothing
+                tag = UNQUOTED
+                if (t := tag.match(page, begin)) is None:
+                    break  # no tag ends any more
+            name, place = t["name"].lower(), t.end()
+            tokens_ = [("close" if t["end"] else "open", name, t["rest"])]
+            if name in CLOSERS and not t["end"]:
+                found = None if name in missing else CLOSERS[name].search(page, place)
+                if found is not None:
+                    tokens_ = [("open", name, t["rest"]), ("data", page[place : found.start()], ""), ("close", name, "")] if name in PLAIN else []
+                    place = found.end()
+                elif name in RAW:
+                    tokens_, place = [], size
+                else:
+                    missing.add(name)
+        if begin > at:
+            yield "text", page[at:begin], ""
+        yield from tokens_
+        at = place
+    if at < size:
+        yield "text", page[at:], ""
+
+
+#: Elements that decide what an omitted end tag means; only these are looked at when another begins.
+MARKS = set(ENDED_BY) | (BLOCKS - OPTIONAL)
+ENDING = set().union(*ENDED_BY.values())
+
+
 def parse(page: str) -> tuple[list[tuple[str, str, Element | None]], list[Element]]:
     """The sequence of ('text', raw), ('open' and 'close', tag) with the element each stands in (a tag: its own), and the elements in order."""
     seq: list[tuple[str, str, Element | None]] = []
     stack: list[Element] = []
     elements: list[Element] = []
-    at = inside = 0
+    places: dict[str, list[int]] = {}  # of the open elements of each name
+    marks: list[int] = []
+    inside = limited = 0  # open content elements; elements of the stack from its bottom that have their limit
 
     def cut(k: int) -> None:
-        nonlocal inside
-        inside -= sum(e.name in CONTENT for e in stack[k:])
+        nonlocal inside, limited
+        for e in stack[k:]:
+            places[e.name].pop()
+            inside -= e.name in CONTENT
+        while marks and marks[-1] >= k:
+            marks.pop()
         del stack[k:]
+        limited = min(limited, k)
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            seq.append(("text", page[at : m.start()], stack[-1] if stack else None))
-        at = m.end()
-        if m["data"]:
-            seq.append(("text", html.escape(m["data"]), stack[-1] if stack else None))
-        if not m["name"]:
+    def top(name: str) -> int:
+        return places[name][-1] if places.get(name) else -1
+
+    for kind, name, rest in tokens(page):
+        here = stack[-1] if stack else None
+        if kind in ("text", "data"):
+            seq.append(("text", html.escape(name) if kind == "data" else name, here))
             continue
-        name = m["name"].lower()
-        if m["end"]:
-            stops = STOPS.get(name, ())
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k].name == name:
-                    stack[k].closed = True
-                    seq.append(("close", name, stack[k]))
-                    cut(k)
-                    break
-                if stack[k].name in stops:
-                    break
+        if kind == "close":
+            k = top(name)
+            if k > max((top(x) for x in STOPS.get(name, ())), default=-1):
+                stack[k].closed = True
+                seq.append(("close", name, stack[k]))
+                cut(k)
             else:
-                seq.append(("close", name, stack[-1] if stack else None))
+                seq.append(("close", name, here))
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            own = stack[k].name
-            if name in ENDED_BY.get(own, ()):
-                cut(k)
-            elif own in STOPS.get(name, ()) and name != "p" or own in BLOCKS and own not in OPTIONAL:
-                break
-        e = Element(name, features(name, m["rest"], inside > 0), stack[-1] if stack else None, len(seq))
+        if name in ENDING:
+            for k in reversed(marks):
+                own = stack[k].name
+                if name in ENDED_BY.get(own, ()):
+                    cut(k)
+                elif own in STOPS.get(name, ()) and name != "p" or own in BLOCKS and own not in OPTIONAL:
+                    break
+        e = Element(name, features(name, rest, inside > 0), stack[-1] if stack else None, len(seq), inside > 0)
         elements.append(e)
         seq.append(("open", name, e))
         if name in CONTENT:
-            for x in stack:
-                if x.limit is None:
-                    x.limit = len(seq) - 1
-        if name not in VOID and not m["rest"].endswith("/"):
+            for x in stack[limited:]:
+                x.limit = len(seq) - 1
+            limited = len(stack)
+        if name not in VOID and not rest.endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            if name in MARKS:
+                marks.append(len(stack))
             stack.append(e)
             inside += name in CONTENT
         else:
             e.closed = True
-    if at < len(page):
-        seq.append(("text", page[at:], stack[-1] if stack else None))
     return seq, elements
 
 
@@ -171,9 +225,11 @@ class Model:
                 e = e.up
             inner, held = {id(marked[0])}, Counter()
             for kind, x, e in seq:
-                while kind == "text" and e is not None:
+                if kind == "text" and e is not None:
                     held[id(e)] += len(x.split())
-                    e = e.up
+            for e in reversed(elements):
+                if e.up is not None:
+                    held[id(e.up)] += held[id(e)]
             for e in elements:
                 if e is marked[0] or id(e) in around:
                     continue
@@ -196,6 +252,18 @@ class Model:
                 if kind == "open" and x in CONTENT:
                     depth += 1
         self.weights = {k: -max(0.05, STEEP * math.log((out[k] + 1) / (into[k] + 1))) for k in out | into}
+        #: Of tags that were not seen: what all block tags and all others say together, nothing if none was seen.
+        self.unseen = {}
+        for block in (True, False):
+            own = [k for k in out | into if (k.strip("/") in BLOCKS) == block and k.strip("/") not in FRAME]
+            self.unseen[block] = -max(0.0, STEEP * math.log((sum(out[k] for k in own) + 1) / (sum(into[k] for k in own) + 1)))
+
+    def price(self, kind: str, tag: str, e: Element | None) -> float:
+        """What a tag costs; nothing inside of what the page marks as its content."""
+        if e is not None and e.marked:
+            return 0.0
+        key = "/" * (kind == "close") + tag
+        return self.weights[key] if key in self.weights else self.unseen[tag in BLOCKS]
 
     def against(self, word: str) -> float:
         """Log-odds of standing beside the content; 0 for a word that nothing is known of."""
@@ -203,17 +271,19 @@ class Model:
         return math.log((self.beside[word] + belief + 0.5) / (self.within[word] + 0.5)) if belief or self.beside[word] or self.within[word] else 0.0
 
     def mark(self, elements: list[Element]) -> None:
+        """Finds the gaps, and for every element up to where in the sequence it lies in one: as closed elements say, and as if none was closed."""
         for e in elements:
             e.gap = any(sum(map(self.against, x)) > CLEAR * len(x) for x in e.features)
+            closed, all_end = e.up.ends if e.up is not None else (0.0, 0.0)
+            if e.gap:
+                limit = math.inf if e.limit is None else e.limit
+                closed, all_end = max(closed, math.inf if e.closed else limit), max(all_end, limit)
+            e.ends = closed, all_end
 
     @staticmethod
     def hidden(e: Element | None, k: int, all_end: bool = False) -> bool:
         """Whether place k of the sequence, in element e, lies in a gap."""
-        while e is not None:
-            if e.gap and (e.limit is None or k < e.limit or e.closed and not all_end):
-                return True
-            e = e.up
-        return False
+        return e is not None and k < e.ends[all_end]
 
 
 def best(scores: list[float]) -> tuple[int, int]:
@@ -229,8 +299,7 @@ def best(scores: list[float]) -> tuple[int, int]:
 
 
 def region(seq: list, hidden: list[bool], model: Model) -> tuple[int, int]:
-    w = model.weights
-    return best([0.0 if gap else float(len(x.split())) if kind == "text" else w.get("/" * (kind == "close") + x, UNSEEN) for (kind, x, _), gap in zip(seq, hidden)])
+    return best([0.0 if gap else float(len(x.split())) if kind == "text" else model.price(kind, x, e) for (kind, x, e), gap in zip(seq, hidden)])
 
 
 def extract(page: str, model: Model, gaps: bool = True) -> str:
