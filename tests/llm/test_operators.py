@@ -219,6 +219,38 @@ def test_near_copies_equal_brute_force(spark):
     assert op7_simhash.near_copies(spark, docs(spark, [])).count() == 0
 
 
+def test_a_large_group_of_unlike_members_keeps_its_links(spark):
+    """Every text is 0.8 like text 0 and less like all others: only verified links join them."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    base = [word() for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(500):
+        w = list(base)
+        for at in r.sample(range(2, 298, 5), 10):
+            w[at] = word()
+        texts.append(" ".join(w))
+    r.shuffle(texts)
+    want = op7_simhash.brute_copies(raw(texts))
+    got = {x.doc_id: x.component_id for x in op7_simhash.near_copies(spark, docs(spark, texts)).collect()}
+    assert len(set(want.values())) == 1
+    assert sum(got[i] != c for i, c in want.items()) <= 0.08 * len(texts)  # the search finds RECALL of the pairs, here 475 of 501
+
+
+def test_outside_gives_the_nearest_of_other_components():
+    r = np.random.default_rng(3)
+    fp = r.integers(0, 1 << 8, (90, op7_simhash.WIDE), np.uint64)
+    label = r.integers(0, 4, 90)
+    for reach in (1, 5, 200):
+        a, b, more = op7_simhash.outside(fp, label, 14, reach, block=32)
+        for i in range(90):
+            far = sorted(sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[i], fp[j])) for j in range(90) if label[j] != label[i])
+            far = [x for x in far if x <= 14]
+            mine = sorted(sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[i], fp[j])) for j in b[a == i])
+            assert mine == far[:reach]
+            assert set(more[a == i]) <= {len(far) > reach}
+
+
 def test_a_large_group_of_near_copies_and_a_hot_fingerprint(spark):
     r = random.Random(13)
     base = ["".join(r.choices("abcdefg", k=5)) for _ in range(150)]

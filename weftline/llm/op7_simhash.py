@@ -44,6 +44,7 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,8 @@ CHUNK = 1 << 16
 HOT, SALTS = 512, 64
 #: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group.
 WIDE, RECALL, FAN = 4, 0.95, 64
+#: How many candidates of another component a text of a large group tries at first; four times as many in each round that follows.
+NEAREST = 8
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -354,13 +357,18 @@ def tree(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     return a, b
 
 
+def allowed(similarity: float) -> int:
+    """The most bits in which texts of that similarity differ, but for chance."""
+    agree = math.acos(similarity) / math.pi
+    return math.floor(64 * WIDE * agree + 3 * math.sqrt(64 * WIDE * agree * (1 - agree)))
+
+
 def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of wide fingerprints (fp binary) that may be that similar."""
+    """Pairs (a, b) of wide fingerprints (fp binary) that may be that similar; and of every large group, of whose pairs only a tree's are given, the members (b, with the group as whole)."""
     n, parts = distinct.count(), buckets(spark)
     chosen = samples(n, similarity)
     weight = (1 << np.arange(chosen.shape[1])).astype(np.int64)
-    agree = math.acos(similarity) / math.pi
-    radius = math.floor(64 * WIDE * agree + 3 * math.sqrt(64 * WIDE * agree * (1 - agree)))
+    radius = allowed(similarity)
     words = [f"f{w}" for w in range(WIDE)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,6 +381,9 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
                 every = np.tile(fp, (len(chosen), 1))
                 yield from by_bucket(bucket_of(key >> U64(24), parts), CHECK, key=key, **{w: every[:, k] for k, w in enumerate(words)})
 
+    def raw_of(fp: np.ndarray) -> pa.Array:
+        return pa.array([r.tobytes() for r in np.ascontiguousarray(fp)], pa.binary())
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in groups(batches):
             x = unpack([data for _, _, data in own], key=U64, **dict.fromkeys(words, U64))
@@ -395,18 +406,64 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
                 i, j = tree(group, radius)
                 a.append(group[i])
                 b.append(group[j])
+                for lo in range(0, len(group), CHUNK):
+                    part = group[lo : lo + CHUNK]
+                    yield pa.record_batch([pa.nulls(len(part), pa.binary()), raw_of(part), pa.array(np.full(len(part), key[begin[g]]).view(np.int64))], ["a", "b", "whole"])
             if sum(map(len, a)):
                 both = np.unique(np.concatenate([np.concatenate(a).view(np.uint8), np.concatenate(b).view(np.uint8)], axis=1), axis=0)
-                out = [[r.tobytes() for r in np.ascontiguousarray(both[:, k * 8 * WIDE : (k + 1) * 8 * WIDE])] for k in range(2)]
-                yield pa.record_batch([pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary())], ["a", "b"])
+                yield pa.record_batch([raw_of(both[:, : 8 * WIDE]), raw_of(both[:, 8 * WIDE :]), pa.nulls(len(both), pa.int64())], ["a", "b", "whole"])
 
     sent = distinct.select("fp").mapInArrow(send, SCHEMA)
-    met = sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a binary, b binary")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a binary, b binary, whole long")
+
+
+def outside(fp: np.ndarray, label: np.ndarray, radius: int, reach: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each fingerprint the ``reach`` nearest within the radius that bear another label, as pairs of indices, and whether it has more."""
+    a, b, more = [], [], []
+    for lo in range(0, len(fp), block):
+        part = fp[lo : lo + block]
+        far = np.zeros((len(part), len(fp)), np.int32)
+        for w in range(fp.shape[1]):
+            far += np.bitwise_count(part[:, w][:, None] ^ fp[:, w])
+        far[label[lo : lo + block][:, None] == label] = 64 * WIDE + 1
+        k = min(reach, len(fp) - 1)
+        near = np.argpartition(far, k, axis=1)[:, : k + 1]
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
+        ok = np.take_along_axis(far, near, 1) <= radius
+        rest = ok[:, reach] if k == reach else np.zeros(len(part), bool)
+        row, col = np.nonzero(ok[:, :reach])
+        a.append(row + lo)
+        b.append(near[row, col])
+        more.append(rest[row])
+    return np.concatenate(a), np.concatenate(b), np.concatenate(more)
+
+
+def further(spark: SparkSession, members: DataFrame, roots: DataFrame, radius: int, reach: int) -> DataFrame:
+    """(a, b, more): within large groups (whole, fp) the nearest of each text that its component doesn't hold yet. Groups of one component have none; a group of more than LARGE is looked at in pairs of blocks."""
+    named = members.join(roots, "fp", "left").select("whole", "fp", F.coalesce("root", "fp").alias("label"))
+    mixed = named.groupBy("whole").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
+    x = named.join(mixed.select("whole", F.ceil(2 * F.col("n") / LARGE).cast("int").alias("blocks")), "whole")
+    x = x.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks"))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, 8 * WIDE).view(U64)
+        a, b, more = outside(fp, pdf["label"].factorize()[0], radius, reach)
+        raw = pdf["fp"].to_numpy()
+        return pd.DataFrame({"a": raw[a], "b": raw[b], "more": more})
+
+    found = x.groupBy("whole", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(run, "a binary, b binary, more boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Per row: doc_id, row_key, component_id, cluster. Equal rows have one row_key, made of id and text; a cluster names its component even if no id does."""
+    """Per row: doc_id, row_key, component_id, cluster. Equal rows have one row_key, made of id and text; a cluster names its component even if no id does.
+
+    Texts that share a key of a few of their fingerprints' bits are candidates.
+    In a group of more than 64 the links of a tree are verified first; then each
+    text's nearest that verified links don't join to it yet, then more of them,
+    until no candidate is left that could join two components.
+    """
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
 
@@ -429,17 +486,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
         return run
 
-    prints = checkpointed(spark, source.mapInArrow(sets(None), "doc_id long, row_key string, fp binary"))
-    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.count("*").alias("n")))
-    pairs = candidates(spark, distinct, similarity)
-    of = distinct.select("fp", "row_key")
-    pairs = checkpointed(spark, pairs.join(of.toDF("a", "a_key"), "a").join(of.toDF("b", "b_key"), "b"))
-    ends = pairs.select(F.col("a_key").alias("row_key")).union(pairs.select("b_key"))
-    bit = bitmap.bit(F.xxhash64("row_key"))
-    keep = bitmap.collect(ends.select(bit.alias("bit")))  # only texts in pairs are taken apart again
-    own = source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ok = []
             for i, (p, q) in enumerate(zip(x.column(2), x.column(3))):
@@ -449,8 +496,37 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                     ok.append(i)
             yield x.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
-    sized = pairs.join(own.toDF("a_key", "p"), "a_key").join(own.toDF("b_key", "q"), "b_key").select("a", "b", "p", "q")
-    return labelled(spark, prints, sized.mapInArrow(verify, "a binary, b binary"), distinct).select("doc_id", "row_key", "component_id", "cluster")
+    prints = checkpointed(spark, source.mapInArrow(sets(None), "doc_id long, row_key string, fp binary"))
+    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.count("*").alias("n")))
+    of = distinct.select("fp", "row_key")
+    bit = bitmap.bit(F.xxhash64("row_key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) whose sets are that similar; only texts in pairs are taken apart again."""
+        pairs = checkpointed(spark, pairs.join(of.toDF("a", "a_key"), "a").join(of.toDF("b", "b_key"), "b"))
+        ends = pairs.select(F.col("a_key").alias("row_key")).union(pairs.select("b_key"))
+        keep = bitmap.collect(ends.select(bit.alias("bit")))
+        own = source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+        sized = pairs.join(own.toDF("a_key", "p"), "a_key").join(own.toDF("b_key", "q"), "b_key").select("a", "b", "p", "q")
+        return checkpointed(spark, sized.mapInArrow(check, "a binary, b binary"))
+
+    met = checkpointed(spark, candidates(spark, distinct, similarity))
+    members = met.filter("whole IS NOT NULL").select("whole", F.col("b").alias("fp"))
+    tried = met.filter("whole IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, reach = verified(tried), NEAREST
+    more = not members.isEmpty()
+    while more:
+        nodes = components(spark, edges)
+        roots = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root")
+        found = checkpointed(spark, further(spark, members, roots, allowed(similarity), reach))
+        new = found.select("a", "b").join(tried, ["a", "b"], "left_anti")
+        more = not found.filter("more").isEmpty()
+        fresh = checkpointed(spark, new)
+        if not fresh.isEmpty():
+            edges = edges.union(verified(fresh))
+            tried = tried.union(fresh)
+        reach *= 4
+    return labelled(spark, prints, edges, distinct).select("doc_id", "row_key", "component_id", "cluster")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
