@@ -1,6 +1,7 @@
 """Operators on small hand-made tables: bugs decided, ties, sources, streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -273,3 +274,27 @@ def test_search_boosts_meanings_and_falls_back(spark):
     assert [(r.query_id, r.entity_id, r.score, r["rank"]) for r in found] == [(7, "E2", 2.0, 1)]
     best = e.search(asked.limit(1), limit=1, query_vectors=qv.limit(1)).collect()
     assert [r.entity_id for r in best] == ["C"]
+
+
+@pytest.mark.parametrize("text", ["*" * 400_000, "/" + ("*" * 60 + "\n") * 5000 + "*/ int f(int a) { return a; }", " " * 400_000, "a " * 200_000, "public " * 60_000])
+@pytest.mark.parametrize("language", ["cpp", "java"])
+def test_heads_take_linear_time(language, text):
+    began = time.monotonic()
+    list(code_items.brace_items(text, code_items.LANGUAGES[language]))
+    assert time.monotonic() - began < 5
+
+
+def test_cpp_heads():
+    code = "static std::vector<int>* Box::go(int a) {\n return a; }\nint\n  plain (int a, int b) { if (a) { return b; } return a; }\nfoo(1);\n"
+    assert [x["name"] for x in code_items.brace_items(code, code_items.LANGUAGES["cpp"])] == ["plain"]
+
+
+def test_edges_of_a_checkpoint_and_a_table_are_written_once(spark):
+    """Only the caller's word says that edges are written; a plan that merely reads a checkpoint is not."""
+    from weftline.session import checkpointed
+
+    x = edges(spark, ("a", "r", "b"), ("b", "r", "c"), ("c", "r", "d"))
+    joined = checkpointed(spark, x).join(spark.createDataFrame([("r",)], "rel string"), "rel")
+    want = [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
+    assert bag(graph.hops(spark, joined, "a", 3).select("id", "depth")) == want
+    assert bag(graph.hops(spark, checkpointed(spark, x), "a", 3, written=True).select("id", "depth")) == want

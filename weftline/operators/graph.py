@@ -80,15 +80,15 @@ def chain(edges: DataFrame, start: str, rels: list[str], spark: SparkSession) ->
     return paths.select("path")
 
 
-def hops(spark: SparkSession, edges: DataFrame, start: str, depth: int, target: str | None = None) -> DataFrame:
+def hops(spark: SparkSession, edges: DataFrame, start: str, depth: int, target: str | None = None, written: bool = False) -> DataFrame:
     """(id, depth, path): every node within ``depth`` hops, once, with the least path of its least depth; with a target no further than where it is found.
 
-    The edges are written once for all hops, unless they come checkpointed.
+    The edges are written once for all hops, unless ``written`` says that the caller did so.
     """
     seen = frontier = spark.createDataFrame([(start, 0, [start])], "id string, depth int, path array<string>")
     size = 1
     pairs = edges.select("src", "dst")
-    if depth > 1 and "Scan ExistingRDD" not in pairs._jdf.queryExecution().sparkPlan().toString():
+    if depth > 1 and not written:
         pairs = checkpointed(spark, pairs)
     for d in range(1, depth + 1):
         near = F.broadcast(frontier) if size <= BROADCAST_ROWS else frontier
@@ -102,12 +102,12 @@ def hops(spark: SparkSession, edges: DataFrame, start: str, depth: int, target:
     return seen
 
 
-def shortest_path(spark: SparkSession, edges: DataFrame, entities: DataFrame, source: str, target: str, max_depth: int = 5) -> DataFrame:
+def shortest_path(spark: SparkSession, edges: DataFrame, entities: DataFrame, source: str, target: str, max_depth: int = 5, written: bool = False) -> DataFrame:
     """At most one row (path, length): a shortest directed path of at most max_depth hops, least by ids; both ends must exist."""
     ends = {r.id for r in entities.filter(F.col("id").isin(source, target)).select("id").collect()}
     if ends != {source, target}:
         return spark.createDataFrame([], "path array<string>, length int")
-    return hops(spark, edges, source, max_depth, target).filter(F.col("id") == target).select("path", F.col("depth").alias("length"))
+    return hops(spark, edges, source, max_depth, target, written).filter(F.col("id") == target).select("path", F.col("depth").alias("length"))
 
 
 def path_edges(paths: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def hop_query(spark, sf):
 def path_query(spark, sf):
     e, x = _kg(spark, sf)
     x = checkpointed(spark, x.select("src", "dst"))  # both searches read one copy
-    return g.shortest_path(spark, x, e, "O:1", "R:1", 5).union(g.shortest_path(spark, x, e, "C:7", "R:2", 5)).select(F.array_join("path", ">").alias("path"), "length")
+    return g.shortest_path(spark, x, e, "O:1", "R:1", 5, written=True).union(g.shortest_path(spark, x, e, "C:7", "R:2", 5, written=True)).select(F.array_join("path", ">").alias("path"), "length")
 
 
 def path_edge_query(spark, sf):

@@ -47,11 +47,14 @@ class Language:
     hash_comments: bool = False
 
 
+#: Heads of C++ functions: words, marks and spaces from where they begin to a word with a parenthesis. No repetition can give back what it took, so text of any kind takes linear time.
+CPP_HEAD = r"(?<![\w:*&<>\s])\s*+(?:\w++(?!\s*+\()|[:*&<>])(?:\w++(?!\s*+\()|[:*&<>\s])++(?<=[\s*&])(\w++)\s*+\("
+
 LANGUAGES = {
-    "java": Language(r"(?:public|private|protected|static|\s)+[\w<>\[\]]+\s+(\w+)\s*\(", r"(?:class|interface|enum)\s+(\w+)", r"(?:public|private|protected)\s+[\w<>\[\]]+\s+\w+\s*\(", r"(?:public|private|protected)\s+[\w<>\[\]]+\s+\w+\s*;", [r"\bdo\b", TERNARY, r"\btry\b"], primitive=r"\b(?:int|long|short|byte|float|double|boolean|char|Integer|Long|Short|Byte|Float|Double|Boolean|Character|String)\b"),
+    "java": Language(r"(?<=\s)[\w<>\[\]]++\s++(\w++)\s*+\(", r"(?:class|interface|enum)\s+(\w+)", r"(?:public|private|protected)\s+[\w<>\[\]]+\s+\w+\s*\(", r"(?:public|private|protected)\s+[\w<>\[\]]+\s+\w+\s*;", [r"\bdo\b", TERNARY, r"\btry\b"], primitive=r"\b(?:int|long|short|byte|float|double|boolean|char|Integer|Long|Short|Byte|Float|Double|Boolean|Character|String)\b"),
     "go": Language(r"func\s+(?:\([^)]*\)\s*)?(\w+)\s*\(", r"type\s+(\w+)\s+struct\s*\{", primitive=r"\b(?:int|int8|int16|int32|int64|uint|uint8|uint16|uint32|uint64|float32|float64|bool|string|byte|rune)\b"),
     "rust": Language(r"fn\s+(\w+)\s*[\(<]", r"struct\s+(\w+)", r"fn\s+\w+", r"\s+\w+\s*:\s*[A-Za-z]", [r"\bloop\b"], primitive=r"\b(?:i8|i16|i32|i64|i128|u8|u16|u32|u64|u128|f32|f64|bool|char|usize|isize|str)\b"),
-    "cpp": Language(r"(?:[\w:*&<>]+[\s*&]+)+(\w+)\s*\(", r"(?:class|struct)\s+(\w+)\s*(?::\s*[^\{]*)?\{", r"(?:[\w:*&<>]+\s+)+\w+\s*\(", r"(?:public|private|protected)\s+[\w:*&<>,\s]+\s+\w+\s*;", [r"\bdo\b", TERNARY, r"\btry\b"], [r"\b(?:int|double|float|bool|char|void|auto|long|short|unsigned|signed|size_t)\s+\w+\s*[=;]"]),
+    "cpp": Language(CPP_HEAD, r"(?:class|struct)\s+(\w+)\s*(?::\s*[^\{]*)?\{", r"(?<=[\w:*&<>])\s++\w++\s*+\(", r"(?:public|private|protected)\s++(?:\w++(?!\s*+;)|[:*&<>,])(?:\w++(?!\s*+;)|[:*&<>,\s])*+(?<=\s)\w++\s*+;", [r"\bdo\b", TERNARY, r"\btry\b"], [r"\b(?:int|double|float|bool|char|void|auto|long|short|unsigned|signed|size_t)\s+\w+\s*[=;]"]),
     "csharp": Language(r"(?:(?:public|private|protected|internal|static|virtual|override|async|abstract)\s+)+[\w<>\[\]?]+\s+(\w+)\s*\(", r"(?:class|struct|record)\s+(\w+)", r"(?:public|private|protected|internal)\s+[\w<>\[\]?]+\s+\w+\s*\(", r"(?:public|private|protected|internal|readonly)\s+[\w<>\[\]?]+\s+\w+\s*[;=]", [r"\bforeach\b", r"\bfrom\b", r"\bwhere\b", r"\bselect\b", TERNARY], [r"\b(?:int|string|bool|double|float|var|decimal|long|byte|char|short|uint|ulong|ushort)\s+\w+\s*[=;]"], r"\b(?:int|long|short|byte|float|double|decimal|bool|char|string|uint|ulong|ushort|sbyte|object|dynamic)\b"),
     "kotlin": Language(r"fun\s+(?:<[^>]*>\s*)?(\w+)\s*\(", r"class\s+(\w+)", r"fun\s+(?:<[^>]*>\s*)?\w+\s*\(", r"(?:val|var)\s+\w+", [r"\bwhen\b", r"\bis\b"], [r"\b(?:val|var)\s+\w+"], r":\s*(?:Int|Long|Short|Byte|Float|Double|Boolean|Char|String|Any|Unit|Nothing)\b"),
     "php": Language(r"function\s+(\w+)\s*\(", r"class\s+(\w+)", r"(?:public|private|protected|static)\s+function\s+\w+", r"(?:public|private|protected|static)\s+\$\w+", [r"\belseif\b", r"\bforeach\b", r"\bdo\b", TERNARY], [r"\$\w+\s*="], r"\b(?:int|float|bool|string|array|mixed|null|true|false|void|callable|iterable)\b", True),
