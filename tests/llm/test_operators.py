@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import time
 import re
 from collections import Counter
 
@@ -674,3 +675,33 @@ def test_top_k_is_exact_under_ties(spark):
 
 def test_every_operator_is_registered():
     assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+
+
+TAUGHT = "<html><body><nav><a href=x>Home</a><ul><li>More</li></ul></nav><article><h1>A title here</h1><p>Words of a <b>page</b> that teaches.<br>And more.</p></article><footer><p>Foot of it</p></footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "part, text",
+    [
+        ("<table><tr><td>one</td><td>two</td></tr></table>", "one two"),
+        ("<ul><li>a</li><li>b</li><li>c</li></ul>", "a\nb\nc"),
+        ("<dl><dt>term</dt><dd>what it is</dd></dl>", "term\nwhat it is"),
+        ("<pre><code>x = 1</code></pre>", "x = 1"),
+        ("<p><em><strong>Signed</strong></em></p>", "Signed"),
+        ("<p><math><mi>y</mi></math> and <svg><text>drawn</text></svg> and <textarea>typed &amp; kept</textarea></p>", "y and drawn and typed & kept"),
+    ],
+)
+def test_every_part_of_an_article_stays(part, text):
+    """With tags that no taught page has inside its article, at its start, in the middle and at its end."""
+    model = op10_html.Model([TAUGHT] * 20)
+    a, b = "<p>The first paragraph of this one.</p>", "<p>The last paragraph of this one.</p>"
+    for inner, want in [(part + a + b, [text, a, b]), (a + part + b, [a, text, b]), (a + b + part, [a, b, text])]:
+        page = f"<html><body><nav><a href=x>Home</a></nav><article>{inner}</article><footer><p>Foot of it</p></footer></body></html>"
+        assert op10_html.extract(page, model) == "\n".join(x[3:-4] if x in (a, b) else x for x in want)
+
+
+@pytest.mark.parametrize("page", ["<b>" * 60_000 + "x", "<svg>" * 60_000 + "x", "<select>" * 40_000 + "x", "<div class='" * 30_000, "<p>w" * 60_000, "<" * 200_000, "</p>" * 60_000])
+def test_broken_pages_take_linear_time(page):
+    began = time.monotonic()
+    op10_html.extract(page, op10_html.Model([TAUGHT] * 20))
+    assert time.monotonic() - began < 10

@@ -47,7 +47,7 @@ ATTRIBUTES = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
 MARKUP = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|/?[a-z])", re.I)
 TAG = re.compile(rf"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>{ATTRIBUTES})>", re.I)
 UNQUOTED = re.compile(r"<(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>[^>]*)>", re.I)
-#: Elements whose content is no text of the page, to the page's end if not closed; likewise, if they are closed; and whose content is text as it stands.
+#: Elements whose content is no text of the page, to the page's end if not closed; likewise, if they are closed; and whose content is text with character references, but no tags.
 RAW = {"script", "style"}
 DEAD = {"noscript", "template", "iframe", "title", "select", "object", "noembed", "noframes", "canvas", "audio", "video"}
 PLAIN = {"textarea"}
@@ -125,7 +125,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             if name in CLOSERS and not t["end"]:
                 found = None if name in missing else CLOSERS[name].search(page, place)
                 if found is not None:
-                    tokens_ = [("open", name, t["rest"]), ("data", page[place : found.start()], ""), ("close", name, "")] if name in PLAIN else []
+                    tokens_ = [("open", name, t["rest"]), ("text", page[place : found.start()], ""), ("close", name, "")] if name in PLAIN else []
                     place = found.end()
                 elif name in RAW:
                     tokens_, place = [], size
