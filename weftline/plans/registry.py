@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import detector_queries, event_queries, graph_queries, more_queries, parity_queries, retrieval_queries
+from weftline.plans import detector_queries, event_queries, graph_queries, monitor_queries, more_queries, parity_queries, retrieval_queries
 
 FLAGSHIP = "graph_sankey"
-MODULES = [graph_queries, detector_queries, retrieval_queries, event_queries, more_queries, parity_queries]
+MODULES = [graph_queries, detector_queries, retrieval_queries, event_queries, more_queries, parity_queries, monitor_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

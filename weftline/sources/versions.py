@@ -20,7 +20,7 @@ import json
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -131,7 +131,7 @@ def _nullable(schema: StructType) -> dict:
     return out
 
 
-def _commit(rows: DataFrame, path: str, key: list[str], writer: tuple[str, int] | None, replace: bool, n_buckets: int) -> int:
+def _commit(rows: DataFrame, path: str, key: list[str], writer: tuple[str, int] | None, replace: bool, n_buckets: int, keep: Column | None = None) -> int:
     spark, path = rows.sparkSession, path.rstrip("/")
     files = _Files(spark, path)
     for _ in range(TRIES):
@@ -147,6 +147,7 @@ def _commit(rows: DataFrame, path: str, key: list[str], writer: tuple[str, int]
                 own = checkpointed(spark, own)
                 touched = {str(r.b) for r in own.select(_bucket(key, n).alias("b")).distinct().collect()}  # at most as many as buckets
                 old = _load(spark, path, state, touched)
+                old = old if keep is None else old.filter(keep)
                 own = old.join(own.select(key), key, "left_anti").unionByName(own)
         step("write")
         own.withColumn("bucket", _bucket(key, n)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{write}")
@@ -161,9 +162,12 @@ def _commit(rows: DataFrame, path: str, key: list[str], writer: tuple[str, int]
     raise RuntimeError(f"other writers kept changing {path}")
 
 
-def upsert(rows: DataFrame, path: str, key: str | list[str], writer: tuple[str, int] | None = None, n_buckets: int = BUCKETS) -> int:
-    """Inserts or replaces rows by key; returns the version. Of rows of one key any one stays."""
-    return _commit(rows, path, [key] if isinstance(key, str) else list(key), writer, True, n_buckets)
+def upsert(rows: DataFrame, path: str, key: str | list[str], writer: tuple[str, int] | None = None, n_buckets: int = BUCKETS, keep: Column | None = None) -> int:
+    """Inserts or replaces rows by key; returns the version. Of rows of one key any one stays.
+
+    Older rows that do not meet ``keep`` are dropped from the buckets that are rewritten anyway.
+    """
+    return _commit(rows, path, [key] if isinstance(key, str) else list(key), writer, True, n_buckets, keep)
 
 
 def append(rows: DataFrame, path: str, key: str | list[str], writer: tuple[str, int] | None = None, n_buckets: int = BUCKETS) -> int:
