@@ -238,18 +238,36 @@ def test_a_large_group_of_unlike_members_keeps_its_links(spark):
     assert sum(got[i] != c for i, c in want.items()) <= 0.08 * len(texts)  # the search finds RECALL of the pairs, here 475 of 501
 
 
-def test_outside_gives_the_nearest_of_other_components():
-    r = np.random.default_rng(3)
-    fp = r.integers(0, 1 << 8, (90, op7_simhash.WIDE), np.uint64)
-    label = r.integers(0, 4, 90)
-    for reach in (1, 5, 200):
-        a, b, more = op7_simhash.outside(fp, label, 14, reach, block=32)
-        for i in range(90):
-            far = sorted(sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[i], fp[j])) for j in range(90) if label[j] != label[i])
-            far = [x for x in far if x <= 14]
-            mine = sorted(sum((int(x) ^ int(y)).bit_count() for x, y in zip(fp[i], fp[j])) for j in b[a == i])
-            assert mine == far[:reach]
-            assert set(more[a == i]) <= {len(far) > reach}
+def test_linked_spans_the_components_of_all_pairs():
+    rng = np.random.default_rng(3)
+    for m, kinds in ((1, 1), (40, 3), (300, 12), (300, 290)):
+        bases = [rng.choice(5000, 60, replace=False) for _ in range(kinds)]
+        sets = []
+        for i in range(m):
+            own = bases[i % kinds].copy()
+            n = rng.integers(0, 14)
+            own[:n] = rng.integers(5000, 9000, n)
+            sets.append(np.unique(own).astype(np.uint32))
+        sets[0] = sets[0][:0]  # an empty set is like none, not even another
+        sets[-1] = sets[-1][:0] if m > 1 else sets[-1]
+
+        def roots(pairs):
+            root = list(range(m))
+
+            def top(i):
+                while root[i] != i:
+                    i = root[i]
+                return i
+
+            for i, j in pairs:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+            return [top(i) for i in range(m)]
+
+        like = lambda i, j: 0 < len(np.intersect1d(sets[i], sets[j])) >= 0.8 * (len(sets[i]) * len(sets[j])) ** 0.5
+        want = roots((i, j) for i in range(m) for j in range(i) if like(i, j))
+        a, b = op7_simhash.linked(sets, 0.8, rows=64, columns=100)
+        assert all(like(i, j) for i, j in zip(a, b))
+        assert len(a) == m - len(set(want)) and roots(zip(a.tolist(), b.tolist())) == want
 
 
 def test_a_large_group_of_near_copies_and_a_hot_fingerprint(spark):

@@ -62,8 +62,8 @@ CHUNK = 1 << 16
 HOT, SALTS = 512, 64
 #: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group.
 WIDE, RECALL, FAN = 4, 0.95, 64
-#: How many candidates of another component a text of a large group tries at first; four times as many in each round that follows.
-NEAREST = 8
+#: Near copies: bytes of sets that are compared in one task.
+BLOCK = 64 << 20
 
 
 def shingle_hashes(text: bytes, k: int = SHINGLE, seed: int = SEED) -> list[int]:
@@ -417,52 +417,77 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
     return sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a binary, b binary, whole long")
 
 
-def outside(fp: np.ndarray, label: np.ndarray, radius: int, reach: int, block: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each fingerprint the ``reach`` nearest within the radius that bear another label, as pairs of indices, and whether it has more."""
-    a, b, more = [], [], []
-    for lo in range(0, len(fp), block):
-        part = fp[lo : lo + block]
-        far = np.zeros((len(part), len(fp)), np.int32)
-        for w in range(fp.shape[1]):
-            far += np.bitwise_count(part[:, w][:, None] ^ fp[:, w])
-        far[label[lo : lo + block][:, None] == label] = 64 * WIDE + 1
-        k = min(reach, len(fp) - 1)
-        near = np.argpartition(far, k, axis=1)[:, : k + 1]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, 1), axis=1, kind="stable"), 1)
-        ok = np.take_along_axis(far, near, 1) <= radius
-        rest = ok[:, reach] if k == reach else np.zeros(len(part), bool)
-        row, col = np.nonzero(ok[:, :reach])
-        a.append(row + lo)
-        b.append(near[row, col])
-        more.append(rest[row])
-    return np.concatenate(a), np.concatenate(b), np.concatenate(more)
-
-
-def further(spark: SparkSession, members: DataFrame, roots: DataFrame, radius: int, reach: int) -> DataFrame:
-    """(a, b, more): within large groups (whole, fp) the nearest of each text that its component doesn't hold yet. Groups of one component have none; a group of more than LARGE is looked at in pairs of blocks."""
-    named = members.join(roots, "fp", "left").select("whole", "fp", F.coalesce("root", "fp").alias("label"))
-    mixed = named.groupBy("whole").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    x = named.join(mixed.select("whole", F.ceil(2 * F.col("n") / LARGE).cast("int").alias("blocks")), "whole")
-    x = x.withColumn("blocks", F.when(F.col("blocks") <= 2, 1).otherwise(F.col("blocks"))).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    x = x.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def linked(sets: list[np.ndarray], similarity: float, rows: int = 1024, columns: int = 1024) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices) of a spanning forest over all pairs of sets whose cosine is that high: common members of all pairs by products of 0/1 matrices, in blocks."""
+    m, size = len(sets), np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(m), size)
+    _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = n[col] > 1  # what one set has alone is common to no pair
+    owner, col = owner[shared], np.unique(col[shared], return_inverse=True)[1]
+    at = np.argsort(col, kind="stable")
+    owner, col = owner[at], col[at]
+    near = np.zeros((m, m), bool)
+    for lo in range(0, m, rows):
+        hi = min(m, lo + rows)
+        common = np.zeros((hi - lo, m - lo), np.float32)
+        for c in range(0, int(col[-1]) + 1 if len(col) else 0, columns):
+            i, j = np.searchsorted(col, [c, c + columns])
+            mine = owner[i:j] >= lo
+            x = np.zeros((m - lo, columns), np.float32)
+            x[owner[i:j][mine] - lo, col[i:j][mine] - c] = 1
+            common += x[: hi - lo] @ x.T
+        near[lo:hi, lo:] = (common > 0) & (common >= similarity * np.sqrt(size[lo:hi, None] * size[None, lo:]))
+        near[lo:, lo:hi] |= near[lo:hi, lo:].T
+    rest, a, b = np.arange(m), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            q = queue.pop()
+            ok = near[q, rest]
+            found, rest = rest[ok], rest[~ok]
+            hub = np.full(len(found), q)
+            for lo in range(FAN, len(found), FAN):  # so that no text has most links of a component, if others serve as well
+                other = found[lo // FAN - 1]
+                hub[lo : lo + FAN][near[found[lo : lo + FAN], other]] = other
+            a.append(hub)
+            b.append(found)
+            queue += found.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
+
+def within(members: DataFrame, roots: DataFrame, sets, similarity: float) -> DataFrame:
+    """Links (a, b) that join components within large groups (whole, fp, row_key): every pair of a group is compared in its task, by sets that are sent once for each group, and only a spanning forest leaves it.
+
+    Groups of one component are left alone; one of more than LARGE texts or BLOCK bytes is looked at in pairs of blocks.
+    """
+    named = members.join(roots, "fp", "left").select("whole", "fp", "row_key", F.coalesce("root", "fp").alias("label"))
+    mixed = named.groupBy("whole").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("whole")
+    chosen = checkpointed(named.sparkSession, named.join(mixed, "whole"))
+    x = chosen.join(sets(chosen.select("row_key")), "row_key").select("whole", "fp", "label", "own")
+    size = x.groupBy("whole").agg(F.greatest(F.count("*") / LARGE, F.sum(F.length("own")) / BLOCK).alias("parts"))
+    x = x.join(size.select("whole", F.when(F.col("parts") <= 1, 1).otherwise(F.ceil(2 * F.col("parts"))).cast("int").alias("blocks")), "whole")
+    x = x.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fp = np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, 8 * WIDE).view(U64)
-        a, b, more = outside(fp, pdf["label"].factorize()[0], radius, reach)
+        label = pdf["label"].factorize()[0]
+        if not label.any():
+            return pd.DataFrame({"a": [], "b": []})
+        a, b = linked([np.frombuffer(x, np.uint32) for x in pdf["own"]], similarity)
+        new = label[a] != label[b]
         raw = pdf["fp"].to_numpy()
-        return pd.DataFrame({"a": raw[a], "b": raw[b], "more": more})
+        return pd.DataFrame({"a": raw[a[new]], "b": raw[b[new]]})
 
-    found = x.groupBy("whole", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).applyInPandas(run, "a binary, b binary, more boolean")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+    found = x.groupBy("whole", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).applyInPandas(run, "a binary, b binary")
+    return checkpointed(named.sparkSession, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, row_key, component_id, cluster. Equal rows have one row_key, made of id and text; a cluster names its component even if no id does.
 
     Texts that share a key of a few of their fingerprints' bits are candidates.
-    In a group of more than 64 the links of a tree are verified first; then each
-    text's nearest that verified links don't join to it yet, then more of them,
-    until no candidate is left that could join two components.
+    In a group of more than 64 the links of a tree are verified first; where
+    these leave a group in several components, all its pairs are compared within
+    the group's task, and the links that join components are added.
     """
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
@@ -501,31 +526,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
     of = distinct.select("fp", "row_key")
     bit = bitmap.bit(F.xxhash64("row_key"))
 
+    def sets_of(ends: DataFrame) -> DataFrame:
+        """(row_key, own) of the row keys given; only their texts are taken apart again."""
+        keep = bitmap.collect(ends.select(bit.alias("bit")))
+        return source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose sets are that similar; only texts in pairs are taken apart again."""
+        """Those of the pairs (a, b) whose sets are that similar."""
         pairs = checkpointed(spark, pairs.join(of.toDF("a", "a_key"), "a").join(of.toDF("b", "b_key"), "b"))
-        ends = pairs.select(F.col("a_key").alias("row_key")).union(pairs.select("b_key"))
-        keep = bitmap.collect(ends.select(bit.alias("bit")))
-        own = source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
+        own = sets_of(pairs.select(F.col("a_key").alias("row_key")).union(pairs.select("b_key")))
         sized = pairs.join(own.toDF("a_key", "p"), "a_key").join(own.toDF("b_key", "q"), "b_key").select("a", "b", "p", "q")
         return checkpointed(spark, sized.mapInArrow(check, "a binary, b binary"))
 
     met = checkpointed(spark, candidates(spark, distinct, similarity))
-    members = met.filter("whole IS NOT NULL").select("whole", F.col("b").alias("fp"))
-    tried = met.filter("whole IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges, reach = verified(tried), NEAREST
-    more = not members.isEmpty()
-    while more:
+    members = met.filter("whole IS NOT NULL").select("whole", F.col("b").alias("fp")).join(of, "fp")
+    edges = verified(met.filter("whole IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if not members.isEmpty():
         nodes = components(spark, edges)
         roots = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root")
-        found = checkpointed(spark, further(spark, members, roots, allowed(similarity), reach))
-        new = found.select("a", "b").join(tried, ["a", "b"], "left_anti")
-        more = not found.filter("more").isEmpty()
-        fresh = checkpointed(spark, new)
-        if not fresh.isEmpty():
-            edges = edges.union(verified(fresh))
-            tried = tried.union(fresh)
-        reach *= 4
+        edges = edges.union(within(members, roots, sets_of, similarity))
     return labelled(spark, prints, edges, distinct).select("doc_id", "row_key", "component_id", "cluster")
 
 
