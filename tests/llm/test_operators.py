@@ -723,3 +723,31 @@ def test_broken_pages_take_linear_time(page):
     began = time.monotonic()
     op10_html.extract(page, op10_html.Model([TAUGHT] * 20))
     assert time.monotonic() - began < 10
+
+
+def test_trees_of_wide_fingerprints_join_what_is_within_the_radius():
+    rng = np.random.default_rng(5)
+    radius = op7_simhash.allowed(0.8)
+    for m, kinds, flips in ((2, 1, 4), (300, 20, 30), (300, 300, 0), (200, 1, 0.3)):
+        base = rng.integers(0, 2, (kinds, 256), dtype=np.uint8)
+        bits = np.array([base[i % kinds] ^ (rng.random(256) < (flips / 256 if flips >= 1 else flips)) for i in range(m)], np.uint8)
+        fp = np.unique(np.packbits(bits, axis=1, bitorder="little").view(np.uint64), axis=0)
+        apart = np.array([op7_simhash.apart(fp, x) for x in fp])
+        table = op7_simhash.pivot_table(fp)
+        assert (np.abs(table[:, None] - table[None]).max(axis=2) <= apart).all()  # what the table discards is that far apart
+        near = (apart <= radius) & ~np.eye(len(fp), dtype=bool)
+        assert op7_simhash.meeting(fp, table, radius, 64).tolist() == np.flatnonzero(near.any(axis=1)).tolist()
+        want = list(range(len(fp)))
+        for i, j in zip(*np.nonzero(near)):
+            want = [want[i] if x == want[j] else x for x in want] if want[i] != want[j] else want
+        got = list(range(len(fp)))
+        for i, j in zip(*op7_simhash.tree(fp, radius)):
+            got = [got[i] if x == got[j] else x for x in got]
+        assert len(set(zip(want, got))) == len(set(want)) == len(set(got))
+
+
+def test_unlike_texts_under_one_key_are_no_candidates(spark):
+    """They met in groups of more than 64 and sent their sets once for each; now nothing of them leaves the group."""
+    rng = np.random.default_rng(6)
+    rows = [(bytearray(x.tobytes()),) for x in rng.integers(0, 1 << 64, (20000, 4), dtype=np.uint64)]
+    assert op7_simhash.candidates(spark, spark.createDataFrame(rows, "fp binary"), 0.8).count() == 0

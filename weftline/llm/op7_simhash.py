@@ -25,10 +25,15 @@ link table, checkpointed in the shared folder.
 
 ``near_copies`` is the same for texts that differ in more than a few bits: a
 link is a cosine of at least ``similarity`` between the sets of shingles. Its
-fingerprints have 256 bits, candidates agree in one of many samples of bits
-(enough that ``RECALL`` of the pairs just at the threshold meet), and each is
-verified on the sets. At so wide a radius pivots discard nothing, so there is
-no table; what is found below a recall of 1 is measured in the README.
+fingerprints have 256 bits, those that agree in one of many samples of bits
+form a group (enough that ``RECALL`` of the pairs just at the threshold meet).
+Fixed references discard nothing at so wide a radius, so the pivot table of a
+group holds the distances to some of its own fingerprints: pairs whose rows
+differ by more than the radius are discarded, the others verified bit by bit.
+What these candidates join stands in one task, each text's set once, and there
+pairs pass the pivot table, the bits and at last the sets. So links are all
+verified, and what travels grows with the texts and not with their pairs. What
+is found below a recall of 1 is measured in the README.
 
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle; repeated rows are rows of
@@ -44,7 +49,6 @@ from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +66,8 @@ CHUNK = 1 << 16
 HOT, SALTS = 512, 64
 #: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group.
 WIDE, RECALL, FAN = 4, 0.95, 64
+#: Near copies: fingerprints that share a key on average, references of a group.
+SHARE, REFERENCES = 256, 4
 #: Near copies: bytes of sets that are compared in one task.
 BLOCK = 64 << 20
 
@@ -329,31 +335,66 @@ def wide_prints(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def samples(n: int, similarity: float) -> np.ndarray:
-    """Which bits each table of candidates looks at, for n fingerprints: about 64 share a key, RECALL of the pairs at the similarity meet."""
+    """Which bits each table of candidates looks at, for n fingerprints: about SHARE share a key, RECALL of the pairs at the similarity meet."""
     agree = 1 - math.acos(similarity) / math.pi
-    r = min(24, max(10, round(math.log2(max(1, n) / 64))))
+    r = max(8, round(math.log2(max(1, n) / SHARE)))
     tables = math.ceil(math.log(1 - RECALL) / math.log(1 - agree**r))
     order = np.random.default_rng(SEED)
     return np.array([order.choice(64 * WIDE, r, replace=False) for _ in range(tables)])
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which wide fingerprints differ."""
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
+
+
+def pivot_table(fp: np.ndarray) -> np.ndarray:
+    """Each wide fingerprint's distances to some of them, every reference as far as can be from those before it."""
+    out, far, at = [], None, 0
+    for _ in range(REFERENCES):
+        out.append(apart(fp, fp[at]))
+        far = out[-1] if far is None else np.minimum(far, out[-1])
+        at = int(far.argmax())
+    return np.stack(out, axis=1)
+
+
+def meeting(fp: np.ndarray, table: np.ndarray, radius: int, rows: int = 64) -> np.ndarray:
+    """The indices of fingerprints that have another within the radius."""
+    found = np.zeros(len(fp), bool)
+    for lo in range(0, len(fp), rows):
+        hi, own = min(len(fp), lo + rows), fp[lo:]
+        near = np.ones((hi - lo, len(own)), bool)
+        for c in range(table.shape[1]):
+            near &= np.abs(table[lo:hi, c, None] - table[None, lo:, c]) <= radius
+        if 4 * np.count_nonzero(near) < near.size:
+            i, j = np.nonzero(near)
+            near[i, j] = apart(own[i], own[j]) <= radius
+        else:
+            near &= sum(np.bitwise_count(own[: hi - lo, None, w] ^ own[None, :, w]).astype(np.int16) for w in range(fp.shape[1])) <= radius
+        near[np.arange(hi - lo), np.arange(hi - lo)] = False
+        found[lo:hi] |= near.any(axis=1)
+        found[lo:] |= near.any(axis=0)
+    return np.flatnonzero(found)
+
+
 def tree(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
-    """Links (indices) that reach all that is reachable within the radius; of many near one, some are linked to others near it instead."""
-    rest, a, b = np.arange(len(fp)), [], []
+    """Pairs (indices) that join all that is reachable within the radius, and nothing else; none has more than FAN + 1 partners below it."""
+    table, a, b = pivot_table(fp), [], []
+    rest = meeting(fp, table, radius)
     while len(rest):
-        queue, rest = [rest[0]], rest[1:]
+        queue, rest, reached = [rest[0]], rest[1:], []
         while queue and len(rest):
             q = queue.pop()
-            near = rest[np.bitwise_count(fp[rest] ^ fp[q]).sum(axis=1, dtype=np.int64) <= radius]
-            hub = np.full(len(near), q)
-            for lo in range(FAN, len(near), FAN):
-                part, other = near[lo : lo + FAN], near[lo // FAN - 1]
-                ok = np.bitwise_count(fp[part] ^ fp[other]).sum(axis=1, dtype=np.int64) <= radius
-                hub[lo : lo + FAN][ok] = other
-            a += hub.tolist()
-            b += near.tolist()
-            queue += near.tolist()
-            rest = np.setdiff1d(rest, near, assume_unique=True)
+            near = np.abs(table[rest] - table[q]).max(axis=1) <= radius
+            near[near] = apart(fp[rest[near]], fp[q]) <= radius
+            if near.any():
+                if not reached:
+                    reached.append(int(q))
+                reached += rest[near].tolist()
+                queue += rest[near].tolist()
+                rest = rest[~near]
+        a += [reached[(k - 1) // FAN] for k in range(1, len(reached))]
+        b += reached[1:]
     return a, b
 
 
@@ -364,7 +405,7 @@ def allowed(similarity: float) -> int:
 
 
 def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of wide fingerprints (fp binary) that may be that similar; and of every large group, of whose pairs only a tree's are given, the members (b, with the group as whole)."""
+    """Pairs (a, b) of wide fingerprints (fp binary) that join all those that may be that similar."""
     n, parts = distinct.count(), buckets(spark)
     chosen = samples(n, similarity)
     weight = (1 << np.arange(chosen.shape[1])).astype(np.int64)
@@ -393,28 +434,25 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(begin, len(key)))
             a, b = [], []
-            few = np.repeat(size <= 4 * SMALL, size)
-            for lag in range(1, 4 * SMALL):
+            few = np.repeat(size <= SMALL, size)
+            for lag in range(1, SMALL):
                 i = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:]) if lag < len(key) else np.zeros(0, np.int64)
                 if not len(i):
                     break
                 i = i[np.bitwise_count(fp[i] ^ fp[i + lag]).sum(axis=1, dtype=np.int64) <= radius]
                 a.append(fp[i])
                 b.append(fp[i + lag])
-            for g in np.flatnonzero(size > 4 * SMALL):
+            for g in np.flatnonzero(size > SMALL):
                 group = fp[begin[g] : begin[g] + size[g]]
                 i, j = tree(group, radius)
                 a.append(group[i])
                 b.append(group[j])
-                for lo in range(0, len(group), CHUNK):
-                    part = group[lo : lo + CHUNK]
-                    yield pa.record_batch([pa.nulls(len(part), pa.binary()), raw_of(part), pa.array(np.full(len(part), key[begin[g]]).view(np.int64))], ["a", "b", "whole"])
             if sum(map(len, a)):
                 both = np.unique(np.concatenate([np.concatenate(a).view(np.uint8), np.concatenate(b).view(np.uint8)], axis=1), axis=0)
-                yield pa.record_batch([raw_of(both[:, : 8 * WIDE]), raw_of(both[:, 8 * WIDE :]), pa.nulls(len(both), pa.int64())], ["a", "b", "whole"])
+                yield pa.record_batch([raw_of(both[:, : 8 * WIDE]), raw_of(both[:, 8 * WIDE :])], ["a", "b"])
 
     sent = distinct.select("fp").mapInArrow(send, SCHEMA)
-    return sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a binary, b binary, whole long")
+    return sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a binary, b binary")
 
 
 def linked(sets: list[np.ndarray], similarity: float, rows: int = 1024, columns: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -455,39 +493,80 @@ def linked(sets: list[np.ndarray], similarity: float, rows: int = 1024, columns:
     return np.concatenate(a), np.concatenate(b)
 
 
-def within(members: DataFrame, roots: DataFrame, sets, similarity: float) -> DataFrame:
-    """Links (a, b) that join components within large groups (whole, fp, row_key): every pair of a group is compared in its task, by sets that are sent once for each group, and only a spanning forest leaves it.
+def spanning(fp: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many sets: of all pairs those that pass the pivot table and the bits are compared, with one set at a time against all that are not reached yet."""
+    size, radius, table = np.array([len(x) for x in sets], np.int64), allowed(similarity), pivot_table(fp)
+    ends = np.append(0, np.cumsum(size))
+    col = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(col), bool)
+    rest, a, b = np.arange(len(sets)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(rest):
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            q = queue.pop()
+            near = np.abs(table[rest] - table[q]).max(axis=1) <= radius
+            near[near] = apart(fp[rest[near]], fp[q]) <= radius
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            mark[col[ends[q] : ends[q + 1]]] = True
+            common = []
+            for lo in range(0, len(at), 1024):
+                x = rest[at[lo : lo + 1024]]
+                hit = mark[col[np.repeat(ends[x], size[x]) + units.ramp(size[x])]]
+                common.append(np.bincount(np.repeat(np.arange(len(x)), size[x]), hit, len(x)))
+            mark[col[ends[q] : ends[q + 1]]] = False
+            common = np.concatenate(common)
+            ok = (common > 0) & (common >= similarity * np.sqrt(size[q] * size[rest[at]]))
+            found, rest = rest[at[ok]], np.delete(rest, at[ok])
+            a.append(np.full(len(found), q))
+            b.append(found)
+            queue += found.tolist()
+    return np.concatenate(a), np.concatenate(b)
+
 
-    Groups of one component are left alone; one of more than LARGE texts or BLOCK bytes is looked at in pairs of blocks.
+def within(members: DataFrame, sets, similarity: float) -> DataFrame:
+    """Links (a, b), a spanning forest of them, among the members (whole, fp, row_key, n_shingles) of what candidates join: all pairs of a whole are compared in its task, by sets that are sent there once.
+
+    A whole of more than LARGE texts or BLOCK bytes is looked at in pairs of blocks.
     """
-    named = members.join(roots, "fp", "left").select("whole", "fp", "row_key", F.coalesce("root", "fp").alias("label"))
-    mixed = named.groupBy("whole").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("whole")
-    chosen = checkpointed(named.sparkSession, named.join(mixed, "whole"))
-    x = chosen.join(sets(chosen.select("row_key")), "row_key").select("whole", "fp", "label", "own")
-    size = x.groupBy("whole").agg(F.greatest(F.count("*") / LARGE, F.sum(F.length("own")) / BLOCK).alias("parts"))
-    x = x.join(size.select("whole", F.when(F.col("parts") <= 1, 1).otherwise(F.ceil(2 * F.col("parts"))).cast("int").alias("blocks")), "whole")
+    size = members.groupBy("whole").agg(F.greatest(F.count("*") / LARGE, 4 * F.sum("n_shingles") / BLOCK).alias("parts"))
+    parts = members.join(size.filter("parts > 1").select("whole", F.ceil(2 * F.col("parts")).cast("int").alias("blocks")), "whole", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = parts.join(sets(members.select("row_key")), "row_key")
     x = x.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    x = x.select("whole", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", "own")
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        label = pdf["label"].factorize()[0]
-        if not label.any():
-            return pd.DataFrame({"a": [], "b": []})
-        a, b = linked([np.frombuffer(x, np.uint32) for x in pdf["own"]], similarity)
-        new = label[a] != label[b]
-        raw = pdf["fp"].to_numpy()
-        return pd.DataFrame({"a": raw[a[new]], "b": raw[b[new]]})
+    def found(held: list[tuple[bytes, bytes]]) -> tuple[list[bytes], list[bytes]]:
+        raw, own = [f for f, _ in held], [np.frombuffer(o, np.uint32) for _, o in held]
+        if len(held) <= FAN:
+            a, b = linked(own, similarity) if len(held) > 1 else ([], [])
+        else:
+            a, b = spanning(np.frombuffer(b"".join(raw), U64).reshape(-1, WIDE), own, similarity)
+        return [raw[i] for i in a], [raw[i] for i in b]
 
-    found = x.groupBy("whole", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi")).applyInPandas(run, "a binary, b binary")
-    return checkpointed(named.sparkSession, found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], ([], [])
+        for y in batches:
+            for whole_, lo, hi, fp, own in zip(*(c.to_pylist() for c in y.columns)):
+                if (whole_, lo, hi) != at:
+                    for known, new in zip(out, found(held)):
+                        known += new
+                    at, held = (whole_, lo, hi), []
+                held.append((fp, own))
+            yield pa.record_batch([pa.array(v, pa.binary()) for v in out], ["a", "b"])
+            out = ([], [])
+        yield pa.record_batch([pa.array(v, pa.binary()) for v in found(held)], ["a", "b"])
+
+    spark = members.sparkSession
+    return checkpointed(spark, x.repartition(buckets(spark), "whole", "lo", "hi").sortWithinPartitions("whole", "lo", "hi").mapInArrow(run, "a binary, b binary"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, row_key, component_id, cluster. Equal rows have one row_key, made of id and text; a cluster names its component even if no id does.
 
-    Texts that share a key of a few of their fingerprints' bits are candidates.
-    In a group of more than 64 the links of a tree are verified first; where
-    these leave a group in several components, all its pairs are compared within
-    the group's task, and the links that join components are added.
+    Texts that share a key of a few of their fingerprints' bits and differ in
+    few bits are candidates. All pairs of what these join are compared within one
+    task, so that no link depends on which of the candidates were followed.
     """
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"), F.col(text_col).cast("binary").alias("text"))
@@ -503,7 +582,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
                     h, ends = shingle_sets(texts, k)
                     if keep is None:
                         fp = [r.tobytes() for r in wide_prints(h, ends)]
-                        yield pa.record_batch([part.column(0), part.column(1), pa.array(fp, pa.binary())], ["doc_id", "row_key", "fp"])
+                        yield pa.record_batch([part.column(0), part.column(1), pa.array(fp, pa.binary()), pa.array(np.diff(ends), pa.int64())], ["doc_id", "row_key", "fp", "n_shingles"])
                     else:
                         small = (h >> U64(31)).astype(np.uint32)
                         own = [np.unique(small[i:j]).tobytes() for i, j in zip(ends, ends[1:])]
@@ -511,19 +590,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
         return run
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            ok = []
-            for i, (p, q) in enumerate(zip(x.column(2), x.column(3))):
-                p, q = np.frombuffer(p.as_buffer(), np.uint32), np.frombuffer(q.as_buffer(), np.uint32)
-                same = len(np.intersect1d(p, q, assume_unique=True))
-                if 0 < same >= similarity * math.sqrt(len(p) * len(q)):
-                    ok.append(i)
-            yield x.select(["a", "b"]).take(pa.array(ok, pa.int64()))
-
-    prints = checkpointed(spark, source.mapInArrow(sets(None), "doc_id long, row_key string, fp binary"))
-    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.count("*").alias("n")))
-    of = distinct.select("fp", "row_key")
+    prints = checkpointed(spark, source.mapInArrow(sets(None), "doc_id long, row_key string, fp binary, n_shingles long"))
+    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
     bit = bitmap.bit(F.xxhash64("row_key"))
 
     def sets_of(ends: DataFrame) -> DataFrame:
@@ -531,21 +599,11 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         keep = bitmap.collect(ends.select(bit.alias("bit")))
         return source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) whose sets are that similar."""
-        pairs = checkpointed(spark, pairs.join(of.toDF("a", "a_key"), "a").join(of.toDF("b", "b_key"), "b"))
-        own = sets_of(pairs.select(F.col("a_key").alias("row_key")).union(pairs.select("b_key")))
-        sized = pairs.join(own.toDF("a_key", "p"), "a_key").join(own.toDF("b_key", "q"), "b_key").select("a", "b", "p", "q")
-        return checkpointed(spark, sized.mapInArrow(check, "a binary, b binary"))
-
-    met = checkpointed(spark, candidates(spark, distinct, similarity))
-    members = met.filter("whole IS NOT NULL").select("whole", F.col("b").alias("fp")).join(of, "fp")
-    edges = verified(met.filter("whole IS NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    if not members.isEmpty():
-        nodes = components(spark, edges)
-        roots = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root")
-        edges = edges.union(within(members, roots, sets_of, similarity))
-    return labelled(spark, prints, edges, distinct).select("doc_id", "row_key", "component_id", "cluster")
+    nodes = components(spark, candidates(spark, distinct, similarity))
+    wholes = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "whole")
+    members = checkpointed(spark, distinct.select("fp", "row_key", "n_shingles").join(wholes, "fp").select("whole", "fp", "row_key", "n_shingles"))
+    edges = within(members, sets_of, similarity)
+    return labelled(spark, prints.select("doc_id", "row_key", "fp"), edges, distinct).select("doc_id", "row_key", "component_id", "cluster")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
