@@ -751,3 +751,17 @@ def test_unlike_texts_under_one_key_are_no_candidates(spark):
     rng = np.random.default_rng(6)
     rows = [(bytearray(x.tobytes()),) for x in rng.integers(0, 1 << 64, (20000, 4), dtype=np.uint64)]
     assert op7_simhash.candidates(spark, spark.createDataFrame(rows, "fp binary"), 0.8).count() == 0
+
+
+def test_counts_travel_in_few_bytes_and_from_few_tasks(spark, monkeypatch):
+    from weftline.llm import sums
+
+    for n in (np.zeros(sums.SLICE, np.int64), np.arange(sums.SLICE) % 100, np.arange(sums.SLICE) - 129, np.arange(sums.SLICE) << 40, np.eye(1, sums.SLICE, 7, dtype=np.int64)[0] * 127, np.full(sums.SLICE, np.iinfo(np.int64).min)):
+        assert (sums._unpack(sums._pack(n)) == n).all()
+    assert len(sums._pack(np.arange(sums.SLICE) % 100 + 1)) == sums.SLICE + 1
+    tasks = []
+    collect = sums.collect
+    monkeypatch.setattr(sums, "collect", lambda sent: tasks.append(sent.rdd.getNumPartitions()) or collect(sent))
+    texts = spark.createDataFrame([(bytearray(b"a b c"),)] * 100, "text binary").repartition(100)
+    assert op5_quality.count(texts, sums.SLICE).sum() == 500
+    assert tasks == [2 * spark.sparkContext.defaultParallelism]

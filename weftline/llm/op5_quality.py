@@ -14,7 +14,9 @@ The number of slots follows the bytes of text, a slot for about 1,000 of them,
 from ``FEWEST`` to ``MOST`` (which bounds the broadcast table of log-ratios to
 16 MB). All texts are counted in one scan without a join; only the targets are
 found by a join with the labels, whose ids are broadcast if they were counted
-to be at most ``IDS`` and merged otherwise. Counts are summed in two levels.
+to be at most ``IDS`` and merged otherwise. Counts are summed in two levels; a
+core counts for two tasks at most, so that what is sent grows with the slots and
+the cores, not with the slots times the files.
 
 Defined results: null and empty texts have no n-grams and weight 0 and take
 part; without any target text all weights are 0; ties of keys go to the smaller
@@ -64,7 +66,8 @@ def count(texts: DataFrame, slots: int) -> np.ndarray:
             n += np.bincount(slots_of(own, slots)[0], minlength=slots)
         yield from sums.send({"n": n})
 
-    found = sums.collect(texts.mapInArrow(run, sums.SCHEMA)).get("n", np.zeros(0, np.int64))
+    few = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)
+    found = sums.collect(few.mapInArrow(run, sums.SCHEMA)).get("n", np.zeros(0, np.int64))
     return np.append(found, np.zeros(slots - len(found), np.int64))
 
 

@@ -22,15 +22,21 @@ SCHEMA = "key string, slice int, salt int, data binary"
 
 
 def _pack(n: np.ndarray) -> bytes:
-    at = np.flatnonzero(n)
-    return b"\1" + at.astype(np.uint16).tobytes() + n[at].tobytes() if 10 * len(at) < 8 * len(n) else b"\0" + n.tobytes()
+    """Width of a count (its logarithm) and whether sparse, places if so, counts in the fewest bytes that hold them all."""
+    at, top = np.flatnonzero(n), max(int(n.max(initial=0)), -int(n.min(initial=0)) - 1)
+    k = next(k for k in range(4) if top < 1 << (8 << k) - 1)
+    kind = np.dtype(f"i{1 << k}")
+    if (2 + kind.itemsize) * len(at) < kind.itemsize * len(n):
+        return bytes([4 + k]) + at.astype(np.uint16).tobytes() + n[at].astype(kind).tobytes()
+    return bytes([k]) + n.astype(kind).tobytes()
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    if data[0] == 0:
-        return np.frombuffer(data, np.int64, offset=1)
-    k, out = (len(data) - 1) // 10, np.zeros(SLICE, np.int64)
-    out[np.frombuffer(data, np.uint16, k, 1)] = np.frombuffer(data, np.int64, k, 1 + 2 * k)
+    kind = np.dtype(f"i{1 << (data[0] & 3)}")
+    if data[0] < 4:
+        return np.frombuffer(data, kind, offset=1).astype(np.int64)
+    k, out = (len(data) - 1) // (2 + kind.itemsize), np.zeros(SLICE, np.int64)
+    out[np.frombuffer(data, np.uint16, k, 1)] = np.frombuffer(data, kind, k, 1 + 2 * k)
     return out
 
 
