@@ -189,3 +189,14 @@ def test_chat_of_an_empty_table_and_the_probe(spark):
     probe = [(-1, 0, "user", op13_chat.PROBE), (-1, 1, "assistant", op13_chat.PROBE)]
     got = op13_chat.read_back(spark, op13_chat.examples(spark, table(spark, probe))).collect()
     assert ordered(got) == brute_chat(probe)
+
+
+def test_examples_of_ordinary_conversations_hold_all_turns_before(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(151)]
+    (found, _), = op13_chat.examples(spark, table(spark, rows))
+    got = sorted((r for r in found.collect() if r.trainable), key=lambda r: r.example)
+    text, want = op13_chat.BEGIN, []
+    for _, _, role, body in rows:
+        text += op13_chat.formatted(role, body)[0]
+        want += [text] if role == "assistant" else []
+    assert [r.text for r in got] == want and all(r.first_turn == r.before_chars == 0 for r in got)
