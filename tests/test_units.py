@@ -298,3 +298,11 @@ def test_edges_of_a_checkpoint_and_a_table_are_written_once(spark):
     want = [("a", 0), ("b", 1), ("c", 2), ("d", 3)]
     assert bag(graph.hops(spark, joined, "a", 3).select("id", "depth")) == want
     assert bag(graph.hops(spark, checkpointed(spark, x), "a", 3, written=True).select("id", "depth")) == want
+
+
+def test_multi_type_search_shuffles_no_postings(spark):
+    from weftline.plans import parity_queries as pq
+
+    sf = "/root/testdata/sf0.001"
+    plan = pq.multi_query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" in plan and not any("LeftSemi" in x for x in plan.splitlines())  # hits of the queries' terms only

@@ -123,7 +123,8 @@ def multi_query(spark, sf):
     """One search for each of a query's types, merged."""
     c, q = rq.chunks(spark, sf), rq.queries(spark, sf)
     types = spark.createDataFrame([(1, "en"), (1, "fr"), (2, "de"), (3, "fr"), (3, "es"), (4, "en")], "query_id int, entity_type string")
-    hits = r.bm25(r.postings(c), q).join(c.select("id", "entity_id", "entity_type"), "id").join(types, ["query_id", "entity_type"]).withColumn("score", F.round("score", 9))
+    known = c.withColumn("id", F.struct("id", "entity_id", "entity_type"))  # what a hit needs goes with its id, so that chunks are scanned and never shuffled
+    hits = r.bm25_scan(known, q).select("query_id", "id.*", F.round("score", 9).alias("score")).join(types, ["query_id", "entity_type"])
     own = Window.partitionBy("query_id", "entity_type").orderBy(F.desc("score"), "id")
     each = hits.withColumn("r", F.row_number().over(own)).filter("r <= 10")
     return r.merge_types(each, 15).select("query_id", "entity_id", F.round("score", 6).alias("score"), "rank")
