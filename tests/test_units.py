@@ -300,9 +300,11 @@ def test_edges_of_a_checkpoint_and_a_table_are_written_once(spark):
     assert bag(graph.hops(spark, checkpointed(spark, x), "a", 3, written=True).select("id", "depth")) == want
 
 
-def test_multi_type_search_shuffles_no_postings(spark):
+def test_multi_type_search_shuffles_no_postings_and_files_are_dealt(spark):
     from weftline.plans import parity_queries as pq
 
     sf = "/root/testdata/sf0.001"
     plan = pq.multi_query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "array_intersect" in plan and not any("LeftSemi" in x for x in plan.splitlines())  # hits of the queries' terms only
+    n = pq.language_files(spark, sf).rdd.getNumPartitions()
+    assert n == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import scalars as s
 from weftline.operators import detectors, evaluation as v, graph as g, insights as ins, retrieval as r
 from weftline.plans import detector_queries as dq, event_queries as eq, graph_queries as gq, more_queries as mq, retrieval_queries as rq
-from weftline.session import scratch, table
+from weftline.session import buckets, scratch, table
 from weftline.sources import code_items, files, kg, versions
 
 
@@ -192,7 +192,8 @@ def language_files(spark, sf):
     k = F.col("p_partkey").cast("string")
     body = lambda n: F.concat(F.replace(F.lit(BODIES[n][0]), F.lit("{k}"), k), F.repeat(F.lit(BODIES[n][1]), F.col("p_size")), F.lit(BODIES[n][2]))
     files = F.explode(F.array(*[F.struct(F.lit(n).alias("language"), body(n).alias("code")) for n in BODIES]))
-    return table(spark, sf, "part").select(F.concat(F.lit("p"), k).alias("p"), files.alias("f")).select(F.concat_ws(".", "p", "f.language").alias("path"), "f.language", "f.code")
+    parts = table(spark, sf, "part").select("p_partkey", "p_size").repartition(buckets(spark, 4))  # a few bytes make five files: dealt first, as one input split holds a million parts
+    return parts.select(F.concat(F.lit("p"), k).alias("p"), files.alias("f")).select(F.concat_ws(".", "p", "f.language").alias("path"), "f.language", "f.code")
 
 
 def language_query(spark, sf):
