@@ -308,3 +308,22 @@ def test_multi_type_search_shuffles_no_postings_and_files_are_dealt(spark):
     assert "array_intersect" in plan and not any("LeftSemi" in x for x in plan.splitlines())  # hits of the queries' terms only
     n = pq.language_files(spark, sf).rdd.getNumPartitions()
     assert n == 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("block", [1 << 17, 40])
+def test_correlations_shuffle_no_pairs(spark, block):
+    from weftline.operators import insights as ins
+
+    links = [(f"i{k}", "r", f"t{k * j % 11}") for k in range(40) for j in range(4)] + [("i1", "r", None), (None, "r", "t0"), ("lone", "r", "x")]
+    found = ins.correlations(spark.createDataFrame(links, "src string, rel string, dst string"), block=block)
+    of = {}
+    for s, _, d in links:
+        of.setdefault(s, set()).add(d)
+    want = {}
+    for a in of:
+        for b in of:
+            if a and b and a < b and (n := len((of[a] & of[b]) - {None})):
+                want[a, b] = round(n / (len(of[a]) + len(of[b]) - n), 9)
+    assert {(r.a, r.b): round(r.shared, 9) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan

@@ -6,16 +6,25 @@ Insights are (id, title, content, author, tags, confidence); their edges are
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import scalars as s
 from weftline.operators import matching, retrieval
 from weftline.operators.graph import small
+from weftline.session import checkpointed
 
 #: Words that say nothing about a topic (our own short list).
 STOP = ["the", "and", "for", "with", "that", "this", "from", "are", "was", "not", "but", "has", "have", "had", "you", "all", "can", "its"]
 
+#: Links of insights that are compared with as many others in a task.
+BLOCK = 1 << 17
+
 
 def keywords(text: F.Column) -> F.Column:
     return F.filter(s.query_tokens(text), lambda t: (F.octet_length(t) >= 3) & ~t.isin(*STOP))
@@ -39,14 +48,61 @@ def detect_links(insights: DataFrame, entities: DataFrame, most: int = 5, sure:
     return scored.withColumn("r", F.row_number().over(own)).filter(F.col("r") <= most).select("insight_id", "entity_id", "score", kind.alias("link_type"))
 
 
-def correlations(edges: DataFrame, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), temporal: float = 0.5) -> DataFrame:
-    """(a, b, shared, combined) for pairs of insights sharing a target: Jaccard of their target sets, no semantic part, a constant temporal one."""
-    own = edges.select("src", "dst").distinct()
-    size = own.groupBy("src").agg(F.count("*").alias("n"))
-    pairs = own.select(F.col("src").alias("a"), "dst").join(own.select(F.col("src").alias("b"), "dst"), "dst").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("both"))
-    both = pairs.join(size.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
+def correlations(edges: DataFrame, weights: tuple[float, float, float] = (0.4, 0.4, 0.2), temporal: float = 0.5, block: int = BLOCK) -> DataFrame:
+    """(a, b, shared, combined) for pairs of insights sharing a target: Jaccard of their target sets, no semantic part, a constant temporal one.
+
+    Insights stand in blocks of about ``block`` links with their numbered targets, and a
+    task counts what two blocks share. Blocks are read again for each pair of
+    them, so no pair of insights is ever shuffled, however many share a target.
+    """
+    spark = edges.sparkSession
+    own = checkpointed(spark, edges.select("src", "dst").distinct())
+    ids = checkpointed(spark, own.select("dst").filter("dst is not null").distinct().withColumn("target", F.monotonically_increasing_id()))
+    n_blocks = max(1, -(-own.count() // block))
+    each = own.filter("src is not null").join(ids, "dst", "left").groupBy("src").agg(F.count("*").alias("n"), F.collect_list("target").alias("targets"))
+    blocks = each.groupBy(F.pmod(F.xxhash64("src"), F.lit(n_blocks)).alias("at")).agg(F.sort_array(F.collect_list(F.struct("src", "n", "targets"))).alias("rows"))
+    blocks = checkpointed(spark, blocks.repartition(min(n_blocks, 64), "at"))
+    both = blocks.toDF("lo", "x").hint("shuffle_replicate_nl").join(blocks.toDF("hi", "y"), F.col("lo") <= F.col("hi"))
+    kind = own.schema["src"].dataType.simpleString()
+    pairs = both.mapInArrow(_common, f"a {kind}, b {kind}, na long, nb long, both long")
     graph = F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))
-    return both.select("a", "b", graph.alias("shared"), (graph * weights[0] + temporal * weights[2]).alias("combined"))
+    return pairs.select("a", "b", graph.alias("shared"), (graph * weights[0] + temporal * weights[2]).alias("combined"))
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs of blocks (lo, x, hi, y) the pairs of insights with a common target."""
+
+    def parts(rows: pa.Array) -> tuple:
+        x = rows.flatten()
+        targets = x.field("targets")
+        return x.field("src"), x.field("n").to_numpy(), targets.flatten().to_numpy(), np.asarray(targets.value_lengths())
+
+    for batch in batches:
+        for k in range(batch.num_rows):
+            row = batch.slice(k, 1)
+            same = row.column(0)[0] == row.column(2)[0]
+            (a, na, ta, sa), (b, nb, tb, sb) = parts(row.column(1)), parts(row.column(3))
+            order = np.argsort(tb, kind="stable")
+            owner, sorted_ = np.repeat(np.arange(len(nb)), sb)[order], tb[order]
+            lo, hi = np.searchsorted(sorted_, ta), np.searchsorted(sorted_, ta, "right")
+            ends, held, size = np.append(0, np.cumsum(sa)), [], 0
+            for i in range(len(na) + 1):
+                if held and (i == len(na) or size > 1 << 16):
+                    p, q, n = (np.concatenate(v) for v in zip(*held))
+                    left, right = a.take(pa.array(p)), b.take(pa.array(q))
+                    less = pc.less(left, right)
+                    swap = lambda u, v: pa.array(np.where(less.to_numpy(zero_copy_only=False), u, v))  # noqa: E731, B023
+                    yield pa.record_batch([pc.if_else(less, left, right), pc.if_else(less, right, left), swap(na[p], nb[q]), swap(nb[q], na[p]), pa.array(n)], ["a", "b", "na", "nb", "both"])
+                    held, size = [], 0
+                if i < len(na):
+                    own = [owner[u:v] for u, v in zip(lo[ends[i] : ends[i + 1]], hi[ends[i] : ends[i + 1]])]
+                    n = np.bincount(np.concatenate(own), minlength=len(nb)) if own else np.zeros(len(nb), np.int64)
+                    if same:
+                        n[: i + 1] = 0
+                    at = np.flatnonzero(n)
+                    if len(at):
+                        held.append((np.full(len(at), i), at, n[at]))
+                        size += len(at)
 
 
 def confirm(edges: DataFrame, confidence: DataFrame, accepted: DataFrame, step: float = 0.05) -> tuple[DataFrame, DataFrame]:
