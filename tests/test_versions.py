@@ -150,3 +150,14 @@ def test_hashed_embedding_counts_tokens():
     for t in ("a", "b", "a"):
         want[xxhash.xxh64_intdigest(t) % 1000] += 1
     assert np.allclose(got[0], want / np.linalg.norm(want)) and not got[1].any() and not got[2].any()
+
+
+def test_a_first_upsert_deals_its_rows_once(spark, tmp_path):
+    rows = spark.range(100).selectExpr("id % 50 AS id", "'x' AS text").repartition(3).localCheckpoint()
+    spark.sparkContext.setJobGroup("dealt once", "")
+    versions.upsert(rows, str(tmp_path / "t"), "id")
+    tracker = spark.sparkContext.statusTracker()
+    stages = {s for j in tracker.getJobIdsForGroup("dealt once") for s in tracker.getJobInfo(j).stageIds}
+    ran = [s for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(ran) == 2 and versions.read(spark, str(tmp_path / "t")).count() == 50

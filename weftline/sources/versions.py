@@ -141,16 +141,18 @@ def _commit(rows: DataFrame, path: str, key: list[str], writer: tuple[str, int]
         own = _checked(rows, state, key)
         n = state["n_buckets"] or n_buckets
         write, touched = uuid.uuid4().hex, set()
+        dealt = own.withColumn("bucket", _bucket(key, n)).repartition("bucket")
         if replace:
-            own = own.dropDuplicates(key)
+            dealt = dealt.dropDuplicates(["bucket", *key])  # within the buckets they are written to: dealt once
             if state["schema"] is not None:
-                own = checkpointed(spark, own)
+                own = checkpointed(spark, dealt.drop("bucket"))
                 touched = {str(r.b) for r in own.select(_bucket(key, n).alias("b")).distinct().collect()}  # at most as many as buckets
                 old = _load(spark, path, state, touched)
                 old = old if keep is None else old.filter(keep)
                 own = old.join(own.select(key), key, "left_anti").unionByName(own)
+                dealt = own.withColumn("bucket", _bucket(key, n)).repartition("bucket")
         step("write")
-        own.withColumn("bucket", _bucket(key, n)).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/data/{write}")
+        dealt.write.partitionBy("bucket").parquet(f"{path}/data/{write}")
         written = {x.split("=")[1] for x in files.names(f"data/{write}") if x.startswith("bucket=")}
         buckets = {b: list(w) for b, w in state["buckets"].items()}
         for b in touched | written:
