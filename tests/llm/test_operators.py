@@ -765,3 +765,36 @@ def test_counts_travel_in_few_bytes_and_from_few_tasks(spark, monkeypatch):
     texts = spark.createDataFrame([(bytearray(b"a b c"),)] * 100, "text binary").repartition(100)
     assert op5_quality.count(texts, sums.SLICE).sum() == 500
     assert tasks == [2 * spark.sparkContext.defaultParallelism]
+
+
+def test_components_of_hubs_and_chains_take_few_stages(spark):
+    """Every round of stars took seven shuffles, and all links of a hub met in one task."""
+    r = random.Random(19)
+    pairs = [(5000 + i, 7 if i % 2 else 9) for i in range(2000)] + [(9, 40), (40, 41), (41, 7)]  # two hubs, joined by a path
+    pairs += [(100 + i, 101 + i) for i in range(300)] + [(3, 3)]  # a chain
+    pairs += [(r.randrange(10000, 12000), r.randrange(10000, 12000)) for _ in range(1500)]
+    r.shuffle(pairs)
+    root = {x: x for p in pairs for x in p}
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    want = {x: top(x) for x in root if top(x) != x}
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(6)
+    sc = spark.sparkContext
+    sc.setJobGroup("components", "stages of components")
+    try:
+        got = [tuple(x) for x in op7_simhash.components(spark, edges).collect()]
+        tracker = sc.statusTracker()
+        stages = len({s for j in tracker.getJobIdsForGroup("components") for s in tracker.getJobInfo(j).stageIds})
+    finally:
+        sc._jsc.clearJobGroup()
+    assert len(got) == len(dict(got)) and dict(got) == want
+    assert stages <= 100, stages  # 74; 220 before
+    assert op7_simhash.components(spark, edges.limit(0)).count() == 0

@@ -21,7 +21,10 @@ references within blocks of the bits in which they differ, until none is left.
 No pair is lost and none is capped.
 
 Components are found by alternating large-star and small-star steps over the
-link table, checkpointed in the shared folder.
+link table, checkpointed in the shared folder. Each step deals the links out by
+a node and every task replaces what it got by stars that join the same; the
+leaves of a node that many links lead to stay with their own tasks, which are
+told that node's parent instead.
 
 ``near_copies`` is the same for texts that differ in more than a few bits: a
 link is a cosine of at least ``similarity`` between the sets of shingles. Its
@@ -55,7 +58,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bitmap, units
-from weftline.llm.repeats import CHECK, KNOWN, SCHEMA, bucket_of, by_bucket, groups, pack, row_key, rows, text_slices, unpack, words_of
+from weftline.llm.repeats import CHECK, HOLD, KNOWN, SCHEMA, bucket_of, by_bucket, groups, pack, row_key, rows, text_slices, unpack, words_of
 from weftline.session import bounded_batches, buckets, checkpointed, table
 
 U64 = np.uint64
@@ -64,6 +67,8 @@ SMALL, LARGE = 16, 8192
 CHUNK = 1 << 16
 #: Rows of one fingerprint beyond a share of 1 / HOT are dealt over SALTS tasks.
 HOT, SALTS = 512, 64
+#: Links that lead to one node before its leaves stay where they are; at most HOT nodes are such.
+HUB = 256
 #: Near copies: words of a fingerprint, recall at the threshold, links of one text in a group.
 WIDE, RECALL, FAN = 4, 0.95, 64
 #: Near copies: fingerprints that share a key on average, references of a group.
@@ -250,23 +255,59 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, la
             return reduce(DataFrame.unionAll, found)
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least): for every node of the links but the least of each component, that least one."""
+    node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(node))
+    while True:
+        p, q = root[x], root[y]
+        apart_ = p != q
+        if not apart_.any():
+            break
+        x, y, p, q = x[apart_], y[apart_], p[apart_], q[apart_]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
+        while (root[root] != root).any():
+            root = root[root]
+    leaf = np.flatnonzero(root != np.arange(len(node)))
+    return node[leaf], node[root[leaf]]
+
+
 def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(node, root): for each node of the edges (a, b) the smallest node of its component."""
-    now = checkpointed(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    """(node, root): for each node (long) of the edges (a, b) but the roots, the smallest node of its component."""
+    n = buckets(spark)
+
+    def joined(more: tuple[np.ndarray, np.ndarray]):
+        """Stars that join what the links of a task and some more links join."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, size = [], 0
+            for x in batches:
+                held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+                size += x.num_rows
+                if size >= HOLD:
+                    held = [stars(*map(np.concatenate, zip(*held)))]
+                    size = len(held[0][0]) // 2  # so that what remains is gone through again only when it has doubled
+            if held:
+                u, v = stars(*map(np.concatenate, zip(*held, more)))
+                for lo in range(0, len(u), CHUNK):
+                    yield pa.record_batch([pa.array(u[lo : lo + CHUNK]), pa.array(v[lo : lo + CHUNK])], ["u", "v"])
+
+        return run
 
     def mark(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(r)
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    none = np.zeros(0, np.int64)
+    now = checkpointed(spark, edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(joined((none, none)), "u long, v long"))
     before = mark(now)
     while before[0]:
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select("v", "m").union(small.select("u", "m")).toDF("u", "v").filter("u <> v").distinct()
-        now = checkpointed(spark, small)
+        hubs = [r.v for r in now.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).orderBy(F.desc("n"), "v").limit(HOT).collect()]
+        is_hub = lambda c: F.col(c).isin(hubs) if hubs else F.lit(False)
+        up = now.filter(is_hub("u")).groupBy("u").agg(F.min("v")).collect() if hubs else []
+        more = (np.array([r[0] for r in up], np.int64), np.array([r[1] for r in up], np.int64))
+        both = now.union(now.filter(~is_hub("v")).select("v", "u"))
+        large = both.repartition(n, "u").mapInArrow(joined(more), "u long, v long")
+        now = checkpointed(spark, large.repartition(n, "u").mapInArrow(joined((none, none)), "u long, v long"))
         after = mark(now)
         if after == before:
             break
@@ -275,12 +316,15 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
 
 
 def labelled(spark: SparkSession, prints: DataFrame, edges: DataFrame, distinct: DataFrame) -> DataFrame:
-    """The prints with component_id, the smallest doc_id (least) among the fingerprints that their edges reach, and cluster, one of those fingerprints."""
+    """The prints with component_id, the smallest doc_id (least) among the fingerprints (fp, each with its node) that their edges reach, and cluster, one of those nodes."""
     nodes = components(spark, edges)
-    linked = nodes.join(distinct.select(F.col("fp").alias("node"), "least"), "node").select("root", "least").union(nodes.select(F.col("root").alias("fp")).distinct().join(distinct.select("fp", "least"), "fp"))
-    label = linked.groupBy("root").agg(F.min("least").alias("label"))
-    of = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "root").join(label, "root")
-    named = distinct.join(of, "fp", "left").select("fp", F.coalesce("label", "least").alias("component_id"), F.coalesce("root", "fp").alias("cluster"))
+    of = checkpointed(spark, distinct.join(nodes, "node", "left").select("fp", "least", "n", F.coalesce("root", "node").alias("cluster")))
+    names = of.groupBy("cluster").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
+    # the names of the largest clusters are broadcast, so that these stand in no one task
+    top = names.filter(F.col("size") > HUB).orderBy(F.desc("size"), "cluster").limit(HOT).collect()
+    large = F.broadcast(spark.createDataFrame(top, names.schema))
+    rest = of.filter(~F.col("cluster").isin([r.cluster for r in top])) if top else of
+    named = of.join(large, "cluster").select("fp", "component_id", "cluster").union(rest.join(names, "cluster").select("fp", "component_id", "cluster"))
     # a fingerprint that many rows have is dealt over SALTS tasks; there are at most HOT such
     limit = max(64, (distinct.agg(F.sum("n")).first()[0] or 0) // HOT)
     hot = F.col("fp").isin([r.fp for r in distinct.filter(F.col("n") > limit).select("fp").collect()])
@@ -294,7 +338,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     bounded_batches(spark)
     prints = checkpointed(spark, fingerprints(docs, id_col, text_col, k, seed, carry))
     distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
-    named = labelled(spark, prints, links(spark, distinct, distance), distinct)
+    named = labelled(spark, prints, links(spark, distinct, distance), distinct.withColumn("node", F.col("fp")))
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)
 
 
@@ -377,6 +421,19 @@ def meeting(fp: np.ndarray, table: np.ndarray, radius: int, rows: int = 64) -> n
     return np.flatnonzero(found)
 
 
+def pairs_of_few(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (indices) within the radius among rows of one key, at most SMALL a key and these side by side."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for lag in range(1, SMALL):
+        i = np.flatnonzero(key[lag:] == key[:-lag]) if lag < len(key) else np.zeros(0, np.int64)
+        if not len(i):
+            break
+        i = i[apart(fp[i], fp[i + lag]) <= radius]
+        a.append(i)
+        b.append(i + lag)
+    return np.concatenate(a), np.concatenate(b)
+
+
 def tree(fp: np.ndarray, radius: int) -> tuple[list[int], list[int]]:
     """Pairs (indices) that join all that is reachable within the radius, and nothing else; none has more than FAN + 1 partners below it."""
     table, a, b = pivot_table(fp), [], []
@@ -405,7 +462,7 @@ def allowed(similarity: float) -> int:
 
 
 def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of wide fingerprints (fp binary) that join all those that may be that similar."""
+    """Pairs (a, b) of nodes that join all wide fingerprints (fp binary, node long; else numbered here) that may be that similar."""
     n, parts = distinct.count(), buckets(spark)
     chosen = samples(n, similarity)
     weight = (1 << np.arange(chosen.shape[1])).astype(np.int64)
@@ -416,43 +473,35 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
         for whole_ in batches:
             for lo in range(0, whole_.num_rows, 4096):
                 x = whole_.slice(lo, 4096)
-                raw = np.frombuffer(b"".join(x.column(0).to_pylist()), np.uint8).reshape(-1, 8 * WIDE)
-                bits, fp = np.unpackbits(raw, axis=1, bitorder="little"), raw.view(U64)
+                fp = np.frombuffer(b"".join(x.column(0).to_pylist()), U64).reshape(-1, WIDE)
+                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
                 key = np.concatenate([units.mix((bits[:, c] @ weight).astype(U64) * U64(4096) + U64(t + 1)) for t, c in enumerate(chosen)])
-                every = np.tile(fp, (len(chosen), 1))
-                yield from by_bucket(bucket_of(key >> U64(24), parts), CHECK, key=key, **{w: every[:, k] for k, w in enumerate(words)})
-
-    def raw_of(fp: np.ndarray) -> pa.Array:
-        return pa.array([r.tobytes() for r in np.ascontiguousarray(fp)], pa.binary())
+                every, node = np.tile(fp, (len(chosen), 1)), np.tile(x.column(1).to_numpy(), len(chosen))
+                yield from by_bucket(bucket_of(key >> U64(24), parts), CHECK, key=key, node=node, **{w: every[:, k] for k, w in enumerate(words)})
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, own in groups(batches):
-            x = unpack([data for _, _, data in own], key=U64, **dict.fromkeys(words, U64))
+            x = unpack([data for _, _, data in own], key=U64, node=np.int64, **dict.fromkeys(words, U64))
             at = np.lexsort((x["f0"], x["key"]))
-            key, fp = x["key"][at], np.stack([x[w][at] for w in words], axis=1)
+            key, node, fp = x["key"][at], x["node"][at], np.stack([x[w][at] for w in words], axis=1)
             del x
             begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
             size = np.diff(np.append(begin, len(key)))
-            a, b = [], []
-            few = np.repeat(size <= SMALL, size)
-            for lag in range(1, SMALL):
-                i = np.flatnonzero((key[lag:] == key[:-lag]) & few[lag:]) if lag < len(key) else np.zeros(0, np.int64)
-                if not len(i):
-                    break
-                i = i[np.bitwise_count(fp[i] ^ fp[i + lag]).sum(axis=1, dtype=np.int64) <= radius]
-                a.append(fp[i])
-                b.append(fp[i + lag])
+            few = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
+            i, j = pairs_of_few(fp[few], key[few], radius)
+            a, b = [node[few[i]]], [node[few[j]]]
             for g in np.flatnonzero(size > SMALL):
-                group = fp[begin[g] : begin[g] + size[g]]
-                i, j = tree(group, radius)
-                a.append(group[i])
-                b.append(group[j])
-            if sum(map(len, a)):
-                both = np.unique(np.concatenate([np.concatenate(a).view(np.uint8), np.concatenate(b).view(np.uint8)], axis=1), axis=0)
-                yield pa.record_batch([raw_of(both[:, : 8 * WIDE]), raw_of(both[:, 8 * WIDE :])], ["a", "b"])
+                group = slice(begin[g], begin[g] + size[g])
+                i, j = tree(fp[group], radius)
+                a.append(node[group][i])
+                b.append(node[group][j])
+            u, v = stars(np.concatenate(a), np.concatenate(b))
+            if len(u):
+                yield pa.record_batch([pa.array(u), pa.array(v)], ["a", "b"])
 
-    sent = distinct.select("fp").mapInArrow(send, SCHEMA)
-    return sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a binary, b binary")
+    named = distinct if "node" in distinct.columns else distinct.withColumn("node", F.monotonically_increasing_id())
+    sent = named.select("fp", "node").mapInArrow(send, SCHEMA)
+    return sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a long, b long")
 
 
 def linked(sets: list[np.ndarray], similarity: float, rows: int = 1024, columns: int = 1024) -> tuple[np.ndarray, np.ndarray]:
@@ -526,39 +575,43 @@ def spanning(fp: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple
 
 
 def within(members: DataFrame, sets, similarity: float) -> DataFrame:
-    """Links (a, b), a spanning forest of them, among the members (whole, fp, row_key, n_shingles) of what candidates join: all pairs of a whole are compared in its task, by sets that are sent there once.
+    """Links (a, b), a spanning forest of them, among the members (whole, node, fp, row_key, n_shingles) of what candidates join: all pairs of a whole are compared in its task, by sets that are sent there once.
 
     A whole of more than LARGE texts or BLOCK bytes is looked at in pairs of blocks.
     """
     size = members.groupBy("whole").agg(F.greatest(F.count("*") / LARGE, 4 * F.sum("n_shingles") / BLOCK).alias("parts"))
-    parts = members.join(size.filter("parts > 1").select("whole", F.ceil(2 * F.col("parts")).cast("int").alias("blocks")), "whole", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    beyond = F.broadcast(size.filter("parts > 1").select("whole", F.ceil(2 * F.col("parts")).cast("int").alias("blocks")))  # at most one in LARGE of the texts
+    parts = members.join(beyond, "whole", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     x = parts.join(sets(members.select("row_key")), "row_key")
     x = x.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    x = x.select("whole", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "fp", "own")
+    x = x.select("whole", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "fp", "own")
 
-    def found(held: list[tuple[bytes, bytes]]) -> tuple[list[bytes], list[bytes]]:
-        raw, own = [f for f, _ in held], [np.frombuffer(o, np.uint32) for _, o in held]
+    def found(held: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        node, own = np.array([x for x, _, _ in held], np.int64), [np.frombuffer(o, np.uint32) for _, _, o in held]
+        if len(held) < 2:
+            return node[:0], node[:0]
+        fp = np.frombuffer(b"".join(f for _, f, _ in held), U64).reshape(-1, WIDE)
         if len(held) <= FAN:
-            a, b = linked(own, similarity) if len(held) > 1 else ([], [])
+            a, b = linked(own, similarity)
         else:
-            a, b = spanning(np.frombuffer(b"".join(raw), U64).reshape(-1, WIDE), own, similarity)
-        return [raw[i] for i in a], [raw[i] for i in b]
+            a, b = spanning(fp, own, similarity)
+        return node[a], node[b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out = None, [], ([], [])
+        at, held = None, []
         for y in batches:
-            for whole_, lo, hi, fp, own in zip(*(c.to_pylist() for c in y.columns)):
+            out = []
+            for whole_, lo, hi, node, fp, own in zip(*(c.to_pylist() for c in y.columns)):
                 if (whole_, lo, hi) != at:
-                    for known, new in zip(out, found(held)):
-                        known += new
+                    out.append(found(held))
                     at, held = (whole_, lo, hi), []
-                held.append((fp, own))
-            yield pa.record_batch([pa.array(v, pa.binary()) for v in out], ["a", "b"])
-            out = ([], [])
-        yield pa.record_batch([pa.array(v, pa.binary()) for v in found(held)], ["a", "b"])
+                held.append((node, fp, own))
+            if out:
+                yield pa.record_batch([pa.array(np.concatenate(v)) for v in zip(*out)], ["a", "b"])
+        yield pa.record_batch([pa.array(v) for v in found(held)], ["a", "b"])
 
     spark = members.sparkSession
-    return checkpointed(spark, x.repartition(buckets(spark), "whole", "lo", "hi").sortWithinPartitions("whole", "lo", "hi").mapInArrow(run, "a binary, b binary"))
+    return checkpointed(spark, x.repartition(buckets(spark), "whole", "lo", "hi").sortWithinPartitions("whole", "lo", "hi").mapInArrow(run, "a long, b long"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -591,7 +644,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         return run
 
     prints = checkpointed(spark, source.mapInArrow(sets(None), "doc_id long, row_key string, fp binary, n_shingles long"))
-    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")))
+    distinct = checkpointed(spark, prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("row_key").alias("row_key"), F.max("n_shingles").alias("n_shingles"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
     bit = bitmap.bit(F.xxhash64("row_key"))
 
     def sets_of(ends: DataFrame) -> DataFrame:
@@ -600,8 +653,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
         return source.withColumn("bit", bit).mapInArrow(sets(keep), "row_key string, own binary").join(ends.distinct(), "row_key", "left_semi").dropDuplicates(["row_key"])
 
     nodes = components(spark, candidates(spark, distinct, similarity))
-    wholes = nodes.union(nodes.select("root", "root").distinct()).toDF("fp", "whole")
-    members = checkpointed(spark, distinct.select("fp", "row_key", "n_shingles").join(wholes, "fp").select("whole", "fp", "row_key", "n_shingles"))
+    wholes = nodes.union(nodes.select("root", "root").distinct()).toDF("node", "whole")
+    members = checkpointed(spark, distinct.select("node", "fp", "row_key", "n_shingles").join(wholes, "node").select("whole", "node", "fp", "row_key", "n_shingles"))
     edges = within(members, sets_of, similarity)
     return labelled(spark, prints.select("doc_id", "row_key", "fp"), edges, distinct).select("doc_id", "row_key", "component_id", "cluster")
 
