@@ -767,6 +767,42 @@ def test_counts_travel_in_few_bytes_and_from_few_tasks(spark, monkeypatch):
     assert tasks == [2 * spark.sparkContext.defaultParallelism]
 
 
+def test_near_copies_meet_by_coordinates_of_a_pivot_table():
+    """Keys came from samples of bits with no reference fingerprints behind them."""
+    rng = np.random.default_rng(8)
+    chosen = op7_simhash.samples(5000, 0.8)
+    pivots = op7_simhash.WidePivots(chosen)
+    assert len(pivots.references) == 1 + chosen.size and not pivots.references[0].any()
+    fp = rng.integers(0, 1 << 64, (600, 4), dtype=np.uint64)
+    fp[300:] = fp[:300]
+    fp[300:, rng.integers(4)] ^= np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64)
+    table = pivots.table(fp)
+    assert (table == np.array([op7_simhash.apart(pivots.references, x) for x in fp])).all()
+    names, bits = pivots.names(table), np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
+    for t, places in enumerate(chosen):
+        own = np.zeros(256, bool)
+        own[places] = True
+        within = np.unpackbits(pivots.references[1 + t * len(places) : 1 + (t + 1) * len(places)].view(np.uint8), axis=1, bitorder="little")
+        assert not within[:, ~own].any()
+        kinds = np.unique(bits[:, places], axis=0, return_inverse=True)[1].ravel()
+        assert len(set(zip(kinds.tolist(), names[:, t].tolist()))) == len(set(kinds.tolist())) == len(set(names[:, t].tolist()))
+
+
+def test_pairs_of_few_pass_the_pivot_table_and_the_bits():
+    rng = np.random.default_rng(9)
+    radius = op7_simhash.allowed(0.8)
+    key = np.sort(rng.integers(0, 60, 300).astype(np.uint64))
+    key = key[np.concatenate([np.flatnonzero(key == k)[: op7_simhash.SMALL] for k in np.unique(key)])]
+    base = rng.integers(0, 2, (60, 256), dtype=np.uint8)
+    bits = np.array([base[int(k)] ^ (rng.random(256) < rng.choice([0.05, 0.15, 0.5])) for k in key], np.uint8)
+    fp = np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+    want = {(i, j) for j in range(len(key)) for i in range(j) if key[i] == key[j] and (bits[i] ^ bits[j]).sum() <= radius}
+    a, b = op7_simhash.pairs_of_few(fp, key, radius)
+    assert want and len(a) == len(want) and set(zip(a.tolist(), b.tolist())) == want
+    a, b = op7_simhash.pairs_of_few(fp[:0], key[:0], radius)
+    assert len(a) == len(b) == 0
+
+
 def test_components_of_hubs_and_chains_take_few_stages(spark):
     """Every round of stars took seven shuffles, and all links of a hub met in one task."""
     r = random.Random(19)

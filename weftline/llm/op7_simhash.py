@@ -28,15 +28,18 @@ told that node's parent instead.
 
 ``near_copies`` is the same for texts that differ in more than a few bits: a
 link is a cosine of at least ``similarity`` between the sets of shingles. Its
-fingerprints have 256 bits, those that agree in one of many samples of bits
-form a group (enough that ``RECALL`` of the pairs just at the threshold meet).
-Fixed references discard nothing at so wide a radius, so the pivot table of a
-group holds the distances to some of its own fingerprints: pairs whose rows
-differ by more than the radius are discarded, the others verified bit by bit.
-What these candidates join stands in one task, each text's set once, and there
-pairs pass the pivot table, the bits and at last the sets. So links are all
-verified, and what travels grows with the texts and not with their pairs. What
-is found below a recall of 1 is measured in the README.
+fingerprints have 256 bits and a pivot table like the above: zero and, for each
+of many samples of bits (they may overlap, as blocks that fill the bits can't
+agree at so wide a radius), as many references within the sample as it has
+bits. A sample's coordinates are a key under which fingerprints meet; there are
+enough samples that ``RECALL`` of the pairs just at the threshold do. These
+references tell fingerprints of one key apart no further, so every group has a
+second pivot table, the distances to some of its own fingerprints: pairs whose
+rows differ by more than the radius are discarded, the others verified bit by
+bit. What these candidates join stands in one task, each text's set once, and
+there all pairs pass a pivot table, the bits and at last the sets. So links are
+all verified, and what travels grows with the texts and not with their pairs.
+What is found below a recall of 1 is measured in the README.
 
 Defined results: null and empty texts have fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle; repeated rows are rows of
@@ -392,6 +395,34 @@ def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int16)
 
 
+class WidePivots:
+    """Reference fingerprints of WIDE words within samples of bits, and what their distances tell."""
+
+    def __init__(self, chosen: np.ndarray):
+        self.shape = chosen.shape
+        bits = np.zeros((1 + chosen.size, 64 * WIDE), np.uint8)
+        some = np.random.default_rng(SEED).integers(0, 2, (*chosen.shape, chosen.shape[1]), dtype=np.uint8)
+        for t, places in enumerate(chosen):
+            for j, own in enumerate(places):  # the j-th has bit j and some before it, so the distances name the bits one after the other
+                bits[1 + t * len(places) + j, places[:j]] = some[t, j, :j]
+                bits[1 + t * len(places) + j, own] = 1
+        self.references = np.packbits(bits, axis=1, bitorder="little").view(U64)
+
+    def table(self, fp: np.ndarray) -> np.ndarray:
+        """Each fingerprint's distances to the references."""
+        out = np.zeros((len(fp), len(self.references)), np.int16)
+        for w in range(WIDE):
+            out += np.bitwise_count(fp[:, w, None] ^ self.references[None, :, w])
+        return out
+
+    def names(self, table: np.ndarray) -> np.ndarray:
+        """For each sample a hash of its coordinates less the distance to zero."""
+        tables, r = self.shape
+        rest = (table[:, 1:] - table[:, :1] + 64 * WIDE).astype(U64).reshape(len(table), tables, r)
+        odd = np.multiply.accumulate(np.full(r, units._ODD))
+        return units.mix((rest * odd).sum(axis=2) + np.arange(1, tables + 1, dtype=U64))
+
+
 def pivot_table(fp: np.ndarray) -> np.ndarray:
     """Each wide fingerprint's distances to some of them, every reference as far as can be from those before it."""
     out, far, at = [], None, 0
@@ -422,12 +453,17 @@ def meeting(fp: np.ndarray, table: np.ndarray, radius: int, rows: int = 64) -> n
 
 
 def pairs_of_few(fp: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (indices) within the radius among rows of one key, at most SMALL a key and these side by side."""
+    """Pairs (indices) within the radius among rows of one key, at most SMALL a key and these side by side: those that pass their group's pivot table are verified bit by bit."""
+    begin = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    first, last = np.repeat(begin, size), np.repeat(begin + size - 1, size)
+    table = np.stack([apart(fp, fp[np.minimum(first + c, last)]) for c in range(REFERENCES)], axis=1)
     a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for lag in range(1, SMALL):
         i = np.flatnonzero(key[lag:] == key[:-lag]) if lag < len(key) else np.zeros(0, np.int64)
         if not len(i):
             break
+        i = i[np.abs(table[i] - table[i + lag]).max(axis=1) <= radius]
         i = i[apart(fp[i], fp[i + lag]) <= radius]
         a.append(i)
         b.append(i + lag)
@@ -465,17 +501,16 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
     """Pairs (a, b) of nodes that join all wide fingerprints (fp binary, node long; else numbered here) that may be that similar."""
     n, parts = distinct.count(), buckets(spark)
     chosen = samples(n, similarity)
-    weight = (1 << np.arange(chosen.shape[1])).astype(np.int64)
     radius = allowed(similarity)
     words = [f"f{w}" for w in range(WIDE)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = WidePivots(chosen)
         for whole_ in batches:
             for lo in range(0, whole_.num_rows, 4096):
                 x = whole_.slice(lo, 4096)
                 fp = np.frombuffer(b"".join(x.column(0).to_pylist()), U64).reshape(-1, WIDE)
-                bits = np.unpackbits(fp.view(np.uint8), axis=1, bitorder="little")
-                key = np.concatenate([units.mix((bits[:, c] @ weight).astype(U64) * U64(4096) + U64(t + 1)) for t, c in enumerate(chosen)])
+                key = np.concatenate([pivots.names(pivots.table(fp[i : i + 256])) for i in range(0, len(fp), 256)]).T.ravel()
                 every, node = np.tile(fp, (len(chosen), 1)), np.tile(x.column(1).to_numpy(), len(chosen))
                 yield from by_bucket(bucket_of(key >> U64(24), parts), CHECK, key=key, node=node, **{w: every[:, k] for k, w in enumerate(words)})
 
@@ -504,8 +539,8 @@ def candidates(spark: SparkSession, distinct: DataFrame, similarity: float) -> D
     return sent.repartition(parts, "b").sortWithinPartitions("b").mapInArrow(meet, "a long, b long")
 
 
-def linked(sets: list[np.ndarray], similarity: float, rows: int = 1024, columns: int = 1024) -> tuple[np.ndarray, np.ndarray]:
-    """Links (indices) of a spanning forest over all pairs of sets whose cosine is that high: common members of all pairs by products of 0/1 matrices, in blocks."""
+def linked(sets: list[np.ndarray], similarity: float, rows: int = 1024, columns: int = 1024, may: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Links (indices) of a spanning forest over all pairs of sets (that may be links, if it is said which) whose cosine is that high: common members of all pairs by products of 0/1 matrices, in blocks."""
     m, size = len(sets), np.array([len(x) for x in sets], np.int64)
     owner = np.repeat(np.arange(m), size)
     _, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -525,6 +560,8 @@ def linked(sets: list[np.ndarray], similarity: float, rows: int = 1024, columns:
             common += x[: hi - lo] @ x.T
         near[lo:hi, lo:] = (common > 0) & (common >= similarity * np.sqrt(size[lo:hi, None] * size[None, lo:]))
         near[lo:, lo:hi] |= near[lo:hi, lo:].T
+    if may is not None:
+        near &= may
     rest, a, b = np.arange(m), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
@@ -586,13 +623,19 @@ def within(members: DataFrame, sets, similarity: float) -> DataFrame:
     x = x.withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     x = x.select("whole", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), "node", "fp", "own")
 
+    radius = allowed(similarity)
+
     def found(held: list[tuple[int, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
         node, own = np.array([x for x, _, _ in held], np.int64), [np.frombuffer(o, np.uint32) for _, _, o in held]
         if len(held) < 2:
             return node[:0], node[:0]
         fp = np.frombuffer(b"".join(f for _, f, _ in held), U64).reshape(-1, WIDE)
         if len(held) <= FAN:
-            a, b = linked(own, similarity)
+            table = pivot_table(fp)
+            may = np.abs(table[:, None] - table[None]).max(axis=2) <= radius
+            i, j = np.nonzero(may)
+            may[i, j] = apart(fp[i], fp[j]) <= radius
+            a, b = linked(own, similarity, may=may)
         else:
             a, b = spanning(fp, own, similarity)
         return node[a], node[b]
@@ -617,8 +660,8 @@ def within(members: DataFrame, sets, similarity: float) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, similarity: float = 0.8) -> DataFrame:
     """Per row: doc_id, row_key, component_id, cluster. Equal rows have one row_key, made of id and text; a cluster names its component even if no id does.
 
-    Texts that share a key of a few of their fingerprints' bits and differ in
-    few bits are candidates. All pairs of what these join are compared within one
+    Texts whose fingerprints share a sample's coordinates in the pivot table and
+    differ in few bits are candidates. All pairs of what these join are compared within one
     task, so that no link depends on which of the candidates were followed.
     """
     bounded_batches(spark)
