@@ -246,8 +246,9 @@ def links(spark: SparkSession, distinct: DataFrame, distance: int = DISTANCE, la
     def out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             e = unpack([y.as_py() for y in x.column(3)], a=np.int64, b=np.int64)
-            if len(e["a"]):
-                yield pa.record_batch([pa.array(np.minimum(e["a"], e["b"])), pa.array(np.maximum(e["a"], e["b"]))], ["a", "b"])
+            u, v = stars(e["a"], e["b"])
+            if len(u):
+                yield pa.record_batch([pa.array(u), pa.array(v)], ["a", "b"])
 
     found, sent = [], distinct.select("fp").mapInArrow(send, SCHEMA)
     while True:
@@ -301,7 +302,8 @@ def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
     none = np.zeros(0, np.int64)
-    now = checkpointed(spark, edges.select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(joined((none, none)), "u long, v long"))
+    # not joined() at once: edges often come from Python, and a second worker for each task would stay with its memory
+    now = checkpointed(spark, edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v"))
     before = mark(now)
     while before[0]:
         hubs = [r.v for r in now.groupBy("v").agg(F.count("*").alias("n")).filter(F.col("n") > HUB).orderBy(F.desc("n"), "v").limit(HOT).collect()]
@@ -638,7 +640,7 @@ def within(members: DataFrame, sets, similarity: float) -> DataFrame:
             a, b = linked(own, similarity, may=may)
         else:
             a, b = spanning(fp, own, similarity)
-        return node[a], node[b]
+        return stars(node[a], node[b])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
