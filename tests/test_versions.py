@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.sources import files, versions
 
@@ -161,3 +162,57 @@ def test_a_first_upsert_deals_its_rows_once(spark, tmp_path):
     ran = [s for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(ran) == 2 and versions.read(spark, str(tmp_path / "t")).count() == 50
+
+
+def data_files(at):
+    return {str(f.relative_to(at)) for f in at.glob("data/*/bucket=*/*.parquet")}
+
+
+@pytest.mark.parametrize("at_once", [1, versions.AT_ONCE])
+def test_an_upsert_of_rows_that_stand_keeps_no_new_files(spark, tmp_path, monkeypatch, at_once):
+    monkeypatch.setattr(versions, "AT_ONCE", at_once)
+    rows = spark.range(200).selectExpr("id % 100 AS id", "CASE WHEN id % 3 > 0 THEN 'x' END AS text", "array(float('nan')) AS v")
+    versions.upsert(rows, str(tmp_path), "id")
+    before, files_before = versions.current(spark, str(tmp_path))["buckets"], data_files(tmp_path)
+    stands = versions.read(spark, str(tmp_path))
+    versions.upsert(stands.unionByName(stands).filter("id % 2 = 0"), str(tmp_path), "id")
+    assert versions.current(spark, str(tmp_path))["buckets"] == before and data_files(tmp_path) == files_before
+    versions.upsert(stands.filter("id = 7").withColumn("text", F.lit("new")).unionByName(stands.filter("id <> 7")), str(tmp_path), "id")
+    after = versions.current(spark, str(tmp_path))["buckets"]
+    assert sum(before[b] != w for b, w in after.items()) == 1
+    got = {r.id: r.text for r in versions.read(spark, str(tmp_path)).collect()}
+    assert versions.read(spark, str(tmp_path)).count() == len(got) == 100 and got[7] == "new"
+
+
+def test_an_upsert_after_an_append_leaves_one_row_of_a_key(spark, tmp_path):
+    at = str(tmp_path / "t")
+    versions.append(chunks(spark, ("a", "1", "s"), ("a", "1", "s"), ("b", "1", "s")), at, "id")
+    files.write_chunks(chunks(spark, ("a", "1", "s")), at)
+    assert state(spark, at) == [("a", "1", "s"), ("b", "1", "s")]
+
+
+def test_an_upsert_compares_no_maps(spark, tmp_path):
+    at = str(tmp_path / "t")
+    rows = spark.sql("SELECT 'a' AS id, map('k', 1) AS m UNION ALL SELECT 'b', map('k', 2)")
+    versions.upsert(rows, at, "id")
+    versions.upsert(rows.filter("id = 'a'"), at, "id")
+    assert {r.id: r.m for r in versions.read(spark, at).collect()} == {"a": {"k": 1}, "b": {"k": 2}}
+
+
+def test_a_bucket_is_dealt_over_tasks_and_a_job_leaves_no_shuffle_files(spark, tmp_path):
+    import time
+
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    held = lambda: int(spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses().size())
+    try:
+        at_first, was = held(), spark.conf.get(cleanup)
+        versions.upsert(spark.range(1000), str(tmp_path), "id", n_buckets=2)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    until = time.monotonic() + 20
+    while held() > at_first and time.monotonic() < until:
+        time.sleep(0.1)
+    assert held() <= at_first and spark.conf.get(cleanup) == was
+    assert all(len(list(d.glob("*.parquet"))) > 1 for d in tmp_path.glob("data/*/bucket=*"))

@@ -149,7 +149,7 @@ def metadata_query(spark, sf):
 def build_query(spark, sf):
     """Documents as markdown files, and the graph of the tables, built twice into tables kept by version: what the metadata then says. The second run brings half of the documents again and changes nothing."""
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("entity_id"), F.col("lang").alias("entity_type"), F.left("text", F.lit(20)).alias("title"), F.regexp_replace("text", "\n", "\n## ").alias("text"))
-    e, x, at = kg.entities(spark, sf), kg.edges(spark, sf), scratch(spark, "build")
+    e, x, at = kg.entities(spark, sf), kg.edges(spark, sf, distinct=False), scratch(spark, "build")
     files.build(spark, d, e, x, at, 1, 64)
     return files.build(spark, d.filter("cast(entity_id AS long) % 2 = 0"), e, x, at, 2, 64)
 

@@ -32,8 +32,9 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """src, rel, dst. Forward relations only; inverses are derived (graph.derive_inverses)."""
+def edges(spark: SparkSession, sf_dir: str, distinct: bool = True) -> DataFrame:
+    """src, rel, dst. Forward relations only; inverses are derived (graph.derive_inverses). For those who make a set of them anyway they come with repeats, and aren't shuffled for that."""
+    once = DataFrame.distinct if distinct else lambda df: df
     t = lambda n: table(spark, sf_dir, n)
     edge = lambda df, s, rel, d: df.select(s.alias("src"), F.lit(rel).alias("rel"), d.alias("dst"))
     li = t("lineitem")
@@ -44,10 +45,10 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         edge(t("customer"), _id("C", "c_custkey"), "in_nation", _id("N", "c_nationkey")),
         edge(t("supplier"), _id("S", "s_suppkey"), "in_nation", _id("N", "s_nationkey")),
         edge(t("orders"), _id("O", "o_orderkey"), "placed_by", _id("C", "o_custkey")),
-        edge(li, _id("O", "l_orderkey"), "contains", _id("P", "l_partkey")).distinct(),
-        edge(solves, _id("C", "o_custkey"), "solves", _id("S", "l_suppkey")).distinct(),
-        edge(li.filter("l_returnflag = 'R' and l_quantity >= 45"), _id("S", "l_suppkey"), "violates", _id("P", "l_partkey")).distinct(),
-        edge(li.filter("l_returnflag = 'N' and l_quantity >= 25"), _id("S", "l_suppkey"), "enforces", _id("P", "l_partkey")).distinct(),
+        once(edge(li, _id("O", "l_orderkey"), "contains", _id("P", "l_partkey"))),
+        once(edge(solves, _id("C", "o_custkey"), "solves", _id("S", "l_suppkey"))),
+        once(edge(li.filter("l_returnflag = 'R' and l_quantity >= 45"), _id("S", "l_suppkey"), "violates", _id("P", "l_partkey"))),
+        once(edge(li.filter("l_returnflag = 'N' and l_quantity >= 25"), _id("S", "l_suppkey"), "enforces", _id("P", "l_partkey"))),
     ]
     out = parts[0]
     for x in parts[1:]:

@@ -8,26 +8,35 @@ dies; what a dead job left behind is never named by a line. The log file is
 created without overwriting, so of two writers one fails, sees the other's
 version and merges again.
 
-Rows are dealt to buckets by their key. An upsert reads and rewrites only the
-buckets that its rows touch; an append adds its write to them. A writer that
-gives a transaction (its name and a number that grows, such as the batch id of
-``foreachBatch``) and repeats it after a failure changes nothing.
+Rows are dealt to buckets by their key. An append adds its write to the buckets
+that its rows touch. An upsert writes its rows once, compares those buckets with
+it, a few at a time, and rewrites of a bucket only the older rows that stay; a
+bucket whose rows all stand already is left as it is, and its new files go. A
+writer that gives a transaction (its name and a number that grows, such as the
+batch id of ``foreachBatch``) and repeats it after a failure changes nothing.
+
+Nothing shuffled here is read twice, so shuffle files are dropped with the job
+that wrote them. Disk holds the table, the new rows and one shuffle at a time.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from weftline.session import checkpointed
+from weftline.session import buckets as parts
 
 BUCKETS, TRIES = 16, 8
-EMPTY = {"version": 0, "schema": None, "key": None, "n_buckets": 0, "buckets": {}, "writers": {}}
+#: Bytes of files whose buckets are compared in one job.
+AT_ONCE = 1 << 27
+EMPTY = {"version": 0, "schema": None, "key": None, "n_buckets": 0, "buckets": {}, "writers": {}, "unique": True}
 
 
 class SchemaMismatch(ValueError):
@@ -56,6 +65,12 @@ class _Files:
         finally:
             stream.close()
 
+    def size(self, folder: str) -> int:
+        return self.fs.getContentSummary(self._path(folder)).getLength()
+
+    def delete(self, folder: str) -> None:
+        self.fs.delete(self._path(folder), True)
+
     def create(self, name: str, text: str) -> bool:
         """False if the file is there already."""
         try:
@@ -131,41 +146,99 @@ def _nullable(schema: StructType) -> dict:
     return out
 
 
+@contextmanager
+def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Jobs started meanwhile drop their shuffle files when they end, and not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _buckets_of(files: _Files, write: str) -> set[str]:
+    return {x.split("=")[1] for x in files.names(f"data/{write}") if x.startswith("bucket=")}
+
+
+def _write(dealt: DataFrame, path: str, key: list[str], write: str) -> None:
+    """Rows by key, so that neighbours share their beginnings and files are small."""
+    dealt.sortWithinPartitions("bucket", *key).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/data/{write}")
+
+
+def _stage(rows: DataFrame, path: str, key: list[str], n: int, replace: bool) -> str:
+    """Writes the rows to the folders of their buckets; each bucket is dealt over several tasks, so that none holds a whole one."""
+    write, slices = uuid.uuid4().hex, max(1, parts(rows.sparkSession, 4) // n)
+    dealt = rows.withColumn("bucket", _bucket(key, n) * slices + F.pmod(F.hash(*key), F.lit(slices))).repartition("bucket")
+    if replace:
+        dealt = dealt.dropDuplicates(["bucket", *key])  # within the slices they are written by: dealt once
+    _write(dealt.withColumn("bucket", F.floor(F.col("bucket") / slices).cast("int")), path, key, write)
+    return write
+
+
+def _same(a: DataFrame, b: DataFrame, columns: list[str]) -> Column:
+    return reduce(Column.__and__, [a[c].eqNullSafe(b[c]) for c in columns])
+
+
+def _merge(spark: SparkSession, files: _Files, state: dict, write: str, key: list[str], keep: Column | None) -> dict[str, list[str]]:
+    """For each bucket of a staged write that has older rows, the writes that make it up from now on."""
+    new, n = {b: [write] for b in _buckets_of(files, write)}, state["n_buckets"]
+    out, left = {}, sorted((b for b in new if state["buckets"].get(b)), key=int)
+    columns = StructType.fromJson(state["schema"]).names if left else []
+    kinds = json.dumps(state["schema"])
+    comparable = state.get("unique", False) and not any(k in kinds for k in ('"map"', '"variant"'))  # after appends a key may have several rows
+    while left:
+        group, size = [], 0
+        while left and (not group or size < AT_ONCE):
+            group.append(left.pop(0))
+            size += sum(files.size(f"data/{w}/bucket={group[-1]}") for w in [write, *state["buckets"][group[-1]]])
+        differ = set(group)
+        if comparable:
+            a, b = _load(spark, files.root, state | {"buckets": new}, group), _load(spark, files.root, state, group)
+            other = a.join(b, _same(a, b, columns), "left_anti")
+            differ = {str(r.bucket) for r in other.select(_bucket(key, n).alias("bucket")).distinct().collect()}  # at most as many as buckets
+        out |= {b: state["buckets"][b] for b in group if b not in differ}
+        if differ:
+            a, b = _load(spark, files.root, state, differ), _load(spark, files.root, state | {"buckets": new}, differ).select(key)
+            stay, rest = a.join(b, _same(a, b, key), "left_anti"), uuid.uuid4().hex
+            stay = stay if keep is None else stay.filter(keep)
+            _write(stay.withColumn("bucket", _bucket(key, n)), files.root, key, rest)
+            some = _buckets_of(files, rest)
+            out |= {b: [write, rest] if b in some else [write] for b in differ}
+    return out
+
+
 def _commit(rows: DataFrame, path: str, key: list[str], writer: tuple[str, int] | None, replace: bool, n_buckets: int, keep: Column | None = None) -> int:
     spark, path = rows.sparkSession, path.rstrip("/")
-    files = _Files(spark, path)
+    files, write, dealt_to = _Files(spark, path), None, None
     for _ in range(TRIES):
         state, number = _state(files)
         if writer and state["writers"].get(writer[0], -1) >= writer[1]:
             return state["version"]
         own = _checked(rows, state, key)
         n = state["n_buckets"] or n_buckets
-        write, touched = uuid.uuid4().hex, set()
-        dealt = own.withColumn("bucket", _bucket(key, n)).repartition("bucket")
-        if replace:
-            dealt = dealt.dropDuplicates(["bucket", *key])  # within the buckets they are written to: dealt once
-            if state["schema"] is not None:
-                own = checkpointed(spark, dealt.drop("bucket"))
-                touched = {str(r.b) for r in own.select(_bucket(key, n).alias("b")).distinct().collect()}  # at most as many as buckets
-                old = _load(spark, path, state, touched)
-                old = old if keep is None else old.filter(keep)
-                own = old.join(own.select(key), key, "left_anti").unionByName(own)
-                dealt = own.withColumn("bucket", _bucket(key, n)).repartition("bucket")
         step("write")
-        dealt.write.partitionBy("bucket").parquet(f"{path}/data/{write}")
-        written = {x.split("=")[1] for x in files.names(f"data/{write}") if x.startswith("bucket=")}
+        with _shuffles_dropped(spark):
+            if dealt_to != (n, own.columns):  # else written by a try before this one
+                write, dealt_to = _stage(own, path, key, n, replace), (n, own.columns)
+            written = _buckets_of(files, write)
+            merged = _merge(spark, files, state, write, key, keep) if replace else {}
         buckets = {b: list(w) for b, w in state["buckets"].items()}
-        for b in touched | written:
-            buckets[b] = ([] if replace else buckets.get(b, [])) + ([write] if b in written else [])
-        new = {"version": number, "schema": state["schema"] or _nullable(rows.schema), "key": key, "n_buckets": n, "buckets": buckets, "writers": state["writers"] | ({writer[0]: writer[1]} if writer else {})}
+        for b in written:
+            buckets[b] = merged[b] if b in merged else ([] if replace else buckets.get(b, [])) + [write]
+        new = {"version": number, "schema": state["schema"] or _nullable(rows.schema), "key": key, "n_buckets": n, "buckets": buckets, "writers": state["writers"] | ({writer[0]: writer[1]} if writer else {}), "unique": replace and state.get("unique", False)}
         step("commit")
         if files.create(f"log/{number:012d}", json.dumps(new) + "\n"):
+            for b in written:
+                if write not in buckets[b]:
+                    files.delete(f"data/{write}/bucket={b}")  # no line has named it
             return number
     raise RuntimeError(f"other writers kept changing {path}")
 
 
 def upsert(rows: DataFrame, path: str, key: str | list[str], writer: tuple[str, int] | None = None, n_buckets: int = BUCKETS, keep: Column | None = None) -> int:
-    """Inserts or replaces rows by key; returns the version. Of rows of one key any one stays.
+    """Inserts or replaces rows by key; returns the version. Of rows of one key any one stays. Rows that the table has already, equal in all columns, change nothing.
 
     Older rows that do not meet ``keep`` are dropped from the buckets that are rewritten anyway.
     """
