@@ -216,3 +216,18 @@ def test_a_bucket_is_dealt_over_tasks_and_a_job_leaves_no_shuffle_files(spark, t
         time.sleep(0.1)
     assert held() <= at_first and spark.conf.get(cleanup) == was
     assert all(len(list(d.glob("*.parquet"))) > 1 for d in tmp_path.glob("data/*/bucket=*"))
+
+
+def test_chunks_of_a_row_are_those_of_the_window_and_shuffle_no_text(spark):
+    from weftline.operators import retrieval
+
+    long = "é" * 30
+    texts = ["", None, f"a {long}\n## B b \n {long}\n## short\n\n## C\n{long}  ", f"## D\n{long}\n##E\n## \n{long}", f"\n\n {long} \n"]
+    d = spark.createDataFrame([(str(i), "t", f"n{i}", t) for i, t in enumerate(texts)], "entity_id string, entity_type string, title string, text string")
+    columns = ["entity_id", "section", "text", "chunk_index", "id", "entity_type", "title"]
+    want = retrieval.chunk_markdown(d.select("entity_id", "text")).join(d.drop("text"), "entity_id").select(columns)
+    got = files._chunked(d)
+    assert got.columns == columns and sorted(got.collect()) == sorted(want.collect()) and got.count() == 6
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    twice = files._chunked(d.unionByName(d)).select("id").distinct()
+    assert twice.count() == 12

@@ -75,17 +75,25 @@ def write_graph(entities: DataFrame, edges: DataFrame, path: str, writer: tuple[
 
 def embed_missing(chunks: DataFrame, path: str, dim: int = 384, writer: tuple[str, int] | None = None) -> int:
     """Embeds the chunks (id, text) that the table of vectors at a path does not have yet."""
-    have = versions.read(chunks.sparkSession, path, "id string, embedding array<float>")
-    new = embed(missing_embeddings(chunks.select("id", "text"), have), dim=dim)
+    new = chunks.select("id", "text")
+    if versions.current(chunks.sparkSession, path)["schema"] is not None:  # else all are missing, and texts stay where they are
+        new = missing_embeddings(new, versions.read(chunks.sparkSession, path))
+    new = embed(new, dim=dim)
     return versions.append(new.select("id", "embedding"), path, "id", writer)
 
 
-def build(spark: SparkSession, files_: DataFrame, entities: DataFrame, edges: DataFrame, path: str, run: int, dim: int = 384) -> DataFrame:
-    """The build pipeline: markdown (entity_id, entity_type, title, text) to chunks, the graph, vectors of chunks that have none, and what was built as metadata (key, value). A repeated run of the same number changes nothing that stands."""
+def _chunked(files_: DataFrame) -> DataFrame:
+    """Chunks with type and title; texts are shuffled to be numbered only if an entity has several rows."""
     from weftline.operators import retrieval
 
-    names = files_.select("entity_id", "entity_type", "title")
-    write_chunks(retrieval.chunk_markdown(files_.select("entity_id", "text")).join(names, "entity_id"), f"{path}/chunks", writer=("build", run))
+    if files_.groupBy("entity_id").count().filter("count > 1").isEmpty():
+        return retrieval.chunk_markdown_rows(files_.filter("entity_id IS NOT NULL"))
+    return retrieval.chunk_markdown(files_.select("entity_id", "text")).join(files_.select("entity_id", "entity_type", "title"), "entity_id")
+
+
+def build(spark: SparkSession, files_: DataFrame, entities: DataFrame, edges: DataFrame, path: str, run: int, dim: int = 384) -> DataFrame:
+    """The build pipeline: markdown (entity_id, entity_type, title, text) to chunks, the graph, vectors of chunks that have none, and what was built as metadata (key, value). A repeated run of the same number changes nothing that stands."""
+    write_chunks(_chunked(files_.select("entity_id", "entity_type", "title", "text")), f"{path}/chunks", writer=("build", run))
     write_graph(entities, edges, path, ("build", run))
     chunks = versions.read(spark, f"{path}/chunks")
     embed_missing(chunks, f"{path}/vectors", dim, ("build", run))
